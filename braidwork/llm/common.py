@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Fallback folders, by session, where the cluster names none (local tests).
 _own: dict[str, str] = {}
@@ -36,3 +37,8 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """schema (left as it is) with the fields of ddl added."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

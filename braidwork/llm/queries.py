@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import table
+from braidwork.llm.credential_links import credential_findings, listed
+from braidwork.llm.line_dedup import dedup_lines
 from braidwork.llm.sharding import hypergeometric_shards
 
 
@@ -16,9 +18,35 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypergeometric_shards(docs, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of secrets, and the weak parts that complementary parts confirm."""
+    found = credential_findings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    number = lambda kind: F.size(F.filter("findings", lambda f: f.kind == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(listed("findings", ("assign", "access", "hex")), 256).alias("base_sha256"), listed("findings").alias("spans"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 or more code points in 5 or more documents stay in the largest doc_id alone."""
+    cut = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries():
-    return {"op1_sharding": op1_sharding}
+    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup)}
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+x AS (SELECT k.doc_id, i, line, g.holder IS NOT NULL AND g.holder <> k.doc_id AS gone FROM k LEFT JOIN g USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM x GROUP BY doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
