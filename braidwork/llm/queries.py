@@ -11,6 +11,7 @@ from braidwork.llm.decontamination import find_benchmark
 from braidwork.llm.line_dedup import dedup_lines
 from braidwork.llm.quality_fm import THRESHOLD, held_out, score_quality, train
 from braidwork.llm.sharding import hypergeometric_shards
+from braidwork.llm.simhash import near_duplicates
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +47,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components within 2 bits."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op8_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op8_decontamination)}
 
 
 OP3_SQL = """
