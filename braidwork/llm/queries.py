@@ -9,6 +9,7 @@ from braidwork.llm.common import table
 from braidwork.llm.credential_links import credential_findings, listed
 from braidwork.llm.decontamination import find_benchmark
 from braidwork.llm.line_dedup import dedup_lines
+from braidwork.llm.packing import pack_documents
 from braidwork.llm.quality_fm import THRESHOLD, held_out, score_quality, train
 from braidwork.llm.sharding import hypergeometric_shards
 from braidwork.llm.simhash import near_duplicates
@@ -53,8 +54,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op8_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op6_packing, op8_decontamination)}
 
 
 OP3_SQL = """
