@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import table
 from braidwork.llm.credential_links import credential_findings, listed
 from braidwork.llm.decontamination import find_benchmark
+from braidwork.llm.itq import near_vectors
 from braidwork.llm.line_dedup import dedup_lines
 from braidwork.llm.packing import pack_documents
 from braidwork.llm.quality_fm import THRESHOLD, held_out, score_quality, train
@@ -62,8 +63,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings at a cosine of 0.93 and their components."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op6_packing, op8_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op6_packing, op8_decontamination, op9_itq)}
 
 
 OP3_SQL = """
