@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import table
 from braidwork.llm.credential_links import credential_findings, listed
 from braidwork.llm.decontamination import find_benchmark
+from braidwork.llm.html_wrapper import extract_pages
 from braidwork.llm.itq import near_vectors
 from braidwork.llm.line_dedup import dedup_lines
 from braidwork.llm.packing import pack_documents
@@ -43,6 +44,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    found = extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 benchmark words in all documents."""
     found = find_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -69,7 +76,7 @@ def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op6_packing, op8_decontamination, op9_itq)}
+    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op6_packing, op7_html_wrapper, op8_decontamination, op9_itq)}
 
 
 OP3_SQL = """
