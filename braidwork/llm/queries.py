@@ -15,6 +15,7 @@ from braidwork.llm.packing import pack_documents
 from braidwork.llm.quality_fm import THRESHOLD, held_out, score_quality, train
 from braidwork.llm.sharding import hypergeometric_shards
 from braidwork.llm.simhash import near_duplicates
+from braidwork.llm.suffix_dedup import dedup_substrings
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +76,21 @@ def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents outside strings of 400 bytes that also start elsewhere."""
+    found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op6_packing, op7_html_wrapper, op8_decontamination, op9_itq)}
+    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op6_packing, op7_html_wrapper, op8_decontamination, op9_itq, op10_suffix_dedup, pipeline)}
 
 
 OP3_SQL = """
