@@ -64,97 +64,137 @@ def with_fingerprint(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
 
 
 def planes(fingerprints: np.ndarray) -> np.ndarray:
-    """64 x words: bit r of plane p is bit p of fingerprint r."""
-    bits = np.unpackbits(fingerprints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, -(-len(bits) // 64) * 64), np.uint8)
+    """bits x words: bit r of plane p is bit p of fingerprint r (rows x 64-bit words)."""
+    bits = np.unpackbits(np.ascontiguousarray(fingerprints, "<u8").view(np.uint8), axis=1, bitorder="little")
+    padded = np.zeros((bits.shape[1], -(-len(bits) // 64) * 64), np.uint8)
     padded[:, : len(bits)] = bits.T
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
-def within(queries: np.ndarray, block: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """queries x words masks of the rows of a block of planes within `radius` (1 to 3) bits of each query.
+def within(queries: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the rows of a block of planes within `radius` bits of each query (rows x words).
 
-    Carry-save: a differing bit goes into `ones`, its carry into `twos`, a carry from there into `over`. Every
-    eight planes the block is given up if no counter is within the radius any more.
+    Carry-save: a differing bit goes into the first counter plane, its carry into the next, a carry out of the last
+    into a sticky overflow. Every sixteen planes the block is given up if all its counters have overflowed.
     """
-    ones = np.zeros((len(queries), block.shape[1]), np.uint64)
-    twos, over = ones.copy(), ones.copy()
-    for p in range(64):
-        flip = (np.uint64(0) - ((queries >> np.uint64(p)) & np.uint64(1)))[:, None]
-        differs = block[p] ^ flip
-        carry = ones & differs
-        ones ^= differs
-        over |= twos & carry
-        twos ^= carry
-        if p % 8 == 7:
-            past = over | (twos if radius == 1 else twos & ones if radius == 2 else np.uint64(0))
-            if (past == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
-                break
-    return ~(over | (twos if radius == 1 else twos & ones if radius == 2 else np.uint64(0)))
-
-
-class _Forest:
-    """Union-find over the positions of one key's rows."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def link(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def _compare_run(f: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """One key's distinct fingerprints, sorted: each linked one with the least fingerprint position of its tree."""
-    forest = _Forest(len(f))
-    for b in range(0, len(f), BLOCK):
-        block = planes(f[b : b + BLOCK])
-        for q in range(0, min(len(f), b + BLOCK), QUERIES):
-            bits = np.unpackbits(within(f[q : q + QUERIES], block, radius).view(np.uint8), axis=1, bitorder="little")[:, : len(f) - b]
-            for i, j in zip(*np.nonzero(bits)):
-                if q + i < b + j:
-                    forest.link(q + i, b + j)
-    root = np.array([forest.find(i) for i in range(len(f))])
-    own = np.flatnonzero(root != np.arange(len(f)))
-    return f[own], f[root[own]]
-
-
-def _compare_short(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of many short keys at once: pairs at each distance d in the sorted order, laid out as bit planes."""
-    left, right = [f[:0]], [f[:0]]
-    for d in range(1, len(f)):
-        at = np.flatnonzero(key[d:] == key[:-d])
-        if not len(at):
+    counters = [np.zeros((len(queries), block.shape[1]), np.uint64) for _ in range(radius.bit_length())]
+    over = np.zeros_like(counters[0])
+    for p in range(len(block)):
+        flip = np.uint64(0) - ((queries[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1))
+        carry = block[p] ^ flip[:, None]
+        for c in counters:
+            c ^= carry
+            carry &= ~c  # it carries where the bit was set before, so is clear now
+        over |= carry
+        if p % 16 == 15 and (over == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
             break
-        for lo in range(0, len(at), 1 << 16):
-            some = at[lo : lo + (1 << 16)]
-            # The differences as a block of planes, compared with zero: the counters hold each pair's distance.
-            near = within(np.zeros(1, np.uint64), planes(f[some] ^ f[some + d]), radius)
-            hit = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little")[: len(some)])
-            left.append(f[some[hit] + d])
-            right.append(f[some[hit]])
-    return np.concatenate(left), np.concatenate(right)
+    near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
+    q, row = np.nonzero(near)
+    word, bit, distance = row // 64, (row % 64).astype(np.uint64), np.zeros(len(q), np.int64)
+    for k, c in enumerate(counters):
+        distance += ((c[q, word] >> bit) & np.uint64(1)).astype(np.int64) << k
+    ok = distance <= radius
+    return q[ok], row[ok], distance[ok]
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which of the pairs make a spanning forest of least distances over positions 0..n-1."""
+    root, chosen = np.arange(n), []
+    order = np.argsort(distance, kind="stable")
+    while len(order):
+        order = order[root[i[order]] != root[j[order]]]
+        step, order = order[:4096], order[4096:]
+        up = dict(zip(root[i[step]].tolist(), root[i[step]].tolist())) | dict(zip(root[j[step]].tolist(), root[j[step]].tolist()))
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for k, a, b in zip(step.tolist(), root[i[step]].tolist(), root[j[step]].tolist()):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                chosen.append(k)
+        to = np.arange(n)
+        for x in up:
+            to[x] = find(x)
+        root = to[root]
+    return np.array(chosen, np.int64)
 
 
 #: Runs up to this length are compared together with others.
-SHORT = 32
+SHORT = 64
 
 
-def _compare(f: np.ndarray, key: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """f sorted by key, keys whole."""
+def compare(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x words) sorted by key, keys whole: positions of pairs that span the pairs within the radius of each key."""
     starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
     sizes = np.diff(starts)
-    short = np.repeat((sizes > 1) & (sizes <= SHORT), sizes)
-    yield _compare_short(f[short], key[short], radius)
+    left, right, far = [], [], []
+    # Many short keys at once: pairs at each step d of the sorted order; their differences are a block of planes, and
+    # its distances to zero are those of the pairs.
+    short = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
+    zero = np.zeros((1, f.shape[1]), np.uint64)
+    own = key[short]
+    for d in range(1, SHORT):
+        at = np.flatnonzero(own[d:] == own[:-d])
+        if not len(at):
+            break
+        for lo in range(0, len(at), BLOCK * 4):
+            a, b = short[at[lo : lo + BLOCK * 4]], short[at[lo : lo + BLOCK * 4] + d]
+            _, row, distance = within(zero, planes(f[a] ^ f[b]), radius)
+            row, distance = row[row < len(a)], distance[row < len(a)]
+            left.append(a[row])
+            right.append(b[row])
+            far.append(distance)
     for lo, n in zip(starts[:-1][sizes > SHORT], sizes[sizes > SHORT]):
-        yield _compare_run(f[lo : lo + n], radius)
+        for b in range(0, n, BLOCK):
+            block = planes(f[lo + b : lo + min(b + BLOCK, n)])
+            own_left, own_right, own_far = [], [], []
+            for q in range(0, min(n, b + BLOCK), QUERIES):
+                i, j, distance = within(f[lo + q : lo + min(q + QUERIES, n)], block, radius)
+                ok = (q + i < b + j) & (b + j < n)
+                own_left.append(lo + q + i[ok])
+                own_right.append(lo + b + j[ok])
+                own_far.append(distance[ok])
+            x, y, z = map(np.concatenate, (own_left, own_right, own_far))
+            span = forest(int(n), x - lo, y - lo, z)
+            left.append(x[span])
+            right.append(y[span])
+            far.append(z[span])
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x, y, z = map(np.concatenate, (left, right, far))
+    # The least distances come first, so a pair that is left out is joined by nearer ones.
+    span = forest(len(f), x, y, z)
+    return x[span], y[span]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Batches (key, id, word...) sorted by key: spanning edges (u, v) of ids, key by key."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        key, ids, f = (np.concatenate(x) for x in zip(*held))
+        u, v = compare(f, key, radius)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+        f = np.stack([b.column(2 + w).to_numpy().view(np.uint64) for w in range(words)], 1)
+        cut = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
+        if cut:
+            held.append((key[:cut], ids[:cut], f[:cut]))
+        if held and (cut or held[-1][0][-1] != key[-1]):
+            yield from out()
+            held = []
+        held.append((key[cut:], ids[cut:], f[cut:]))
+    if held:
+        yield from out()
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -162,30 +202,8 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     f = F.col("fingerprint")
     quarter = lambda k: F.shiftrightunsigned(f, 16 * k).bitwiseAND(F.lit(0xFFFF))
     keys = F.array(*[(F.lit(n).cast("bigint") * (1 << 32)) + quarter(a) * (1 << 16) + quarter(b) for n, (a, b) in enumerate(QUARTERS)])
-    rows = prints.select("fingerprint", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key", "fingerprint")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_f, held_k = [], []
-
-        def out(f: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for u, v in _compare(f, key, radius):
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-        for b in batches:
-            f, key = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            if not len(key):
-                continue
-            cut = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
-            if cut or (held_k and held_k[-1][-1] != key[-1]):
-                yield from out(np.concatenate([*held_f, f[:cut]]), np.concatenate([*held_k, key[:cut]]))
-                held_f, held_k = [], []
-            held_f.append(f[cut:])
-            held_k.append(key[cut:])
-        if held_k:
-            yield from out(np.concatenate(held_f), np.concatenate(held_k))
-
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    rows = prints.select(F.explode(keys).alias("key"), F.col("fingerprint").alias("id"), "fingerprint").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(lambda batches: _streamed(batches, 1, radius), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -203,11 +221,87 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(own, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group: the rows whose doc_id names its component; a repeated row stays once; columns as they are.
+# Similarity of five-word shingle sets: fingerprints of 128 bits find candidates, the sets decide.
+
+WORDS, WIDE = 5, 2
+#: Rows that a key of a table should have, the chance sought of meeting in one of the tables.
+ROWS_A_KEY, SOUGHT = 48, 0.995
+
 
-    A group with null ids alone keeps one of its rows.
+def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
+    """The distinct shingles' 128-bit hashes as sorted rows of two words (fewer words: the whole sequence; none: no row)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty((0, WIDE), np.uint64)
+    join, h = b" ".join, xxhash.xxh3_128_digest
+    found = {h(join(w)) for w in zip(*(words[k:] for k in range(size)))} if len(words) >= size else {h(join(words))}
+    return np.frombuffer(b"".join(sorted(found)), np.uint64).reshape(-1, WIDE)
+
+
+def table_bits(n: int, similarity: float) -> tuple[int, int, int]:
+    """(bits of a key, tables, radius) for n rows at a Jaccard similarity: the angle of the sets gives the chance that a bit agrees."""
+    agree = 1 - np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    bits = int(min(40, max(8, np.log2(max(n, 1) / ROWS_A_KEY))))
+    size = 64 * WIDE
+    radius = size * (1 - agree) + 3 * np.sqrt(size * agree * (1 - agree))
+    return bits, int(np.ceil(np.log(1 - SOUGHT) / np.log(1 - agree**bits))), min(size // 2 - 1, int(np.ceil(radius)))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3) -> DataFrame:
+    """(doc_id, component_id): documents whose sets of five-word shingles have a Jaccard similarity of `similarity` or more link.
+
+    Equal sets are one class. Classes meet under random choices of fingerprint bits, are compared bit-sliced, and
+    each key hands on the pairs of least distance that span its candidates; their sets are then compared exactly.
+    Documents without words are one class. Null ids name a component only if it has no other.
     """
-    groups = near_duplicates(docs, radius)
+    sketch = lambda batches: (_sketched(b) for b in batches)
+    prints = materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, "doc_id bigint, own bigint, own2 bigint, f0 bigint, f1 bigint"), "sketch")
+    # The class is named by its least document; hashes of the whole set tell classes apart.
+    classes = materialise(prints.groupBy("own", "own2").agg(F.min("doc_id").alias("id"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "classes")
+    bits, tables, radius = table_bits(classes.count(), similarity)
+    rng = np.random.default_rng(seed)
+    chosen = [sorted(rng.choice(64 * WIDE, bits, replace=False).tolist()) for _ in range(tables)]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.stack([b.column(1 + w).to_numpy() for w in range(WIDE)], 1)
+            own = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            for n, places in enumerate(chosen):
+                key = (own[:, places] << np.arange(bits)).sum(1) | (n << 40)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["key", "id", "f0", "f1"])
+
+    named = classes.where(F.col("id").isNotNull()).select("id", "f0", "f1")
+    rows = named.mapInArrow(keyed, "key bigint, id bigint, f0 bigint, f1 bigint").repartition("key").sortWithinPartitions("key")
+    pairs = materialise(rows.mapInArrow(lambda batches: _streamed(batches, WIDE, radius), "u bigint, v bigint").distinct(), "candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t.as_py())[:, 0].view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
+
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(needed, "id", "left_semi").mapInArrow(sets, "id bigint, s array<bigint>").dropDuplicates(["id"])
+    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    links = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    roots = connected_components(links)
+    own = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("own", "own2", F.coalesce("root", "id").alias("component_id"))
+    return prints.join(own, ["own", "own2"]).select("doc_id", "component_id")
+
+
+def _sketched(b: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, hash of the shingle set in two words, 128-bit SimHash of the set in two words)."""
+    out = np.zeros((b.num_rows, 2 + WIDE), np.uint64)
+    for i, t in enumerate(b.column(1)):
+        s = shingle_set(t.as_py())
+        out[i, :2] = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.uint64)
+        if len(s):
+            out[i, 2:] = [_majority(s[:, w]) for w in range(WIDE)]
+    return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[:, k].view(np.int64)) for k in range(2 + WIDE)]], ["doc_id", "own", "own2", "f0", "f1"])
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of similar_documents: the one whose doc_id names it; a repeated row stays once; columns as they are."""
+    groups = similar_documents(docs, similarity)
     kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
