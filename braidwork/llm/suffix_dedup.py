@@ -81,6 +81,15 @@ def minimisers(raw: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.n
     return at, h[at]
 
 
+def chains(at: np.ndarray, h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimisers of one hash that follow within `least` bytes as one: (first, last, hash, whether there are several)."""
+    order = np.lexsort((at, h))
+    at, h = at[order], h[order]
+    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (at[1:] - at[:-1] > least)))) if len(at) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return at[first], at[last], h[first], last > first
+
+
 def text_key(raw: bytes) -> bytes:
     return xxhash.xxh3_128_digest(raw)
 
@@ -98,42 +107,42 @@ def _attached(docs: DataFrame, found: DataFrame, held_bytes: int):
 
 
 def _anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """(_t, at, h) of all minimisers; each text once a task."""
+    """(_t, at, to, h, many): the chains of all minimisers; each text once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            keys, at, h = [], [], []
+            keys, found = [], []
             for t in b.column(0):
                 raw = _raw(t.as_py())
                 if len(raw) < least or (key := text_key(raw)) in seen:
                     continue
                 if len(seen) < 1 << 17:
                     seen.add(key)
-                p, x = minimisers(np.frombuffer(raw, np.uint8), least, gram)
-                keys += [key] * len(p)
-                at.append(p.astype(np.int32))
-                h.append(x.view(np.int64))
-            if at:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(at)), pa.array(np.concatenate(h))], ["_t", "at", "h"])
+                found.append(chains(*minimisers(np.frombuffer(raw, np.uint8), least, gram), least))
+                keys += [key] * len(found[-1][0])
+            if found:
+                at, to, h, many = map(np.concatenate, zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at.astype(np.int32)), pa.array(to.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(many)], ["_t", "at", "to", "h", "many"])
 
-    return docs.select("text").mapInArrow(run, "_t binary, at int, h bigint")
+    return docs.select("text").mapInArrow(run, "_t binary, at int, to int, h bigint, many boolean")
 
 
-_ENTRY = np.dtype([("at", "<i4"), ("h", "<i8")])
+_ENTRY = np.dtype([("at", "<i4"), ("to", "<i4"), ("h", "<i8")])
 
 
 def _repeated_anchors(anchors: DataFrame) -> DataFrame:
     """(_t, blob): each text's minimisers that stand at two places or more."""
     place = F.xxhash64("_t", "at")
-    repeated = anchors.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select("h")
+    repeated = anchors.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("many").alias("many")).where((F.col("a") != F.col("b")) | F.col("many")).select("h")
 
     def pack(part: pa.Table) -> pa.Table:
         out = np.empty(part.num_rows, _ENTRY)
-        out["at"], out["h"] = part.column("at").to_numpy(), part.column("h").to_numpy()
+        for c in _ENTRY.names:
+            out[c] = part.column(c).to_numpy()
         return pa.table({"_t": part.column("_t")[:1], "blob": pa.array([np.unique(out).tobytes()], pa.binary())})
 
-    return anchors.join(repeated, "h").distinct().groupBy("_t").applyInArrow(pack, "_t binary, blob binary")
+    return anchors.select("_t", "at", "to", "h").join(repeated, "h").distinct().groupBy("_t").applyInArrow(pack, "_t binary, blob binary")
 
 
 def _regions(docs: DataFrame, anchors: DataFrame, least: int, gram: int, held_bytes: int) -> DataFrame:
@@ -154,13 +163,9 @@ def _regions(docs: DataFrame, anchors: DataFrame, least: int, gram: int, held_by
                 if not found:
                     continue
                 entries = np.frombuffer(found, _ENTRY)
-                entries = entries[np.lexsort((entries["at"], entries["h"]))]
-                at, h = entries["at"].astype(np.int64), entries["h"]
-                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (at[1:] - at[:-1] > least))))
-                last = np.append(first[1:], len(at)) - 1
-                for i, j in zip(first, last):
-                    lo, hi = max(0, at[i] + gram - least), min(len(raw), at[j] + least)
-                    for part, value in zip(out, (int(h[i]), key, int(lo), raw[lo:hi])):
+                for at, to, h in entries.tolist():
+                    lo, hi = max(0, at + gram - least), min(len(raw), to + least)
+                    for part, value in zip(out, (h, key, lo, raw[lo:hi])):
                         part.append(value)
                     total += hi - lo
                 if total > 8 << 20:
