@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,20 @@ def ship_package(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _shipped.add(sc.applicationId)
     return spark
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, else (tests) a temporary one of this session."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="braidwork-"))
+
+
+def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
+    """df written to the shared folder and read again: what loops of joins need, and safe against lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
