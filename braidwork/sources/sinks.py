@@ -20,7 +20,7 @@ def lock_rows(tasks: DataFrame, version: int = 2) -> DataFrame:
     lists = [c for c, t in tasks.dtypes if t == "array<string>" and c not in ("cmd", "id")]
     each = tasks.withColumns({c: sorted_set(F.col(c)) for c in lists})
     body = F.array_sort(F.collect_list(F.struct("id", *[c for c in each.columns if c != "id"])), lambda a, b: F.when(a.id < b.id, -1).when(a.id > b.id, 1).otherwise(0))
-    hashed = F.sha2(F.array_join(F.transform(F.col("tasks"), F.to_json), NUL), 256)
+    hashed = F.sha2(F.array_join(F.transform(F.col("tasks"), lambda t: F.to_json(t)), NUL), 256)
     one = each.agg(body.alias("tasks"))
     return one.select(F.to_json(F.struct(F.lit(version).alias("version"), F.struct(hashed.alias("configHash")).alias("_meta"), "tasks")).alias("value"))
 
