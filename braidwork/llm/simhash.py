@@ -279,7 +279,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3) -
             found = [shingle_set(t.as_py())[:, 0].view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
 
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    needed = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "needed")  # stored: its size is known
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(needed, "id", "left_semi").mapInArrow(sets, "id bigint, s array<bigint>").dropDuplicates(["id"])
     both = pairs.join(texts.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
@@ -301,7 +301,16 @@ def _sketched(b: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of similar_documents: the one whose doc_id names it; a repeated row stays once; columns as they are."""
-    groups = similar_documents(docs, similarity)
-    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each group of similar_documents: the one whose doc_id names it; columns as they are.
+
+    Of repeated rows of one doc_id one stays. Rows with a null doc_id can't be told from each other and stay.
+    """
+    groups = materialise(similar_documents(docs, similarity), "groups")
+    # What goes is the smaller part, so texts are shuffled only if there is much of it.
+    gone = materialise(groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "gone")
+    repeated = materialise(groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"), "repeated")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
