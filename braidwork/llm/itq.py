@@ -29,13 +29,16 @@ SAMPLE, ROUNDS, SOUGHT, BLOCK = 4096, 30, 0.98, 2048
 BITS = 64
 
 
-def learn(sample: np.ndarray, rotations: int, rounds: int = ROUNDS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projections): rotations x dimensions x bits of unit vectors, each a learned rotation of the principal components."""
+def learn(sample: np.ndarray, rotations: int, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
+    """rotations x dimensions x bits: learned rotations of the principal axes of unit vectors.
+
+    Axes go through the origin, not the mean: vectors at a small angle then agree in most bits wherever they lie,
+    while planes through the mean would cut a dense cluster in the middle whatever the rotation.
+    """
     rng = np.random.default_rng(seed)
-    mean = sample.mean(0)
-    _, _, axes = np.linalg.svd(sample - mean, full_matrices=False)
+    _, _, axes = np.linalg.svd(sample, full_matrices=False)
     axes = axes[:BITS].T
-    flat = (sample - mean) @ axes
+    flat = sample @ axes
     out = []
     for _ in range(rotations):
         turn = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
@@ -43,16 +46,17 @@ def learn(sample: np.ndarray, rotations: int, rounds: int = ROUNDS, seed: int =
             u, _, v = np.linalg.svd(np.sign(flat @ turn).T @ flat)
             turn = (u @ v).T
         out.append(axes @ turn)
-    return mean, np.stack(out)
+    return np.stack(out)
 
 
-def codes(x: np.ndarray, mean: np.ndarray, projections: np.ndarray) -> np.ndarray:
+def codes(x: np.ndarray, projections: np.ndarray) -> np.ndarray:
     """rows x rotations of 64-bit codes; vectors of another length are cut or filled with zeros for their code."""
-    fit = np.zeros((len(x), len(mean)))
-    fit[:, : min(x.shape[1], len(mean))] = x[:, : len(mean)]
+    width = projections.shape[1]
+    fit = np.zeros((len(x), width))
+    fit[:, : min(x.shape[1], width)] = x[:, :width]
     out = np.zeros((len(x), len(projections), BITS), np.uint8)
     for r, p in enumerate(projections):
-        out[:, r, : p.shape[1]] = (fit - mean) @ p > 0
+        out[:, r, : p.shape[1]] = fit @ p > 0
     return np.packbits(out, axis=2, bitorder="little").view("<u8")[:, :, 0]
 
 
@@ -136,14 +140,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMP
         return [v / np.linalg.norm(v) for v in (v / np.abs(v).max() for v in out)]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, projections = held.value
         for b in batches:
             x = unit(b.column(1))
             wide = max(map(len, x), default=0)
             padded = np.zeros((len(x), max(wide, 1)))
             for r, v in enumerate(x):
                 padded[r, : len(v)] = v
-            k = keys(codes(padded, mean, projections), size, bits, tables)
+            k = keys(codes(padded, held.value), size, bits, tables)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in x], pa.int32()), pa.array(list(k.astype(np.int32)), pa.list_(pa.int32()))], ["cls", "dims", "keys"])
 
     coded = classes.select("cls", "embedding").mapInArrow(index, "cls bigint, dims int, keys array<int>")
