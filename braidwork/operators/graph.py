@@ -197,3 +197,29 @@ def import_graph(files: DataFrame, imports: DataFrame, suffixes: tuple[str, ...]
     edges = resolve_imports(files, imports, suffixes).select(F.col("source").alias("src"), F.col("resolved").alias("dst"), "kind")
     nodes = files.select("id")
     return nodes, edges, orphans(nodes, edges)
+
+
+def by_volatility(tasks: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """tasks (depth, id) with `place` in their depth: the most volatile first, ids break ties."""
+    from pyspark.sql import Window
+
+    scored = tasks.join(forecasts.select(F.col("task_id").alias("id"), "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy(F.desc("score"), "id")) - 1).select("depth", "id", "score", "place")
+
+
+def shuffled(tasks: DataFrame, seed: int) -> DataFrame:
+    """Tasks (id) in an order that the seed makes, for tests of schedules; the same seed gives the same order."""
+    return tasks.orderBy(F.xxhash64(F.lit(seed), "id"), "id")
+
+
+def schedule(nodes: DataFrame, edges: DataFrame, slots: int) -> DataFrame:
+    """(id, step): when a ready queue with `slots` places would start each task, tasks of a depth in id order.
+
+    Every depth starts after the one before; within it tasks take ceil(n / slots) steps. Depths' step counts are few.
+    """
+    from pyspark.sql import Window
+
+    placed = depths(nodes, edges).where(F.col("depth").isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("depth").orderBy("id")) - 1)
+    sizes = placed.groupBy("depth").agg(F.ceil(F.count(F.lit(1)) / slots).alias("steps"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("steps").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("depth", "start")
+    return placed.join(starts, "depth").select("id", (F.col("start") + F.floor(F.col("_n") / slots)).cast("bigint").alias("step"))

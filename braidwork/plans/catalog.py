@@ -539,6 +539,18 @@ def c14_edge_pruning(spark, d):
     return graph.without_cycles(M.ring_nodes(spark, d), e)[1]
 
 
+@query(f"WITH {M.CHAIN}, p AS (SELECT conv_id * 1000 + turn AS id, turn, row_number() OVER (PARTITION BY turn ORDER BY conv_id * 1000 + turn) - 1 AS n FROM conversations), s AS (SELECT turn, CAST(ceil(count(*) / 8) AS BIGINT) AS steps FROM conversations GROUP BY turn), t AS (SELECT turn, coalesce(sum(steps) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s) SELECT id, CAST(start + n // 8 AS BIGINT) AS step FROM p JOIN t USING (turn)")
+def j6_schedule(spark, d):
+    return graph.schedule(M.chain_nodes(spark, d), M.chain(spark, d), 8)
+
+
+@query("WITH f AS (SELECT user_id, least(1.0, stddev_pop(value) / avg(value)) AS score FROM events GROUP BY 1) SELECT user_id % 4 AS depth, user_id AS id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY round(score, 6) DESC, user_id) - 1 AS place FROM f")
+def s27_by_volatility(spark, d):
+    runs = M.runs(spark, d).withColumn("hit", F.lit(True))
+    f = rounded(ledger.forecast(runs, 1 << 30), "score", places=6)
+    return graph.by_volatility(f.select((F.col("task_id") % 4).alias("depth"), F.col("task_id").alias("id")), f).select("depth", "id", F.col("place").cast("bigint").alias("place"))
+
+
 # Traces and streams
 
 

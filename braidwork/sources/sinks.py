@@ -78,3 +78,26 @@ def broadcast_events(stream: DataFrame, writers: list[Callable[[list[dict]], Non
                 live.remove(w)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def config_rows(tasks: DataFrame) -> DataFrame:
+    """tasks (id, cmd, dependencies, inputs, outputs, claims, ..., cache, timeout) back as one JSON configuration.
+
+    The inverse of reading one: fs claims go, since inputs and outputs imply them; empty lists, a cache that is true
+    and the default timeout are left out. Edges that dangle or close a cycle are to be pruned before
+    (graph.without_cycles), which also lists them.
+    """
+    from braidwork.functions.text import protocol
+
+    unset = lambda c: F.when(F.size(c) > 0, F.col(c))
+    lists = [c for c, t in tasks.dtypes if t == "array<string>" and c not in ("cmd", "claims")]
+    fields = [F.col("cmd"), *[unset(c).alias(c) for c in lists]]
+    if "claims" in tasks.columns:
+        kept = F.filter("claims", lambda c: protocol(c) != "fs")
+        fields.append(F.when(F.size(kept) > 0, kept).alias("claims"))
+    if "cache" in tasks.columns:
+        fields.append(F.when(~F.col("cache"), F.col("cache")).alias("cache"))
+    if "timeout" in tasks.columns:
+        fields.append(F.when(F.col("timeout") != 300_000, F.col("timeout")).alias("timeout"))
+    body = F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct(*fields).alias("task"))), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)))
+    return tasks.agg(F.to_json(F.struct(body.alias("tasks"))).alias("value"))

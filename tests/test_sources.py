@@ -26,6 +26,14 @@ def test_config_lock_and_violations(spark, tmp_path):
     assert [tuple(r)[1:] for r in configs.lock_summary(v1).collect()] == [(1, 1, 0)]
 
 
+def test_configuration_round_trip(spark, tmp_path):
+    tasks = spark.createDataFrame([("b", ["x"], ["a"], [], ["fs:src", "db:m"], True, 300_000), ("a", ["y"], [], ["o"], ["fs:q"], False, 5)], "id string, cmd array<string>, dependencies array<string>, outputs array<string>, claims array<string>, cache boolean, timeout int")
+    value = json.loads(sinks.config_rows(tasks).first().value)
+    assert value == {"tasks": {"a": {"cmd": ["y"], "outputs": ["o"], "cache": False, "timeout": 5}, "b": {"cmd": ["x"], "dependencies": ["a"], "claims": ["db:m"]}}}
+    (tmp_path / "c.json").write_text(json.dumps(value))
+    assert {r.id: r.claims for r in configs.read_config(spark, f"{tmp_path}/c.json").collect()} == {"a": None, "b": ["db:m"]}
+
+
 def test_yaml_pipelines(spark, tmp_path):
     (tmp_path / "p.yml").write_text('# c\ntasks:\n  - key: build\n    run: make ${{ values.dir-a }}\n  - key: test\n    use: [build, lint]\n    after: build\n    run: |\n      a\n      b\n')
     got = {r.id: (r.cmd, r.deps) for r in configs.read_step_pipeline(spark, f"{tmp_path}/p.yml", "V").collect()}
