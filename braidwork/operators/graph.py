@@ -19,19 +19,24 @@ def depths(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
 
     Peels roots level by level: a node's level is final when its last predecessor has been peeled.
     """
-    edges = cut_lineage(edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("src")), "src").join(nodes.select(F.col("id").alias("dst")), "dst"), "edges")
-    left = cut_lineage(nodes.select("id").distinct(), "nodes")
-    done, level = None, 0
-    while level <= most:
-        roots = cut_lineage(left.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("depth", F.lit(level)), "level")
-        if roots.isEmpty():
+    left = edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    done = None
+    for level in range(most):
+        # An edge goes when nothing leads to its source any more; its target is then at the next level at least.
+        waits = left.select(F.col("dst").alias("src"), F.lit(True).alias("waits")).distinct()
+        step = cut_lineage(left.join(waits, "src", "left"), "level")
+        gone = step.where(F.col("waits").isNull()).select("dst", F.lit(level + 1).alias("depth"))
+        left = step.where(F.col("waits")).select("src", "dst")
+        if gone.isEmpty():
             break
-        done = roots if done is None else done.unionByName(roots)
-        left = cut_lineage(left.join(roots.select("id"), "id", "left_anti"), "nodes")
-        edges = cut_lineage(edges.join(roots.select(F.col("id").alias("src")), "src", "left_anti"), "edges")
-        level += 1
-    rest = left.withColumn("depth", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+        done = gone if done is None else done.unionByName(gone)
+    found = nodes.select("id").distinct()
+    if done is not None:
+        found = found.join(done.groupBy(F.col("dst").alias("id")).agg(F.max("depth").alias("depth")), "id", "left")
+    else:
+        found = found.withColumn("depth", F.lit(None).cast("int"))
+    stuck = left.select(F.col("dst").alias("id"), F.lit(True).alias("stuck")).distinct()
+    return found.join(stuck, "id", "left").select("id", F.when(F.col("stuck").isNull(), F.coalesce("depth", F.lit(0))).alias("depth"))
 
 
 def cyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     while not new.isEmpty():
         step = new.join(base.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
         new = cut_lineage(step.join(known, ["src", "dst"], "left_anti"), "new")
-        known = cut_lineage(known.unionByName(new), "closure")
+        known = known.unionByName(new)  # each step is stored, so their union has no lineage to cut
     return known
 
 
