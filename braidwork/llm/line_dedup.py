@@ -256,7 +256,7 @@ def _probe_sent(docs: DataFrame, index: DataFrame, n_shards: int, least: int, sa
             yield pa.RecordBatch.from_arrays([rows, pa.array(shard.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(at, pa.int32())], ["_row", "shard", "h1", "h2", "line"])
 
     kind = "_row struct<id:bigint,t:bigint>, shard int, h1 bigint, h2 bigint, line int"
-    probes = keyed.select("_row", "text").distinct().mapInArrow(ask, kind).withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
+    probes = keyed.select("_row", "text").mapInArrow(ask, kind).withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
     blobs = build_shards(index, n_shards).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     both = probes.unionByName(blobs, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull())
 

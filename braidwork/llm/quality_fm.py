@@ -101,8 +101,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, rank:
 
 
 def held_out(key: str = "doc_id"):
-    """Rows that no model learns from."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    """Rows that no model learns from; a null key is none of them, and has no label either."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", meta: tuple[str, ...] = ("n_chars",), max_train: int = MAX_TRAIN) -> FactorisationMachine:
