@@ -12,14 +12,15 @@ components of the forests are those of the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.llm.common import extended, materialise
 from braidwork.llm.components import connected_components
@@ -127,11 +128,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.nda
 SHORT = 64
 
 
-def compare(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (x words) sorted by key, keys whole: positions of pairs that span the pairs within the radius of each key."""
+def _met(f: np.ndarray, key: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """Rows (x words) sorted by key, keys whole: all pairs of a key within the radius, in blocks.
+
+    Gives positions, distances and, where a block is of one long key, the key's first position and number of rows (else zeros).
+    """
     starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
     sizes = np.diff(starts)
-    left, right, far = [], [], []
     # Many short keys at once: pairs at each step d of the sorted order; their differences are a block of planes, and
     # its distances to zero are those of the pairs.
     short = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
@@ -145,24 +148,45 @@ def compare(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np
             a, b = short[at[lo : lo + BLOCK * 4]], short[at[lo : lo + BLOCK * 4] + d]
             _, row, distance = within(zero, planes(f[a] ^ f[b]), radius)
             row, distance = row[row < len(a)], distance[row < len(a)]
-            left.append(a[row])
-            right.append(b[row])
-            far.append(distance)
+            yield a[row], b[row], distance, 0, 0
     for lo, n in zip(starts[:-1][sizes > SHORT], sizes[sizes > SHORT]):
         for b in range(0, n, BLOCK):
             block = planes(f[lo + b : lo + min(b + BLOCK, n)])
-            own_left, own_right, own_far = [], [], []
             for q in range(0, min(n, b + BLOCK), QUERIES):
                 i, j, distance = within(f[lo + q : lo + min(q + QUERIES, n)], block, radius)
                 ok = (q + i < b + j) & (b + j < n)
-                own_left.append(lo + q + i[ok])
-                own_right.append(lo + b + j[ok])
-                own_far.append(distance[ok])
-            x, y, z = map(np.concatenate, (own_left, own_right, own_far))
-            span = forest(int(n), x - lo, y - lo, z)
-            left.append(x[span])
-            right.append(y[span])
-            far.append(z[span])
+                yield lo + q + i[ok], lo + b + j[ok], distance[ok], int(lo), int(n)
+
+
+#: Pairs of a long key that are held before a forest is taken of them.
+HELD_PAIRS = 1 << 20
+
+
+def compare(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x words) sorted by key, keys whole: positions of pairs that span the pairs within the radius of each key."""
+    left, right, far = [], [], []
+    own, held, of = [], 0, (0, 0)
+
+    def span_own() -> None:
+        x, y, z = map(np.concatenate, zip(*own))
+        span = forest(of[1], x - of[0], y - of[0], z)
+        left.append(x[span])
+        right.append(y[span])
+        far.append(z[span])
+
+    for x, y, z, lo, n in _met(f, key, radius):
+        if own and (of != (lo, n) or held > HELD_PAIRS):
+            span_own()
+            own, held = [], 0
+        if n:
+            own.append((x, y, z))
+            held, of = held + len(x), (lo, n)
+        else:
+            left.append(x)
+            right.append(y)
+            far.append(z)
+    if own:
+        span_own()
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     x, y, z = map(np.concatenate, (left, right, far))
@@ -171,28 +195,50 @@ def compare(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return x[span], y[span]
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Batches (key, id, word...) sorted by key: spanning edges (u, v) of ids, key by key."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def untested(f: np.ndarray, key: np.ndarray, group: np.ndarray, size: np.ndarray, radius: int, similarity: float, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows sorted by key (table << 40 | bits), keys whole: all pairs within the radius that are of different groups.
+
+    Pairs whose sets' sizes rule the similarity out are passed over. A pair comes from the first of the tables (masks: tables x words) it agrees in.
+    """
+    for x, y, _, _, _ in _met(f, key, radius):
+        ok = (group[x] != group[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
+        x, y = x[ok], y[ok]
+        table, differ, first = key[x] >> 40, f[x] ^ f[y], np.ones(len(x), bool)
+        for n in range(int(table.max()) if len(x) else 0):
+            first &= (table <= n) | ((differ & masks[n]) != 0).any(1)
+        if first.any():
+            yield x[first], y[first]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], words: int, find: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]], members: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches (key, id, word..., other...) sorted by key: edges (u, v) of the ids whose positions find(words, key, other...) gives, key by key.
+
+    With `members` no pairs leave, only (key, id) of the rows in some pair, as often as blocks give them.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        key, ids, f = (np.concatenate(x) for x in zip(*held))
-        u, v = compare(f, key, radius)
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
+        key, ids, f, *other = (np.concatenate(x) for x in zip(*held))
+        for u, v in find(f, key, *other):
+            if members and len(u):
+                at = np.unique(np.concatenate((u, v)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ids[at])], ["key", "id"])
+            elif len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
 
     for b in batches:
         if not b.num_rows:
             continue
         key, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
         f = np.stack([b.column(2 + w).to_numpy().view(np.uint64) for w in range(words)], 1)
+        cols = (key, ids, f, *(b.column(c).to_numpy() for c in range(2 + words, b.num_columns)))
         cut = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
         if cut:
-            held.append((key[:cut], ids[:cut], f[:cut]))
+            held.append(tuple(c[:cut] for c in cols))
         if held and (cut or held[-1][0][-1] != key[-1]):
             yield from out()
             held = []
-        held.append((key[cut:], ids[cut:], f[cut:]))
+        held.append(tuple(c[cut:] for c in cols))
     if held:
         yield from out()
 
@@ -203,7 +249,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     quarter = lambda k: F.shiftrightunsigned(f, 16 * k).bitwiseAND(F.lit(0xFFFF))
     keys = F.array(*[(F.lit(n).cast("bigint") * (1 << 32)) + quarter(a) * (1 << 16) + quarter(b) for n, (a, b) in enumerate(QUARTERS)])
     rows = prints.select(F.explode(keys).alias("key"), F.col("fingerprint").alias("id"), "fingerprint").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(lambda batches: _streamed(batches, 1, radius), "u bigint, v bigint")
+    return rows.mapInArrow(lambda batches: _streamed(batches, 1, lambda f, key: [compare(f, key, radius)]), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -226,6 +272,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 WORDS, WIDE = 5, 2
 #: Rows that a key of a table should have, the chance sought of meeting in one of the tables.
 ROWS_A_KEY, SOUGHT = 48, 0.995
+#: Shingles up to which a set is joined exactly: in so small sets bits differ more often than the angle says.
+FEW = 24
 
 
 def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
@@ -250,14 +298,16 @@ def table_bits(n: int, similarity: float) -> tuple[int, int, int]:
 def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3) -> DataFrame:
     """(doc_id, component_id): documents whose sets of five-word shingles have a Jaccard similarity of `similarity` or more link.
 
-    Equal sets are one class. Classes meet under random choices of fingerprint bits, are compared bit-sliced, and
-    each key hands on the pairs of least distance that span its candidates; their sets are then compared exactly.
-    Documents without words are one class. Null ids name a component only if it has no other.
+    Equal sets are one class. Classes meet under random choices of fingerprint bits and are compared bit-sliced.
+    First each key hands on the pairs of least distance that span its candidates, whose sets are compared exactly. Then
+    the sets of all rows that have a candidate in another component go to the keys they have it under and are compared
+    there, so no pairs are listed. Sets of few shingles are compared under the least of their shingles, which similar
+    sets share. Documents without words are one class. Null ids name a component only if it has no other.
     """
-    sketch = lambda batches: (_sketched(b) for b in batches)
-    prints = materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, "doc_id bigint, own bigint, own2 bigint, f0 bigint, f1 bigint"), "sketch")
+    sketch = lambda batches: (_sketched(b, similarity) for b in batches)
+    prints = materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sketch, "doc_id bigint, own bigint, own2 bigint, f0 bigint, f1 bigint, n bigint, few array<bigint>"), "sketch")
     # The class is named by its least document; hashes of the whole set tell classes apart.
-    classes = materialise(prints.groupBy("own", "own2").agg(F.min("doc_id").alias("id"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "classes")
+    classes = materialise(prints.groupBy("own", "own2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("f0", "f1", "n", "few")]), "classes")
     bits, tables, radius = table_bits(classes.count(), similarity)
     rng = np.random.default_rng(seed)
     chosen = [sorted(rng.choice(64 * WIDE, bits, replace=False).tolist()) for _ in range(tables)]
@@ -268,36 +318,92 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3) -
             own = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
             for n, places in enumerate(chosen):
                 key = (own[:, places] << np.arange(bits)).sum(1) | (n << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["key", "id", "f0", "f1"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["key", *b.schema.names])
 
-    named = classes.where(F.col("id").isNotNull()).select("id", "f0", "f1")
-    rows = named.mapInArrow(keyed, "key bigint, id bigint, f0 bigint, f1 bigint").repartition("key").sortWithinPartitions("key")
-    pairs = materialise(rows.mapInArrow(lambda batches: _streamed(batches, WIDE, radius), "u bigint, v bigint").distinct(), "candidates")
+    def met(named: DataFrame, find: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]], members: bool = False) -> DataFrame:
+        rows = named.mapInArrow(keyed, T.StructType([T.StructField("key", T.LongType()), *named.schema.fields])).repartition("key").sortWithinPartitions("key")
+        return rows.mapInArrow(lambda batches: _streamed(batches, WIDE, find, members), "key bigint, id bigint" if members else "u bigint, v bigint")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t.as_py())[:, 0].view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
 
-    needed = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "needed")  # stored: its size is known
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(needed, "id", "left_semi").mapInArrow(sets, "id bigint, s array<bigint>").dropDuplicates(["id"])
-    both = pairs.join(texts.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    links = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        needed = materialise(ids.distinct(), "needed")  # stored: its size is known
+        return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(needed, "id", "left_semi").mapInArrow(sets, "id bigint, s array<bigint>").dropDuplicates(["id"])
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        texts = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")))
+        both = pairs.join(texts.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+    named = classes.where(F.col("id").isNotNull())
+    small = named.where(F.size("few") > 0).select(F.explode(F.slice("few", F.lit(1), _prefix(F.col("n"), similarity))).alias("key"), "id", F.col("few").alias("s"))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _exact_links(batches, similarity), "u bigint, v bigint")
+
+    nearest = materialise(met(named.select("id", "f0", "f1"), lambda f, key: [compare(f, key, radius)]).distinct(), "candidates")
+    links = materialise(similar(nearest).unionByName(compared(small)), "links")
+    # What the forests left out: pairs of a key that no link so far connects.
+    masks = np.zeros((tables, 64 * WIDE), np.uint8)
+    for n, places in enumerate(chosen):
+        masks[n, places] = 1
+    masks = np.packbits(masks, axis=1, bitorder="little").view("<u8")
+    grouped = named.join(connected_components(links).select(F.col("node").alias("id"), "root"), "id", "left").select("id", "f0", "f1", F.coalesce("root", "id").alias("g"), "n")
+    others = materialise(met(grouped, lambda f, key, group, size: untested(f, key, group, size, radius, similarity, masks), members=True).distinct(), "others")
+    links = links.unionByName(compared(others.join(sets_of(others.select("id")), "id").select("key", "id", "s")))
     roots = connected_components(links)
     own = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("own", "own2", F.coalesce("root", "id").alias("component_id"))
     return prints.join(own, ["own", "own2"]).select("doc_id", "component_id")
 
 
-def _sketched(b: pa.RecordBatch) -> pa.RecordBatch:
-    """(doc_id, hash of the shingle set in two words, 128-bit SimHash of the set in two words)."""
+def _prefix(n: Column, similarity: float) -> Column:
+    """How many of its least shingles a set of n is found by: similar sets share one of them, whatever else they hold."""
+    return (n - F.ceil(n * similarity - 1e-9) + 1).cast("int")
+
+
+def _exact_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Batches (key, id, set) sorted by key: edges (u, v) that span each key's pairs of that similarity, by exact counts."""
+    rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (s.values.to_numpy() for s in b.column(2))))
+    for _, run in groupby(rows, key=lambda r: r[0]):
+        own = list(run)
+        if len(own) < 2:
+            continue
+        sizes = np.array([len(r[2]) for r in own])
+        owner, (_, token) = np.repeat(np.arange(len(own)), sizes), np.unique(np.concatenate([r[2] for r in own]), return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        posting = np.split(owner[order], np.flatnonzero(np.diff(token[order])) + 1)
+        begin, up = np.concatenate(([0], np.cumsum(sizes))), np.arange(len(own))
+        u, v = [], []
+        for i in range(len(own)):
+            shared = np.bincount(np.concatenate([posting[t] for t in token[begin[i] : begin[i + 1]]]), minlength=len(own))
+            near = np.flatnonzero(shared >= similarity * (sizes[i] + sizes - shared))
+            # Every row points at its group's name; one edge a group that joins.
+            names, at = np.unique(up[near], return_index=True)
+            for name, k in zip(names.tolist(), near[at].tolist()):
+                if name != up[i]:
+                    u.append(own[i][1])
+                    v.append(own[k][1])
+            up[np.isin(up, names)] = up[i]
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _sketched(b: pa.RecordBatch, similarity: float) -> pa.RecordBatch:
+    """(doc_id, hash of the shingle set in two words, 128-bit SimHash of the set in two words, its size, the set if it is small)."""
+    few, sizes = [], np.zeros(b.num_rows, np.int64)
     out = np.zeros((b.num_rows, 2 + WIDE), np.uint64)
     for i, t in enumerate(b.column(1)):
         s = shingle_set(t.as_py())
+        sizes[i] = len(s)
+        few.append(s[:, 0].view(np.int64) if len(s) <= FEW / similarity else [])
         out[i, :2] = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.uint64)
         if len(s):
             out[i, 2:] = [_majority(s[:, w]) for w in range(WIDE)]
-    return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[:, k].view(np.int64)) for k in range(2 + WIDE)]], ["doc_id", "own", "own2", "f0", "f1"])
+    return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[:, k].view(np.int64)) for k in range(2 + WIDE)], pa.array(sizes), pa.array(few, pa.list_(pa.int64()))], ["doc_id", "own", "own2", "f0", "f1", "n", "few"])
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -241,6 +241,34 @@ def test_similar_documents_by_sets(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(got.values())) and kept.columns == ["doc_id", "text"]
 
 
+def test_similar_pairs_behind_nearer_fingerprints_and_of_small_sets(spark):
+    rng = np.random.default_rng(11)
+    fresh = iter(range(10**6))
+
+    def edited(w, n):
+        w = list(w)
+        for k in rng.choice(len(w) // 5 - 1, n, replace=False):
+            w[5 * k + 4] = f"new{next(fresh)}"
+        return w
+
+    # A family whose members are candidates of each other, but only thirty pairs are similar.
+    base = [f"w{x}" for x in range(300)]
+    family = [edited(base, 5) for _ in range(80)]
+    texts = family + [edited(t, 6) for t in family[:30]]
+    # Four shingles of five.
+    for _ in range(200):
+        w = [f"s{next(fresh)}" for _ in range(9)]
+        texts += [w, w[:8]]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = components_brute(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(set(want[:110])) == 80 and len(set(want[110:])) == 200
+    found = [got[i] for i in range(len(texts))]
+    assert found[:110] == want[:110]
+    assert found[110:] == want[110:]
+
+
 # 6 packing
 
 
