@@ -196,7 +196,7 @@ def repeats(regions: list[tuple[bytes, int, bytes]], least: int, memory: int = Q
     # Equal regions at two places repeat throughout; one of them stands for all in the text.
     flags = {raw: np.full(max(0, len(raw) - least + 1), len({regions[n][:2] for n in own}) > 1) for raw, own in distinct.items()}
     some = [raw for raw in distinct if len(raw) >= least]
-    if sum(len(distinct[raw]) for raw in some) > 1 and len(some) > 0:
+    if some:  # one region alone too: a chain may repeat itself
         sizes = np.array([len(raw) + 1 for raw in some])
         begin = np.concatenate(([0], np.cumsum(sizes)))
         text = np.frombuffer(b"\0".join(some) + b"\0", np.uint8).astype(np.uint16) + 1

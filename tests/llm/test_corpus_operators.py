@@ -506,6 +506,14 @@ def test_substrings_of_random_texts(spark):
     assert got == substrings_brute(texts, 24)
 
 
+@pytest.mark.parametrize("texts", [["x" * 1000], ["ab" * 600, "other"], ["x" * 400], ["".join(f"{i:03d}" for i in range(100)) * 5]])
+def test_substrings_of_one_region(spark, texts):
+    """The only region of its shard repeats itself (or, at exactly 400 bytes, doesn't)."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.dedup_substrings(df).collect())
+    assert got == substrings_brute(texts, 400)
+
+
 @pytest.mark.parametrize("memory", [0, 1 << 20])
 def test_induced_order_and_prefixes(memory):
     """memory 0: every queue goes to disk."""
