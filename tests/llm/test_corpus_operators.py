@@ -367,6 +367,20 @@ def test_wrappers_are_union_free_expressions():
     assert not w.matches(html_wrapper.stream(html_wrapper.parse("<div>other</div>")))
 
 
+def test_copies_of_one_page_make_no_template(spark):
+    form = "<html><body><div class=top>Site</div><div><p>{}</p></div></body></html>"
+    rows = [(i, "http://copies.org/a", form.format("The same text")) for i in range(20)]
+    rows += [(20 + i, f"http://copies.org/{i}", form.format(f"Text {i}")) for i in range(6)]
+    # A host of copies alone, one of copies that differ in an attribute that says nothing, and an element that one page has.
+    rows += [(30 + i, "http://alone.org/", form.format("Lonely")) for i in range(4)]
+    rows += [(40 + i, f"http://nonce.org/{i}", form.format("Nonce").replace("<div>", f"<div data-n={i}>")) for i in range(4)]
+    rows += [(50 + i, f"http://once.org/{i}", form.format(f"Text {i}") + ("<h2>Once</h2>" if i == 2 else "")) for i in range(12)]
+    got = {r.page_id: r.text for r in html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    want = {i: "The same text" for i in range(20)} | {20 + i: f"Text {i}" for i in range(6)}
+    want |= {30 + i: "Site Lonely" for i in range(4)} | {40 + i: "Site Nonce" for i in range(4)} | {50 + i: f"Text {i}" + (" Once" if i == 2 else "") for i in range(12)}
+    assert got == want
+
+
 def test_main_text_of_the_real_pages(spark):
     import html as H
 
