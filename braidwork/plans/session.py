@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,15 +26,22 @@ def ship_package(spark: SparkSession) -> SparkSession:
         _shipped.add(sc.applicationId)
     return spark
 
+
+#: Temporary folders, by application, of local sessions that name no shared one (tests).
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) a temporary one of this session."""
+    """The folder that all executors share: spark.checkpoint.dir; a session that names none must be local and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="braidwork-"))
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _own:
+        _own[key] = tempfile.mkdtemp(prefix="braidwork-")
+    return _own[key]
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
