@@ -77,9 +77,13 @@ def op9_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of all documents outside strings of 400 bytes that also start elsewhere."""
+    """Bytes of all documents outside strings of 400 bytes that also start elsewhere.
+
+    Besides the digest it shows what stays: n_kept bytes and, as text, these bytes (a character that a cut splits becomes U+FFFD).
+    """
     found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.make_valid_utf8(F.col("kept").cast("string"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), left.alias("text"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
