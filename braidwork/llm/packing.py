@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import extended, materialise
+from braidwork.llm.common import extended, materialise, set_aside
 
 CAPACITY, END_ID = 1024, 2
 #: Weights of tokens, document places and attention cost in the residual norm.
@@ -38,15 +38,14 @@ _FAR = bytes(range(0xD5, 0x100))
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> ids of the tokenizer file, special tokens' strings being ordinary text.
+    """text -> ids of the tokenizer file as `tokenizers` gives them: an added token's string in a text is that token.
 
     A byte-level BPE whose ids follow its merges is run by the faster of two libraries, which gives the same ids;
-    texts with letters beyond Latin, Greek and Cyrillic, and any other tokenizer, are run by `tokenizers`.
+    texts with an added token's string or letters beyond Latin, Greek and Cyrillic, and any other tokenizer, are run by `tokenizers`.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     by_slow = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -64,7 +63,7 @@ def encoder(path: str):
 
     def encode(text: str) -> np.ndarray:
         raw = text.encode("utf-8", "surrogatepass")
-        return by_slow(text) if len(raw.translate(None, _FAR)) != len(raw) else np.array(fast.encode_ordinary(text), np.uint32)
+        return by_slow(text) if any(s in text for s in special) or len(raw.translate(None, _FAR)) != len(raw) else np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode
 
@@ -156,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = Non
     constraint holds in every sequence. No pieces give no rows; equal pieces are placed each for itself; columns
     sequence_id and offset are replaced. `pieces` should be stored: it is read for the counts and for the places.
     """
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces, back = set_aside(pieces.drop("sequence_id", "offset"), "_bucket", "_rank", "_before", "_key")
     spark, names = pieces.sparkSession, [*pieces.columns, "sequence_id", "offset"]
     n_buckets = 1 << (min(MOST_BUCKETS, max(LEAST_BUCKETS, pieces.count() // ROWS_PER_BUCKET)) - 1).bit_length()
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_buckets)).cast("int"))
@@ -181,7 +180,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = Non
             seq = run_[:, 3] + (key - run_[:, 0] * top - run_[:, 1])
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(seq), pa.array(run_[:, 4])], names)
 
-    return ranked.mapInArrow(run, extended(pieces.schema, "sequence_id bigint, offset bigint"))
+    return ranked.mapInArrow(run, extended(pieces.schema, "sequence_id bigint, offset bigint")).withColumnsRenamed(back)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
