@@ -2,41 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Fallback folders, by session, where the cluster names none (local tests).
-_own: dict[str, str] = {}
+from braidwork.plans.session import cut_lineage, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, else (tests) a temporary one of this session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = tempfile.mkdtemp(prefix="braidwork-")
-    return _own[key]
-
+#: df written as Parquet to the shared folder and read back: lineage is cut without losing anything when executors go, and
+#: the plan is computed once (DataFrame.checkpoint() runs its last stage twice).
+materialise = cut_lineage
 
-def materialise(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
 
-    Cuts the lineage without losing anything when executors go, and computes the plan once
-    (DataFrame.checkpoint() runs its last stage twice).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with its own columns of these names renamed, and how to name them back (`withColumnsRenamed`)."""
+    taken, back = {c.lower() for c in (*df.columns, *names)}, {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            new = f"_own_{c}"
+            while new.lower() in taken:
+                new = f"_{new}"
+            taken.add(new.lower())
+            back[new] = c
+    return df.withColumnsRenamed({c: new for new, c in back.items()}), back
 
 
 def extended(schema: T.StructType, ddl: str) -> T.StructType:

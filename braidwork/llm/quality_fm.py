@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import extended
+from braidwork.llm.common import extended, set_aside
 
 #: Hashed word slots, rank of the interactions, labelled rows to fit on at most.
 SLOTS, RANK, MAX_TRAIN = 1 << 14, 8, 6_000
@@ -108,7 +108,7 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", meta: tuple[str, ...] = ("n_chars",), max_train: int = MAX_TRAIN) -> FactorisationMachine:
     """Fit on at most `max_train` labelled documents that aren't held out, chosen by the hash of doc_id.
 
-    Labels that are null or name no document are passed over; of repeated rows of a document one counts.
+    Labels that are null or name no document are passed over; of repeated rows of a document one counts, always the same.
     """
     chosen = labels.where(~held_out() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     n_meta = len(meta)
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", meta: tup
 
     # At most max_train rows of two numbers: a size that is known, so safe to hold on every task.
     own = docs.select("doc_id", "text", *[F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(meta)]).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("_y").cast("int"), "text", *[f"_m{i}" for i in range(n_meta)])
-    rows = own.mapInArrow(extract, "doc_id bigint, _y int, at array<int>, x array<float>").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = own.mapInArrow(extract, "doc_id bigint, _y int, at array<int>, x array<float>").groupBy("doc_id").agg(F.min(F.struct("_y", "at", "x")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     pairs = [(a.values.to_numpy(), x.values.to_numpy()) for a, x in zip(rows.column("at"), rows.column("x"))]
     return fit(pairs, np.array(rows.column("_y").to_pylist(), np.float64), SLOTS + 1 + N_STRUCTURE + 2 * n_meta)
 
@@ -150,5 +150,9 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, meta: tuple[str,
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score `threshold` or more under a model fitted on these labels; columns as they are."""
-    return score_quality(docs, train(docs, labels)).where(F.col("score") >= threshold).drop("score")
+    """The rows of docs that score `threshold` or more under a model fitted on these labels; columns as they are, one named score too.
+
+    Null and empty texts are scored by their structure; repeated rows stay or go together; an empty docs gives no rows.
+    """
+    aside, back = set_aside(docs, "score")
+    return score_quality(aside, train(docs, labels)).where(F.col("score") >= threshold).drop("score").withColumnsRenamed(back)

@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.llm.common import set_aside
+
 #: Rows that a bucket or cell should hold, and the bounds of their numbers.
 ROWS_PER_TASK, MAX_BUCKETS, MAX_CELLS = 65_536, 4_096, 3_072
 #: Entries of the matrix that one task draws, and the most tasks that draw them.
@@ -130,6 +132,7 @@ def hypergeometric_shards(df: DataFrame, n_shards: int, key: str = "doc_id", see
     the seed. An empty df gives no rows; a null key is a key like any other; repeated rows each get a place of
     their own (in either order); texts are never looked at. Columns of df named shard or slot are replaced.
     """
+    df, back = set_aside(df.drop("shard", "slot"), "_bucket", "_rank", "_ends", "_cell")
     n = df.count()
     n_buckets = 1 << (min(MAX_BUCKETS, max(64, -(-n // ROWS_PER_TASK))) - 1).bit_length()
     q = max(1, min(MAX_CELLS // n_shards, -(-n // (n_shards * ROWS_PER_TASK))))
@@ -138,7 +141,7 @@ def hypergeometric_shards(df: DataFrame, n_shards: int, key: str = "doc_id", see
     shard_size = lambda s: F.lit(n // n_shards).cast("bigint") + F.when(s < n % n_shards, 1).otherwise(0)
     capacity = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: share(shard_size(F.floor(c / q)), F.lit(q), c % q).cast("bigint"))
 
-    rows = df.drop("shard", "slot").withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n_buckets)).cast("int"))
+    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n_buckets)).cast("int"))
     counts = rows.groupBy(F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     matrix = communication_matrix(counts, capacity, n_buckets, cells, seed).withColumnRenamed("bucket", "_bucket")
 
@@ -158,4 +161,4 @@ def hypergeometric_shards(df: DataFrame, n_shards: int, key: str = "doc_id", see
     place = F.row_number().over(Window.partitionBy("_cell").orderBy(*order(3))) - 1
     k, size = F.col("_cell") % q, shard_size(F.floor(F.col("_cell") / q))
     start = k * F.floor(size / q) + F.least(k.cast("bigint"), size % q)
-    return dealt.withColumn("slot", (start + place).cast("bigint")).withColumn("shard", F.floor(F.col("_cell") / q).cast("int")).drop("_cell")
+    return dealt.withColumn("slot", (start + place).cast("bigint")).withColumn("shard", F.floor(F.col("_cell") / q).cast("int")).drop("_cell").withColumnsRenamed(back)

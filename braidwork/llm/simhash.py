@@ -409,7 +409,7 @@ def _sketched(b: pa.RecordBatch, similarity: float) -> pa.RecordBatch:
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One document of each group of similar_documents: the one whose doc_id names it; columns as they are.
 
-    Of repeated rows of one doc_id one stays. Rows with a null doc_id can't be told from each other and stay.
+    Of repeated rows of one doc_id the least stays, by text and then by all columns. Rows with a null doc_id can't be told from each other and stay.
     """
     groups = materialise(similar_documents(docs, similarity), "groups")
     # What goes is the smaller part, so texts are shuffled only if there is much of it.
@@ -418,5 +418,6 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    row = F.struct(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(F.to_json(row)))).alias("_row")).select("_row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

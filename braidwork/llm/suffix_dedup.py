@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import extended, materialise
+from braidwork.llm.common import extended, materialise, set_aside
 from braidwork.llm.induced import SEPARATOR, suffixes
 
 #: Length of a repeat, of the grams that shards are dealt by, bytes of a shard, of its queues in memory, of held tables.
@@ -266,7 +266,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shar
     removed, all copies alike; strings are judged on the input. Null and empty texts have no bytes; a repeated row
     repeats its whole text. Extra columns pass; those of the result's names are replaced.
     """
-    docs = docs.drop("kept", "n_bytes", "n_removed", "n_spans", "_t", "blob")
+    docs, back = set_aside(docs.drop("kept", "n_bytes", "n_removed", "n_spans"), "_t", "blob")
     anchors = materialise(_anchors(docs, least, gram), "anchors")
     repeated = materialise(_repeated_anchors(anchors), "repeated")
     found = _intervals(_regions(docs, repeated, least, gram, held_bytes), least, shard_bytes)
@@ -301,4 +301,4 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shar
             n = list(zip(*counts)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*b.columns[:at_text], pa.array(kept, pa.binary()), *[pa.array(c, pa.int64()) for c in n]], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return rows.select(*names, "text", "blob").mapInArrow(cut, extended(docs.select(*names).schema, "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"))
+    return rows.select(*names, "text", "blob").mapInArrow(cut, extended(docs.select(*names).schema, "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")).withColumnsRenamed(back)

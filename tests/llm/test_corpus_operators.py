@@ -278,7 +278,6 @@ def test_pieces_are_the_tokens_and_bins_hold(docs, none, real):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     for df in (docs, real.limit(60)):
         rows = packing.pack_documents(df, path, with_ids=True).collect()
         want = []
@@ -296,15 +295,60 @@ def test_pieces_are_the_tokens_and_bins_hold(docs, none, real):
     assert packing.pack_documents(none, path).collect() == []
 
 
+def test_sequences_hold_their_pieces_in_order(docs):
+    import public_tokenizers
+
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    rows, want = packed.collect(), {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        ids, names = want.setdefault(r.sequence_id, ([], []))
+        ids += r.ids
+        names.append(r.doc_id)
+    assert {r.sequence_id: (r.ids, r.doc_ids) for r in packing.assembled(packed).collect()} == want
+
+
+def test_columns_named_as_inner_ones_stay(spark, docs):
+    """Columns that operators use inside are the caller's when the caller has them."""
+    import public_tokenizers
+
+    inner = ("_bucket", "_rank", "_ends", "_cell", "_t", "blob", "_before", "_key", "_own_blob", "n_lines", "n_dropped")
+    df = docs.where("length(text) < 5000").withColumns({c: F.concat(F.lit(c), "doc_id") for c in inner})
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    import corpus_pipeline as P
+
+    found = {
+        "shards": hypergeometric_shards(df, 3), "substrings": suffix_dedup.dedup_substrings(df), "quality": quality_fm.keep_quality(df, labels, 0.0), "lines": P.lines(spark, df, ""),
+        "packed": packing.pack(df.select(*inner, "doc_id", F.lit(0).alias("piece"), F.lit(5).cast("bigint").alias("length"))),
+    }
+    n = df.count()
+    for name, out in found.items():
+        rows = out.collect()
+        assert len(rows) == n and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in inner), name
+    assert found["quality"].columns == df.columns and found["lines"].columns == df.columns
+
+
+def test_repeated_rows_leave_the_same_one(spark):
+    rows = [(1, f"text {k} of one id with some words more", k) for k in (3, 1, 2)] + [(2, "another text of other words entirely here", 0)]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_one(spark.createDataFrame(order, "doc_id bigint, text string, n int")).collect()
+        assert sorted((r.doc_id, r.n) for r in kept) == [(1, 1), (2, 0)]
+
+
 def test_fast_ids_equal_the_tokenizers_own():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tk = Tokenizer.from_file(path)
-    tk.encode_special_tokens = True
     encode = packing.encoder(path)
-    for t in ["", " ", "\n\n a", "it's  HERE'S\t x\u0085y", "<|endoftext|>x", "naïve Ærø ñ 12³½ ٣", "日本語テスト 🤖👩‍👩‍👧", "a​b﻿", "x" * 3000, "֐힣", "Ωμέγα ЖЙ  \r\n"]:
+    for t in ["", " ", "\n\n a", "it's  HERE'S\t x\u0085y", "<|endoftext|>x", "a <|endoftext|> b", "<|endoftext", "naïve Ærø ñ 12³½ ٣", "日本語テスト 🤖👩‍👩‍👧", "a​b﻿", "x" * 3000, "֐힣", "Ωμέγα ЖЙ  \r\n"]:
+        assert encode(t).tolist() == tk.encode(t, add_special_tokens=False).ids, t
+    # Every letter that the faster library is asked about, and every token of the vocabulary.
+    for c in map(chr, range(0x540)):
+        for t in (f"a{c}b", f" {c} 1", f"{c}{c}\n", f"é{c}'s"):
+            assert encode(t).tolist() == tk.encode(t, add_special_tokens=False).ids, t
+    for i in range(tk.get_vocab_size()):
+        t = tk.decode([i], skip_special_tokens=False)
         assert encode(t).tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
 
