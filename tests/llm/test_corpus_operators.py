@@ -435,6 +435,74 @@ def test_main_text_of_the_real_pages(spark):
         assert r.text == " ".join(H.unescape(re.sub(r"<br>|</?(?:p|h1)>", " ", inner).replace("<b>", "")).split())
 
 
+def plain_host(n, seed, pool=6):
+    """Pages without telling tags or names: a menu of links, a notice from a pool, the article, an imprint. (pages, their articles)"""
+    rng = np.random.default_rng(seed)
+    sentence = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, rng.integers(8, 20))) + "."
+    notices, out, want = [f"Notice {k} of the house for everybody who reads." for k in range(pool)], [], []
+    for i in range(n):
+        ps = [sentence() for _ in range(rng.integers(1, 9))]
+        links = "".join(f"<div><a href='/{x}'>Go {x}</a></div>" for x in rng.integers(0, 30, rng.integers(2, 7)))
+        head = f"Headline {i} {rng.integers(10**6)}"
+        body = "".join(f"<p>{p}</p>" for p in ps)
+        out.append(f"<html><body><div class=zq>{links}</div><div class=kx>{notices[rng.integers(pool)]}</div><div class=vv><h1>{head}</h1>{body}</div><div class=pp>All rights by the house.</div></body></html>")
+        want.append(" ".join([head, *ps]))
+    return out, want
+
+
+def test_the_wrapper_finds_the_article_where_names_say_nothing(spark):
+    pages, want = plain_host(40, 1)
+    w = html_wrapper.Wrapper.infer(pages)
+    assert [html_wrapper.extract(p, w) for p in pages] == want
+    alone = html_wrapper.Wrapper(["root", [], False, False], 0)
+    without = [html_wrapper.extract(p, alone) for p in pages]
+    assert sum(a != b for a, b in zip(without, want)) > 30  # a page by itself shows neither its template nor its notices
+    rows = [(i, f"http://plain.org/{i}", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    assert [got[i] for i in range(len(pages))] == want
+    # The order in which pages are merged says nothing about the result.
+    turned = html_wrapper.Wrapper.infer(pages[::-1])
+    assert [html_wrapper.extract(p, turned) for p in pages] == want
+
+
+def test_the_wrapper_overrules_tags_and_names():
+    """Teasers in article elements beside the text; names of widgets on blocks of prose, telling names on others."""
+    pages, want = [], []
+    for i in range(12):
+        text = f"The long text number {i} has a sentence of its own, and then it goes on for quite a while with others. " * 3
+        pages.append(f"<body><article class=box>Read on {i % 2}</article><div class=main-text><h2>Title {i}</h2><p>{text}</p></div></body>")
+        want.append(f"Title {i} {' '.join(text.split())}")
+    w = html_wrapper.Wrapper.infer(pages)
+    assert [html_wrapper.extract(p, w) for p in pages] == want
+    inside = "<article><h1>On the market</h1><div class='social-science'>It is a science of its own.</div><div class='share price'>The price of the share rose by a tenth within the week.</div><div class='share-bar'>Share Post</div><ol class='comment-list'><li>I like it, and I read it twice today.</li></ol><p>End.</p></article>"
+    assert html_wrapper.extract(inside, html_wrapper.Wrapper.infer([inside])) == "On the market It is a science of its own. The price of the share rose by a tenth within the week. End."
+
+
+def test_deep_and_broken_nesting():
+    deep = "<div>" * 130 + "<nav>MENU <ul><li>deep</li></ul></nav><p>tail</p>" + "</div>" * 130 + "<p>after</p>"
+    assert html_wrapper.extract(deep, html_wrapper.Wrapper.infer([deep])) == "tail after"
+    deeper = "<article>" + "<div>" * 5000 + "kept" + "</div>" * 5000 + "<p>also</p></article><footer>F</footer>"
+    assert html_wrapper.extract(deeper, html_wrapper.Wrapper.infer([deeper])) == "kept also"
+    broken = "<article><p>a</div></section><p>b<nav>x</article>c"
+    assert html_wrapper.extract(broken, html_wrapper.Wrapper.infer([broken])) == "a b"
+
+
+def test_long_mixed_runs_cost_no_squares():
+    import time
+
+    rng = np.random.default_rng(3)
+    kinds = ["<p>{}</p>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<div class=note-{}>{}</div>", "<pre>{}</pre>"]
+    pages = ["<article>" + "".join(kinds[k].replace("{}", f"t{i}x{j}", 2) for j, k in enumerate(rng.integers(0, 5, 3000))) + "</article>" for i in range(6)]
+    pages.append("<article>" + "".join(f"<div class={chr(97 + j % 26)}{chr(97 + j // 26 % 26)}>u{j}</div>" for j in range(600)) + "</article>")
+    began = time.time()
+    w = html_wrapper.Wrapper.infer(pages)
+    texts = [html_wrapper.extract(p, w) for p in pages]
+    assert time.time() - began < 20
+    assert [len(t.split()) for t in texts] == [3000] * 6 + [600]
+    small = html_wrapper.Wrapper.infer(["<p>a</p><h2>b</h2><pre>c</pre>" * 2 + "<p>x</p><pre>y</pre>" for _ in range(2)])
+    assert small.matches(html_wrapper.stream(html_wrapper.parse("<p>a</p><h2>b</h2><pre>c</pre>" * 2 + "<p>x</p><pre>y</pre>")))
+
+
 # 8 benchmark
 
 
