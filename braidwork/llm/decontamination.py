@@ -1,68 +1,148 @@
-"""Benchmark decontamination on a distributed positional inverted index.
-
-The index is partitioned by document: each batch of training documents stores, as one sorted array of
-(term, position) keys, the postings of every term that a benchmark uses (a token that no benchmark item holds can
-be part of no match). A test phrase is looked up by intersecting posting lists adjusted by their offset in the
-phrase, from the rarest term on, so common words are only asked about where the rarer ones already agree.
-Proximity search asks the same lists for terms within a distance. Nothing is shuffled, so a passage in a third of
-all documents costs its postings and no more. The benchmark, a stated query set, is held by the tasks in blocks
-of bounded size.
+"""Benchmark decontamination on a stored, distributed positional inverted index.
+
+The index holds the postings of every token of the training documents. It is partitioned by document, so that a common
+word's postings are dealt over all of it: a task gathers documents into shards of bounded size and stores for each
+shard one row a term, the term's hash with its positions, and one row that says which documents stand where. Equal
+texts of a task are indexed once. An index serves any number of searches.
+
+A search takes the benchmark, a stated query set, in blocks of bounded size. The block's terms pick their postings
+out of the index by a join (a broadcast one, of a block's size at most), these meet by shard, and each phrase is looked
+up by intersecting posting lists adjusted by their offset in the phrase, from the rarest term on, so that common words
+are only asked about where the rarer ones already agree. Proximity search asks the same lists for all words of a phrase
+within a distance. Matches name documents by the hash of their text; what goes back to the documents is the
+list of texts with a match, broadcast while it is small and joined beyond that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import extended
+from braidwork.llm.common import materialise, set_aside
 
-#: Words of a window, characters of a block of benchmark texts, bytes of the documents of one index shard.
-WINDOW, BLOCK_CHARS, SHARD_BYTES = 13, 8 << 20, 16 << 20
+#: Words of a window, characters of a block of benchmark texts, bytes of the documents of one index shard, bytes of matches that tasks hold.
+WINDOW, BLOCK_CHARS, SHARD_BYTES, HELD_BYTES = 13, 8 << 20, 8 << 20, 32 << 20
+#: Words that an interval with all words of a window may have to be a proximity match.
+DISTANCE = 26
 
 # Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: ASCII letters and digits, and all above ASCII.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-class PositionalIndex:
-    """Postings of the terms 0..n_terms-1 in a stream of term ids (-1: no term), as sorted term * length + position."""
+def term_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
-    def __init__(self, terms: np.ndarray, n_terms: int):
-        self.length = len(terms) + 1
-        at = np.flatnonzero(terms >= 0)
-        self.keys = np.sort(terms[at].astype(np.int64) * self.length + at)
-        self.first = np.searchsorted(self.keys, np.arange(n_terms + 1, dtype=np.int64) * self.length)
+
+def text_hashes() -> list[Column]:
+    """Two 64-bit hashes that name a text."""
+    return [F.xxhash64("text"), F.xxhash64("text", F.lit(1))]
+
+
+# Index
+
+
+def _documents(keys: list[tuple[int, int]], begin: np.ndarray) -> bytes:
+    return np.array([*zip(*keys), begin[:-1]], "<i8").tobytes()
+
+
+def shard_rows(texts: list[str], keys: list[tuple[int, int]]) -> pa.RecordBatch:
+    """(term, at): a null term with the documents' hashes and first positions, then each term with the steps between its positions."""
+    tokens = [words(t) for t in texts]
+    # One empty position after each document, so that no phrase crosses it.
+    begin = np.concatenate(([0], np.cumsum([len(d) + 1 for d in tokens]))).astype(np.int64)
+    named = pa.array([w for d in tokens for w in d], pa.binary()).dictionary_encode()
+    hashes = np.array([term_hash(w) for w in named.dictionary.to_pylist()], np.uint64).view(np.int64)
+    rank = np.argsort(hashes, kind="stable")
+    place = np.empty(len(rank), np.int64)
+    place[rank] = np.arange(len(rank))
+    codes = place[named.indices.to_numpy()] if len(rank) else np.empty(0, np.int64)
+    at = np.arange(len(codes)) + np.repeat(np.arange(len(tokens)), [len(d) for d in tokens])
+    both = np.sort((codes << 32) | at)
+    codes, at = both >> 32, both & 0xFFFFFFFF
+    first = np.searchsorted(codes, np.arange(len(rank) + 1))
+    steps = np.diff(at, prepend=0)
+    steps[first[:-1]] = at[first[:-1]]
+    meta = _documents(keys, begin)
+    offsets = np.concatenate(([0], len(meta) + 4 * first)).astype(np.int32)
+    blob = pa.Array.from_buffers(pa.binary(), len(rank) + 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(meta + steps.astype("<i4").tobytes())])
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(hashes[rank])]), blob], ["term", "at"])
+
+
+def positional_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(shard, term, at) of docs' whole texts (column text), stored in the shared folder.
+
+    Null and empty texts have no words. A repeated text is indexed once a task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, keys, seen, size, n = [], [], set(), 0, 0
+        shard = TaskContext.get().partitionId() << 32
+
+        def out() -> pa.RecordBatch:
+            rows = shard_rows(texts, keys)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, shard + n)), *rows.columns], ["shard", "term", "at"])
+
+        for b in batches:
+            for t, key in zip(b.column(0), zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                if key in seen or not (t := t.as_py()):
+                    continue
+                if len(seen) < 1 << 17:
+                    seen.add(key)
+                texts.append(t)
+                keys.append(key)
+                size += len(t)
+                if size >= shard_bytes:
+                    yield out()
+                    texts, keys, size, n = [], [], 0, n + 1
+        if texts:
+            yield out()
+
+    h1, h2 = text_hashes()
+    return materialise(docs.select("text", h1, h2).mapInArrow(run, "shard bigint, term bigint, at binary"), "postings")
+
+
+class Postings:
+    """Postings of the terms 0..n_terms-1 of one shard, as sorted term * length + position, and where its documents begin."""
+
+    def __init__(self, keys: np.ndarray, begin: np.ndarray, length: int, n_terms: int):
+        self.keys, self.begin, self.length = keys, begin, length
+        self.first = np.searchsorted(keys, np.arange(n_terms + 1, dtype=np.int64) * length)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def postings(self, term: int) -> np.ndarray:
-        return self.keys[self.first[term] : self.first[term + 1]] - term * self.length
-
     def holds(self, terms: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether each term stands at its position."""
-        keys = terms.astype(np.int64) * self.length + at
+        keys = terms * self.length + at
         found = np.searchsorted(self.keys, keys)
-        return (at >= 0) & (at < self.length - 1) & (self.keys[np.minimum(found, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(len(keys), bool)
+        return (at >= 0) & (at < self.length) & (self.keys[np.minimum(found, len(self.keys) - 1)] == keys) if len(self.keys) else np.zeros(len(keys), bool)
 
-    def phrases(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every occurrence (phrase number, start) of the phrases, rows of term ids padded with -1."""
+    def _from_rarest(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of each phrase's offsets (rarest term first, padding last); each posting of a rarest term, with its phrase."""
         df = np.where(phrases >= 0, self.counts()[np.maximum(phrases, 0)], np.iinfo(np.int64).max)
-        order = np.argsort(df, axis=1, kind="stable")  # rarest term first, padding last
-        each = np.arange(len(phrases))
-        rarest = order[:, 0]
+        order = np.argsort(df, axis=1, kind="stable")
+        each, rarest = np.arange(len(phrases)), order[:, 0]
         n = df[each, rarest]
         which = np.repeat(each, n)
         within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         term = phrases[which, rarest[which]]
-        start = self.keys[self.first[term] + within] - term * self.length - rarest[which]
+        return order, which, self.keys[self.first[term] + within] - term * self.length
+
+    def phrases(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every occurrence (phrase number, start) of the phrases, rows of terms padded with -1."""
+        order, which, at = self._from_rarest(phrases)
+        start = at - order[which, 0]
         for k in range(1, phrases.shape[1]):
             if not len(which):
                 break
@@ -70,56 +150,111 @@ class PositionalIndex:
             term = phrases[which, offset]
             ok = (term < 0) | self.holds(np.maximum(term, 0), start + offset)
             which, start = which[ok], start[ok]
-        inside = (start >= 0) & (start + lengths[which] < self.length)
+        inside = (start >= 0) & (start + lengths[which] <= self.length)
         return which[inside], start[inside]
 
-    def near(self, a: int, b: int, distance: int) -> np.ndarray:
-        """The positions of term a that have term b within `distance` words."""
-        of_a, of_b = self.postings(a), self.postings(b)
-        lo, hi = np.searchsorted(of_b, of_a - distance), np.searchsorted(of_b, of_a + distance, side="right")
-        return of_a[hi - lo > (a == b)]
+    def near(self, phrases: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase number, first, last) of the shortest interval of at most `distance` words around each posting of a phrase's
+        rarest term that holds all its words in any order, inside one document (of several the first; each interval once)."""
+        order, which, at = self._from_rarest(phrases)
+        doc = np.searchsorted(self.begin, at, side="right") - 1
+        lo = np.maximum(at - distance + 1, self.begin[doc])
+        hi = np.minimum(at + distance - 1, np.append(self.begin[1:], self.length)[doc] - 1)
+        for k in range(1, phrases.shape[1]):
+            if not len(which):
+                break
+            term = phrases[which, order[which, k]]
+            base = np.maximum(term, 0) * self.length
+            ok = (term < 0) | (np.searchsorted(self.keys, base + lo) < np.searchsorted(self.keys, base + hi, side="right"))
+            which, at, lo, hi = which[ok], at[ok], lo[ok], hi[ok]
+        out = set()
+        for w, a, x, y in zip(which.tolist(), at.tolist(), lo.tolist(), hi.tolist()):
+            terms = {t for t in phrases[w].tolist() if t >= 0}
+            own = sorted((int(k) - t * self.length, t) for t in terms for k in self.keys[np.searchsorted(self.keys, t * self.length + x) : np.searchsorted(self.keys, t * self.length + y, side="right")])
+            best, last = None, {}
+            for p, t in own:  # the shortest interval that ends here: from the least of the terms' last places
+                last[t] = p
+                if len(last) == len(terms) and (first := min(last.values())) <= a <= p and p - first < distance and (best is None or p - first < best[1] - best[0]):
+                    best = (first, p)
+            if best:
+                out.add((w, *best))
+        return tuple(np.array(sorted(out), np.int64).reshape(-1, 3).T)
+
+
+# Search
 
 
 class TestPhrases:
     """The distinct windows of a block of benchmark items, with the items that have each."""
 
+    __test__ = False
+
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.terms: dict[bytes, int] = {}
+        terms: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, tokens in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in tokens]
+            ids = [terms.setdefault(w, len(terms)) for w in tokens]
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1) if size else ():
                 found.setdefault(tuple(ids[i : i + size]), set()).add(item)
+        self.hashes = np.array([term_hash(w) for w in terms], np.uint64).view(np.int64)
         self.lengths = np.array([len(k) for k in found], np.int64)
         self.phrases = np.full((len(found), window), -1, np.int64)
         for row, k in enumerate(found):
             self.phrases[row, : len(k)] = k
         self.items = [sorted(v) for v in found.values()]
 
-    def search(self, docs: list[list[bytes]]) -> tuple[list[np.ndarray], list[set[str]]]:
-        """By document: its hit words as (start, end) ranges, and the items of which it has a window."""
-        get = self.terms.get
-        sizes = np.array([len(d) for d in docs], np.int64)
-        begin = np.concatenate(([0], np.cumsum(sizes + 1)))  # one empty position after each: no match crosses
-        terms = np.full(begin[-1], -1, np.int64)
-        for d, lo in zip(docs, begin):
-            terms[lo : lo + len(d)] = np.fromiter((get(w, -1) for w in d), np.int64, len(d))
-        items: list[set[str]] = [set() for _ in docs]
-        hits: list[list[tuple[int, int]]] = [[] for _ in docs]
-        which, start = PositionalIndex(terms, len(self.terms)).phrases(self.phrases, self.lengths)
-        for w, s, d in zip(which, start, np.searchsorted(begin, start, side="right") - 1):
-            items[d].update(self.items[w])
-            hits[d].append((s - begin[d], s - begin[d] + self.lengths[w]))
-        return [np.array(h, np.int64).reshape(-1, 2) for h in hits], items
-
-
-def covered(ranges: np.ndarray, n: int) -> int:
-    """Words inside any of the ranges."""
-    if not len(ranges):
-        return 0
-    edge = np.bincount(ranges[:, 0], minlength=n + 1) - np.bincount(ranges[:, 1], minlength=n + 1)
-    return int((np.cumsum(edge)[:n] > 0).sum())
+    def postings(self, part: pa.Table) -> tuple[np.ndarray, Postings] | None:
+        """Of a shard's rows (term, at): its documents' hashes (2 x documents) and the postings of the phrases' terms."""
+        meta = part.filter(part.column("term").is_null())
+        rows = part.filter(part.column("term").is_valid())
+        if not meta.num_rows or not rows.num_rows:
+            return None
+        documents = np.frombuffer(meta.column("at")[0].as_py(), "<i8").reshape(3, -1)
+        order = np.argsort(self.hashes, kind="stable")
+        term = order[np.searchsorted(self.hashes[order], rows.column("term").to_numpy())]
+        blobs = [np.frombuffer(x.as_py(), "<i4") for x in rows.column("at")]
+        at = [np.cumsum(b, dtype=np.int64) for b in blobs]
+        length = int(max(max(int(a[-1]) for a in at), documents[2, -1])) + 2
+        keys = np.sort(np.concatenate([t * length + a for t, a in zip(term.tolist(), at)]))
+        return documents, Postings(keys, documents[2], length, len(self.hashes))
+
+
+def _spans(lo: np.ndarray, hi: np.ndarray) -> list[dict]:
+    """Sorted ranges with those that touch or overlap as one."""
+    order = np.argsort(lo, kind="stable")
+    lo, top = lo[order], np.maximum.accumulate(hi[order])
+    first = np.flatnonzero(np.concatenate(([True], lo[1:] > top[:-1])))
+    return [{"lo": a, "hi": b} for a, b in zip(lo[first].tolist(), [*top[first[1:] - 1].tolist(), int(top[-1])])]
+
+
+def _exact(phrases: TestPhrases, documents: np.ndarray, index: Postings) -> Iterator[tuple]:
+    which, start = index.phrases(phrases.phrases, phrases.lengths)
+    doc = np.searchsorted(index.begin, start, side="right") - 1
+    order = np.argsort(doc, kind="stable")
+    which, start, doc = which[order], start[order], doc[order]
+    cuts = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)) if len(doc) else np.empty(0, np.int64)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        d, own = doc[lo], which[lo:hi]
+        begin = start[lo:hi] - index.begin[d]
+        yield int(documents[0, d]), int(documents[1, d]), _spans(begin, begin + phrases.lengths[own]), sorted({i for w in set(own.tolist()) for i in phrases.items[w]})
+
+
+def _near(distance: int) -> Callable:
+    def find(phrases: TestPhrases, documents: np.ndarray, index: Postings) -> Iterator[tuple]:
+        found: dict[tuple[int, str], tuple[int, int]] = {}
+        for w, first, last in zip(*(x.tolist() for x in index.near(phrases.phrases, distance))):
+            d = int(np.searchsorted(index.begin, first, side="right")) - 1
+            for item in phrases.items[w]:
+                best = (last - first + 1, first - int(index.begin[d]))
+                found[d, item] = min(found.get((d, item), best), best)
+        for (d, item), (n, first) in sorted(found.items()):
+            yield int(documents[0, d]), int(documents[1, d]), item, first, n
+
+    return find
+
+
+_KINDS = {"bigint": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<struct<lo:bigint,hi:bigint>>": pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))}
 
 
 def _blocks(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[TestPhrases]:
@@ -134,44 +269,77 @@ def _blocks(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[Tes
         yield TestPhrases(items, window)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def search(index: DataFrame, benchmark: DataFrame, find: Callable, columns: list[tuple[str, str]], window: int, block_chars: int) -> DataFrame:
+    """The rows (columns) that find gives for each shard of the index, block of the benchmark by block.
+
+    One block is broadcast at a time: its matches are stored before the next one is built.
+    """
+    spark = index.sparkSession
+    schema = ", ".join(f"{n} {t}" for n, t in columns)
+    out = spark.createDataFrame([], schema)
+    for block in _blocks(benchmark, window, block_chars):
+        if not len(block.hashes):
+            continue
+        held = spark.sparkContext.broadcast(block)
+
+        def run(part: pa.Table) -> pa.Table:
+            own = held.value.postings(part)  # noqa: B023  the block's matches are stored within the loop
+            cols = list(zip(*find(held.value, *own))) if own else []  # noqa: B023
+            return pa.table([pa.array(c, _KINDS[t]) for c, (_, t) in zip(cols or [()] * len(columns), columns)], [n for n, _ in columns])
+
+        terms = spark.createDataFrame(pa.table({"term": pa.array(np.unique(block.hashes))}))
+        wanted = index.join(F.broadcast(terms), "term", "left_semi").unionByName(index.where(F.col("term").isNull()))
+        out = out.unionByName(materialise(wanted.groupBy("shard").applyInArrow(run, schema), "matches"))
+        held.destroy()
+    return out
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """docs with n_words long, n_hit long, items array<string> (sorted) and contaminated boolean.
 
     A document word is hit if it lies inside an occurrence of `window` consecutive words of an item (all of a
     shorter item). Null and empty texts have no words; items with a null id or text are passed over; repeated
     documents are each judged, repeated items count once; extra columns pass, those of these names are replaced.
     """
-    docs = docs.drop("n_words", "n_hit", "items", "contaminated")
-    sc, names, at_text = docs.sparkSession.sparkContext, docs.columns, docs.columns.index("text")
-    held = [sc.broadcast(b) for b in _blocks(benchmark, window, block_chars)]
-
-    def judge(texts: list[str | None]) -> Iterator[tuple[int, int, list[str]]]:
-        tokens = [words(t) for t in texts]
-        found = [h.value.search(tokens) for h in held]
-        for i, own in enumerate(tokens):
-            ranges = [f[0][i] for f in found]
-            yield len(own), covered(np.concatenate(ranges), len(own)) if ranges else 0, sorted(set().union(*[f[1][i] for f in found]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, shard, size = [], [], 0
-            for t in b.column(at_text):
-                shard.append(t.as_py())
-                size += len(shard[-1] or "")
-                if size >= SHARD_BYTES:
-                    out += judge(shard)
-                    shard, size = [], 0
-            out += judge(shard)
-            n, hit, items = zip(*out) if out else ((), (), ())
-            flags = [h > 0 and 20 * h >= w for w, h in zip(n, hit)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(flags, pa.bool_())], [*names, "n_words", "n_hit", "items", "contaminated"])
-
-    return docs.mapInArrow(run, extended(docs.schema, "n_words bigint, n_hit bigint, items array<string>, contaminated boolean"))
+    docs, back = set_aside(docs.drop("n_words", "n_hit", "items", "contaminated"), "_h1", "_h2", "_spans")
+    names = docs.columns
+    found = _matched(positional_index(docs.select("text")), benchmark, window, block_chars)
+    small = (found.agg(F.sum(F.size("_spans") * 24 + F.octet_length(F.array_join("items", ",")) + 64)).first()[0] or 0) <= held_bytes
+    h1, h2 = text_hashes()
+    rows = docs.withColumns({"_h1": h1, "_h2": h2}).join(F.broadcast(found) if small else found, ["_h1", "_h2"], "left")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    n_hit = F.coalesce(F.aggregate("_spans", F.lit(0).cast("bigint"), lambda a, s: a + s.hi - s.lo), F.lit(0).cast("bigint"))
+    out = rows.select(*names, n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnsRenamed(back)
+
+
+def _matched(index: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """(_h1, _h2, _spans, items) of the texts with a window: a row a text, its hit words as disjoint ranges."""
+    columns = [("_h1", "bigint"), ("_h2", "bigint"), ("_spans", "array<struct<lo:bigint,hi:bigint>>"), ("items", "array<string>")]
+    found = search(index, benchmark, _exact, columns, window, block_chars)
+    # Copies of a text in several shards say the same; blocks add up.
+    merged = found.groupBy("_h1", "_h2").agg(F.array_sort(F.flatten(F.collect_set("_spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    empty = F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    joined = F.aggregate("s", empty, lambda a, s: F.when(F.coalesce(last(a).hi >= s.lo, F.lit(False)), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a).lo.alias("lo"), F.greatest(last(a).hi, s.hi).alias("hi"))))).otherwise(F.concat(a, F.array(s))))
+    return materialise(merged.select("_h1", "_h2", joined.alias("_spans"), "items"), "found")
+
+
+def near_benchmark(docs: DataFrame, benchmark: DataFrame, distance: int = DISTANCE, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Proximity matches (doc_id, item, first, n): documents in which some `distance` consecutive words hold, in any order, all
+    words of a window of an item; `first` is where the shortest such interval begins and n its words (of several the first).
+
+    Exact matches are among them if `distance` is at least `window`. Nulls, empty texts and repeated rows as in find_benchmark.
+    """
+    columns = [("_h1", "bigint"), ("_h2", "bigint"), ("item", "string"), ("first", "bigint"), ("n", "bigint")]
+    found = search(positional_index(docs.select("text")), benchmark, _near(distance), columns, window, block_chars)
+    best = found.groupBy("_h1", "_h2", "item").agg(F.min(F.struct("n", "first")).alias("b"))
+    h1, h2 = text_hashes()
+    return docs.select("doc_id", h1.alias("_h1"), h2.alias("_h2")).join(best, ["_h1", "_h2"]).select("doc_id", "item", F.col("b.first").alias("first"), F.col("b.n").alias("n"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without contamination; columns as they are."""
-    own = docs.columns
-    clash = [c for c in ("n_words", "n_hit", "items", "contaminated") if c in own]
-    kept = find_benchmark(docs.withColumnsRenamed({c: f"_own_{c}" for c in clash}), benchmark).where(~F.col("contaminated"))
-    return kept.drop("n_words", "n_hit", "items", "contaminated").withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*own)
+    aside, back = set_aside(docs, "n_words", "n_hit", "items", "contaminated")
+    kept = find_benchmark(aside, benchmark).where(~F.col("contaminated"))
+    return kept.drop("n_words", "n_hit", "items", "contaminated").withColumnsRenamed(back).select(*docs.columns)

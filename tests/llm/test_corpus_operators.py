@@ -540,11 +540,65 @@ def test_contamination(spark, docs, none, real, block):
     assert decontamination.find_benchmark(none, bench).collect() == [] and decontamination.find_benchmark(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_index_finds_phrases_and_neighbours():
-    index = decontamination.PositionalIndex(np.array([0, 1, 2, -1, 0, 2, 1, 0, 1, 2]), 3)
-    which, at = index.phrases(np.array([[0, 1, 2], [2, 1, -1], [1, 0, 1]]), np.array([3, 2, 3]))
-    assert sorted(zip(which.tolist(), at.tolist())) == [(0, 0), (0, 7), (1, 5), (2, 6)]
-    assert index.near(0, 2, 1).tolist() == [4] and index.near(0, 0, 3).tolist() == [4, 7]
+def near_brute(texts, items, distance, window=13):
+    """(text, item, first, n) of the shortest interval of at most `distance` words with all words of a window."""
+    words, out = decontamination.words, set()
+    for d, t in enumerate(texts):
+        w = words(t)
+        for item, x in items:
+            x, best = words(x), None
+            k = min(window, len(x))
+            for s in range(len(x) - k + 1) if k and item is not None else ():
+                need = set(x[s : s + k])
+                for n in range(len(need), distance + 1):
+                    for first in range(len(w) - n + 1):
+                        if need <= set(w[first : first + n]):
+                            best = min(best or (n, first), (n, first))
+            if best:
+                out.add((d, str(item), best[1], best[0]))
+    return out
+
+
+def test_proximity_matches(spark):
+    rng = np.random.default_rng(21)
+    vocabulary = [f"w{x}" for x in range(30)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 60))) for _ in range(40)] + [None, "", "w1 w2 w3"]
+    items = [(k, " ".join(rng.choice(vocabulary, rng.integers(0, 7)))) for k in range(12)] + [(None, "w1"), (20, None)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for window, distance, block in ((4, 9, 8 << 20), (5, 5, 20)):
+        got = {(r.doc_id, r["item"], r.first, r.n) for r in decontamination.near_benchmark(df, bench, distance, window, block).collect()}
+        assert got == near_brute(texts, items, distance, window) and got
+        exact = decontamination.find_benchmark(df, bench, window).select("doc_id", F.explode("items").alias("item")).collect()
+        assert {(r.doc_id, r["item"]) for r in exact} <= {(d, i) for d, i, _, _ in got}
+
+
+def test_stored_postings_are_the_tokens(spark, docs):
+    """Every token of every text can be read back from the index."""
+    index = decontamination.positional_index(docs.select("text"), shard_bytes=300)
+    shards = {}
+    for r in index.collect():
+        shards.setdefault(r.shard, []).append((r.term, bytes(r["at"])))
+    got = set()
+    for rows in shards.values():
+        h1, h2, begin = np.frombuffer(dict(rows)[None], "<i8").reshape(3, -1)
+        places = sorted((int(p), t) for t, at in rows if t is not None for p in np.cumsum(np.frombuffer(at, "<i4")))
+        for k in range(len(begin)):
+            hi = begin[k + 1] if k + 1 < len(begin) else 1 << 40
+            own = [(p - int(begin[k]), t) for p, t in places if begin[k] <= p < hi]
+            assert [p for p, _ in own] == list(range(len(own)))
+            got.add((int(h1[k]), int(h2[k]), tuple(t for _, t in own)))
+    a, b = decontamination.text_hashes()
+    hashed = lambda t: tuple(int(np.uint64(decontamination.term_hash(w)).astype(np.int64)) for w in decontamination.words(t))
+    assert len(shards) > 3 and got == {(r[1], r[2], hashed(r[0])) for r in docs.where("text <> ''").select("text", a, b).collect()}
+
+
+@pytest.mark.parametrize("room", [32 << 20, 0])
+def test_matches_go_back_held_and_joined(spark, docs, room):
+    bench = spark.createDataFrame([(1, COPY + "text 3 AND more"), (2, "Text, 4")], "item_id bigint, text string")
+    rows = decontamination.find_benchmark(docs.withColumn("_spans", F.lit("own")), bench, held_bytes=room).collect()
+    assert len(rows) == docs.count() and {r["_spans"] for r in rows} == {"own"}
+    assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in rows] == contamination_brute([r.text for r in rows], [(1, COPY + "text 3 AND more"), (2, "Text, 4")])
 
 
 # 9 embeddings
