@@ -637,12 +637,37 @@ def test_recall_at_the_threshold(spark):
     b = rng.normal(size=a.shape)
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
-    near = 0.94 * a + math.sqrt(1 - 0.94**2) * b
+    near = 0.9301 * a + math.sqrt(1 - 0.9301**2) * b
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate((a, near)))]
     got = itq.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).where("n_links > 0").count()
     assert got >= 0.9 * 1200
 
 
+def test_rows_with_company_in_their_bucket(monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(itq, "BLOCK", 50)
+    code = rng.integers(0, 2**63, 400).astype(np.uint64)
+    code[rng.integers(0, 400, 150)] = code[0] ^ (np.uint64(1) << rng.integers(0, 63, 150).astype(np.uint64))
+    for sizes in ([1] * 50 + [2] * 25 + [7] * 10 + [230], [400], [33, 32, 1, 334]):
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        got = itq.accompanied(code, starts, 2)
+        for lo, n in zip(starts, sizes):
+            far = np.bitwise_count(code[lo : lo + n, None] ^ code[None, lo : lo + n]) + 64 * np.eye(n, dtype=int)
+            assert (got[lo : lo + n] == (far <= 2).any(1)).all()
+
+
+def test_a_dense_cluster_and_its_links(spark):
+    """A third of all vectors near one another, at cosines around the threshold."""
+    rng = np.random.default_rng(14)
+    centre = rng.normal(size=32)
+    x = np.concatenate((centre + rng.normal(size=(300, 32)) * 0.32 * rng.random((300, 1)), rng.normal(size=(600, 32)))).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r.n_links for r in itq.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")).collect()}
+    links = np.array([got[i] for i in range(len(x))])
+    assert near.sum() > 10_000 and (links <= near.sum(1)).all() and links.sum() >= 0.95 * near.sum()
+
+
 def test_large_buckets_are_dealt_in_blocks(spark, monkeypatch):
     rows = [(i, [1.0, i / 1e6], 0) for i in range(150)]
     monkeypatch.setattr(itq, "BLOCK", 40)
