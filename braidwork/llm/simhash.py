@@ -7,7 +7,8 @@ comparer that stores a block's bit planes vertically (one bit a row, 64 planes)
 all rows of the block to a query at once with carry-save counters: `ones`, `twos` and a sticky overflow. Work
 on a block ends when all its counters have passed the radius. A key that many rows share is compared in blocks
 of bounded size, and what leaves a key is a forest (a row per linked fingerprint), never its pairs; the
-components of the forests are those of the pairs.
+components of the forests are those of the pairs. A hot key's rows fall into blocks, and each pair of blocks is a cell
+that any task compares.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Queries compared at once against a block, and rows of a block.
 QUERIES, BLOCK = 64, 4096
 QUARTERS = tuple(combinations(range(4), 2))
+#: Rows of a key beyond which it is dealt as pairs of blocks (fingerprints; rows whose sets are compared), hot keys that a task may hold.
+HOT_PRINTS, HOT_SETS, HELD_KEYS = 1 << 16, 1 << 12, 1 << 17
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -195,15 +198,15 @@ def compare(f: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return x[span], y[span]
 
 
-def untested(f: np.ndarray, key: np.ndarray, group: np.ndarray, size: np.ndarray, radius: int, similarity: float, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows sorted by key (table << 40 | bits), keys whole: all pairs within the radius that are of different groups.
+def untested(f: np.ndarray, key: np.ndarray, group: np.ndarray, size: np.ndarray, of: np.ndarray, radius: int, similarity: float, masks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows sorted by key, keys whole, with the tables that they are of: all pairs within the radius that are of different groups.
 
     Pairs whose sets' sizes rule the similarity out are passed over. A pair comes from the first of the tables (masks: tables x words) it agrees in.
     """
     for x, y, _, _, _ in _met(f, key, radius):
         ok = (group[x] != group[y]) & (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9)
         x, y = x[ok], y[ok]
-        table, differ, first = key[x] >> 40, f[x] ^ f[y], np.ones(len(x), bool)
+        table, differ, first = of[x], f[x] ^ f[y], np.ones(len(x), bool)
         for n in range(int(table.max()) if len(x) else 0):
             first &= (table <= n) | ((differ & masks[n]) != 0).any(1)
         if first.any():
@@ -243,12 +246,34 @@ def _streamed(batches: Iterator[pa.RecordBatch], words: int, find: Callable[...,
         yield from out()
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def hot_keys(rows: DataFrame, most: int) -> DataFrame | None:
+    """(key, _blocks) of the keys that over `most` rows share, or None."""
+    hot = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("_blocks")), "hot")
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= HELD_KEYS else hot
+
+
+def dealt(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows (key, id, ...) by cells: a hot key's rows go to every pair of blocks with their own, under a key of that pair.
+
+    Should two cells have the same key, their rows are compared as well, which changes nothing where pairs are decided by what they hold.
+    """
+    if hot is None:
+        return rows
+    n = F.coalesce("_blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("id"), n).cast("int")
+    cells = rows.join(hot, "key", "left").withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    key = F.when(F.col("_blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(own, "_other"), F.greatest(own, "_other")))
+    return cells.withColumn("key", key).select(*rows.columns)
+
+
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, hot_rows: int = HOT_PRINTS) -> DataFrame:
     """prints (fingerprint long, distinct). Gives edges (u, v) whose components are those of all pairs within the radius."""
     f = F.col("fingerprint")
     quarter = lambda k: F.shiftrightunsigned(f, 16 * k).bitwiseAND(F.lit(0xFFFF))
     keys = F.array(*[(F.lit(n).cast("bigint") * (1 << 32)) + quarter(a) * (1 << 16) + quarter(b) for n, (a, b) in enumerate(QUARTERS)])
-    rows = prints.select(F.explode(keys).alias("key"), F.col("fingerprint").alias("id"), "fingerprint").repartition("key").sortWithinPartitions("key")
+    keyed = prints.select(F.explode(keys).alias("key"), F.col("fingerprint").alias("id"), "fingerprint")
+    rows = dealt(keyed, hot_keys(keyed, hot_rows)).repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(lambda batches: _streamed(batches, 1, lambda f, key: [compare(f, key, radius)]), "u bigint, v bigint")
 
 
@@ -259,7 +284,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     one id. A null doc_id takes part and is reported, but names a component only if that has no other id.
     """
     prints = materialise(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fingerprint"), "simhash")
-    each = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    each = materialise(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected_components(fingerprint_links(each.select("fingerprint"), radius))
     rooted = each.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint").select("fingerprint", "root", "least")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint", "component_id")
@@ -295,7 +320,7 @@ def table_bits(n: int, similarity: float) -> tuple[int, int, int]:
     return bits, int(np.ceil(np.log(1 - SOUGHT) / np.log(1 - agree**bits))), min(size // 2 - 1, int(np.ceil(radius)))
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3, hot_rows: int = HOT_SETS) -> DataFrame:
     """(doc_id, component_id): documents whose sets of five-word shingles have a Jaccard similarity of `similarity` or more link.
 
     Equal sets are one class. Classes meet under random choices of fingerprint bits and are compared bit-sliced.
@@ -318,10 +343,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3) -
             own = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
             for n, places in enumerate(chosen):
                 key = (own[:, places] << np.arange(bits)).sum(1) | (n << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], ["key", *b.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns, pa.array(np.full(b.num_rows, n))], ["key", *b.schema.names, "table"])
+
+    def in_tables(named: DataFrame) -> DataFrame:
+        return named.mapInArrow(keyed, T.StructType([T.StructField("key", T.LongType()), *named.schema.fields, T.StructField("table", T.LongType())]))
 
     def met(named: DataFrame, find: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]], members: bool = False) -> DataFrame:
-        rows = named.mapInArrow(keyed, T.StructType([T.StructField("key", T.LongType()), *named.schema.fields])).repartition("key").sortWithinPartitions("key")
+        rows = dealt(in_tables(named), hot).repartition("key").sortWithinPartitions("key")
         return rows.mapInArrow(lambda batches: _streamed(batches, WIDE, find, members), "key bigint, id bigint" if members else "u bigint, v bigint")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,9 +371,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3) -
     small = named.where(F.size("few") > 0).select(F.explode(F.slice("few", F.lit(1), _prefix(F.col("n"), similarity))).alias("key"), "id", F.col("few").alias("s"))
 
     def compared(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _exact_links(batches, similarity), "u bigint, v bigint")
+        return dealt(rows, hot_keys(rows.select("key"), hot_rows)).repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _exact_links(batches, similarity), "u bigint, v bigint")
 
-    nearest = materialise(met(named.select("id", "f0", "f1"), lambda f, key: [compare(f, key, radius)]).distinct(), "candidates")
+    hot = hot_keys(in_tables(named.select("id", "f0", "f1")).select("key"), hot_rows)
+    nearest = materialise(met(named.select("id", "f0", "f1"), lambda f, key, of: [compare(f, key, radius)]).distinct(), "candidates")
     links = materialise(similar(nearest).unionByName(compared(small)), "links")
     # What the forests left out: pairs of a key that no link so far connects.
     masks = np.zeros((tables, 64 * WIDE), np.uint8)
@@ -353,7 +382,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3) -
         masks[n, places] = 1
     masks = np.packbits(masks, axis=1, bitorder="little").view("<u8")
     grouped = named.join(connected_components(links).select(F.col("node").alias("id"), "root"), "id", "left").select("id", "f0", "f1", F.coalesce("root", "id").alias("g"), "n")
-    others = materialise(met(grouped, lambda f, key, group, size: untested(f, key, group, size, radius, similarity, masks), members=True).distinct(), "others")
+    others = materialise(met(grouped, lambda f, key, group, size, of: untested(f, key, group, size, of, radius, similarity, masks), members=True).distinct(), "others")
     links = links.unionByName(compared(others.join(sets_of(others.select("id")), "id").select("key", "id", "s")))
     roots = connected_components(links)
     own = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("own", "own2", F.coalesce("root", "id").alias("component_id"))

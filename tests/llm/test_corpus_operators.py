@@ -215,6 +215,23 @@ def test_bit_sliced_comparison_and_forests():
         assert got == components_brute(200, lambda i, j: key[i] == key[j] and far[i, j] <= 2)
 
 
+def test_hot_keys_are_dealt_in_pairs_of_blocks(spark):
+    rng = np.random.default_rng(15)
+    prints = sorted({int(x) for x in (np.int64(7 << 40) ^ (np.int64(1) << rng.integers(0, 34, (300, 4))).sum(1))} | set(rng.integers(0, 2**62, 50).tolist()))
+    df = spark.createDataFrame([(x,) for x in prints], "fingerprint bigint")
+    want = components_brute(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
+    for most in (1 << 16, 20):
+        roots = {r.node: r.root for r in connected_components(simhash.fingerprint_links(df, hot_rows=most)).collect()}
+        assert [prints.index(roots.get(x, x)) for x in prints] == want
+    rows = df.select(F.lit(1).cast("bigint").alias("key"), F.col("fingerprint").alias("id"))
+    cells = Counter(r.key for r in simhash.dealt(rows, simhash.hot_keys(rows, 20)).collect())
+    assert max(cells.values()) < 100 and len(cells) > 100
+    words = [f"w{x}" for x in range(120)]
+    texts = [" ".join([*words[:k], f"own{k}", *words[k:]]) for k in range(0, 120, 2)] + ["some other text that has words of its own"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.component_id for r in simhash.similar_documents(docs, hot_rows=8).collect()} == {0, 60}
+
+
 def test_components_of_long_chains_and_stars(spark, tmp_path):
     pairs = [(i, i + 1) for i in range(100)] + [(200, x) for x in range(201, 240)] + [(5, 5), (None, 3), (5, 6)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "u bigint, v bigint")).collect()}
