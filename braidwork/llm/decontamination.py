@@ -23,6 +23,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.llm.common import materialise, set_aside
 
@@ -33,13 +34,18 @@ DISTANCE = 26
 
 # Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: ASCII letters and digits, and all above ASCII.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+@F.arrow_udf(T.LongType())
+def word_count(texts: pa.Array) -> pa.Array:
+    """The number of words of each text; none in a null."""
+    return pa.array([len(words(t.as_py())) for t in texts], pa.int64())
+
+
 def term_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -53,7 +59,8 @@ def text_hashes() -> list[Column]:
 
 
 def _documents(keys: list[tuple[int, int]], begin: np.ndarray) -> bytes:
-    return np.array([*zip(*keys), begin[:-1]], "<i8").tobytes()
+    """Two hashes and the first position of each document; zeros and where the last one ends."""
+    return np.array([[*h, 0] for h in zip(*keys)] + [begin], "<i8").tobytes()
 
 
 def shard_rows(texts: list[str], keys: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -211,13 +218,13 @@ class TestPhrases:
         if not meta.num_rows or not rows.num_rows:
             return None
         documents = np.frombuffer(meta.column("at")[0].as_py(), "<i8").reshape(3, -1)
+        documents, end = documents[:, :-1], int(documents[2, -1])
         order = np.argsort(self.hashes, kind="stable")
         term = order[np.searchsorted(self.hashes[order], rows.column("term").to_numpy())]
         blobs = [np.frombuffer(x.as_py(), "<i4") for x in rows.column("at")]
         at = [np.cumsum(b, dtype=np.int64) for b in blobs]
-        length = int(max(max(int(a[-1]) for a in at), documents[2, -1])) + 2
-        keys = np.sort(np.concatenate([t * length + a for t, a in zip(term.tolist(), at)]))
-        return documents, Postings(keys, documents[2], length, len(self.hashes))
+        keys = np.sort(np.concatenate([t * end + a for t, a in zip(term.tolist(), at)]))
+        return documents, Postings(keys, documents[2], end, len(self.hashes))
 
 
 def _spans(lo: np.ndarray, hi: np.ndarray) -> list[dict]:
@@ -237,7 +244,8 @@ def _exact(phrases: TestPhrases, documents: np.ndarray, index: Postings) -> Iter
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         d, own = doc[lo], which[lo:hi]
         begin = start[lo:hi] - index.begin[d]
-        yield int(documents[0, d]), int(documents[1, d]), _spans(begin, begin + phrases.lengths[own]), sorted({i for w in set(own.tolist()) for i in phrases.items[w]})
+        n_words = (index.begin[d + 1] if d + 1 < len(index.begin) else index.length) - index.begin[d] - 1
+        yield int(documents[0, d]), int(documents[1, d]), int(n_words), _spans(begin, begin + phrases.lengths[own]), sorted({i for w in set(own.tolist()) for i in phrases.items[w]})
 
 
 def _near(distance: int) -> Callable:
@@ -301,28 +309,30 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     shorter item). Null and empty texts have no words; items with a null id or text are passed over; repeated
     documents are each judged, repeated items count once; extra columns pass, those of these names are replaced.
     """
-    docs, back = set_aside(docs.drop("n_words", "n_hit", "items", "contaminated"), "_h1", "_h2", "_spans")
-    names = docs.columns
+    docs, back = set_aside(docs.drop("n_words", "n_hit", "items", "contaminated"), "_h1", "_h2", "_n")
     found = _matched(positional_index(docs.select("text")), benchmark, window, block_chars)
-    small = (found.agg(F.sum(F.size("_spans") * 24 + F.octet_length(F.array_join("items", ",")) + 64)).first()[0] or 0) <= held_bytes
     h1, h2 = text_hashes()
-    rows = docs.withColumns({"_h1": h1, "_h2": h2}).join(F.broadcast(found) if small else found, ["_h1", "_h2"], "left")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    n_hit = F.coalesce(F.aggregate("_spans", F.lit(0).cast("bigint"), lambda a, s: a + s.hi - s.lo), F.lit(0).cast("bigint"))
-    out = rows.select(*names, n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    rows = docs.withColumns({"_h1": h1, "_h2": h2}).join(_held(found.select("_h1", "_h2", "n_hit", "items"), held_bytes), ["_h1", "_h2"], "left")
+    out = rows.select(*docs.columns, word_count("text").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnsRenamed(back)
 
 
+def _held(found: DataFrame, held_bytes: int) -> DataFrame:
+    """found (stored) to be broadcast while it is small."""
+    items = F.octet_length(F.array_join("items", ",")) if "items" in found.columns else F.lit(0)
+    return F.broadcast(found) if (found.agg(F.sum(items + 64)).first()[0] or 0) <= held_bytes else found
+
+
 def _matched(index: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> DataFrame:
-    """(_h1, _h2, _spans, items) of the texts with a window: a row a text, its hit words as disjoint ranges."""
-    columns = [("_h1", "bigint"), ("_h2", "bigint"), ("_spans", "array<struct<lo:bigint,hi:bigint>>"), ("items", "array<string>")]
+    """(_h1, _h2, _n, n_hit, items) of the texts with a window, a row a text: its words, how many are hit, by what."""
+    columns = [("_h1", "bigint"), ("_h2", "bigint"), ("_n", "bigint"), ("spans", "array<struct<lo:bigint,hi:bigint>>"), ("items", "array<string>")]
     found = search(index, benchmark, _exact, columns, window, block_chars)
     # Copies of a text in several shards say the same; blocks add up.
-    merged = found.groupBy("_h1", "_h2").agg(F.array_sort(F.flatten(F.collect_set("_spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    empty = F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")
-    last = lambda a: F.try_element_at(a, F.lit(-1))
-    joined = F.aggregate("s", empty, lambda a, s: F.when(F.coalesce(last(a).hi >= s.lo, F.lit(False)), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a).lo.alias("lo"), F.greatest(last(a).hi, s.hi).alias("hi"))))).otherwise(F.concat(a, F.array(s))))
-    return materialise(merged.select("_h1", "_h2", joined.alias("_spans"), "items"), "found")
+    merged = found.groupBy("_h1", "_h2").agg(F.max("_n").alias("_n"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # Spans in order: each adds what goes beyond those before it.
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to"))
+    n_hit = F.aggregate("s", start, lambda a, s: F.struct((a.n + F.greatest(s.hi - F.greatest(s.lo, a.to), F.lit(0))).alias("n"), F.greatest(a.to, s.hi).alias("to")), lambda a: a.n)
+    return materialise(merged.select("_h1", "_h2", "_n", n_hit.alias("n_hit"), "items"), "found")
 
 
 def near_benchmark(docs: DataFrame, benchmark: DataFrame, distance: int = DISTANCE, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -338,8 +348,10 @@ def near_benchmark(docs: DataFrame, benchmark: DataFrame, distance: int = DISTAN
     return docs.select("doc_id", h1.alias("_h1"), h2.alias("_h2")).join(best, ["_h1", "_h2"]).select("doc_id", "item", F.col("b.first").alias("first"), F.col("b.n").alias("n"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without contamination; columns as they are."""
-    aside, back = set_aside(docs, "n_words", "n_hit", "items", "contaminated")
-    kept = find_benchmark(aside, benchmark).where(~F.col("contaminated"))
-    return kept.drop("n_words", "n_hit", "items", "contaminated").withColumnsRenamed(back).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """The documents without contamination (as find_benchmark judges it); columns as they are."""
+    aside, back = set_aside(docs, "_h1", "_h2")
+    found = _matched(positional_index(docs.select("text")), benchmark, WINDOW, BLOCK_CHARS)
+    gone = materialise(found.where(20 * F.col("n_hit") >= F.col("_n")).select("_h1", "_h2"), "gone")
+    h1, h2 = text_hashes()
+    return aside.withColumns({"_h1": h1, "_h2": h2}).join(_held(gone, held_bytes), ["_h1", "_h2"], "left_anti").drop("_h1", "_h2").withColumnsRenamed(back).select(*docs.columns)

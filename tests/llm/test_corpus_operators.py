@@ -599,9 +599,10 @@ def test_stored_postings_are_the_tokens(spark, docs):
     got = set()
     for rows in shards.values():
         h1, h2, begin = np.frombuffer(dict(rows)[None], "<i8").reshape(3, -1)
+        end, h1, h2, begin = begin[-1], h1[:-1], h2[:-1], begin[:-1]
         places = sorted((int(p), t) for t, at in rows if t is not None for p in np.cumsum(np.frombuffer(at, "<i4")))
         for k in range(len(begin)):
-            hi = begin[k + 1] if k + 1 < len(begin) else 1 << 40
+            hi = begin[k + 1] if k + 1 < len(begin) else end
             own = [(p - int(begin[k]), t) for p, t in places if begin[k] <= p < hi]
             assert [p for p, _ in own] == list(range(len(own)))
             got.add((int(h1[k]), int(h2[k]), tuple(t for _, t in own)))
@@ -613,8 +614,10 @@ def test_stored_postings_are_the_tokens(spark, docs):
 @pytest.mark.parametrize("room", [32 << 20, 0])
 def test_matches_go_back_held_and_joined(spark, docs, room):
     bench = spark.createDataFrame([(1, COPY + "text 3 AND more"), (2, "Text, 4")], "item_id bigint, text string")
-    rows = decontamination.find_benchmark(docs.withColumn("_spans", F.lit("own")), bench, held_bytes=room).collect()
-    assert len(rows) == docs.count() and {r["_spans"] for r in rows} == {"own"}
+    rows = decontamination.find_benchmark(docs.withColumn("_h1", F.lit("own")), bench, held_bytes=room).collect()
+    assert len(rows) == docs.count() and {r["_h1"] for r in rows} == {"own"}
+    kept = decontamination.drop_contaminated(docs, bench, room).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(r.doc_id), str(r.text)) for r in rows if not r.contaminated) and 0 < len(kept) < len(rows)
     assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in rows] == contamination_brute([r.text for r in rows], [(1, COPY + "text 3 AND more"), (2, "Text, 4")])
 
 
