@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import hmac
 import json
@@ -65,6 +66,38 @@ def hmac_sha256(key: pd.Series, message: pd.Series) -> pd.Series:
     return pd.Series([None if k is None or m is None else hmac.new(k.encode(), m.encode(), hashlib.sha256).hexdigest() for k, m in zip(key, message)])
 
 
+def _segment(raw: bytes) -> str:
+    return base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+
+
+def _signed(head: str, key: str) -> str:
+    return f"{head}.{_segment(hmac.new(key.encode(), head.encode(), hashlib.sha256).digest())}"
+
+
+@F.pandas_udf(T.StringType())
+def token(claims: pd.Series, key: pd.Series) -> pd.Series:
+    """A JSON web token (HS256) over the claims' JSON text as it is; null with either null."""
+    head = _segment(b'{"alg":"HS256","typ":"JWT"}')
+    return pd.Series([None if c is None or k is None else _signed(f"{head}.{_segment(c.encode())}", k) for c, k in zip(claims, key)])
+
+
+@F.pandas_udf(T.StringType())
+def token_claims(tokens: pd.Series, key: pd.Series, now: pd.Series) -> pd.Series:
+    """The claims' JSON text of a token of three segments that this key has signed and whose exp is after `now`; null for any other."""
+
+    def one(text: str | None, k: str | None, t: float) -> str | None:
+        parts = (text or "").split(".")
+        if k is None or len(parts) != 3 or not hmac.compare_digest(_signed(".".join(parts[:2]), k).encode(), text.encode()):
+            return None
+        try:
+            raw = base64.urlsafe_b64decode(parts[1] + "=" * (-len(parts[1]) % 4)).decode()
+            return raw if json.loads(raw)["exp"] > t else None
+        except (ValueError, KeyError, TypeError):
+            return None
+
+    return pd.Series([one(x, k, t) for x, k, t in zip(tokens, key, now)])
+
+
 @F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """JSON with sorted keys and no spaces; null for what isn't JSON."""

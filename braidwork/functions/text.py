@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: File extensions whose source has a comment syntax that the stripper knows.
 LANGUAGES = {
-    "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cs": "csharp", "go": "go", "java": "java", "js": "javascript", "jsx": "javascript",
-    "mjs": "javascript", "kt": "kotlin", "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "swift": "swift", "ts": "typescript", "tsx": "typescript",
+    "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "cs": "csharp", "go": "go", "java": "java", "js": "javascript", "jsx": "javascript",
+    "mjs": "javascript", "kt": "kotlin", "kts": "kotlin", "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "swift": "swift", "ts": "typescript", "tsx": "typescript",
 }
 
 
@@ -68,12 +68,13 @@ def resource(claim: Column) -> Column:
 
 
 def caller_name(caller: Column) -> Column:
-    """`name-v1.2` as name; unknown for null and empty."""
-    return F.when(F.coalesce(caller, F.lit("")) == "", "unknown").otherwise(F.regexp_replace(caller, "-v(?!.*-v).*$", ""))
+    """`name-v1.2` as name, split at the last `-v`; unknown for null and empty."""
+    return F.when(F.coalesce(caller, F.lit("")) == "", "unknown").otherwise(F.regexp_replace(caller, "(?s)-v(?!.*-v).*$", ""))
 
 
 def caller_version(caller: Column) -> Column:
-    found = F.regexp_extract(F.coalesce(caller, F.lit("")), "-v(?!.*-v)(.*)$", 1)
+    """`name-v1.2` as v1.2; unknown without a version."""
+    found = F.regexp_extract(F.coalesce(caller, F.lit("")), "(?s)-(v(?!.*-v).*)$", 1)
     return F.when(found == "", "unknown").otherwise(found)
 
 
@@ -83,8 +84,8 @@ def is_hash_name(name: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    """An identifier: other characters become dashes, dashes at the ends go, nothing left is `task`."""
-    trimmed = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_.:-]+", "-"), "^-+|-+$", "")
+    """An identifier: each other character becomes a dash, dashes at the ends go, nothing left is `task`."""
+    trimmed = F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9_-]", "-"), "^-+|-+$", "")
     return F.when(trimmed == "", "task").otherwise(trimmed)
 
 
@@ -99,30 +100,30 @@ def tail(log: Column, size: int = 102_400) -> Column:
 
 
 def duration_text(ms: Column) -> Column:
-    """Microseconds, milliseconds or seconds, whichever reads best."""
-    return F.when(ms < 1, F.format_string("%.0fus", ms * 1000)).when(ms < 1000, F.format_string("%.1fms", ms)).otherwise(F.format_string("%.2fs", ms / 1000))
+    """Microseconds, milliseconds or seconds, whichever reads best; zero below one microsecond."""
+    return F.when(ms < 0.001, "0μs").when(ms < 1, F.format_string("%.0fμs", ms * 1000)).when(ms < 1000, F.format_string("%.1fms", ms)).otherwise(F.format_string("%.2fs", ms / 1000))
 
 
 def bar(value: Column, top: Column, width: int = 20) -> Column:
     """A bar of `width` places filled in proportion."""
     n = F.least(F.lit(width), F.greatest(F.lit(0), F.round(value * width / top).cast("int")))
-    return F.concat(F.repeat(F.lit("#"), n), F.repeat(F.lit("."), F.lit(width) - n))
+    return F.concat(F.repeat(F.lit("█"), n), F.repeat(F.lit("░"), F.lit(width) - n))
 
 
 def template_variables(text: Column, prefix: str) -> Column:
-    """`${{ values.name }}` as `$PREFIX_NAME`; the names keep letters, digits and underscores."""
-    names = F.regexp_extract_all(text, F.lit(r"\$\{\{\s*values\.([A-Za-z0-9_-]+)\s*\}\}"), F.lit(1))
-    return F.aggregate(F.array_distinct(names), text, lambda acc, n: F.regexp_replace(acc, F.concat(F.lit(r"\$\{\{\s*values\."), n, F.lit(r"\s*\}\}")), F.concat(F.lit(f"\\${prefix}_"), F.upper(F.regexp_replace(n, "-", "_")))))
+    """`${{ values.name }}` as `${PREFIX_NAME}`: the name in upper case with underscores for its dots and dashes."""
+    names = F.regexp_extract_all(text, F.lit(r"\$\{\{\s*values\.(\w[\w.-]*)\s*\}\}"), F.lit(1))
+    return F.aggregate(F.array_distinct(names), text, lambda acc, n: F.regexp_replace(acc, F.concat(F.lit(r"\$\{\{\s*values\.\Q"), n, F.lit(r"\E\s*\}\}")), F.concat(F.lit(f"\\${{{prefix}_"), F.upper(F.regexp_replace(n, "[.-]", "_")), F.lit("}"))))
 
 
 def is_composite(command: Column) -> Column:
-    """Whether a command needs a shell: it holds an operator, a pipe, a redirection or a new line."""
-    return command.rlike(r"&&|\|\||[|;<>\n]")
+    """Whether a command needs a shell: it holds && or || or a pipe or a semicolon."""
+    return command.rlike(r"&&|[|;]")
 
 
 def shell_command(command: Column) -> Column:
     """The argument vector of a command line."""
-    return F.when(is_composite(command), F.array(F.lit("sh"), F.lit("-c"), command)).otherwise(F.split(F.trim(command), r"\s+"))
+    return F.when(is_composite(command), F.array(F.lit("sh"), F.lit("-c"), command)).otherwise(F.filter(F.split(command, r"\s+"), lambda w: w != ""))
 
 
 def sorted_set(items: Column) -> Column:

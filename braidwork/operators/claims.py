@@ -11,12 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.functions.text import folded_path, protocol, resource, sorted_set
+from braidwork.functions.text import folded_path, normalise_fs_path, protocol, resource, sorted_set
 
 
 def write_covers(write: Column, item: Column) -> Column:
-    """Whether a non-empty written path is the item or a directory above it."""
-    return (write != "") & ((write == item) | item.startswith(F.concat(write, F.lit("/"))))
+    """Whether a non-empty written path is the item or a directory above it, both in normal form (see normalise_fs_path)."""
+    w, i = normalise_fs_path(write), normalise_fs_path(item)
+    return (w != "") & ((w == i) | i.startswith(F.concat(w, F.lit("/"))))
 
 
 def segments_overlap(a: Column, b: Column, fold_case: bool = False) -> Column:
@@ -52,10 +53,12 @@ def parsed_argument(argument: Column) -> Column:
 
 
 def cache_inputs(tasks: DataFrame) -> DataFrame:
-    """tasks (id, reads, claims, writes arrays). Gives (id, path): reads and fs claims that no own write covers."""
-    fs = F.transform(F.filter(F.coalesce("claims", F.expr("cast(array() as array<string>)")), lambda c: protocol(c) == "fs"), resource)
-    paths = sorted_set(F.concat(F.coalesce("reads", F.expr("cast(array() as array<string>)")), fs))
-    kept = F.filter(paths, lambda p: ~F.exists(F.coalesce("writes", F.expr("cast(array() as array<string>)")), lambda w: write_covers(w, p)))
+    """tasks (id, reads, claims, writes arrays). Gives (id, path): reads and claims that begin with fs:, in normal form,
+    that aren't empty and that no own write covers."""
+    none = F.expr("cast(array() as array<string>)")
+    fs = F.filter(F.coalesce("claims", none), lambda c: c.startswith("fs:"))
+    paths = sorted_set(F.transform(F.concat(F.coalesce("reads", none), fs), normalise_fs_path))
+    kept = F.filter(paths, lambda p: (p != "") & ~F.exists(F.coalesce("writes", F.expr("cast(array() as array<string>)")), lambda w: write_covers(w, p)))
     return tasks.select("id", F.explode(kept).alias("path"))
 
 

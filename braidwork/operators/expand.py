@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.functions.text import dirname, folded_path, slug, sorted_set, without_prefix
+from braidwork.functions.text import dirname, folded_path, slug, sorted_set
 
 #: Fixed limits of a matrix, and the prefix of the variables that it sets.
 AXES, ROWS, MATRIX = 4, 256, "MATRIX_"
@@ -19,17 +22,35 @@ def cartesian_size(matrix: Column) -> Column:
 def matrix_rows(tasks: DataFrame) -> DataFrame:
     """tasks (id, matrix map<string, array<string>>, ...). One row a combination, axes and values in order.
 
-    id gets a suffix `[axis=value,...]`, `env` the variables of the axes. A task without a matrix stays as it is.
-    More than four axes or 256 rows fail the query (`matrix_violations` lists them).
+    id gets a suffix `-axis=value-axis=value`, `env` (the task's own, if it has one) the variables of the axes. A task without
+    a matrix stays as it is. More than four axes or 256 rows, an axis without values, and names or values of other
+    characters than letters, digits, dots, dashes and underscores fail the query (`matrix_violations` lists them).
     """
     axes = F.array_sort(F.map_keys("matrix"))
     start = F.array(F.expr("cast(array() as array<struct<axis:string,value:string>>)"))
-    grow = lambda acc, axis: F.flatten(F.transform(acc, lambda row: F.transform(sorted_set(F.col("matrix")[axis]), lambda v: F.concat(row, F.array(F.struct(axis.alias("axis"), v.alias("value")))))))
-    sized = tasks.withColumn("_rows", F.when(F.col("matrix").isNull() | (F.size("matrix") == 0), start).when((F.size("matrix") <= AXES) & (cartesian_size(F.col("matrix")) <= ROWS), F.aggregate(axes, start, grow)).otherwise(F.raise_error(F.concat(F.lit("matrix too large: "), F.col("id")))))
+    grow = lambda acc, axis: F.flatten(F.transform(acc, lambda row: F.transform(F.array_sort(F.col("matrix")[axis]), lambda v: F.concat(row, F.array(F.struct(axis.alias("axis"), v.alias("value")))))))
+    sized = tasks.withColumn("_rows", F.when(F.col("matrix").isNull() | (F.size("matrix") == 0), start).when(F.size(_faults(F.col("matrix"))) == 0, F.aggregate(axes, start, grow)).otherwise(F.raise_error(F.concat_ws(" ", F.lit("matrix of"), F.col("id").cast("string"), F.lit("breaks"), F.array_join(_faults(F.col("matrix")), ", ")))))
     one = sized.withColumn("_row", F.explode("_rows")).drop("_rows")
-    label = F.array_join(F.transform("_row", lambda x: F.concat_ws("=", x.axis, x.value)), ",")
+    label = F.array_join(F.transform("_row", lambda x: F.concat_ws("=", x.axis, x.value)), "-")
     env = F.map_from_arrays(F.transform("_row", lambda x: F.concat(F.lit(MATRIX), F.upper(x.axis))), F.transform("_row", lambda x: x.value))
-    return one.withColumn("id", F.when(F.size("_row") == 0, F.col("id")).otherwise(F.concat(F.col("id"), F.lit("["), label, F.lit("]")))).withColumn("env", env).drop("_row", "matrix")
+    if "env" in tasks.columns:
+        own = F.coalesce("env", F.expr("cast(map() as map<string,string>)"))
+        env = F.map_concat(F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(env), k)), env)
+    return one.withColumn("id", F.when(F.size("_row") == 0, F.col("id")).otherwise(F.concat(F.col("id"), F.lit("-"), label))).withColumn("env", env).drop("_row", "matrix")
+
+
+def _faults(matrix: Column) -> Column:
+    """The rules that a matrix breaks."""
+    bad = lambda s: ~s.rlike("^[a-zA-Z0-9_.-]+$")
+    return F.array_compact(F.array(
+        F.when(F.size(matrix) > AXES, F.lit("matrix-axes")), F.when(cartesian_size(matrix) > ROWS, F.lit("matrix-rows")), F.when(F.exists(F.map_values(matrix), lambda v: F.size(v) == 0), F.lit("matrix-empty")),
+        F.when(F.exists(F.map_keys(matrix), bad), F.lit("matrix-axis")), F.when(F.exists(F.flatten(F.map_values(matrix)), bad), F.lit("matrix-value")),
+    ))
+
+
+def matrix_faults(tasks: DataFrame) -> DataFrame:
+    """(id, rule) for every rule that a task's matrix breaks."""
+    return tasks.where(F.col("matrix").isNotNull()).select("id", F.explode(_faults(F.col("matrix"))).alias("rule"))
 
 
 def matrix_violations(tasks: DataFrame) -> DataFrame:
@@ -65,13 +86,16 @@ def with_scripts(packages: DataFrame, scripts: DataFrame, default: str) -> DataF
 def resolve_imports(files: DataFrame, imports: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
     """files (id), imports (source, target, kind). (source, target, kind, resolved): the first candidate that is a file.
 
-    Candidates in order: from the file's directory then from the root; as written, with each suffix, as a package
-    directory (index, then __init__). Every candidate meets files by equality.
+    Candidates in order: from the file's directory then from the root; as written, then for each suffix with it, as
+    index and as __init__ of a package directory. A path that leaves the root is none. Every candidate meets files by equality.
     """
     bases = [F.when(dirname(F.col("source")) == ".", F.col("target")).otherwise(F.concat_ws("/", dirname(F.col("source")), "target")), F.col("target")]
-    tails = ["", *suffixes, *[f"/index{s}" for s in suffixes], *[f"/__init__{s}" for s in suffixes]]
-    candidates = F.array(*[F.struct(F.lit(n).alias("rank"), F.concat(folded_path(b), F.lit(t)).alias("id")) for n, (b, t) in enumerate((b, t) for b in bases for t in tails)])
-    tried = imports.select("source", "target", "kind", F.explode(candidates).alias("c")).select("source", "target", "kind", "c.rank", "c.id")
+    folded = imports.select("source", "target", "kind", *[folded_path(b).alias(f"_{n}") for n, b in enumerate(bases)])
+    inside = lambda c: F.when(~F.col("target").startswith("/") & ~F.split(c, "/")[0].isin("..", ""), F.when(F.col(c) == ".", "").otherwise(F.concat(c, F.lit("/"))))
+    tails = ["", *[t for s in suffixes for t in (s, f"/index{s}", f"/__init__{s}")]]
+    made = lambda c, t: F.concat(inside(c), F.lit(t[1:])) if t[:1] == "/" else F.concat(F.regexp_replace(inside(c), "/$", ""), F.lit(t))
+    candidates = F.array(*[F.struct(F.lit(n).alias("rank"), made(c, t).alias("id")) for n, (c, t) in enumerate((c, t) for c in ("_0", "_1") for t in tails)])
+    tried = folded.select("source", "target", "kind", F.explode(candidates).alias("c")).select("source", "target", "kind", "c.rank", "c.id")
     found = tried.join(files.select("id"), "id")
     return found.groupBy("source", "target", "kind").agg(F.min_by("id", "rank").alias("resolved"))
 
@@ -81,33 +105,67 @@ def duplicate_ids(tasks: DataFrame) -> DataFrame:
 
 
 def unique_ids(names: DataFrame) -> DataFrame:
-    """names (seq, name). (seq, id): slugs, the second and later of one slug with -2, -3, ... in the order of seq.
+    """names (seq, name). (seq, id): slugs in the order of seq, one that is taken with the first of -2, -3, ... that isn't.
 
-    A suffixed id that another slug is already equal to takes a further suffix, `-x` and its seq, so that all differ.
+    An id can only meet one of the same root, its slug without numbers at the end. Rows stream by root through sorted partitions;
+    what is kept of a root is its different slugs, each with the last number given out.
     """
-    made = names.select("seq", slug(F.col("name")).alias("slug"))
-    numbered = made.withColumn("_n", F.row_number().over(Window.partitionBy("slug").orderBy("seq"))).withColumn("id", F.when(F.col("_n") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "_n")))
-    taken = made.select(F.col("slug").alias("id"), F.lit(True).alias("_taken")).distinct()
-    return numbered.join(taken, "id", "left").select("seq", F.when((F.col("_n") > 1) & F.col("_taken"), F.concat(F.col("id"), F.lit("-x"), F.col("seq"))).otherwise(F.col("id")).alias("id"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, last = None, {}  # slugs taken as they are; s-2 to s-n are taken for last[s] = n
+
+        def taken(x: str) -> bool:
+            base, _, n = x.rpartition("-")
+            return x in last or n.isdigit() and n[0] != "0" and 2 <= int(n) <= last.get(base, 0)
+
+        for part in parts:
+            out = []
+            for r, own in zip(part["_root"], part["slug"]):
+                if r != root:
+                    root, last = r, {}
+                if not taken(own):
+                    last[own] = 1
+                    out.append(own)
+                    continue
+                n = last.get(own, 1) + 1
+                while taken(f"{own}-{n}"):
+                    n += 1
+                last[own] = n
+                out.append(f"{own}-{n}")
+            yield pd.DataFrame({"seq": part["seq"], "id": out})
+
+    kind = dict(names.dtypes)["seq"]
+    made = names.select("seq", slug(F.col("name")).alias("slug")).withColumn("_root", F.regexp_replace("slug", "(-[0-9]+)+$", ""))
+    return made.repartition("_root").sortWithinPartitions("_root", "seq").mapInPandas(run, f"seq {kind}, id string")
+
+
+#: Lists of a task that hold paths or claims.
+PATHS = ("inputs", "outputs", "claims")
 
 
 def normal_tasks(tasks: DataFrame) -> DataFrame:
-    """Every list distinct and in order, an empty timeout 300000 and 0 too, cache true if unset, ids in code-unit order."""
+    """Every list distinct and in code-unit order (cmd stays as it is), forward slashes in paths and claims, env by key,
+    a timeout of 300000 and a cache of true where unset."""
     lists = [c for c, t in tasks.dtypes if t == "array<string>" and c != "cmd"]
-    out = tasks.withColumns({c: sorted_set(F.col(c)) for c in lists})
+    slashed = lambda c: F.transform(F.col(c), lambda x: F.translate(x, "\\", "/"))
+    out = tasks.withColumns({c: sorted_set(slashed(c) if c in PATHS else F.col(c)) for c in lists})
+    if "cmd" in out.columns:
+        out = out.withColumn("cmd", F.coalesce("cmd", F.expr("cast(array() as array<string>)")))
     if "timeout" in out.columns:
-        out = out.withColumn("timeout", F.when(F.coalesce("timeout", F.lit(0)) == 0, 300_000).otherwise(F.col("timeout")))
+        out = out.withColumn("timeout", F.coalesce("timeout", F.lit(300_000)))
     if "cache" in out.columns:
         out = out.withColumn("cache", F.coalesce("cache", F.lit(True)))
+    if "cwd" in out.columns:
+        out = out.withColumn("cwd", F.nullif(F.translate("cwd", "\\", "/"), F.lit("")))
     if "env" in out.columns:
-        out = out.withColumn("env", without_prefix(F.coalesce("env", F.expr("cast(map() as map<string,string>)")), MATRIX))
+        out = out.withColumn("env", F.map_from_entries(F.array_sort(F.map_entries(F.coalesce("env", F.expr("cast(map() as map<string,string>)"))))))
     return out
 
 
 def constraint_violations(tasks: DataFrame) -> DataFrame:
     """tasks (id, cmd, deps, matrix). (id, rule) for every rule that a task breaks; cycles are `graph.cyclic`."""
     rules = F.array_compact(F.array(
-        F.when(~F.col("id").rlike(r"^[A-Za-z0-9_.:@/#\[\]=,-]+$"), F.lit("id")), F.when(F.coalesce(F.size("cmd"), F.lit(0)) < 1, F.lit("cmd")), F.when(F.array_contains("deps", F.col("id")), F.lit("self-dependency")),
+        F.when(~F.col("id").rlike("^[a-zA-Z0-9_-]+$"), F.lit("id")), F.when(F.coalesce(F.size("cmd"), F.lit(0)) < 1, F.lit("cmd")), F.when(F.array_contains("deps", F.col("id")), F.lit("self-dependency")),
         F.when(F.size("matrix") > AXES, F.lit("matrix-axes")), F.when(cartesian_size(F.col("matrix")) > ROWS, F.lit("matrix-rows")),
     ))
     own = tasks.select("id", F.explode(rules).alias("rule"))
@@ -121,7 +179,7 @@ def gate(platforms: Column, platform: Column, branch_ok: Column) -> Column:
     return (platforms.isNull() | (F.size(platforms) == 0) | F.array_contains(platforms, platform)) & F.coalesce(branch_ok, F.lit(True))
 
 
-def allowed_env(env: Column, claimed: Column, always: tuple[str, ...] = ("PATH", "HOME", "USER", "SHELL", "TMPDIR")) -> Column:
+def allowed_env(env: Column, claimed: Column, always: tuple[str, ...] = ("PATH", "HOME", "USER", "TMPDIR", "TERM")) -> Column:
     """The present variables that are claimed or always passed."""
     return F.map_filter(env, lambda k, _: k.isin(*always) | F.array_contains(claimed, k))
 

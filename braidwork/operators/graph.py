@@ -1,27 +1,102 @@
 """Graph operators over edges (src, dst): src must come before dst.
 
-Loops run one Spark job a step over frontiers that shrink, cut their lineage in the shared folder, and stop when
-nothing is new; no node list ever reaches the driver.
+A graph of up to SMALL edges, a size that is counted first, is walked in numpy: by one task where one pass over the whole
+graph is the work, or by all tasks, each with the edges, where every node has a walk of its own. Beyond it loops run a Spark job
+a step over frontiers that shrink and cut their lineage in the shared folder. Both ways give the same rows, and no node list
+of a large graph ever reaches the driver.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.functions.text import dirname
+from braidwork.operators.claims import ancestors
 from braidwork.plans.session import cut_lineage
 
+#: Edges up to which a graph is walked in numpy.
+SMALL = 1 << 18
+
+
+def _coded(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """src and dst of a table of edges as numbers of the ids, which are in order."""
+    both = pa.chunked_array([*table.column("src").chunks, *table.column("dst").chunks], table.column("src").type)
+    code, ids = pd.factorize(both.to_pandas(), sort=True)
+    return code[: table.num_rows], code[table.num_rows :], pa.array(ids, both.type)
+
+
+def _adjacent(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, after): what follows node i is after[first[i]:first[i + 1]], in order."""
+    order = np.lexsort((dst, src))
+    return np.searchsorted(src[order], np.arange(n + 1)), dst[order]
+
+
+def _follow(first: np.ndarray, after: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """All that follows the nodes `at`, with repeats."""
+    n = first[at + 1] - first[at]
+    return after[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def _in_one_task(edges: DataFrame, run: Callable[[pa.Table], dict[str, pa.Array]], schema: T.StructType) -> DataFrame:
+    """run over all of a small graph's edges (stored)."""
+    names = schema.names
 
-def depths(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            out = run(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([out[c] for c in names], names)
+
+    return edges.coalesce(1).mapInArrow(whole, schema)
+
+
+def _sound(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The distinct edges between nodes, stored."""
+    left = edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return cut_lineage(left.select("src", "dst"), "edges")
+
+
+def _levels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The longest path to each node from those that nothing leads to; -1 on or behind a cycle."""
+    first, after = _adjacent(src, dst, n)
+    waits, depth = np.bincount(dst, minlength=n), np.full(n, -1)
+    now, level = np.flatnonzero(waits == 0), 0
+    while len(now):
+        depth[now] = level
+        hit, k = np.unique(_follow(first, after, now), return_counts=True)
+        waits[hit] -= k
+        now, level = hit[waits[hit] == 0], level + 1
+    return depth
+
+
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth): longest path from the roots; nodes on or behind a cycle have a null depth (see `cyclic`).
 
     Peels roots level by level: a node's level is final when its last predecessor has been peeled.
     """
-    left = edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    done = None
-    for level in range(most):
+    left = _sound(nodes, edges)
+    found = nodes.select("id").distinct()
+    if left.count() <= SMALL:
+        kind = T.StructType([T.StructField("id", left.schema["src"].dataType), T.StructField("_depth", T.IntegerType())])
+
+        def peel(table: pa.Table) -> dict[str, pa.Array]:
+            src, dst, ids = _coded(table)
+            return {"id": ids, "_depth": pa.array(_levels(src, dst, len(ids)), pa.int32())}
+
+        known = _in_one_task(left, peel, kind)
+        depth = F.coalesce("_depth", F.lit(0))
+        return found.join(known, "id", "left").select("id", F.when(depth >= 0, depth).alias("depth"))
+    done, level = None, 0
+    while True:
         # An edge goes when nothing leads to its source any more; its target is then at the next level at least.
         waits = left.select(F.col("dst").alias("src"), F.lit(True).alias("waits")).distinct()
         step = cut_lineage(left.join(waits, "src", "left"), "level")
@@ -29,8 +104,7 @@ def depths(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
         left = step.where(F.col("waits")).select("src", "dst")
         if gone.isEmpty():
             break
-        done = gone if done is None else done.unionByName(gone)
-    found = nodes.select("id").distinct()
+        done, level = gone if done is None else done.unionByName(gone), level + 1
     if done is not None:
         found = found.join(done.groupBy(F.col("dst").alias("id")).agg(F.max("depth").alias("depth")), "id", "left")
     else:
@@ -45,12 +119,15 @@ def cyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """(src, dst) for every dst that src reaches, cycle-safe, semi-naive: each step joins the newest pairs alone.
+    """(src, dst) for every dst that src reaches, cycle-safe. With seeds (id), only their closure.
 
-    With seeds (id), only their closure.
+    A small graph is searched from each source by itself; a large one is joined semi-naively, each step the newest pairs alone.
     """
     base = cut_lineage(edges.select("src", "dst").distinct(), "edges")
-    new = base if seeds is None else cut_lineage(base.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi"), "new")
+    sources = base.select("src").distinct() if seeds is None else base.select("src").distinct().join(seeds.select(F.col("id").alias("src")), "src", "left_semi")
+    if base.count() <= SMALL:
+        return _searched(base, sources)
+    new = base if seeds is None else cut_lineage(base.join(sources, "src", "left_semi"), "new")
     known = new
     while not new.isEmpty():
         step = new.join(base.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst")).distinct()
@@ -59,6 +136,36 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     return known
 
 
+def _searched(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """The closure from sources (src) over a small graph that every task holds."""
+    table = edges.toArrow()
+    src, dst, ids = _coded(table) if table.num_rows else (np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], table.column("src").type))
+    held = edges.sparkSession.sparkContext.broadcast((*_adjacent(src, dst, len(ids)), ids))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, after, ids = held.value
+        code = {x: i for i, x in enumerate(ids.to_pylist())}
+        seen = np.full(len(ids), -1)
+        for b in batches:
+            out, size = [], 0
+            for k, start in enumerate(b.column(0).to_pylist()):
+                mark, now, reached = code[start], np.array([code[start]]), []
+                while len(now):
+                    now = np.unique(_follow(first, after, now))
+                    now = now[seen[now] != mark]
+                    seen[now] = mark
+                    reached.append(now)
+                own = np.concatenate(reached)
+                out.append((np.full(len(own), mark), own))
+                size += len(own)
+                if size > 1 << 18 or k == b.num_rows - 1:
+                    a, z = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(z))], ["src", "dst"])
+                    out, size = [], 0
+
+    return sources.mapInArrow(search, edges.schema)
+
+
 def ancestry(edges: DataFrame) -> DataFrame:
     """(task_id, ancestor): transitive dependencies."""
     return closure(edges).select(F.col("dst").alias("task_id"), F.col("src").alias("ancestor")).where(F.col("task_id") != F.col("ancestor"))
@@ -67,18 +174,83 @@ def ancestry(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components of two or more nodes, named by their least member.
 
-    Acyclic nodes are peeled from both ends first, so the closure is taken of what may be cyclic alone.
+    A large graph is trimmed of what is acyclic at its ends; then every node takes the least node that reaches it, and
+    those that reach this node in turn, among nodes of one label, are its component. What is left goes round again.
     """
     core = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "core")
+    kind = T.StructType([T.StructField("id", core.schema["src"].dataType), T.StructField("component", core.schema["src"].dataType)])
     n = core.count()
+    if n <= SMALL:
+        return _in_one_task(core, _tarjan, kind)
+    found = edges.sparkSession.createDataFrame([], kind)
     while n:
-        core = cut_lineage(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
-        n, before = core.count(), n
-        if n == before:
+        before = None
+        while n and n != before:
+            core = cut_lineage(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
+            before, n = n, core.count()
+        if not n:
             break
-    reach = closure(core)
-    both = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return both.where(F.col("src") != F.col("dst")).groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
+        label = core.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("label", F.col("id"))
+        changed = 1
+        while changed:
+            sent = core.join(label.select(F.col("id").alias("src"), F.col("label").alias("l")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("l").alias("l"))
+            label = cut_lineage(label.join(sent, "id", "left").select("id", F.least("label", "l").alias("label"), (F.col("l") < F.col("label")).alias("less")), "label")
+            changed = label.where("less").count()
+            label = label.select("id", "label")
+        same = core.join(label.select(F.col("id").alias("src"), "label"), "src").join(label.select(F.col("id").alias("dst"), F.col("label").alias("m")), "dst").where("label = m").select("src", "dst", "label")
+        back = cut_lineage(same.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label"), "same")
+        # From each label backwards; a node has one label, so this is a row a node.
+        new = cut_lineage(label.where("id = label").select(F.col("id").alias("dst"), "label"), "new")
+        members = new
+        while not new.isEmpty():
+            step = new.join(back.withColumnRenamed("dst", "next").withColumnRenamed("src", "dst"), ["dst", "label"]).select(F.col("next").alias("dst"), "label").distinct()
+            new = cut_lineage(step.join(members, ["dst", "label"], "left_anti").select("dst", "label"), "new")
+            members = members.unionByName(new)
+        own = members.select(F.col("dst").alias("id"), F.col("label").alias("component"))
+        found = found.unionByName(own)
+        core = cut_lineage(core.join(own.select(F.col("id").alias("src")), "src", "left_anti").join(own.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "core")
+        n = core.count()
+    found = cut_lineage(found, "components")
+    return found.join(found.groupBy("component").count().where("count > 1").select("component"), "component", "left_semi").select("id", "component")
+
+
+def _tarjan(table: pa.Table) -> dict[str, pa.Array]:
+    """Strongly connected components of two or more nodes, by depth-first search with low links on a stack of its own."""
+    src, dst, ids = _coded(table)
+    first, after = (x.tolist() for x in _adjacent(src, dst, len(ids)))
+    number, low, held, component = [-1] * len(ids), [0] * len(ids), [False] * len(ids), [-1] * len(ids)
+    place, count, open_ = list(first), 0, []  # place: where each node's search goes on
+    for root in range(len(ids)):
+        todo = [root] if number[root] < 0 else []
+        while todo:
+            v = todo[-1]
+            if number[v] < 0:
+                number[v] = low[v] = count
+                count += 1
+                open_.append(v)
+                held[v] = True
+            if place[v] < first[v + 1]:
+                w = after[place[v]]
+                place[v] += 1
+                if number[w] < 0:
+                    todo.append(w)
+                elif held[w]:
+                    low[v] = min(low[v], number[w])
+                continue
+            todo.pop()
+            if todo:
+                low[todo[-1]] = min(low[todo[-1]], low[v])
+            if low[v] == number[v]:
+                at = len(open_) - 1
+                while open_[at] != v:
+                    at -= 1
+                own = open_[at:]
+                del open_[at:]
+                for w in own:
+                    held[w], component[w] = False, min(own) if len(own) > 1 else -1
+    found = np.array(component)
+    own = np.flatnonzero(found >= 0)
+    return {"id": ids.take(pa.array(own)), "component": ids.take(pa.array(found[own]))}
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,14 +259,17 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def proposals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, type, files, confidence): a cycle's files are combined (0.6), files on no edge orphans (0.8), the others
-    isolated by directory (0.9); a file is in the first of these that fits."""
+    """(id, type, files, claims, confidence): a cycle's files are combined (0.6), each file on no edge is an orphan (0.8),
+    the others are isolated by directory (0.9); a file is in the first of these that fits."""
     cycles = strong_components(edges)
-    lone = orphans(nodes, edges)
-    grouped = lambda df, key, kind, sure: df.groupBy(key.alias("_k")).agg(F.array_sort(F.collect_list("id")).alias("files")).select(F.concat(F.lit(f"{kind}:"), F.col("_k")).alias("id"), F.lit(kind).alias("type"), "files", F.lit(sure).alias("confidence"))
-    rest = nodes.select("id").join(cycles.select("id"), "id", "left_anti").join(lone, "id", "left_anti")
-    loose = lone.join(cycles.select("id"), "id", "left_anti")
-    return grouped(cycles, F.col("component"), "combined", 0.6).unionByName(grouped(loose, F.lit("all"), "orphan", 0.8)).unionByName(grouped(rest, dirname(F.col("id")), "isolated", 0.9))
+    lone = orphans(nodes, edges).join(cycles.select("id"), "id", "left_anti")
+    rest = nodes.select("id").distinct().join(cycles.select("id"), "id", "left_anti").join(lone, "id", "left_anti")
+    directories = F.array_sort(F.collect_set(dirname(F.col("id"))))
+    combined = cycles.groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("files"), directories.alias("d")).select(F.concat(F.lit("combined-"), F.array_join("d", "-")).alias("id"), F.lit("combined").alias("type"), "files", F.transform("d", lambda d: F.concat(F.lit("fs:"), d)).alias("claims"), F.lit(0.6).alias("confidence"))
+    bare = F.regexp_replace(F.regexp_extract("id", "[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
+    orphan = lone.select(F.concat(F.lit("orphan-"), bare).alias("id"), F.lit("orphan").alias("type"), F.array("id").alias("files"), F.array(F.concat(F.lit("fs:"), "id")).alias("claims"), F.lit(0.8).alias("confidence"))
+    isolated = rest.groupBy(dirname(F.col("id")).alias("d")).agg(F.array_sort(F.collect_list("id")).alias("files")).select(F.concat(F.lit("isolated-"), F.replace("d", F.lit("/"), F.lit("-"))).alias("id"), F.lit("isolated").alias("type"), "files", F.array(F.concat(F.lit("fs:"), "d")).alias("claims"), F.lit(0.9).alias("confidence"))
+    return combined.unionByName(orphan).unionByName(isolated)
 
 
 def skipped(edges: DataFrame, failed: DataFrame) -> DataFrame:
@@ -124,13 +299,75 @@ def wave_colours(tasks: DataFrame, conflicts: DataFrame) -> DataFrame:
     return tasks.select("depth", "id").join(coloured, ["depth", "id"], "left").withColumn("colour", F.coalesce("colour", F.lit(0)))
 
 
+def claim_colours(tasks: DataFrame, claims: DataFrame) -> DataFrame:
+    """tasks (depth, id), claims (task_id, path, is_dir, mode). (depth, id, colour) as wave_colours gives it for the pairs that
+    conflict (claims.overlaps, one side writing), without the pairs: k writers of one path are k rows here.
+
+    Tasks whose claims no other of their depth meets have colour 0. The others stream by depth in id order past a tree of the paths,
+    which keeps for each path what colours read and write it, claim it as a directory, and claim what is below it.
+    """
+    own = claims.join(tasks.select(F.col("id").alias("task_id"), "depth"), "task_id").select("depth", "task_id", "path", "is_dir", "mode").distinct()
+    two = lambda c: [F.min(c).alias("a"), F.max(c).alias("b")]
+    up = own.select("depth", "task_id", "is_dir", "path", F.explode(ancestors(F.col("path"))).alias("above"))
+    other = lambda x: F.coalesce((F.col(f"{x}.a") != F.col("o.task_id")) | (F.col(f"{x}.b") != F.col("o.task_id")), F.lit(False))
+    at = own.groupBy("depth", "path").agg(*two("task_id"))
+    below = up.where("above != path").groupBy("depth", F.col("above").alias("path")).agg(*two("task_id"))
+    met = own.alias("o").join(at.alias("x"), ["depth", "path"]).join(below.alias("y"), ["depth", "path"], "left").where(other("x") | F.col("o.is_dir") & other("y")).select("depth", F.col("o.task_id"))
+    held = own.where("is_dir").groupBy("depth", F.col("path").alias("above")).agg(*two("task_id"))
+    inside = up.alias("o").where("above != path").join(held.alias("x"), ["depth", "above"]).where(other("x")).select("depth", F.col("o.task_id"))
+    contested = own.join(met.unionByName(inside).distinct(), ["depth", "task_id"], "left_semi")
+    kind = dict(tasks.dtypes)
+
+    def colour(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        depth, task, rows, tree = None, None, [], {}
+
+        def placed() -> int:
+            """The least colour that no met claim has; the tree then has it for this task's claims."""
+            taken = 0
+            for path, is_dir, mode in rows:
+                steps = path.split("/")
+                for k in range(1, len(steps) + 1):
+                    reads, writes, dir_reads, dir_writes, low_reads, low_writes = tree.get("/".join(steps[:k]), (0,) * 6)
+                    if k < len(steps):
+                        taken |= dir_writes | (dir_reads if mode == "write" else 0)
+                    else:
+                        taken |= writes | (reads if mode == "write" else 0)
+                        taken |= (low_writes | (low_reads if mode == "write" else 0)) if is_dir else 0
+            bit = ~taken & (taken + 1)
+            for path, is_dir, mode in rows:
+                steps, w = path.split("/"), int(mode == "write")
+                for k in range(1, len(steps) + 1):
+                    node = tree.setdefault("/".join(steps[:k]), [0] * 6)
+                    if k < len(steps):
+                        node[4 + w] |= bit
+                    else:
+                        node[w] |= bit
+                        node[2 + w] |= bit if is_dir else 0
+            return bit.bit_length() - 1
+
+        for part in parts:
+            out = []
+            for d, t, *claim in part[["depth", "task_id", "path", "is_dir", "mode"]].itertuples(index=False):
+                if (d, t) != (depth, task):
+                    if rows:
+                        out.append((depth, task, placed()))
+                    if d != depth:
+                        tree = {}
+                    depth, task, rows = d, t, []
+                rows.append(claim)
+            yield pd.DataFrame(out, columns=["depth", "id", "colour"])
+        if rows:
+            yield pd.DataFrame([(depth, task, placed())], columns=["depth", "id", "colour"])
+
+    coloured = contested.repartition("depth").sortWithinPartitions("depth", "task_id").mapInPandas(colour, f"depth {kind['depth']}, id {kind['id']}, colour int")
+    return tasks.select("depth", "id").join(coloured, ["depth", "id"], "left").withColumn("colour", F.coalesce("colour", F.lit(0)))
+
+
 def waves(coloured: DataFrame) -> DataFrame:
     """(id, wave): the global number of each (depth, colour), both ascending.
 
     The numbers come from the distinct pairs, which are few, so the window isn't over the tasks.
     """
-    from pyspark.sql import Window
-
     pairs = coloured.select("depth", "colour").distinct()
     numbered = pairs.withColumn("wave", F.row_number().over(Window.orderBy("depth", "colour")) - 1)
     return coloured.join(numbered, ["depth", "colour"]).select("id", "wave")
@@ -206,8 +443,6 @@ def import_graph(files: DataFrame, imports: DataFrame, suffixes: tuple[str, ...]
 
 def by_volatility(tasks: DataFrame, forecasts: DataFrame) -> DataFrame:
     """tasks (depth, id) with `place` in their depth: the most volatile first, ids break ties."""
-    from pyspark.sql import Window
-
     scored = tasks.join(forecasts.select(F.col("task_id").alias("id"), "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.5)))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy(F.desc("score"), "id")) - 1).select("depth", "id", "score", "place")
 
@@ -217,14 +452,84 @@ def shuffled(tasks: DataFrame, seed: int) -> DataFrame:
     return tasks.orderBy(F.xxhash64(F.lit(seed), "id"), "id")
 
 
+def _placed(rows: DataFrame, by: list[str], begin: int) -> DataFrame:
+    """rows with `_pos`: begin, begin + 1, ... in the order of the columns `by`, counted by sorted partitions."""
+    part = F.spark_partition_id()
+    cut = cut_lineage(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_part": part, "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "placed")
+    sizes = cut.groupBy("_part").count()  # one row a partition
+    start = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count") + begin).alias("_start"))
+    return cut.join(F.broadcast(start), "_part").withColumn("_pos", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
 def schedule(nodes: DataFrame, edges: DataFrame, slots: int) -> DataFrame:
-    """(id, step): when a ready queue with `slots` places would start each task, tasks of a depth in id order.
+    """(id, step): when a ready queue with `slots` places starts each task, if every task takes one step.
 
-    Every depth starts after the one before; within it tasks take ceil(n / slots) steps. Depths' step counts are few.
-    """
-    from pyspark.sql import Window
+    Tasks that nothing leads to queue in id order. A task queues when the last task that leads to it has ended, tasks that one
+    ended task sets free in id order; each step starts the first `slots` of the queue. Tasks on or behind a cycle never start.
 
-    placed = depths(nodes, edges).where(F.col("depth").isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy("depth").orderBy("id")) - 1)
-    sizes = placed.groupBy("depth").agg(F.ceil(F.count(F.lit(1)) / slots).alias("steps"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("steps").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("depth", "start")
-    return placed.join(starts, "depth").select("id", (F.col("start") + F.floor(F.col("_n") / slots)).cast("bigint").alias("step"))
+    The queue's order doesn't depend on the slots: it goes by depth, and in a depth by the place of the last task before. So
+    the order is found level by level, and one pass over it, of two numbers a task, is the clock.
+    """
+    ids = nodes.select("id").distinct()
+    sound = _sound(nodes, edges)
+    lone = ids.join(sound.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("lone"))
+    all_ = cut_lineage(sound.select("src", "dst", F.lit(False).alias("lone")).unionByName(lone), "tasks")
+    if all_.count() <= SMALL:
+        kind = T.StructType([T.StructField("id", ids.schema["id"].dataType), T.StructField("_pos", T.LongType()), T.StructField("_after", T.LongType())])
+        order = _in_one_task(all_, _queued, kind)
+    else:
+        depth = cut_lineage(depths(nodes, edges).where(F.col("depth").isNotNull()), "depths")
+        order, level, begin = None, 0, 0
+        while True:
+            now = depth.where(F.col("depth") == level).select("id")
+            if level:
+                last = sound.join(order.select(F.col("id").alias("src"), "_pos"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("_pos").alias("_after"))
+                now = now.join(last, "id")
+            else:
+                now = now.withColumn("_after", F.lit(-1).cast("bigint"))
+            now = cut_lineage(_placed(now, ["_after", "id"], begin), "queued")
+            n = now.count()
+            if not n:
+                break
+            order, level, begin = (now if order is None else order.unionByName(now)), level + 1, begin + n
+        if order is None:
+            return ids.select("id", F.lit(0).cast("bigint").alias("step")).limit(0)
+    kind = dict(ids.dtypes)["id"]
+
+    def clock(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begins: list[int] = []  # the place of each step's first task
+        steps: list[int] = []
+        now, used = -1, slots
+        for part in parts:
+            out = []
+            for pos, after in zip(part["_pos"], part["_after"]):
+                ready = 0 if after < 0 else steps[bisect_right(begins, after) - 1] + 1
+                if ready > now or used == slots:
+                    now, used = max(ready, now + 1), 0
+                    begins.append(pos)
+                    steps.append(now)
+                used += 1
+                out.append(now)
+            yield pd.DataFrame({"id": part["id"], "step": out})
+
+    return order.select("id", "_pos", "_after").repartition(1).sortWithinPartitions("_pos").mapInPandas(clock, f"id {kind}, step bigint")
+
+
+def _queued(table: pa.Table) -> dict[str, pa.Array]:
+    """The order in which a first-in first-out queue gives the tasks of a small graph, and the place of the last one each waits for
+    (-1: none). Rows that are `lone` are tasks without an edge."""
+    src, dst, ids = _coded(table)
+    edge = ~table.column("lone").to_numpy()
+    first, after = (x.tolist() for x in _adjacent(src[edge], dst[edge], len(ids)))
+    waits = np.bincount(dst[edge], minlength=len(ids)).tolist()
+    queue = deque((v, -1) for v in range(len(ids)) if not waits[v])
+    order, behind = [], []
+    while queue:
+        v, last = queue.popleft()
+        order.append(v)
+        behind.append(last)
+        for w in after[first[v] : first[v + 1]]:
+            waits[w] -= 1
+            if not waits[w]:
+                queue.append((w, len(order) - 1))
+    return {"id": ids.take(pa.array(order, pa.int64())), "_pos": pa.array(range(len(order)), pa.int64()), "_after": pa.array(behind, pa.int64())}

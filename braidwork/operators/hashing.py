@@ -70,12 +70,12 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def cache_keys(tasks: DataFrame, inputs: DataFrame, files: DataFrame, env: DataFrame, version: str = "1") -> DataFrame:
     """tasks (id, cmd array, writes array, env_reads array), inputs (id, path), files (path, content_hash, logic_hash),
     env (name, value). (id, key). Tasks with outputs are keyed by content, the others by logic; a missing file is EMPTY;
-    a variable that is unset differs from an empty one."""
+    a set variable is name=value, one that is unset its name alone."""
     by_content = tasks.select("id", (F.size(F.coalesce("writes", F.expr("cast(array() as array<string>)"))) > 0).alias("content"))
     hashed = inputs.join(by_content, "id").join(files, "path", "left").withColumn("h", F.coalesce(F.when(F.col("content"), F.col("content_hash")).otherwise(F.col("logic_hash")), F.lit(EMPTY)))
     listed = hashed.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("path", "h"))), lambda x: F.concat_ws(NUL, x.path, x.h)), NUL).alias("files"))
     named = tasks.select("id", F.explode(F.array_distinct("env_reads")).alias("name")).join(env, "name", "left")
-    variables = named.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", F.coalesce("value", F.lit(UNSET)).alias("v")))), lambda x: F.concat_ws("=", x["name"], x["v"])), NUL).alias("vars"))
+    variables = named.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda x: F.when(x["value"].isNull(), x["name"]).otherwise(F.concat_ws("=", x["name"], x["value"]))), NUL).alias("vars"))
     return tasks.join(listed, "id", "left").join(variables, "id", "left").select("id", sha(F.lit(version), F.col("id"), F.to_json("cmd"), F.coalesce("files", F.lit("")), F.coalesce("vars", F.lit(""))).alias("key"))
 
 

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as X
 from braidwork.operators import claims as C
 from braidwork.operators import expand, graph, hashing, ledger, report, trace
+from braidwork.plans import file_catalog  # noqa: F401  registers its queries
 from braidwork.plans import models as M
 from braidwork.plans.models import table
+from braidwork.plans.registry import QUERIES, SQL, query  # noqa: F401
 from braidwork.streaming import folds
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
@@ -107,9 +94,9 @@ def d13_order_statistics(spark, d):
     return rounded(ledger.order_statistics(table(spark, d, "events"), ["event_type"], "value"), "median")
 
 
-@query("SELECT event_type, count(*) FILTER (value < 50) AS hits, count(*) FILTER (value >= 50) AS misses, CAST(coalesce(sum(length(props)) FILTER (value < 50), 0) AS BIGINT) AS bytes FROM events WHERE event_type = 'view' GROUP BY event_type")
+@query("SELECT count(*) FILTER (value < 50) AS hits, count(*) FILTER (value >= 50) AS misses, CAST(coalesce(sum(length(props)) FILTER (value < 50), 0) AS BIGINT) AS bytes FROM events")
 def d22_counters(spark, d):
-    return ledger.counters(table(spark, d, "events").where("event_type = 'view'"), F.col("value") < 50, F.length("props")).select(F.lit("view").alias("event_type"), "hits", "misses", "bytes")
+    return ledger.counters(table(spark, d, "events"), F.col("value") < 50, F.length("props")).select("hits", "misses", "bytes")
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS path_ms, count(*) AS tasks FROM lineitem GROUP BY 1, 2")
@@ -236,19 +223,32 @@ def b32_findings(spark, d):
     return C.findings(found, none).groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH p AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '{M.URL}', 1), '/+$', '') AS path FROM pages) SELECT page_id, url, path, NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AS safe, 'https' AS proto, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS dir, regexp_extract(path, '([^/]*)/*$', 1) AS base FROM p WHERE starts_with(url, 'https:')")
+@query(f"WITH p AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '{M.URL}', 1), '/+$', '') AS path FROM pages) SELECT page_id, url, path, NOT starts_with(path, '/') AND NOT list_contains(string_split(path, '/'), '..') AS safe, split_part(url, ':', 1) AS proto, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '.' END AS dir, regexp_extract(path, '([^/]*)/*$', 1) AS base, CASE WHEN path = '' THEN '.' ELSE path END AS folded, page_id % 2 = 1 AS is_dir FROM p")
 def b1_b2_b3_b4_paths(spark, d):
-    path = X.normalise_fs_path(F.concat(F.lit("fs:./"), F.regexp_extract("url", M.URL, 1)))
-    p = table(spark, d, "pages").select("page_id", "url", path.alias("path"), X.protocol(F.col("url")).alias("proto")).where("proto = 'https'")
-    return p.select("page_id", "url", "path", X.is_safe_path(F.col("path")).alias("safe"), "proto", X.dirname(F.col("path")).alias("dir"), X.basename(F.col("path")).alias("base"))
-
-
-@query(f"WITH {M.CLAIMS}, q AS (SELECT DISTINCT path FROM p WHERE path <> '' AND page_id % 5 = 0) SELECT a.path AS a, b.path AS b, a.path = b.path OR starts_with(b.path, a.path || '/') AS covers, a.path = b.path OR starts_with(a.path, b.path || '/') OR starts_with(b.path, a.path || '/') AS overlap, CASE WHEN a.path = b.path THEN a.path WHEN starts_with(b.path, a.path) AND a.path LIKE '%/' THEN b.path END AS contained FROM q a JOIN q b ON substr(a.path, 1, 4) = substr(b.path, 1, 4)")
+    bare = F.regexp_extract("url", M.URL, 1)
+    path = X.normalise_fs_path(F.concat(F.lit("fs:./"), bare))
+    claim = C.normalised_claim(F.concat(F.lit("fs:x/.//../"), F.regexp_replace(bare, "/+$", ""), F.when(F.col("page_id") % 2 == 1, "/").otherwise("")))
+    p = table(spark, d, "pages").select("page_id", "url", path.alias("path"), X.protocol(F.col("url")).alias("proto"), claim.alias("c"))
+    return p.select("page_id", "url", "path", X.is_safe_path(F.col("path")).alias("safe"), "proto", X.dirname(F.col("path")).alias("dir"), X.basename(F.col("path")).alias("base"), F.col("c.path").alias("folded"), F.when(F.col("path") == "", F.col("page_id") % 2 == 1).otherwise(F.col("c.is_dir")).alias("is_dir"))
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '{M.URL}', 1), '/+$', '') AS path FROM pages), q AS (SELECT DISTINCT path, CASE WHEN length(path) % 2 = 0 THEN '/' ELSE '' END AS e FROM p WHERE path <> ''),
+n AS (SELECT path AS x, lead(path) OVER (ORDER BY path) AS y FROM q),
+k AS (SELECT a.path AS x, b.path AS y FROM q a JOIN q b ON a.path = b.path OR starts_with(a.path, b.path || '/') UNION SELECT b.path, a.path FROM q a JOIN q b ON starts_with(a.path, b.path || '/') UNION SELECT x, y FROM n WHERE y IS NOT NULL)
+SELECT a.path || a.e AS a, b.path || b.e AS b, a.path = b.path OR starts_with(b.path, a.path || '/') AS covers, a.path = b.path OR starts_with(a.path, b.path || '/') OR starts_with(b.path, a.path || '/') AS overlap,
+CASE WHEN a.path = b.path THEN a.path || a.e WHEN a.e = '/' AND starts_with(b.path || b.e, a.path || '/') THEN b.path || b.e WHEN b.e = '/' AND starts_with(a.path || a.e, b.path || '/') THEN a.path || a.e END AS contained
+FROM k JOIN q a ON a.path = x JOIN q b ON b.path = y""")
 def b9_b10_b11_predicates(spark, d):
-    q = M.table(spark, d, "pages").where("page_id % 5 = 0").select(F.regexp_replace(F.regexp_extract("url", M.URL, 1), "/+$", "").alias("path")).where("path != ''").distinct().withColumn("_k", F.substring("path", 1, 4))
-    both = q.select("_k", F.col("path").alias("a")).join(q.select("_k", F.col("path").alias("b")), "_k")
+    """All paths of pages against those that hold them, those they hold, and their neighbours in order; every other length a directory."""
+    path = F.regexp_replace(F.regexp_extract("url", M.URL, 1), "/+$", "")
+    q = table(spark, d, "pages").select(path.alias("path")).where("path != ''").distinct()
+    t = q.select(F.col("path").alias("task_id"), "path")
+    held = C.containment_join(t, t).select(F.col("inner_path").alias("x"), F.col("outer_path").alias("y"))
+    after = q.select(F.col("path").alias("x"), F.lead("path").over(Window.orderBy("path")).alias("y")).where("y is not null")
+    end = lambda c: F.concat(F.col(c), F.when(F.length(c) % 2 == 0, "/").otherwise(""))
+    both = held.unionByName(held.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(after).distinct().select(end("x").alias("a"), end("y").alias("b"))
     fs = lambda c: F.concat(F.lit("fs:"), F.col(c))
-    return both.select("a", "b", C.write_covers(F.col("a"), F.col("b")).alias("covers"), C.segments_overlap(fs("a"), fs("b")).alias("overlap"), C.directory_contains(F.col("a"), F.col("b")).alias("contained"))
+    return both.select("a", "b", C.write_covers(F.concat(F.lit("./"), "a"), fs("b")).alias("covers"), C.segments_overlap(fs("a"), fs("b")).alias("overlap"), C.directory_contains(F.col("a"), F.col("b")).alias("contained"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'fs' WHEN 'click' THEN 'fs' WHEN 'signup' THEN 'env' WHEN 'purchase' THEN 'port' END AS proto, CASE event_type WHEN 'view' THEN 'write' WHEN 'click' THEN 'read' WHEN 'signup' THEN 'read' WHEN 'purchase' THEN 'write' END AS mode, CASE event_type WHEN 'purchase' THEN 'port:' || CAST(user_id AS VARCHAR) WHEN 'error' THEN NULL ELSE CAST(user_id AS VARCHAR) END AS path FROM events")
@@ -257,18 +257,22 @@ def b5_b6_claim_arguments(spark, d):
     return table(spark, d, "events").select("event_id", C.parsed_argument(arg).alias("c")).select("event_id", "c.proto", "c.mode", "c.path")
 
 
-@query("SELECT s_suppkey, 'agent-' || s_suppkey AS name, CASE WHEN s_suppkey % 2 = 0 THEN '1.' || s_suppkey ELSE 'unknown' END AS version FROM supplier")
+@query(r"SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'unknown' WHEN s_suppkey % 2 = 0 THEN regexp_extract(c, '^(.*)-(v.*)$', 1) ELSE c END AS name, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 <> 0 THEN regexp_extract(c, '^(.*)-(v.*)$', 2) ELSE 'unknown' END AS version FROM (SELECT s_suppkey, 'agent-' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '-vm' || s_suppkey % 3 || '-v1.' || s_suppkey ELSE '' END AS c FROM supplier)")
 def b7_callers(spark, d):
-    name = F.concat(F.lit("agent-"), F.col("s_suppkey").cast("string"))
-    caller = F.when(F.col("s_suppkey") % 2 == 0, F.concat(name, F.lit("-v1."), F.col("s_suppkey").cast("string"))).otherwise(name)
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("agent-"), k.cast("string"))
+    caller = F.when(k % 2 == 0, F.concat(name, F.lit("-vm"), (k % 3).cast("string"), F.lit("-v1."), k.cast("string"))).otherwise(name)
+    caller = F.when(k % 10 == 0, F.lit("")).when(k % 5 == 0, F.lit(None)).otherwise(caller)
     return table(spark, d, "supplier").select("s_suppkey", X.caller_name(caller).alias("name"), X.caller_version(caller).alias("version"))
 
 
-@query("WITH t AS (SELECT DISTINCT l_orderkey AS id, 'r/' || l_suppkey AS path FROM lineitem UNION SELECT DISTINCT l_orderkey, 'q/' || l_partkey FROM lineitem) SELECT id, path FROM t WHERE id % 2 = 1 OR path NOT LIKE 'r/%'")
+@query("WITH t AS (SELECT DISTINCT l_orderkey AS id, 'r/' || l_suppkey AS path FROM lineitem UNION SELECT DISTINCT l_orderkey, 'q/' || l_partkey FROM lineitem UNION SELECT DISTINCT l_orderkey, 'w/' || l_linenumber FROM lineitem) SELECT id, path FROM t WHERE (id % 2 = 1 OR path NOT LIKE 'r/%') AND (id % 3 <> 0 OR path <> 'w/2')")
 def b8_cache_inputs(spark, d):
-    arr = lambda p, c: F.collect_list(F.concat(F.lit(p), F.col(c).cast("string")))
-    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(arr("r/", "l_suppkey").alias("reads"), arr("fs:q/", "l_partkey").alias("claims"))
-    return C.cache_inputs(t.withColumn("writes", F.when(F.col("id") % 2 == 0, F.array(F.lit("r")))))
+    """Reads with ./ and trailing slashes, claims of several protocols, writes of directories and files in other spellings."""
+    k = F.col("l_linenumber")
+    arr = lambda p, c, e="": F.collect_list(F.concat(F.lit(p), F.col(c).cast("string"), F.lit(e)))
+    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(arr("./r/", "l_suppkey"), arr("w\\", "l_linenumber", "/"), F.collect_set(F.when(k == 1, ""))).alias("reads"), F.concat(arr("fs:q/", "l_partkey"), arr("env:", "l_partkey"), arr("FS:no/", "l_partkey")).alias("claims"))
+    return C.cache_inputs(t.withColumn("writes", F.array_compact(F.array(F.when(F.col("id") % 2 == 0, "fs:./r/"), F.when(F.col("id") % 3 == 0, "w/2"), F.lit("./")))))
 
 
 @query("SELECT o_orderkey, (o_orderstatus IN ('F', 'O')) AND (o_orderpriority = '1-URGENT' OR o_orderpriority LIKE '%LOW' OR o_orderkey % 10 = 0) AS open FROM orders")
@@ -278,11 +282,11 @@ def b12_gate(spark, d):
     return table(spark, d, "orders").select("o_orderkey", expand.gate(F.array(F.lit("F"), F.lit("O")), F.col("o_orderstatus"), ok).alias("open"))
 
 
-@query("SELECT c_custkey, 'AB' || c_mktsegment AS x, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS passed FROM customer")
+@query("SELECT c_custkey, array_to_string(list_sort(CASE WHEN c_custkey % 2 = 0 THEN [c_mktsegment, 'HOME', 'PATH', 'TERM'] ELSE ['HOME', 'PATH', 'TERM'] END), ',') AS passed FROM customer")
 def b13_allowed_env(spark, d):
-    env = F.create_map(F.lit("PATH"), F.lit("/bin"), F.lit("SECRET"), F.lit("s"), F.col("c_mktsegment"), F.lit("1"))
-    claimed = F.when(F.col("c_custkey") % 2 == 0, F.array("c_mktsegment")).otherwise(F.array(F.lit("none")))
-    return table(spark, d, "customer").select("c_custkey", F.concat(F.lit("AB"), "c_mktsegment").alias("x"), F.size(expand.allowed_env(env, claimed)).alias("passed"))
+    env = F.create_map(*[F.lit(x) for x in ("PATH", "/bin", "SECRET", "s", "TERM", "t", "SHELL", "sh", "HOME", "h")], F.col("c_mktsegment"), F.lit("1"))
+    claimed = F.when(F.col("c_custkey") % 2 == 0, F.array("c_mktsegment", F.lit("ABSENT"))).otherwise(F.array(F.lit("none")))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.array_sort(F.map_keys(expand.allowed_env(env, claimed))), ",").alias("passed"))
 
 
 @query("SELECT 'env' AS kind, p_brand AS name, CASE WHEN p_brand = 'Brand#2' THEN 'platform' ELSE 'claim' END AS class FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand <> 'Brand#1' UNION ALL SELECT 'flag', p_type, 'logic' FROM (SELECT DISTINCT p_type FROM part)")
@@ -293,16 +297,20 @@ def b14_settings(spark, d):
     return expand.classified_settings(s, dim)
 
 
-@query("WITH s AS (SELECT p_partkey AS seq, regexp_replace(p_name, '[^A-Za-z0-9_.:-]+', '-', 'g') AS slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY seq) AS n FROM s) SELECT seq, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS id FROM n")
+@query("WITH s AS (SELECT p_partkey AS seq, coalesce(nullif(trim(regexp_replace(regexp_replace('@' || p_name || CASE WHEN p_partkey % 3 = 0 THEN '  c.d:e ' ELSE '' END, '[^a-zA-Z0-9_-]', '-', 'g'), '-', ' ', 'g')), ''), 'task') AS slug FROM part), n AS (SELECT seq, replace(slug, ' ', '-') AS slug, row_number() OVER (PARTITION BY slug ORDER BY seq) AS n FROM s) SELECT seq, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS id FROM n")
 def b15_unique_ids(spark, d):
-    return expand.unique_ids(table(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name")))
+    """Names with runs of characters that ids don't have; natural collisions are tested against the sequential rule."""
+    name = F.concat(F.lit("@"), "p_name", F.when(F.col("p_partkey") % 3 == 0, "  c.d:e ").otherwise(""))
+    return expand.unique_ids(table(spark, d, "part").select(F.col("p_partkey").alias("seq"), name.alias("name")))
 
 
-@query("SELECT o_orderkey AS id, list_sort(list(DISTINCT 'p' || l_partkey)) AS dependencies, 300000 AS timeout FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+@query("SELECT o_orderkey AS id, list_sort(list(DISTINCT 'p' || l_partkey)) AS dependencies, list_sort(list(DISTINCT 'd/' || l_suppkey)) AS inputs, CAST(CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 7 ELSE 300000 END AS INTEGER) AS timeout, o_orderkey % 2 = 1 AS cache, CASE WHEN o_orderkey % 5 <> 0 THEN 'w/x' END AS cwd FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def b16_normal_tasks(spark, d):
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("dependencies"))
-    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(li, F.col("id") == F.col("l_orderkey")).select("id", "dependencies", F.lit(0).alias("timeout"))
-    return expand.normal_tasks(t)
+    arr = lambda p, c: F.collect_list(F.concat(F.lit(p), F.col(c).cast("string")))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(arr("p", "l_partkey").alias("dependencies"), F.concat(arr("d\\", "l_suppkey"), arr("d/", "l_suppkey")).alias("inputs"))
+    k = F.col("id")
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(li, "id")
+    return expand.normal_tasks(t.select("id", "dependencies", "inputs", F.when(k % 3 == 0, 0).when(k % 3 == 1, 7).alias("timeout"), F.when(k % 2 == 0, False).alias("cache"), F.when(k % 5 != 0, "w\\x").when(k % 2 == 0, "").alias("cwd")))
 
 
 @query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 7)")
@@ -312,9 +320,9 @@ def b20_missing_outputs(spark, d):
     return C.missing_outputs(w, f).select("id")
 
 
-@query("SELECT doc_id, right(text, 50) AS tail, length(text) AS n FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, right(text, 50) AS tail, length(text) AS n FROM documents")
 def b24_log_tail(spark, d):
-    return table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", X.tail(F.col("text"), 50).alias("tail"), F.length("text").cast("bigint").alias("n"))
+    return table(spark, d, "documents").select("doc_id", X.tail(F.col("text"), 50).alias("tail"), F.length("text").cast("bigint").alias("n"))
 
 
 @query("SELECT p_partkey, regexp_matches(p_type || '.' || p_partkey, '^[a-zA-Z0-9_.-]+$') AS ok, regexp_matches(p_name, '^[a-zA-Z0-9_.-]+$') AS bad FROM part")
@@ -328,19 +336,25 @@ def b27_stale(spark, d):
     return table(spark, d, "orders").select("o_orderkey", hashing.stale(X.epoch_ms(F.col("o_orderdate")), lock).alias("stale"))
 
 
-@query("SELECT id, rule FROM (SELECT s_suppkey AS id, 'self-dependency' AS rule FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT s_suppkey, 'unknown-dependency' FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT s_suppkey, 'cmd' FROM supplier WHERE s_suppkey % 11 = 0)")
+@query("""WITH t AS (SELECT s_suppkey AS k, CASE s_suppkey % 6 WHEN 0 THEN 'a b' WHEN 1 THEN 'x@' WHEN 2 THEN 'a.b' WHEN 3 THEN 'é' ELSE 'ok_-' END || s_suppkey AS id FROM supplier)
+SELECT id, 'id' AS rule FROM t WHERE k % 6 < 4 UNION ALL SELECT id, 'self-dependency' FROM t WHERE k % 5 = 0 UNION ALL SELECT id, 'unknown-dependency' FROM t WHERE k % 7 = 0 UNION ALL SELECT id, 'cmd' FROM t WHERE k % 11 = 0
+UNION ALL SELECT id, 'matrix-axes' FROM t WHERE k % 13 = 0 UNION ALL SELECT id, 'matrix-rows' FROM t WHERE k % 13 = 1""")
 def b28_violations(spark, d):
     k = F.col("s_suppkey")
+    start = F.when(k % 6 == 0, "a b").when(k % 6 == 1, "x@").when(k % 6 == 2, "a.b").when(k % 6 == 3, "é").otherwise("ok_-")
     deps = F.array_compact(F.array(F.when(k % 5 == 0, F.col("id")), F.when(k % 7 == 0, F.lit("nowhere"))))
-    t = table(spark, d, "supplier").select(k, k.cast("string").alias("id")).select("id", F.when(k % 11 != 0, F.array(F.lit("x"))).alias("cmd"), deps.alias("deps"), F.lit(None).cast("map<string,array<string>>").alias("matrix"))
-    return expand.constraint_violations(t).select(F.col("id").cast("bigint").alias("id"), "rule")
+    axes = F.map_from_arrays(F.array(*[F.lit(x) for x in "abcde"]), F.array(*[F.array(F.lit("1"))] * 5))
+    many = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(*[F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x.cast("string")) for n in (16, 17)]))
+    t = table(spark, d, "supplier").select(k, F.concat(start, k.cast("string")).alias("id")).select("id", F.when(k % 11 != 0, F.array(F.lit("x"))).alias("cmd"), deps.alias("deps"), F.when(k % 13 == 0, axes).when(k % 13 == 1, many).alias("matrix"))
+    return expand.constraint_violations(t)
 
 
-@query("SELECT doc_id, doc_id % 2 = 0 AS comment_only FROM documents WHERE lang = 'en' AND text NOT LIKE '%/%' AND length(text) > 0")
+@query(r"""WITH d AS (SELECT doc_id, text AS a, CASE WHEN doc_id % 2 = 0 THEN text || ' /* note' || chr(10) || 'more */ // end' ELSE text || 'changed' END AS b FROM documents),
+x AS (SELECT doc_id, a, b, regexp_replace(regexp_replace(regexp_replace(a, '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g'), '[ \t\n\x0B\f\r]+', '', 'g') AS p, regexp_replace(regexp_replace(regexp_replace(b, '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g'), '[ \t\n\x0B\f\r]+', '', 'g') AS q FROM d)
+SELECT doc_id, a <> b AND p = q AS comment_only FROM x""")
 def b30_comment_only(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en' AND text NOT LIKE '%/%' AND length(text) > 0")
     after = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" /* note\nmore */ // end"))).otherwise(F.concat("text", F.lit("changed")))
-    return docs.select("doc_id", hashing.comment_only(F.col("text"), after).alias("comment_only"))
+    return table(spark, d, "documents").select("doc_id", hashing.comment_only(F.col("text"), after).alias("comment_only"))
 
 
 # Joins and expansion
@@ -357,18 +371,26 @@ def c8_snapshot_diff(spark, d):
     return hashing.snapshot_diff(*M.snapshots(spark, d))
 
 
-@query("WITH e AS (SELECT DISTINCT user_id, value FROM events), f AS (SELECT user_id AS pid, event_type, CAST(floor(value) AS INT) AS path FROM events) SELECT DISTINCT w.pid AS producer, r.pid AS consumer FROM f w JOIN f r ON w.path = r.path AND w.event_type = 'purchase' AND r.event_type = 'click' AND w.pid < r.pid WHERE w.path > 60")
+@query("WITH f AS (SELECT DISTINCT user_id AS pid, event_type, CAST(floor(value) AS INT) AS path FROM events) SELECT DISTINCT w.pid AS producer, r.pid AS consumer FROM f w JOIN f r ON w.path = r.path AND w.event_type = 'purchase' AND r.event_type = 'click' AND w.pid < r.pid")
 def c9_read_after_write(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("pid"), F.floor("value").cast("string").alias("path"), F.when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "click", "read").alias("mode")).where("mode is not null AND cast(path as int) > 60")
+    e = table(spark, d, "events").select(F.col("user_id").alias("pid"), F.floor("value").cast("string").alias("path"), F.when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "click", "read").alias("mode")).where("mode is not null").distinct()
     return trace.read_after_write(e, e.select("pid", F.col("pid").alias("idx")).distinct())
 
 
-@query("WITH f AS (SELECT p_partkey, replace(p_name, ' ', '/') AS n FROM part), i AS (SELECT DISTINCT 'src/' || a.n || '.ts' AS source, '../' || b.n AS target, 'src/' || b.n || '.ts' AS r FROM f a JOIN f b ON b.p_partkey = a.p_partkey + 1) SELECT source, target, 'static' AS kind, r AS resolved FROM i WHERE r IN (SELECT 'src/' || n || '.ts' FROM f WHERE p_partkey % 3 <> 0)")
+@query("""WITH p AS (SELECT p_partkey, replace(p_name, ' ', '/') AS n FROM part),
+f AS (SELECT DISTINCT CASE p_partkey % 7 WHEN 0 THEN 'src/' || n || '.ts' WHEN 1 THEN 'src/' || n || '/index.ts' WHEN 2 THEN 'src/' || n || '.tsx' WHEN 3 THEN 'src/' || n || '/__init__.ts' WHEN 4 THEN 'src/' || n || '/index.tsx' WHEN 5 THEN 'src/' || n ELSE n || '.tsx' END AS id FROM p),
+i AS (SELECT DISTINCT 'src/main.ts' AS source, CASE WHEN p_partkey % 11 = 0 THEN '../../' || n WHEN p_partkey % 2 = 0 THEN './' || n ELSE n END AS target, n, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 1 END AS inside FROM p),
+c AS (SELECT source, target, b.r * 10 + t.r AS rank, b.base || t.tail AS id FROM i, LATERAL (VALUES (0, 'src/' || n), (1, n)) b(r, base), (VALUES (0, ''), (1, '.ts'), (2, '/index.ts'), (3, '/__init__.ts'), (4, '.tsx'), (5, '/index.tsx'), (6, '/__init__.tsx')) t(r, tail) WHERE inside = 1)
+SELECT source, target, 'static' AS kind, arg_min(id, rank) AS resolved FROM c WHERE id IN (SELECT id FROM f) GROUP BY source, target""")
 def c10_imports(spark, d):
-    p = M.parts(spark, d)
-    files = p.where("p_partkey % 3 != 0").select("id").distinct()
-    imports = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("id").alias("to")), "p_partkey").select(F.col("id").alias("source"), F.regexp_replace(F.regexp_replace("to", "^src", ".."), r"\.ts$", "").alias("target"), F.lit("static").alias("kind")).distinct()
-    return expand.resolve_imports(files, imports, (".ts", ".tsx"))
+    """Part names as files in every form that an import may mean, imported from src/main.ts relatively, from the root, and out of it."""
+    n, k = F.replace("p_name", F.lit(" "), F.lit("/")), F.col("p_partkey")
+    forms = ["src/{}.ts", "src/{}/index.ts", "src/{}.tsx", "src/{}/__init__.ts", "src/{}/index.tsx", "src/{}", "{}.tsx"]
+    form = F.element_at(F.array(*[F.lit(x) for x in forms]), (k % 7 + 1).cast("int"))
+    p = table(spark, d, "part")
+    files = p.select(F.replace(form, F.lit("{}"), n).alias("id")).distinct()
+    target = F.when(k % 11 == 0, F.concat(F.lit("../../"), n)).when(k % 2 == 0, F.concat(F.lit("./"), n)).otherwise(n)
+    return expand.resolve_imports(files, p.select(F.lit("src/main.ts").alias("source"), target.alias("target"), F.lit("static").alias("kind")).distinct(), (".ts", ".tsx"))
 
 
 _PACKAGES = """pk AS (SELECT DISTINCT p_brand AS package FROM part), sc AS (SELECT package, script FROM pk, (VALUES ('build'), ('test')) v(script) WHERE script = 'build' OR length(package) = 7),
@@ -390,11 +412,14 @@ def c12_internal_dependencies(spark, d):
     return expand.internal_dependencies(dep, table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("package")))
 
 
-@query("WITH a AS (SELECT DISTINCT o_orderpriority AS v FROM orders), o AS (SELECT unnest(['linux', 'mac']) AS os) SELECT r_name || '[os=' || os || ',pri=' || v || ']' AS id, os, v AS pri FROM region, a, o")
+@query("WITH a AS (SELECT DISTINCT regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '.', 'g') AS v FROM orders), o AS (SELECT unnest(['linux', 'mac']) AS os) SELECT r_name || '-os=' || os || '-pri=' || v AS id, os, v AS pri, 'me' AS own FROM region, a, o UNION ALL SELECT 'plain', NULL, NULL, 'me'")
 def c13_matrix(spark, d):
-    pri = table(spark, d, "orders").agg(F.collect_set("o_orderpriority").alias("pri"))
-    t = table(spark, d, "region").crossJoin(F.broadcast(pri)).select(F.col("r_name").alias("id"), F.create_map(F.lit("pri"), F.col("pri"), F.lit("os"), F.array(F.lit("mac"), F.lit("linux"))).alias("matrix"))
-    return expand.matrix_rows(t).select("id", F.col("env")["MATRIX_OS"].alias("os"), F.col("env")["MATRIX_PRI"].alias("pri"))
+    """Two axes and a task without a matrix; what the task sets stays beside the axes' variables."""
+    pri = table(spark, d, "orders").agg(F.array_sort(F.collect_set(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", "."))).alias("pri"))
+    env = F.create_map(F.lit("OWN"), F.lit("me"), F.lit("MATRIX_OS"), F.lit("older"))
+    t = table(spark, d, "region").crossJoin(F.broadcast(pri)).select(F.col("r_name").alias("id"), F.create_map(F.lit("pri"), F.col("pri"), F.lit("os"), F.array(F.lit("mac"), F.lit("linux"))).alias("matrix"), env.alias("env"))
+    plain = t.limit(1).select(F.lit("plain").alias("id"), F.expr("cast(map() as map<string, array<string>>)").alias("matrix"), F.create_map(F.lit("OWN"), F.lit("me")).alias("env"))
+    return expand.matrix_rows(t.unionByName(plain)).select("id", F.col("env")["MATRIX_OS"].alias("os"), F.col("env")["MATRIX_PRI"].alias("pri"), F.col("env")["OWN"].alias("own"))
 
 
 @query("SELECT c_custkey AS package, coalesce(min(o_orderpriority), 'echo none') AS command FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY c_custkey")
@@ -442,7 +467,7 @@ def h_identity(spark, d):
 
 
 @query("""WITH f AS (SELECT l_orderkey AS id, string_agg(DISTINCT 'p' || l_partkey || chr(0) || sha256(CAST(l_partkey AS VARCHAR)), chr(0) ORDER BY 'p' || l_partkey || chr(0) || sha256(CAST(l_partkey AS VARCHAR))) AS files FROM lineitem GROUP BY 1)
-SELECT id, sha256('1' || chr(0) || id || chr(0) || '["run","' || o_orderstatus || '"]' || chr(0) || files || chr(0) || 'HOME=' || chr(1) || 'unset' || chr(0) || 'MODE=m') AS key FROM f JOIN orders ON o_orderkey = id""")
+SELECT id, sha256('1' || chr(0) || id || chr(0) || '["run","' || o_orderstatus || '"]' || chr(0) || files || chr(0) || 'HOME' || chr(0) || 'MODE=m') AS key FROM f JOIN orders ON o_orderkey = id""")
 def d15_cache_keys(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("content_hash"))
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.array(F.lit("run"), F.col("o_orderstatus")).alias("cmd"), F.array(F.lit("out")).alias("writes"), F.array(F.lit("MODE"), F.lit("HOME")).alias("env_reads"))
@@ -478,11 +503,19 @@ def g4_strong_components(spark, d):
     return graph.strong_components(M.ring(spark, d))
 
 
-@query(f"{_REACH}, c AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS k FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src), o AS (SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM edges WHERE src < 20 UNION SELECT dst FROM edges WHERE src < 20)) SELECT 'combined' AS type, count(*) AS files, CAST(0.6 AS DOUBLE) AS confidence FROM c WHERE true GROUP BY k")
+@query(f"""WITH RECURSIVE {M.RING}, own AS (SELECT 'd' || id % 4 || '/n' || id || '.ts' AS f, id FROM nodes), e AS (SELECT src, dst FROM edges WHERE src % 4 <> 1 AND dst < 25 AND dst % 4 <> 1),
+r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst), c AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS k FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src),
+lone AS (SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM e UNION SELECT dst FROM e) AND id NOT IN (SELECT id FROM c)),
+m AS (SELECT k, string_agg(f, ',' ORDER BY f) AS files, string_agg(DISTINCT split_part(f, '/', 1), '-' ORDER BY split_part(f, '/', 1)) AS ds FROM c JOIN own USING (id) GROUP BY k)
+SELECT 'combined-' || ds AS id, 'combined' AS type, files, CAST(0.6 AS DOUBLE) AS confidence FROM m
+UNION ALL SELECT 'orphan-n' || id, 'orphan', f, 0.8 FROM lone JOIN own USING (id)
+UNION ALL SELECT 'isolated-' || split_part(f, '/', 1), 'isolated', string_agg(f, ',' ORDER BY f), 0.9 FROM own WHERE id NOT IN (SELECT id FROM c) AND id NOT IN (SELECT id FROM lone) GROUP BY split_part(f, '/', 1)""")
 def g5_proposals(spark, d):
-    n = M.ring_nodes(spark, d).select(F.col("id").cast("string").alias("id"))
-    e = M.ring(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-    return graph.proposals(n, e).where("type = 'combined'").select("type", F.size("files").cast("bigint").alias("files"), "confidence")
+    """Nations as files in four directories; one directory in four is on no edge."""
+    f = lambda c: F.concat(F.lit("d"), (F.col(c) % 4).cast("string"), F.lit("/n"), F.col(c).cast("string"), F.lit(".ts"))
+    e = M.ring(spark, d).where("src % 4 <> 1 AND dst < 25 AND dst % 4 <> 1")
+    found = graph.proposals(M.ring_nodes(spark, d).select(f("id").alias("id")), e.select(f("src").alias("src"), f("dst").alias("dst")))
+    return found.select("id", "type", F.array_join("files", ",").alias("files"), "confidence")
 
 
 @query(f"WITH {M.CHAIN} SELECT DISTINCT conv_id * 1000 + turn AS id FROM conversations c JOIN (SELECT conv_id AS k, min(turn) AS t FROM conversations WHERE turn >= 1 AND conv_id % 5 = 0 GROUP BY 1) f ON c.conv_id = f.k AND c.turn > f.t")
@@ -491,10 +524,10 @@ def g7_skipped(spark, d):
     return graph.skipped(M.chain(spark, d), failed)
 
 
-@query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 1) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 9 = 1)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def d19_orphans(spark, d):
-    e = table(spark, d, "customer").where("c_custkey % 50 = 1").select(F.col("c_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).unionByName(table(spark, d, "supplier").where("s_suppkey % 9 = 1").select(F.col("s_nationkey").alias("src"), F.col("s_nationkey").alias("dst")))
-    return graph.orphans(table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), e)
+    e = table(spark, d, "orders").select((-F.col("o_orderkey")).alias("src"), F.col("o_custkey").alias("dst"))
+    return graph.orphans(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), e)
 
 
 @query("SELECT id, (SELECT count(*) FROM lineitem WHERE l_suppkey = id) AS in_degree, CAST(0 AS BIGINT) AS dependents FROM (SELECT s_suppkey AS id FROM supplier)")
@@ -511,18 +544,19 @@ def d18_by_directory(spark, d):
 def _colouring(spark, d):
     c = M.claims(spark, d)
     tasks = c.select("task_id").distinct().select((F.col("task_id") % 3).alias("depth"), F.col("task_id").alias("id"))
-    pairs = C.overlaps(c).where("mode = 'write' OR o_mode = 'write'").select(F.least("task_id", "o_id").alias("task_a"), F.greatest("task_id", "o_id").alias("task_b")).distinct()
-    return tasks, pairs, graph.wave_colours(tasks, pairs)
+    return c, graph.claim_colours(tasks, c)
 
 
 @query()
 def g6_wave_colours(spark, d):
-    return _colouring(spark, d)[2]
+    """First fit of all pages' tasks, held against first fit over every earlier task in tests."""
+    return _colouring(spark, d)[1]
 
 
 @query()
 def g6_injected_edges(spark, d):
-    _, pairs, coloured = _colouring(spark, d)
+    c, coloured = _colouring(spark, d)
+    pairs = C.overlaps(c).where("mode = 'write' OR o_mode = 'write'").select(F.least("task_id", "o_id").alias("task_a"), F.greatest("task_id", "o_id").alias("task_b")).distinct()
     return graph.injected_edges(graph.waves(coloured), pairs)
 
 
@@ -539,8 +573,9 @@ def c14_edge_pruning(spark, d):
     return graph.without_cycles(M.ring_nodes(spark, d), e)[1]
 
 
-@query(f"WITH {M.CHAIN}, p AS (SELECT conv_id * 1000 + turn AS id, turn, row_number() OVER (PARTITION BY turn ORDER BY conv_id * 1000 + turn) - 1 AS n FROM conversations), s AS (SELECT turn, CAST(ceil(count(*) / 8) AS BIGINT) AS steps FROM conversations GROUP BY turn), t AS (SELECT turn, coalesce(sum(steps) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s) SELECT id, CAST(start + n // 8 AS BIGINT) AS step FROM p JOIN t USING (turn)")
+@query()
 def j6_schedule(spark, d):
+    """A queue of eight places over all conversations; held against a queue run step by step in tests."""
     return graph.schedule(M.chain_nodes(spark, d), M.chain(spark, d), 8)
 
 
@@ -585,6 +620,12 @@ def g10_trace_pipeline(spark, d):
     return trace.synthesise(n, n.select("pid", F.col("pid").alias("idx")))[1]
 
 
+@query(f"{_FOLDED}, c AS (SELECT pid, mode, path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)[^/]*$', 1) END AS dir FROM q), n AS (SELECT *, count(dir) OVER (PARTITION BY pid, mode, dir) AS k FROM c), z AS (SELECT DISTINCT pid, 'fs:' || mode || ':' || CASE WHEN dir IS NOT NULL AND k > 5 THEN dir ELSE path END AS claim FROM n) SELECT pid, 'tool_' || pid AS name, '/bin/tool ' || pid AS cmd, string_agg(claim, ' ' ORDER BY claim) AS claims FROM z GROUP BY pid")
+def g10_trace_tasks(spark, d):
+    n = trace.fold(_trace(spark, d), "/w")
+    return trace.synthesise(n, n.select("pid", F.col("pid").alias("idx")))[0].select("pid", "name", F.array_join("cmd", " ").alias("cmd"), F.array_join("claims", " ").alias("claims"))
+
+
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k")
 def j2_debounced(spark, d):
     return folds.debounced(table(spark, d, "events"), "user_id", "ts", "60 minutes")

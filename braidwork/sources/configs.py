@@ -78,9 +78,52 @@ def pipeline_tasks(spark: SparkSession, path: str, field: str) -> DataFrame:
 
 
 def target_dependencies(entry: Column) -> Column:
-    """A target's dependency as a plain name: JSON text or an object's target, without ^ and project placeholders; null if malformed."""
-    name = F.coalesce(F.get_json_object(entry, "$.target"), F.when(F.try_parse_json(entry).isNull() | entry.startswith('"'), F.regexp_replace(entry, '^"|"$', "")))
-    return F.regexp_replace(F.regexp_replace(name, r"^\^", ""), r"^\{projectRoot\}/", "")
+    """A target's dependency as a plain name: JSON text or an object's target, without ^; null if malformed or empty."""
+    parsed = F.try_parse_json(entry)
+    name = F.when(parsed.isNotNull() & entry.startswith("{"), F.get_json_object(entry, "$.target")).when(parsed.isNull() | entry.startswith('"'), F.regexp_replace(entry, '^"|"$', ""))
+    return F.nullif(F.trim(F.regexp_replace(name, r"^\^", "")), F.lit(""))
+
+
+def target_path(entry: Column) -> Column:
+    """A target's input or output as a path: JSON text, or an object's fileset, glob, root, input or output without the project
+    placeholder; null for what names no file."""
+    named = F.coalesce(*[F.get_json_object(entry, f"$.{c}") for c in ("fileset", "glob", "root", "input", "output")])
+    return F.when(entry.startswith("{"), F.regexp_replace(named, r"\{projectRoot\}/?", "")).when(F.try_parse_json(entry).isNull() | entry.startswith('"'), F.nullif(F.regexp_replace(entry, '^"|"$', ""), F.lit("")))
+
+
+def target_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, id, cmd, deps, reads, writes) of configurations with targetDefaults."""
+    kind = T.StructType.fromDDL("targetDefaults map<string, struct<dependsOn: array<string>, inputs: array<string>, outputs: array<string>>>")
+    one = texts(spark, path).select("path", F.explode(F.from_json("value", kind)["targetDefaults"]).alias("id", "t"))
+    listed = lambda c, f: F.array_compact(F.transform(F.coalesce(F.col(f"t.{c}"), F.expr("cast(array() as array<string>)")), f))
+    return one.select("path", "id", F.array(F.lit("npx"), F.lit("nx"), F.lit("run"), "id").alias("cmd"), F.array_distinct(listed("dependsOn", target_dependencies)).alias("deps"), listed("inputs", target_path).alias("reads"), listed("outputs", target_path).alias("writes"))
+
+
+def lerna_tasks(files: DataFrame) -> DataFrame:
+    """files (root, name). (root, id, cmd, deps): the two tasks of every root with a lerna.json."""
+    one = lambda x, deps: F.struct(F.lit(x).alias("id"), F.array(*[F.lit(w) for w in ("npx", "lerna", "run", x)]).alias("cmd"), F.array(*[F.lit(w) for w in deps]).cast("array<string>").alias("deps"))
+    return files.where("name = 'lerna.json'").select("root").distinct().select("root", F.explode(F.array(one("build", ()), one("test", ("build",)))).alias("t")).select("root", "t.*")
+
+
+def workspace_packages(files: DataFrame) -> DataFrame:
+    """files (root, name, value). (root, directory, package, scripts, depends): the packages that the globs of a root's package.json
+    name, or those of its pnpm-workspace.yaml if it names none. A star stands for one level, two for any."""
+    kind = T.StructType.fromDDL("name string, workspaces array<string>, scripts map<string,string>, dependencies map<string,string>, devDependencies map<string,string>")
+    manifest = files.where(F.regexp_extract("name", "[^/]*$", 0) == "package.json").select("root", F.regexp_replace("name", "/?package\\.json$", "").alias("directory"), F.from_json("value", kind).alias("p"))
+    own = manifest.where("directory = ''").select("root", F.col("p.workspaces").alias("globs"))
+
+    def globs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [simple_yaml(v) for v in part["value"]]
+            yield pd.DataFrame({"root": part["root"], "yaml": [list(f["packages"]) if isinstance(f, dict) and isinstance(f.get("packages"), list) else [] for f in found]})
+
+    pnpm = files.where("name = 'pnpm-workspace.yaml'").select("root", "value").mapInPandas(globs, f"root {dict(files.dtypes)['root']}, yaml array<string>")
+    both = own.join(pnpm, "root", "left").select("root", F.explode(F.when(F.coalesce(F.size("globs"), F.lit(0)) > 0, F.col("globs")).otherwise(F.col("yaml"))).alias("glob"))
+    level = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("glob", r"^\./|/$", ""), r"([.+()\[\]{}^$|])", r"\\$1"), r"\*\*", "\u0001"), r"\*", "[^/]*"), "\u0001", ".*")
+    # A root's globs are few; its packages meet them by the root.
+    met = manifest.join(both.select("root", F.concat(F.lit("^"), level, F.lit("$")).alias("glob")), "root").where(F.regexp_like("directory", F.col("glob")))
+    depends = F.array_distinct(F.concat(*[F.coalesce(F.map_keys(F.col(f"p.{c}")), F.expr("cast(array() as array<string>)")) for c in ("dependencies", "devDependencies")]))
+    return met.select("root", F.when(F.col("directory") == "", ".").otherwise(F.col("directory")).alias("directory"), F.col("p.name").alias("package"), F.map_keys("p.scripts").alias("scripts"), depends.alias("depends")).distinct()
 
 
 def package_scripts(spark: SparkSession, path: str) -> DataFrame:
@@ -99,17 +142,29 @@ def package_dependencies(spark: SparkSession, path: str) -> DataFrame:
     return p.select(F.col("p.name").alias("package"), F.explode(F.array_distinct(F.concat(*keys))).alias("name"))
 
 
-#: Canned tasks of a project by the file that marks its kind.
-MARKERS = (
-    ("Cargo.toml", "build", ["cargo", "build"]), ("Cargo.toml", "test", ["cargo", "test"]), ("go.mod", "build", ["go", "build", "./..."]), ("go.mod", "test", ["go", "test", "./..."]),
-    ("pyproject.toml", "test", ["python", "-m", "pytest"]), ("requirements.txt", "install", ["pip", "install", "-r", "requirements.txt"]),
-)
-
-
 def marked_tasks(files: DataFrame) -> DataFrame:
-    """files (root, name). (root, id, cmd) for each marker that a root has."""
-    known = files.sparkSession.createDataFrame([*MARKERS], "name string, id string, cmd array<string>")
-    return files.join(F.broadcast(known), "name").select("root", F.concat_ws(":", F.regexp_extract("name", "^[A-Za-z]+", 0), "id").alias("id"), "cmd")
+    """files (root, name: path below it). (root, kind, id, cmd, deps): canned tasks by what a root holds.
+
+    Cargo.toml: build, test and lint, bench with files of benches/ or *_bench.rs outside target/. go.mod: build, test with
+    *_test.go outside vendor/. requirements.txt or pyproject.toml: install, test with Python files in tests/ or named test_
+    outside venv/ and .tox/; poetry runs them if there is a pyproject.toml.
+    """
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    n = F.col("name")
+    bench = n.endswith(".rs") & ~n.contains("target/") & (n.contains("benches/") | n.endswith("_bench.rs"))
+    tested = n.endswith(".py") & ~n.contains("venv/") & ~n.contains(".tox/") & (n.startswith("tests/") | n.contains("test_"))
+    marks = {"cargo": n == "Cargo.toml", "go": n == "go.mod", "poetry": n == "pyproject.toml", "pip": n == "requirements.txt", "bench": bench, "go_test": n.endswith("_test.go") & ~n.contains("vendor/"), "py_test": tested}
+    roots = files.groupBy("root").agg(*[any_(c).alias(k) for k, c in marks.items()])
+    words = lambda *w: F.array(*[F.lit(x) for x in w])
+    task = lambda when, kind, id_, cmd, *deps: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(id_).alias("id"), cmd.alias("cmd"), words(*deps).cast("array<string>").alias("deps")))
+    has, py = F.col, F.col("poetry") | F.col("pip")
+    tasks = F.array_compact(F.array(
+        task(has("cargo"), "cargo", "build", words("cargo", "build")), task(has("cargo"), "cargo", "test", words("cargo", "test"), "build"), task(has("cargo") & has("bench"), "cargo", "bench", words("cargo", "bench"), "build"),
+        task(has("cargo"), "cargo", "lint", words("cargo", "clippy", "--", "-D", "warnings")), task(has("go"), "go", "build", words("go", "build", "./...")), task(has("go") & has("go_test"), "go", "test", words("go", "test", "./..."), "build"),
+        task(py, "python", "install", F.when(has("poetry"), words("poetry", "install")).otherwise(words("pip", "install", "-r", "requirements.txt"))),
+        task(py & has("py_test"), "python", "test", F.when(has("poetry"), words("poetry", "run", "pytest")).otherwise(words("pytest")), "install"),
+    ))
+    return roots.select("root", F.explode(tasks).alias("t")).select("root", "t.*")
 
 
 def cargo_members(manifest: Column) -> Column:
@@ -172,10 +227,12 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_step_pipeline(spark: SparkSession, path: str, prefix: str = "VALUE") -> DataFrame:
-    """(path, id, cmd, deps) of YAML pipelines with tasks of key, run, after and use; deps are after and use together."""
-    from braidwork.functions.text import shell_command, sorted_set, template_variables
+    """(path, id, cmd, deps, env) of YAML pipelines with tasks of key, run, after, use and env; deps are after and use together
+    in their order, placeholders in env values name variables with the prefix, commands stay as they are."""
+    from braidwork.functions.text import shell_command, template_variables
 
-    kind = T.StructType([T.StructField("tasks", T.ArrayType(T.StructType.fromDDL("key string, run string, after string, use string")))])
+    kind = T.StructType([T.StructField("tasks", T.ArrayType(T.StructType.fromDDL("key string, run string, after string, use string, env map<string,string>")))])
     one = read_yaml(spark, path).select("path", F.explode(F.from_json("json", kind)["tasks"]).alias("t"))
     many = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.when(c.isNotNull() & ~c.startswith("["), F.array(c)), F.expr("cast(array() as array<string>)"))
-    return one.select("path", F.col("t.key").alias("id"), shell_command(template_variables(F.coalesce("t.run", F.lit("")), prefix)).alias("cmd"), sorted_set(F.concat(many(F.col("t.after")), many(F.col("t.use")))).alias("deps"))
+    env = F.transform_values(F.coalesce("t.env", F.expr("cast(map() as map<string,string>)")), lambda _, v: template_variables(v, prefix))
+    return one.select("path", F.col("t.key").alias("id"), shell_command(F.coalesce("t.run", F.lit(""))).alias("cmd"), F.array_distinct(F.concat(many(F.col("t.after")), many(F.col("t.use")))).alias("deps"), env.alias("env"))

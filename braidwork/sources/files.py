@@ -6,6 +6,7 @@ import io
 import struct
 import tarfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions.text import LANGUAGES
 
-IGNORED = ("node_modules", ".git", "dist", "build", "coverage", "target", "__pycache__")
+IGNORED = ("node_modules", ".git", "dist", "target", "venv", ".venv")
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = tuple(sorted(LANGUAGES)), ignored: tuple[str, ...] = IGNORED, most: int | None = None) -> DataFrame:
@@ -77,7 +78,9 @@ def tar_entries(archives: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in zip(part["path"], part["content"]):
-                yield pd.DataFrame([(path, *e) for e in _entries(content)], columns=["path", "name", "type", "size", "offset", "error"])
+                entries = ((path, *e) for e in _entries(content))
+                while some := list(islice(entries, 10_000)):
+                    yield pd.DataFrame(some, columns=["path", "name", "type", "size", "offset", "error"])
 
     return archives.select("path", "content").mapInPandas(run, ENTRIES)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from braidwork.functions.text import sorted_set
 from braidwork.operators.hashing import NUL
 from braidwork.operators.ledger import upsert
+from braidwork.plans.session import cut_lineage
 
 
 def lock_rows(tasks: DataFrame, version: int = 2) -> DataFrame:
@@ -80,24 +81,49 @@ def broadcast_events(stream: DataFrame, writers: list[Callable[[list[dict]], Non
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def config_rows(tasks: DataFrame) -> DataFrame:
+def config_rows(tasks: DataFrame, project: str | None = None) -> DataFrame:
     """tasks (id, cmd, dependencies, inputs, outputs, claims, ..., cache, timeout) back as one JSON configuration.
 
-    The inverse of reading one: fs claims go, since inputs and outputs imply them; empty lists, a cache that is true
-    and the default timeout are left out. Edges that dangle or close a cycle are to be pruned before
-    (graph.without_cycles), which also lists them.
+    The inverse of reading one: fs claims go, since inputs and outputs imply them; empty lists and maps, a cache that is true
+    and the default timeout are left out. Ids and edges must be valid (config_with_report makes them so).
     """
-    from braidwork.functions.text import protocol
-
     unset = lambda c: F.when(F.size(c) > 0, F.col(c))
     lists = [c for c, t in tasks.dtypes if t == "array<string>" and c not in ("cmd", "claims")]
     fields = [F.col("cmd"), *[unset(c).alias(c) for c in lists]]
     if "claims" in tasks.columns:
-        kept = F.filter("claims", lambda c: protocol(c) != "fs")
+        kept = F.filter("claims", lambda c: ~c.startswith("fs:"))
         fields.append(F.when(F.size(kept) > 0, kept).alias("claims"))
     if "cache" in tasks.columns:
         fields.append(F.when(~F.col("cache"), F.col("cache")).alias("cache"))
     if "timeout" in tasks.columns:
         fields.append(F.when(F.col("timeout") != 300_000, F.col("timeout")).alias("timeout"))
+    if "env" in tasks.columns:
+        fields.append(unset(F.col("env")).alias("env"))
+    if "cwd" in tasks.columns:
+        fields.append(F.nullif("cwd", F.lit("")).alias("cwd"))
     body = F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.struct(*fields).alias("task"))), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)))
-    return tasks.agg(F.to_json(F.struct(body.alias("tasks"))).alias("value"))
+    name = [F.lit(project).alias("name")] if project else []
+    return tasks.agg(F.to_json(F.struct(*name, body.alias("tasks"))).alias("value"))
+
+
+def config_with_report(tasks: DataFrame, project: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """tasks (seq, id, cmd, dependencies, ...) of any ids. (one configuration as in config_rows, what was pruned (id, dependency, reason)).
+
+    Ids become valid and unique in the order of seq, dependencies follow them; of tasks of one id the last counts. Dependencies
+    that name no task go, and, in the order of seq and name, those that would close a cycle.
+    """
+    from braidwork.operators.expand import unique_ids
+    from braidwork.operators.graph import _placed, without_cycles
+
+    ids = unique_ids(tasks.select("seq", F.col("id").alias("name")))
+    named = tasks.join(ids.select("seq", F.col("id").alias("_new")), "seq")
+    last = named.groupBy("id").agg(F.max_by("_new", "seq").alias("_new"), F.max("seq").alias("seq"))
+    own = cut_lineage(tasks.join(last, ["id", "seq"]), "named")
+    wanted = own.select("seq", F.col("_new").alias("dst"), F.explode("dependencies").alias("dep")).join(last.select(F.col("id").alias("dep"), F.col("_new").alias("_to")), "dep", "left")
+    edges = _placed(wanted.select("seq", "dst", F.coalesce("_to", "dep").alias("src")).distinct(), ["seq", "src"], 0).select(F.col("_pos").alias("seq"), "src", "dst")
+    kept, dropped = without_cycles(own.select(F.col("_new").alias("id")), edges)
+    listed = kept.groupBy(F.col("dst").alias("_new")).agg(F.array_sort(F.collect_list("src")).alias("dependencies"))
+    ready = own.drop("dependencies", "id", "seq").join(listed, "_new", "left").withColumn("dependencies", F.coalesce("dependencies", F.expr("cast(array() as array<string>)"))).withColumnRenamed("_new", "id")
+    known = own.select(F.col("_new").alias("src"), F.lit(True).alias("_known"))
+    report = dropped.join(known, "src", "left").select(F.col("dst").alias("id"), F.col("src").alias("dependency"), F.when(F.col("_known"), "would create a dependency cycle").otherwise("no such task").alias("reason"))
+    return config_rows(ready, project), report

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from braidwork.operators.trace import NODES, Process
+from braidwork.operators.trace import NODES, Process, within_root
 
 
 def stream_fold(events: DataFrame, root: str) -> DataFrame:
@@ -27,7 +27,8 @@ def stream_fold(events: DataFrame, root: str) -> DataFrame:
         if p.cmd is not None:
             yield pd.DataFrame([(key[0], *p.state())], columns=["pid", "ppid", "cmd", "cwd", "reads", "writes"])
 
-    return events.groupBy("pid").applyInPandasWithState(update, NODES, "ppid bigint, cmd array<string>, cwd string, reads array<string>, writes array<string>", "update", GroupStateTimeout.NoTimeout)
+    folded = events.groupBy("pid").applyInPandasWithState(update, NODES, "ppid bigint, cmd array<string>, cwd string, reads array<string>, writes array<string>", "update", GroupStateTimeout.NoTimeout)
+    return within_root(folded, root)
 
 
 def debounced(changes: DataFrame, key: str, ts: str, gap: str = "300 milliseconds") -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from braidwork.operators import claims as C
 from braidwork.operators import graph
 
 
@@ -53,11 +56,86 @@ def test_pruned_edges_leave_no_cycle_and_keep_the_first(spark):
 def test_proposals(spark):
     n = spark.createDataFrame([("a/x",), ("a/y",), ("b/z",), ("lone",)], "id string")
     e = spark.createDataFrame([("a/x", "a/y"), ("a/y", "a/x"), ("a/x", "b/z")], "src string, dst string")
-    got = {r.type: (r.files, r.confidence) for r in graph.proposals(n, e).collect()}
-    assert got == {"combined": (["a/x", "a/y"], 0.6), "orphan": (["lone"], 0.8), "isolated": (["b/z"], 0.9)}
+    n = n.union(spark.createDataFrame([("c/d/single.ts",)], "id string"))
+    got = sorted(tuple(r) for r in graph.proposals(n, e).collect())
+    assert got == [
+        ("combined-a", "combined", ["a/x", "a/y"], ["fs:a"], 0.6), ("isolated-b", "isolated", ["b/z"], ["fs:b"], 0.9),
+        ("orphan-lone", "orphan", ["lone"], ["fs:lone"], 0.8), ("orphan-single", "orphan", ["c/d/single.ts"], ["fs:c/d/single.ts"], 0.8),
+    ]
 
 
 def test_claims_go_down_chains(spark):
     n = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (4, 2)], "pid int, ppid int")
     c = spark.createDataFrame([(1, "a", "read"), (2, "b", "write"), (4, "c", "read")], "pid int, path string, mode string")
     assert sorted(tuple(r) for r in graph.push_down(n, c).collect()) == [(3, "a", "read"), (3, "b", "write"), (4, "a", "read"), (4, "b", "write"), (4, "c", "read")]
+
+
+def queue_brute(n, pairs, slots):
+    """A first-in first-out ready queue, step by step."""
+    pairs = {(a, b) for a, b in pairs if a < n and b < n}
+    waits = {v: sum(b == v for _, b in pairs) for v in range(n)}
+    queue, steps, step = [v for v in range(n) if not waits[v]], {}, 0
+    while queue:
+        now, queue = queue[:slots], queue[slots:]
+        for v in now:
+            steps[v] = step
+            for w in sorted(b for a, b in pairs if a == v):
+                waits[w] -= 1
+                if not waits[w]:
+                    queue.append(w)
+        step += 1
+    return steps
+
+
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_walks_in_numpy_and_by_joins_agree(spark, monkeypatch, small):
+    """small 0: every graph is large."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    random.seed(4)
+    dag = [(a, b) for a, b in ((random.randrange(30), random.randrange(34)) for _ in range(45)) if a < b] + [(31, 31)]
+    for slots in (1, 3, 50):
+        assert {r.id: r.step for r in graph.schedule(nodes(spark, 32), frame(spark, dag), slots).collect()} == queue_brute(32, dag, slots)
+    loops = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 5), (4, 6), (7, 0), (6, 8), (8, 9), (9, 6), (9, 3)]
+    assert {r.id: r.component for r in graph.strong_components(frame(spark, loops)).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 6: 3, 8: 3, 9: 3}
+    got = {r.id: r.depth for r in graph.depths(nodes(spark, 12), frame(spark, [*loops, (10, 11), (7, 11)])).collect()}
+    assert got == {**{i: None for i in range(10)}, 7: 0, 10: 0, 11: 1}
+    words = spark.createDataFrame([("b", "a"), ("a", "é"), ("é", "b"), ("x", "b")], "src string, dst string")
+    assert sorted(tuple(r) for r in graph.closure(words, spark.createDataFrame([("x",), ("nowhere",)], "id string")).collect()) == [("x", "a"), ("x", "b"), ("x", "é")]
+    assert graph.closure(frame(spark, [])).collect() == [] and graph.strong_components(frame(spark, [])).collect() == []
+    assert [tuple(r) for r in graph.schedule(nodes(spark, 2), frame(spark, []), 1).orderBy("id").collect()] == [(0, 0), (1, 1)]
+
+
+def test_chains_have_any_depth(spark):
+    e = frame(spark, [(i, i + 1) for i in range(3000)])
+    assert graph.depths(nodes(spark, 3001), e).agg({"depth": "max"}).first()[0] == 3000
+
+
+def colours_brute(tasks, claims):
+    """First fit by depth in id order against every earlier task."""
+    under = lambda a, b: a == b or a.startswith(b + "/")
+    clash = lambda x, y: (x[3] == "write" or y[3] == "write") and (x[1] == y[1] or x[2] and under(y[1], x[1]) or y[2] and under(x[1], y[1]))
+    found = {}
+    for depth, i in sorted(tasks):
+        own = [c for c in claims if c[0] == i]
+        taken = {found[j][1] for j, (d, _) in found.items() if d == depth and any(clash(x, y) for x in own for y in claims if y[0] == j)}
+        found[i] = (depth, next(c for c in range(len(taken) + 1) if c not in taken))
+    return sorted((d, i, c) for i, (d, c) in found.items())
+
+
+def test_colours_with_and_without_pairs(spark):
+    random.seed(6)
+    for _ in range(4):
+        tasks = [(random.randrange(2), i) for i in range(24)]
+        claims = {(random.randrange(24), "/".join(random.choice("ab") for _ in range(random.randint(1, 4))), random.random() < 0.3, random.choice(["read", "write"])) for _ in range(40)}
+        t = spark.createDataFrame(tasks, "depth int, id int")
+        c = spark.createDataFrame(sorted(claims), "task_id int, path string, is_dir boolean, mode string")
+        want = colours_brute(tasks, claims)
+        assert sorted(tuple(r) for r in graph.claim_colours(t, c).collect()) == want
+        pairs = C.overlaps(c).where("mode = 'write' OR o_mode = 'write'").selectExpr("least(task_id, o_id) AS task_a", "greatest(task_id, o_id) AS task_b").distinct()
+        assert sorted(tuple(r) for r in graph.wave_colours(t, pairs).collect()) == want
+
+
+def test_many_writers_make_no_pairs(spark):
+    t = spark.range(2000).selectExpr("0 AS depth", "id")
+    c = t.selectExpr("id AS task_id", "'out' AS path", "false AS is_dir", "'write' AS mode")
+    assert [r.colour for r in graph.claim_colours(t, c).orderBy("id").collect()] == list(range(2000))

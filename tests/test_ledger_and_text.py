@@ -1,11 +1,14 @@
 import hashlib
 import hmac
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from braidwork.functions import code
 from braidwork.functions import text as X
+from braidwork.operators import claims as C
 from braidwork.operators import expand, hashing, ledger, report
 
 
@@ -80,17 +83,26 @@ def test_python_functions(spark):
         (lambda: X.extension(F.lit("a/.env")), ""),
         (lambda: X.language(F.lit("x/Y.TS")), "typescript"),
         (lambda: X.caller_name(F.lit("a-v1-v2.0")), "a-v1"),
-        (lambda: X.caller_version(F.lit("a-v1-v2.0")), "2.0"),
+        (lambda: X.caller_version(F.lit("a-v1-v2.0")), "v2.0"),
+        (lambda: X.caller_version(F.lit("plain")), "unknown"),
+        (lambda: X.caller_version(F.lit("x-v")), "v"),
         (lambda: X.caller_name(F.lit(None).cast("string")), "unknown"),
-        (lambda: X.slug(F.lit("--a b!c--")), "a-b-c"),
+        (lambda: X.slug(F.lit("--a  b!c--")), "a--b-c"),
+        (lambda: X.slug(F.lit("@scope/thing.b:c")), "scope-thing-b-c"),
+        (lambda: C.write_covers(F.lit("dist/"), F.lit("fs:./dist/x")), True),
+        (lambda: C.write_covers(F.lit("./a\\b"), F.lit("a/b/")), True),
+        (lambda: C.write_covers(F.lit("dist"), F.lit("dist2/x")), False),
+        (lambda: C.write_covers(F.lit("./"), F.lit("x")), False),
         (lambda: X.slug(F.lit("!!")), "task"),
         (lambda: X.branch_matches(F.lit("release/1"), F.lit("release/*")), True),
         (lambda: X.branch_matches(F.lit("main"), F.lit("release/*")), False),
         (lambda: X.branch_matches(F.lit(None).cast("string"), F.lit("x")), True),
-        (lambda: X.duration_text(F.lit(0.5)), "500us"),
+        (lambda: X.duration_text(F.lit(0.5)), "500μs"),
+        (lambda: X.duration_text(F.lit(0.0004)), "0μs"),
         (lambda: X.duration_text(F.lit(2500.0)), "2.50s"),
-        (lambda: X.bar(F.lit(5.0), F.lit(10.0), 4), "##.."),
-        (lambda: X.template_variables(F.lit("a ${{ values.my-x }} b"), "V"), "a $V_MY_X b"),
+        (lambda: X.bar(F.lit(5.0), F.lit(10.0), 4), "██░░"),
+        (lambda: X.template_variables(F.lit("a ${{ values.my-x }} ${{values.my.x.y}} ${{ values.-n }}"), "V"), "a ${V_MY_X} ${V_MY_X_Y} ${{ values.-n }}"),
+        (lambda: X.is_composite(F.lit("a > b < c\nd & e")), False),
         (lambda: F.to_json(X.shell_command(F.lit("a && b"))), '["sh","-c","a && b"]'),
         (lambda: F.to_json(X.shell_command(F.lit(" go  test "))), '["go","test"]'),
         (lambda: X.iso_time(F.lit(0)), "1970-01-01T00:00:00.000Z"),
@@ -112,18 +124,37 @@ def test_unsafe_paths_fail(spark):
 
 def test_matrix_rows_and_limits(spark):
     kind = "id string, matrix map<string,array<string>>"
-    got = expand.matrix_rows(spark.createDataFrame([("t", {"os": ["b", "a", "a"], "n": ["1"]}), ("plain", None)], kind)).collect()
-    assert sorted((r.id, r.env) for r in got) == [("plain", {}), ("t[n=1,os=a]", {"MATRIX_N": "1", "MATRIX_OS": "a"}), ("t[n=1,os=b]", {"MATRIX_N": "1", "MATRIX_OS": "b"})]
+    got = expand.matrix_rows(spark.createDataFrame([("t", {"os": ["b", "a"], "n": ["1"]}), ("plain", None)], kind)).collect()
+    assert sorted((r.id, r.env) for r in got) == [("plain", {}), ("t-n=1-os=a", {"MATRIX_N": "1", "MATRIX_OS": "a"}), ("t-n=1-os=b", {"MATRIX_N": "1", "MATRIX_OS": "b"})]
     large = spark.createDataFrame([("t", {"a": [str(i) for i in range(257)]})], kind)
     assert [tuple(r) for r in expand.matrix_violations(large).collect()] == [("t", 1, 257)]
-    with pytest.raises(Exception, match="matrix too large"):
-        expand.matrix_rows(large).collect()
+    for matrix, rule in (({"a": [str(i) for i in range(257)]}, "matrix-rows"), ({c: ["1"] for c in "abcde"}, "matrix-axes"), ({"a": []}, "matrix-empty"), ({"a b": ["1"]}, "matrix-axis"), ({"a": ["1", "x/y"]}, "matrix-value")):
+        df = spark.createDataFrame([("t", matrix)], kind)
+        assert [r.rule for r in expand.matrix_faults(df).collect()] == [rule]
+        with pytest.raises(Exception, match=rule):
+            expand.matrix_rows(df).collect()
 
 
 def test_unique_ids_differ_even_beside_natural_suffixes(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2"), (4, "a b")], "seq int, name string")
-    ids = [r.id for r in expand.unique_ids(df).orderBy("seq").collect()]
-    assert len(set(ids)) == 4 and ids[0] == "a" and ids[3] == "a-b"
+    rng = random.Random(5)
+    names = ["a", "a", "a-2", "a b", "!", "task", "-"] + [rng.choice(["a", "a-2", "a-2-2", "a-3", "a-1", "a-02", "b:2", "b"]) for _ in range(80)]
+    taken, want = set(), []
+    for name in names:  # one after another: the first number that is free
+        slug = re.sub("[^a-zA-Z0-9_-]", "-", name).strip("-") or "task"
+        own, n = slug, 2
+        while own in taken:
+            own, n = f"{slug}-{n}", n + 1
+        taken.add(own)
+        want.append(own)
+    df = spark.createDataFrame(list(enumerate(names)), "seq int, name string").repartition(3)
+    assert [r.id for r in expand.unique_ids(df).orderBy("seq").collect()] == want
+
+
+def test_imports_go_suffix_by_suffix_and_stay_inside(spark):
+    files = spark.createDataFrame([("src/a/index.ts",), ("src/a.tsx",), ("src/__init__.ts",), ("b.ts",), ("src/b.ts",), ("index.ts",)], "id string")
+    wanted = [("src/m.ts", "./a"), ("src/m.ts", "."), ("src/m.ts", "b"), ("src/m.ts", "../.."), ("src/m.ts", "../../b"), ("src/m.ts", "/b"), ("src/m.ts", ".."), ("m.ts", "./b")]
+    got = {(r.source, r.target): r.resolved for r in expand.resolve_imports(files, spark.createDataFrame([(*w, "static") for w in wanted], "source string, target string, kind string"), (".ts", ".tsx")).collect()}
+    assert got == {("src/m.ts", "./a"): "src/a/index.ts", ("src/m.ts", "."): "src/__init__.ts", ("src/m.ts", "b"): "src/b.ts", ("src/m.ts", ".."): "index.ts", ("m.ts", "./b"): "b.ts"}
 
 
 def test_cache_keys_tell_unset_from_empty_and_order_doesnt_matter(spark):

@@ -35,9 +35,9 @@ def test_configuration_round_trip(spark, tmp_path):
 
 
 def test_yaml_pipelines(spark, tmp_path):
-    (tmp_path / "p.yml").write_text('# c\ntasks:\n  - key: build\n    run: make ${{ values.dir-a }}\n  - key: test\n    use: [build, lint]\n    after: build\n    run: |\n      a\n      b\n')
-    got = {r.id: (r.cmd, r.deps) for r in configs.read_step_pipeline(spark, f"{tmp_path}/p.yml", "V").collect()}
-    assert got == {"build": (["make", "$V_DIR_A"], []), "test": (["sh", "-c", "a\nb"], ["build", "lint"])}
+    (tmp_path / "p.yml").write_text('# c\ntasks:\n  - key: build\n    run: make ${{ values.dir-a }}\n  - key: test\n    use: [build, lint]\n    after: build\n    env:\n      D: x ${{values.dir-a}} ${{ values.b.c }}\n    run: |\n      a\n      b; c\n')
+    got = {r.id: (r.cmd, r.deps, r.env) for r in configs.read_step_pipeline(spark, f"{tmp_path}/p.yml", "V").collect()}
+    assert got == {"build": (["make", "${{", "values.dir-a", "}}"], [], {}), "test": (["sh", "-c", "a\nb; c"], ["build", "lint"], {"D": "x ${V_DIR_A} ${V_B_C}"})}
     assert configs.simple_yaml("a: 1\nb:\n- x\n- 'y z'\nc: true\n") == {"a": "1", "b": ["x", "y z"], "c": True}
 
 
@@ -47,7 +47,7 @@ def test_packages_and_members(spark, tmp_path):
     assert sorted(r.name for r in configs.package_dependencies(spark, f"{tmp_path}/package.json").collect()) == ["core", "x"]
     assert spark.range(1).select(configs.cargo_members(F.lit('[workspace]\nmembers = ["a", "b/c"]'))).first()[0] == ["a", "b/c"]
     roots = spark.createDataFrame([("r", "go.mod"), ("r", "README")], "root string, name string")
-    assert sorted(r.id for r in configs.marked_tasks(roots).collect()) == ["go:build", "go:test"]
+    assert sorted((r.kind, r.id) for r in configs.marked_tasks(roots).collect()) == [("go", "build")]
     names = spark.createDataFrame([('"^build"',), ('{"target": "lint", "projects": "self"}',), ("plain",)], "e string").select(configs.target_dependencies(F.col("e")))
     assert [r[0] for r in names.collect()] == ["build", "lint", "plain"]
 
