@@ -595,7 +595,7 @@ def _trace(spark, d):
     kind = F.when(F.col("event_type") == "signup", "exec").when(F.col("event_type") == "error", "chdir").otherwise("open")
     path = F.when(kind == "chdir", F.concat(F.lit("/w/d"), (F.col("event_id") % 3).cast("string"))).when(kind == "open", F.concat(F.lit("f"), F.floor("value").cast("string")))
     mode = F.when(F.col("event_type") == "purchase", "w").when(F.col("event_type") == "click", "rw").when(F.col("event_type") == "view", "r")
-    return e.select(F.col("event_id").alias("seq"), kind.alias("type"), F.col("user_id").alias("pid"), F.lit(0).cast("bigint").alias("ppid"), F.when(kind == "exec", F.array(F.lit("/bin/tool"), F.col("user_id").cast("string"))).alias("cmd"), path.alias("path"), mode.alias("mode"), F.when(kind == "exec", F.lit("/w")).alias("cwd"))
+    return e.select(F.col("event_id").alias("seq"), kind.alias("type"), F.col("user_id").alias("pid"), F.lit(-1).cast("bigint").alias("ppid"), F.when(kind == "exec", F.array(F.lit("/bin/tool"), F.col("user_id").cast("string"))).alias("cmd"), path.alias("path"), mode.alias("mode"), F.when(kind == "exec", F.lit("/w")).alias("cwd"))
 
 
 _FOLDED = """WITH e AS (SELECT user_id AS pid, event_id AS seq, event_type AS t, CAST(floor(value) AS BIGINT) AS f FROM events), x AS (SELECT pid, max(seq) AS last FROM e WHERE t = 'signup' GROUP BY pid),
