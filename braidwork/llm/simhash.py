@@ -295,8 +295,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 # Similarity of five-word shingle sets: fingerprints of 128 bits find candidates, the sets decide.
 
 WORDS, WIDE = 5, 2
-#: Rows that a key of a table should have, the chance sought of meeting in one of the tables.
-ROWS_A_KEY, SOUGHT = 48, 0.995
+#: Rows that a key of a table should have, the chance sought of meeting in one of the tables, deviations that the radius allows.
+ROWS_A_KEY, SOUGHT, DEVIATIONS = 48, 0.9995, 4.5
 #: Shingles up to which a set is joined exactly: in so small sets bits differ more often than the angle says.
 FEW = 24
 
@@ -316,7 +316,7 @@ def table_bits(n: int, similarity: float) -> tuple[int, int, int]:
     agree = 1 - np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
     bits = int(min(40, max(8, np.log2(max(n, 1) / ROWS_A_KEY))))
     size = 64 * WIDE
-    radius = size * (1 - agree) + 3 * np.sqrt(size * agree * (1 - agree))
+    radius = size * (1 - agree) + DEVIATIONS * np.sqrt(size * agree * (1 - agree))
     return bits, int(np.ceil(np.log(1 - SOUGHT) / np.log(1 - agree**bits))), min(size // 2 - 1, int(np.ceil(radius)))
 
 
