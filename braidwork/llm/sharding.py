@@ -18,10 +18,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import set_aside
+from braidwork.llm.common import materialise, set_aside
 
 #: Rows that a bucket or cell should hold, and the bounds of their numbers.
 ROWS_PER_TASK, MAX_BUCKETS, MAX_CELLS = 65_536, 4_096, 3_072
+#: Times the mean that a bucket may hold before repeated keys are told apart.
+UNEVEN = 4
 #: Entries of the matrix that one task draws, and the most tasks that draw them.
 DRAWS_PER_TASK, MAX_GROUPS = 65_536, 64
 #: Draws by rejection: each try accepts with a chance of over 1/2.
@@ -131,8 +133,10 @@ def hypergeometric_shards(df: DataFrame, n_shards: int, key: str = "doc_id", see
     Shard sizes differ by one row at most; which rows a shard gets and their order are a uniform shuffle under
     the seed. An empty df gives no rows; a null key is a key like any other; repeated rows each get a place of
     their own (in either order); texts are never looked at. Columns of df named shard or slot are replaced.
+    Where a key (or null) has so many rows that its bucket is uneven, rows are stored with a number of their own first, and
+    fall into buckets by key and number.
     """
-    df, back = set_aside(df.drop("shard", "slot"), "_bucket", "_rank", "_ends", "_cell")
+    df, back = set_aside(df.drop("shard", "slot"), "_bucket", "_rank", "_ends", "_cell", "_number")
     n = df.count()
     n_buckets = 1 << (min(MAX_BUCKETS, max(64, -(-n // ROWS_PER_TASK))) - 1).bit_length()
     q = max(1, min(MAX_CELLS // n_shards, -(-n // (n_shards * ROWS_PER_TASK))))
@@ -143,9 +147,14 @@ def hypergeometric_shards(df: DataFrame, n_shards: int, key: str = "doc_id", see
 
     rows = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(n_buckets)).cast("int"))
     counts = rows.groupBy(F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    if (counts.agg(F.max("n")).first()[0] or 0) > UNEVEN * max(1024, n // n_buckets):
+        numbered = materialise(df.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+        rows = numbered.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), key, "_number"), F.lit(n_buckets)).cast("int"))
+        counts = rows.groupBy(F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    spread = ["_number"] if "_number" in rows.columns else []
     matrix = communication_matrix(counts, capacity, n_buckets, cells, seed).withColumnRenamed("bucket", "_bucket")
 
-    order = lambda k: [F.xxhash64(F.lit(seed + k), key), F.col(key)]
+    order = lambda k: [F.xxhash64(F.lit(seed + k), key, *spread), F.col(key)]
     local = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order(2))) - 1)
 
     def halve(acc: Column, _: Column) -> Column:
@@ -161,4 +170,4 @@ def hypergeometric_shards(df: DataFrame, n_shards: int, key: str = "doc_id", see
     place = F.row_number().over(Window.partitionBy("_cell").orderBy(*order(3))) - 1
     k, size = F.col("_cell") % q, shard_size(F.floor(F.col("_cell") / q))
     start = k * F.floor(size / q) + F.least(k.cast("bigint"), size % q)
-    return dealt.withColumn("slot", (start + place).cast("bigint")).withColumn("shard", F.floor(F.col("_cell") / q).cast("int")).drop("_cell").withColumnsRenamed(back)
+    return dealt.withColumn("slot", (start + place).cast("bigint")).withColumn("shard", F.floor(F.col("_cell") / q).cast("int")).drop("_cell", *spread).withColumnsRenamed(back)
