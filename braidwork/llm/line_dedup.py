@@ -2,14 +2,15 @@
 
 One pass hashes every long line, counts its documents with map-side sums, and keeps the lines that repeat.
 Their 64-bit hashes are dealt into shards of bounded size; each shard gets a minimal perfect hash (levels of
-collision-free bit arrays) that indexes two compact arrays: a second, independent 64-bit fingerprint and the
-counts (documents, largest holder). A second pass over the documents probes the arrays, so lines are never
+collision-free bit arrays) that indexes compact arrays: a second, independent 64-bit fingerprint, the number of
+documents and the largest holder. A second pass over the documents probes the arrays, so lines are never
 joined and text is never shuffled. A line that is not in the index hits a foreign slot and fails its
 fingerprint; keys are 128 bits in all.
 
 If all shards together are within `broadcast_bytes` each task holds them. Beyond it probes travel to the
 shards: (hash, fingerprint, document) rows stream past one shard at a time, each shard standing on `salts`
-partitions so that a line found in every document doesn't meet in one task; only the hits come back.
+partitions so that a line found in every document doesn't meet in one task. A line that many documents of a batch hold is
+one probe with a list of its places; only the hits come back.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.llm.common import extended, materialise
 
@@ -79,45 +82,44 @@ class PerfectHash:
 
 
 class Shard:
-    """The arrays of one shard: perfect hash, fingerprints, largest holders; and lines whose key another line has."""
+    """The arrays of one shard: perfect hash, fingerprints, numbers of documents, largest holders; and lines whose key another line has."""
 
-    def __init__(self, hash_: PerfectHash, prints: np.ndarray, holders: np.ndarray, clashes: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.hash, self.prints, self.holders, self.clashes = hash_, prints, holders, clashes
+    def __init__(self, hash_: PerfectHash, prints: np.ndarray, counts: np.ndarray, holders: np.ndarray, clashes: tuple[np.ndarray, ...]):
+        self.hash, self.prints, self.counts, self.holders, self.clashes = hash_, prints, counts, holders, clashes
 
     @staticmethod
-    def build(keys: np.ndarray, prints: np.ndarray, holders: np.ndarray) -> Shard:
+    def build(keys: np.ndarray, prints: np.ndarray, counts: np.ndarray, holders: np.ndarray) -> Shard:
         distinct, first = np.unique(keys, return_index=True)
         rest = np.setdiff1d(np.arange(len(keys)), first)
         h = PerfectHash.build(distinct)
-        at, out = h(distinct), (np.empty(len(distinct), np.uint64), np.empty(len(distinct), np.int64))
-        out[0][at], out[1][at] = prints[first], holders[first]
-        return Shard(h, *out, (keys[rest], prints[rest], holders[rest]))
+        order = first[np.argsort(h(distinct))]
+        return Shard(h, prints[order], counts[order], holders[order], (keys[rest], prints[rest], counts[rest], holders[rest]))
 
     def dump(self) -> bytes:
-        arrays = [*self.hash.levels, self.hash.tail, self.prints, self.holders, *self.clashes]
+        arrays = [*self.hash.levels, self.hash.tail, self.prints, self.counts, self.holders, *self.clashes]
         return b"".join(p.tobytes() for p in (np.array([len(self.hash.levels), *map(len, arrays)], np.int64), *arrays))
 
     @staticmethod
     def load(blob: bytes) -> Shard:
         n_levels = int(np.frombuffer(blob, np.int64, 1)[0])
-        sizes = np.frombuffer(blob, np.int64, n_levels + 6, 8)
-        at, parts = 8 * (n_levels + 7), []
+        sizes = np.frombuffer(blob, np.int64, n_levels + 8, 8)
+        at, parts = 8 * (n_levels + 9), []
         for size in sizes:
             parts.append(np.frombuffer(blob, np.uint64, size, at))
             at += 8 * size
-        tail, prints, holders, *clashes = parts[n_levels:]
-        return Shard(PerfectHash(parts[:n_levels], tail), prints, holders.view(np.int64), (*clashes[:2], clashes[2].view(np.int64)))
+        tail, prints, counts, holders, *clashes = parts[n_levels:]
+        return Shard(PerfectHash(parts[:n_levels], tail), prints, counts.view(np.int64), holders.view(np.int64), (*clashes[:2], *(c.view(np.int64) for c in clashes[2:])))
 
-    def holder(self, keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each line is in the index, and its largest holder."""
+    def look_up(self, keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each line how many documents hold it (0: it isn't in the index), and the largest of them."""
         if not len(self.prints):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at = self.hash(keys)
-        found, holders = (at >= 0) & (self.prints[at] == prints), self.holders[at]
-        for key, print_, holder in zip(*self.clashes):
+        counts, holders = np.where((at >= 0) & (self.prints[at] == prints), self.counts[at], 0), self.holders[at]
+        for key, print_, count, holder in zip(*self.clashes):
             same = (keys == key) & (prints == print_)
-            found, holders = found | same, np.where(same, holder, holders)
-        return found, holders
+            counts, holders = np.where(same, count, counts), np.where(same, holder, holders)
+        return counts, holders
 
 
 def keyed_lines(text: str, least: int) -> tuple[list[bytes], list[int], list[bytes]]:
@@ -140,7 +142,7 @@ def _split(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_counts(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
-    """(h1, h2, holder) of the lines found in at least `least_docs` documents."""
+    """(h1, h2, n, holder) of the lines found in at least `least_docs` documents."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,7 +155,7 @@ def line_counts(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids, pa.int64())], ["h1", "h2", "doc_id"])
 
     lines = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(hashed, "h1 bigint, h2 bigint, doc_id bigint")
-    return lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= least_docs).select("h1", "h2", F.coalesce("holder", F.lit(NOBODY)).alias("holder"))
+    return lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= least_docs).select("h1", "h2", "n", F.coalesce("holder", F.lit(NOBODY)).alias("holder"))
 
 
 def build_shards(lines: DataFrame, n_shards: int) -> DataFrame:
@@ -161,7 +163,7 @@ def build_shards(lines: DataFrame, n_shards: int) -> DataFrame:
 
     def one(part: pa.Table) -> pa.Table:
         col = lambda c, t: part.column(c).to_numpy().view(t)
-        blob = Shard.build(col("h1", np.uint64), col("h2", np.uint64), col("holder", np.int64)).dump()
+        blob = Shard.build(col("h1", np.uint64), col("h2", np.uint64), col("n", np.int64), col("holder", np.int64)).dump()
         return pa.table({"shard": pa.array([part.column("shard")[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
     dealt = lines.withColumn("shard", F.pmod(F.shiftright("h1", 40), F.lit(n_shards)).cast("int"))
@@ -172,15 +174,15 @@ def _shard_of(h1: np.ndarray, n_shards: int) -> np.ndarray:
     return np.mod(h1.view(np.int64) >> np.int64(40), n_shards)
 
 
-def _dropped(keys: list[bytes], doc_ids: np.ndarray, blobs: dict[int, Shard], n_shards: int) -> np.ndarray:
-    """Which lines (of these documents, line by line) go: indexed, and held by another document."""
+def _dropped(keys: list[bytes], doc_ids: np.ndarray, blobs: dict[int, Shard], n_shards: int, least_docs: int) -> np.ndarray:
+    """Which lines (of these documents, line by line) go: held by enough documents, the largest another one."""
     h1, h2 = _split(keys)
     shard, out = _shard_of(h1, n_shards), np.zeros(len(keys), bool)
     for s in np.unique(shard):
         if s in blobs:
             own = np.flatnonzero(shard == s)
-            found, holder = blobs[s].holder(h1[own], h2[own])
-            out[own] = found & (holder != doc_ids[own]) & (holder != NOBODY)
+            count, holder = blobs[s].look_up(h1[own], h2[own])
+            out[own] = (count >= least_docs) & (holder != doc_ids[own]) & (holder != NOBODY)
     return out
 
 
@@ -203,12 +205,12 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bro
     index = materialise(line_counts(docs, least_chars, least_docs), "lines")
     n = index.count()
     n_shards = max(1, -(-n // SHARD_KEYS))
-    if n * 24 <= broadcast_bytes:
-        return _probe_held(docs, index, n_shards, least_chars)
-    return _probe_sent(docs, index, n_shards, least_chars)
+    if n * 32 <= broadcast_bytes:
+        return _probe_held(docs, index, n_shards, least_chars, least_docs)
+    return _probe_sent(docs, index, n_shards, least_chars, least_docs)
 
 
-def _probe_held(docs: DataFrame, index: DataFrame, n_shards: int, least: int) -> DataFrame:
+def _probe_held(docs: DataFrame, index: DataFrame, n_shards: int, least: int, least_docs: int) -> DataFrame:
     """Every task holds all shards, whose size has been checked."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in build_shards(index, n_shards).toLocalIterator()})
@@ -227,7 +229,7 @@ def _probe_held(docs: DataFrame, index: DataFrame, n_shards: int, least: int) ->
             lost: dict[int, set[int]] = {}
             if keys and blobs:
                 of = np.array([NOBODY if i is None else i for i in ids], np.int64)[owner]
-                for k in np.flatnonzero(_dropped(keys, of, blobs, n_shards)):
+                for k in np.flatnonzero(_dropped(keys, of, blobs, n_shards, least_docs)):
                     lost.setdefault(owner[k], set()).add(at[k])
             cut = [_cut(t, lost.get(i, set())) for i, t in enumerate(texts)]
             columns = list(b.columns)
@@ -238,32 +240,39 @@ def _probe_held(docs: DataFrame, index: DataFrame, n_shards: int, least: int) ->
     return docs.mapInArrow(probe, extended(docs.schema, "n_lines bigint, n_dropped bigint"))
 
 
-def _probe_sent(docs: DataFrame, index: DataFrame, n_shards: int, least: int, salts: int = SALTS) -> DataFrame:
+def _probe_sent(docs: DataFrame, index: DataFrame, n_shards: int, least: int, least_docs: int, salts: int = SALTS) -> DataFrame:
     """Probes stream past the shards; the line numbers that go come back to their documents."""
     keyed = docs.withColumn("_row", F.struct(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("t")))
 
+    place = T.StructType.fromDDL("id bigint, t bigint, line int")
+    places = pa.list_(pa.struct([("id", pa.int64()), ("t", pa.int64()), ("line", pa.int32())]))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, owner, at = [], [], []
+            held: dict[bytes, list[tuple[int, int]]] = {}
             for i, t in enumerate(b.column(1).to_pylist()):
                 _, where, own = keyed_lines(t or "", least)
-                keys += own
-                at += where
-                owner += [i] * len(own)
-            h1, h2 = _split(keys)
-            rows = b.column(0).take(pa.array(owner, pa.int64()))
-            shard = _shard_of(h1, n_shards)
-            yield pa.RecordBatch.from_arrays([rows, pa.array(shard.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(at, pa.int32())], ["_row", "shard", "h1", "h2", "line"])
-
-    kind = "_row struct<id:bigint,t:bigint>, shard int, h1 bigint, h2 bigint, line int"
-    probes = keyed.select("_row", "text").mapInArrow(ask, kind).withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int")).withColumn("blob", F.lit(None).cast("binary"))
+                for line, key in zip(where, own):
+                    held.setdefault(key, []).append((i, line))
+            if not held:
+                continue
+            h1, h2 = _split(list(held))
+            owner, line = np.array([x for own in held.values() for x in own], np.int64).T
+            rows = b.column(0).take(pa.array(owner))
+            flat = pa.StructArray.from_arrays([rows.field(0), rows.field(1), pa.array(line.astype(np.int32))], ["id", "t", "line"])
+            edges = np.concatenate(([0], np.cumsum([len(own) for own in held.values()]))).astype(np.int32)
+            salt = (pa.compute.fill_null(rows.field(0), 0).to_numpy()[edges[:-1]] + (h2.view(np.int64) >> 8)) % salts
+            yield pa.RecordBatch.from_arrays([pa.array(_shard_of(h1, n_shards).astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(edges), flat)], ["shard", "salt", "h1", "h2", "places"])
+
+    kind = "shard int, salt int, h1 bigint, h2 bigint, places array<struct<id:bigint,t:bigint,line:int>>"
+    probes = keyed.select("_row", "text").mapInArrow(ask, kind).withColumn("blob", F.lit(None).cast("binary"))
     blobs = build_shards(index, n_shards).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     both = probes.unionByName(blobs, allowMissingColumns=True).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull())
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
         for b in batches:
-            shard, blob = b.column(1).to_numpy(), b.column(6)
+            shard, blob = b.column(0).to_numpy(), b.column(5)
             starts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | blob.is_valid().to_numpy(zero_copy_only=False)[1:]) + 1), len(shard)]
             for lo, hi in zip(starts, starts[1:]):
                 if hi <= lo:
@@ -273,11 +282,15 @@ def _probe_sent(docs: DataFrame, index: DataFrame, n_shards: int, least: int, sa
                     lo += 1
                 if lo < hi and now == shard[lo]:
                     part = b.slice(lo, hi - lo)
-                    found, holder = held.holder(part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy().view(np.uint64))
-                    own = part.column(0).field(0).fill_null(NOBODY).to_numpy()
-                    yield part.filter(pa.array(found & (holder != own) & (holder != NOBODY))).select(["_row", "line"])
-
-    lost = both.select("_row", "shard", "h1", "h2", "line", "salt", "blob").mapInArrow(answer, "_row struct<id:bigint,t:bigint>, line int").groupBy("_row").agg(F.collect_set("line").alias("_lost"))
+                    count, holder = held.look_up(part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy().view(np.uint64))
+                    known = np.flatnonzero((count >= least_docs) & (holder != NOBODY))
+                    own = part.column(4).take(pa.array(known))
+                    sizes, flat = pa.compute.list_value_length(own).to_numpy(), own.flatten()
+                    stays = flat.field(0).fill_null(NOBODY).to_numpy() == np.repeat(holder[known], sizes)
+                    yield pa.RecordBatch.from_arrays([flat.field(i) for i in range(3)], ["id", "t", "line"]).filter(pa.array(~stays))
+
+    found = both.select("shard", "salt", "h1", "h2", "places", "blob").mapInArrow(answer, place)
+    lost = found.groupBy(F.struct("id", "t").alias("_row")).agg(F.collect_set("line").alias("_lost"))
     joined = keyed.join(lost.withColumnRenamed("_row", "_of"), F.col("_row").eqNullSafe(F.col("_of")), "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_lost", i)), "\n")

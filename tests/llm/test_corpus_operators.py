@@ -58,6 +58,13 @@ def test_shards_are_exact_gapless_and_repeatable(spark, docs, none):
     assert hypergeometric_shards(none, 4).collect() == []
 
 
+def test_a_key_of_most_rows_is_spread(spark):
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 > 0 THEN 7 WHEN id % 9 > 0 THEN null ELSE id END AS doc_id", "id AS v")
+    rows = hypergeometric_shards(df, 6).collect()
+    assert len({r.v for r in rows}) == 30_000 and set(Counter(r.shard for r in rows).values()) == {5000}
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(5000)) for s in range(6))
+
+
 def test_hypergeometric_draws_follow_their_law(spark):
     good, bad, sample, n = 30, 50, 24, 4000
     c = lambda v: F.lit(v).cast("bigint")
@@ -135,10 +142,11 @@ def test_perfect_hash_is_minimal_and_knows_strangers():
     keys = rng.integers(0, 2**63, 20_000).astype(np.uint64)
     keys[1] = keys[0]  # two lines of one key
     prints, holders = rng.integers(0, 2**63, len(keys)).astype(np.uint64), np.arange(len(keys))
-    shard = line_dedup.Shard.load(line_dedup.Shard.build(keys, prints, holders).dump())
-    found, holder = shard.holder(keys, prints)
-    assert found.all() and (holder == holders).all() and sorted(shard.hash(np.unique(keys))) == list(range(len(np.unique(keys))))
-    assert not shard.holder(rng.integers(0, 2**63, 5000).astype(np.uint64), prints[:5000])[0].any()
+    counts = rng.integers(1, 99, len(keys))
+    shard = line_dedup.Shard.load(line_dedup.Shard.build(keys, prints, counts, holders).dump())
+    count, holder = shard.look_up(keys, prints)
+    assert (count == counts).all() and (holder == holders).all() and sorted(shard.hash(np.unique(keys))) == list(range(len(np.unique(keys))))
+    assert not shard.look_up(rng.integers(0, 2**63, 5000).astype(np.uint64), prints[:5000])[0].any()
 
 
 # 4 quality
