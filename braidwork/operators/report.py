@@ -82,6 +82,23 @@ def oversized(functions: DataFrame, lines: int = 32, depth: int = 3, parameters:
     return functions.agg(F.count(F.lit(1)).alias("functions"), n("lines", lines), n("depth", depth), n("parameters", parameters))
 
 
+def build_report(path: DataFrame, waves: DataFrame, actual_ms: float) -> DataFrame:
+    """path (place, id, duration_ms), the critical path; waves (wave, task_ids). One row, report: a Markdown text of what a build's
+    least duration and its efficiency are, the path, and the waves."""
+    from braidwork.functions.text import duration_text
+
+    total = F.coalesce(F.sum("duration_ms"), F.lit(0.0))
+    steps = F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("**"), F.col("id").cast("string"), F.lit("** "), duration_text(F.col("duration_ms"))).alias("t"))))
+    p = path.agg(total.alias("least_ms"), F.array_join(F.transform(steps, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x.t)), "\n").alias("steps"))
+    row = F.struct("wave", F.concat(F.lit("| "), F.col("wave").cast("string"), F.lit(" | "), F.size("task_ids").cast("string"), F.lit(" | "), F.array_join(F.transform("task_ids", lambda t: t.cast("string")), ", "), F.lit(" |")).alias("t"))
+    w = waves.agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x.t), "\n").alias("rows"), F.count(F.lit(1)).alias("n"))
+    e = F.when(F.lit(actual_ms) > 0, F.col("least_ms") / actual_ms * 100).otherwise(100.0)
+    line = lambda name, value: F.concat(F.lit(f"| {name} | "), value, F.lit(" |"))
+    head = F.concat_ws("\n", F.lit("| | |"), F.lit("|---|---|"), line("Duration", duration_text(F.lit(float(actual_ms)))), line("Least duration", duration_text(F.col("least_ms"))), line("Efficiency", F.format_string("%.2f%%", e)), line("Could be saved", duration_text(F.greatest(F.lit(float(actual_ms)) - F.col("least_ms"), F.lit(0.0)))), line("Waves", F.col("n").cast("string")), line("Grade", grade(e)))
+    text = F.concat_ws("\n\n", F.lit("# Build"), head, F.lit("## Critical path"), F.when(F.col("steps") == "", "None.").otherwise(F.col("steps")), F.lit("## Waves"), F.when(F.col("rows") == "", "None.").otherwise(F.concat(F.lit("| Wave | Tasks | Ids |\n|---|---|---|\n"), "rows")))
+    return p.crossJoin(F.broadcast(w)).select(text.alias("report"))  # a row each
+
+
 def markdown(metrics: DataFrame, title: str) -> str:
     """A report of a few rows of metrics as a Markdown table (a sink: the rows come to the driver)."""
     rows = metrics.collect()

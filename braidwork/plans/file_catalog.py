@@ -450,6 +450,67 @@ def t_canonical_json(spark, d):
     return table(spark, d, "supplier").select(k.alias("k"), code.canonical_json(F.concat(F.lit('{ "b" : "\\u00e9", "a": [1, {"y": null, "x": '), k.cast("string"), F.lit("}]}"))).alias("json"))
 
 
+# Stores, logs and reports
+
+
+@query("SELECT 'r' || n_regionkey || CASE WHEN n_nationkey % 5 = 0 THEN '..' WHEN n_nationkey % 2 = 0 THEN 'x' ELSE '' END AS hash, n_nationkey % 2 = 1 AND n_nationkey % 5 <> 0 AS found, CASE WHEN n_nationkey % 2 = 1 AND n_nationkey % 5 <> 0 THEN r_name END AS content FROM nation JOIN region ON n_regionkey = r_regionkey")
+def a9_objects(spark, d):
+    """Regions as objects of a store; nations ask for theirs, under wrong names and unsafe ones too."""
+    base = _put(spark, "store", {f"r{r.r_regionkey}": r.r_name for r in table(spark, d, "region").collect()})  # five
+    k = F.col("n_nationkey")
+    wanted = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.when(k % 5 == 0, "..").when(k % 2 == 0, "x").otherwise("")).alias("hash"))
+    return files.pulled(wanted, base).select("hash", "found", F.col("content").cast("string").alias("content"))
+
+
+@query("SELECT s_suppkey AS k, s_name AS payload, s_suppkey % 3 <> 0 AS trusted FROM supplier")
+def s6_pushed_and_promoted(spark, d):
+    """Objects framed and signed, a third of them changed in the store, and read again."""
+    k = F.col("s_suppkey")
+    objects = table(spark, d, "supplier").select(k.cast("string").alias("hash"), F.concat(F.lit('{"task": "t'), k.cast("string"), F.lit('", "at": "7"}')).alias("metadata"), F.when(k % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")).cast("binary").alias("payload"))
+    stored = sinks.pushed(objects, "a key")
+    changed = stored.withColumn("content", F.when(F.col("hash").cast("long") % 3 == 0, F.expr("substring(content, 1, octet_length(content) - 1)")).otherwise(F.col("content")))
+    return sinks.promoted(changed, "a key").select(F.col("hash").cast("long").alias("k"), F.col("payload").cast("string").alias("payload"), "trusted")
+
+
+@query("SELECT CASE event_type WHEN 'error' THEN '::error file=a%3Ab.lock::collision of t' ELSE '::warning file=a%3Ab.lock::shadow of t' END || user_id || ' and t' || event_id || ': 100%25' AS line FROM events WHERE event_type IN ('error', 'view')")
+def s11_annotations(spark, d):
+    return sinks.annotations(_findings(spark, d), "a:b.lock")
+
+
+def _findings(spark, d):
+    """Errors as collisions and views as shadows."""
+    e = table(spark, d, "events").where("event_type IN ('error', 'view')")
+    error = F.col("event_type") == "error"
+    t = lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
+    return e.select(F.when(error, "error").otherwise("warning").alias("severity"), F.when(error, "collision").otherwise("shadow").alias("kind"), t("user_id").alias("task_a"), t("event_id").alias("task_b"), F.lit("100%").alias("resource"))
+
+
+@query("SELECT true AS found, count(*) = 0 AS verified, count(*) AS findings, count(*) FILTER (event_type = 'error') AS collisions, count(*) FILTER (event_type = 'view') AS shadows, CAST(0 AS BIGINT) AS implicit FROM events WHERE event_type IN ('error', 'view')")
+def s11_annotation_outputs(spark, d):
+    return sinks.annotation_outputs(_findings(spark, d))
+
+
+@query("SELECT 'n' || n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'sh|-c|it''s && x' ELSE 'run|' || n_nationkey END AS cmd, CASE WHEN n_nationkey % 2 = 0 THEN 'b a' ELSE '' END AS deps FROM nation")
+def s11_step_pipeline(spark, d):
+    """Nations as tasks written as a pipeline of steps and read again."""
+    k = F.col("n_nationkey")
+    cmd = F.when(k % 3 == 0, F.array(F.lit("sh"), F.lit("-c"), F.lit("it's && x"))).otherwise(F.array(F.lit("run"), k.cast("string")))
+    tasks = table(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("id"), cmd.alias("cmd"), F.when(k % 2 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.expr("cast(array() as array<string>)")).alias("deps"))
+    base = _folder(spark, "steps")
+    sinks.step_pipeline(tasks).coalesce(1).write.text(base)
+    return configs.read_step_pipeline(spark, base).select("id", F.array_join("cmd", "|").alias("cmd"), F.array_join("deps", " ").alias("deps"))
+
+
+@query(r"""WITH p AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS i, r_name, 512.0 * (r_regionkey + 1) AS ms FROM region), w AS (SELECT n_regionkey AS w, count(*) AS n, string_agg(n_nationkey, ', ' ORDER BY n_nationkey) AS ids FROM nation GROUP BY 1)
+SELECT '# Build' || repeat(chr(10), 2) || '| | |' || chr(10) || '|---|---|' || chr(10) || '| Duration | 10.24s |' || chr(10) || '| Least duration | 7.68s |' || chr(10) || '| Efficiency | 75.00% |' || chr(10) || '| Could be saved | 2.56s |' || chr(10) || '| Waves | 5 |' || chr(10) || '| Grade | B |' || repeat(chr(10), 2) || '## Critical path' || repeat(chr(10), 2)
+ || (SELECT string_agg(i || '. **' || r_name || '** ' || CASE WHEN ms < 1000 THEN printf('%.1fms', ms) ELSE printf('%.2fs', ms / 1000) END, chr(10) ORDER BY i) FROM p) || repeat(chr(10), 2) || '## Waves' || repeat(chr(10), 2) || '| Wave | Tasks | Ids |' || chr(10) || '|---|---|---|' || chr(10)
+ || (SELECT string_agg('| ' || w || ' | ' || n || ' | ' || ids || ' |', chr(10) ORDER BY w) FROM w) AS report""")
+def s8_report(spark, d):
+    path = table(spark, d, "region").select(F.col("r_regionkey").alias("place"), F.col("r_name").alias("id"), (512.0 * (F.col("r_regionkey") + 1)).alias("duration_ms"))
+    waves = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("wave")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("task_ids"))
+    return report.build_report(path, waves, 10_240.0)
+
+
 # Streams
 
 

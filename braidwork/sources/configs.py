@@ -181,7 +181,7 @@ def simple_yaml(text: str) -> object:
         if s[:1] == "[" and s[-1:] == "]":
             return [scalar(x) for x in s[1:-1].split(",") if x.strip()]
         if s[:1] in "'\"" and s[-1:] == s[:1] and len(s) > 1:
-            return s[1:-1]
+            return s[1:-1].replace("''", "'") if s[0] == "'" else s[1:-1]
         return {"true": True, "false": False, "null": None, "~": None, "": None}.get(s, s)
 
     def block(i: int, indent: int) -> tuple[object, int]:

@@ -121,3 +121,13 @@ def read_system_trace(lines: DataFrame) -> DataFrame:
     rest = calls.where(~F.col("call").rlike("clone|fork")).select("seq", "pid", kind.alias("type"), F.lit(None).cast("bigint").alias("ppid"), F.when(kind == "exec", args).alias("cmd"), F.when(kind != "exec", quoted).alias("path"), F.when(kind == "open", mode).alias("mode"))
     both = forks.unionByName(rest).withColumn("ppid", F.last("ppid", ignorenulls=True).over(Window.partitionBy("pid").orderBy("seq")))
     return both.where(F.col("type") != "fork").select("seq", "type", "pid", "ppid", "cmd", "path", "mode", F.lit(None).cast("string").alias("cwd"))
+
+
+def pulled(wanted: DataFrame, root: str) -> DataFrame:
+    """wanted (hash). (hash, found, content) of the objects of these names in a store's folder; a missing one, or a name that may
+    not stand in a path, is not found. The store is any that Spark's readers reach; tries and waits are its connector's settings."""
+    from braidwork.functions.text import basename, is_hash_name
+
+    spark = wanted.sparkSession
+    held = spark.read.format("binaryFile").load(root).select(basename(F.col("path")).alias("hash"), "content")
+    return wanted.join(held.where(is_hash_name(F.col("hash"))), "hash", "left").select("hash", F.col("content").isNotNull().alias("found"), "content")

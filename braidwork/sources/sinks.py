@@ -127,3 +127,56 @@ def config_with_report(tasks: DataFrame, project: str | None = None) -> tuple[Da
     known = own.select(F.col("_new").alias("src"), F.lit(True).alias("_known"))
     report = dropped.join(known, "src", "left").select(F.col("dst").alias("id"), F.col("src").alias("dependency"), F.when(F.col("_known"), "would create a dependency cycle").otherwise("no such task").alias("reason"))
     return config_rows(ready, project), report
+
+
+def annotations(findings: DataFrame, file: str | None = None) -> DataFrame:
+    """findings (severity, kind, task_a, task_b, resource) as lines of a build log that its viewer shows at a file."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    of = F.replace(F.replace(escaped(F.lit(file)), F.lit(":"), F.lit("%3A")), F.lit(","), F.lit("%2C")) if file else None
+    message = F.concat("kind", F.lit(" of "), "task_a", F.lit(" and "), "task_b", F.lit(": "), "resource")
+    return findings.select(F.concat(F.lit("::"), "severity", *([F.lit(" file="), of] if file else []), F.lit("::"), escaped(message)).alias("line"))
+
+
+def annotation_outputs(findings: DataFrame) -> DataFrame:
+    """One row: found, verified, and how many findings there are in all and of each kind."""
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    n = F.count(F.lit(1))
+    return findings.agg(F.lit(True).alias("found"), (n == 0).alias("verified"), n.alias("findings"), of("collision").alias("collisions"), of("shadow").alias("shadows"), of("implicit-dependency").alias("implicit"))
+
+
+def step_pipeline(tasks: DataFrame) -> DataFrame:
+    """tasks (id, cmd, deps) as one YAML pipeline of steps with key, run and after; a shell's -c stands as its command. Inverse of
+    configs.read_step_pipeline."""
+    run = F.when((F.size("cmd") == 3) & (F.col("cmd")[0] == "sh") & (F.col("cmd")[1] == "-c"), F.col("cmd")[2]).otherwise(F.array_join("cmd", " "))
+    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    after = F.when(F.size("deps") > 0, F.concat(F.lit("    after: ["), F.array_join(F.transform("deps", quoted), ", "), F.lit("]\n"))).otherwise("")
+    step = F.concat(F.lit("  - key: "), quoted(F.col("id")), F.lit("\n    run: "), quoted(run), F.lit("\n"), after)
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", step.alias("step")))), lambda x: x.step), "")
+    return tasks.agg(F.concat(F.lit("version: '1.0'\ntasks:\n"), listed).alias("value"))
+
+
+def pushed(objects: DataFrame, key: str | None) -> DataFrame:
+    """objects (hash, metadata JSON, payload). (hash, content): 4-byte little-endian length, metadata with the hash and a signature of it all
+    (null without a key), payload: what files.frame_metadata reads. Names that may not stand in a store's path fail the query."""
+    from braidwork.functions.code import canonical_json, hmac_sha256
+    from braidwork.functions.text import is_hash_name
+
+    named = objects.withColumn("hash", F.when(is_hash_name(F.col("hash")), F.col("hash")).otherwise(F.raise_error(F.concat(F.lit("no name for an object: "), "hash"))))
+    whole = F.to_json(F.map_concat(F.from_json("metadata", "map<string,string>"), F.create_map(F.lit("hash"), "hash")))
+    based = named.withColumn("_m", canonical_json(whole))
+    signature = hmac_sha256(F.lit(key), F.concat_ws("\0", "hash", F.sha2("payload", 256), "_m")) if key else F.lit(None).cast("string")
+    signed = based.withColumn("_m", F.concat(F.expr("substring(_m, 1, length(_m) - 1)"), F.lit(',"signature":'), F.coalesce(F.concat(F.lit('"'), signature, F.lit('"')), F.lit("null")), F.lit("}")))
+    n = F.octet_length("_m")
+    byte = lambda k: F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0")
+    return signed.select("hash", F.concat(F.unhex(F.concat(*[byte(k) for k in range(4)])), F.col("_m").cast("binary"), "payload").alias("content"))
+
+
+def promoted(objects: DataFrame, key: str | None) -> DataFrame:
+    """objects (hash, content) as pushed. (hash, payload, trusted): the payload without its header; trusted if the signature is this key's, or without a key."""
+    from braidwork.functions.code import hmac_sha256
+    from braidwork.sources.files import frame_metadata
+
+    read = frame_metadata(objects.select(F.col("hash").alias("path"), "content")).withColumnRenamed("path", "hash")
+    base = F.concat(F.regexp_replace("metadata", ',"signature":(null|"[0-9a-f]*")\\}$', ""), F.lit("}"))
+    good = F.coalesce(F.get_json_object("metadata", "$.signature") == hmac_sha256(F.lit(key), F.concat_ws("\0", "hash", F.sha2("payload", 256), base)), F.lit(False)) if key else F.lit(True)
+    return read.select("hash", "payload", (F.col("metadata").isNotNull() & good).alias("trusted"))
