@@ -547,13 +547,21 @@ def _colouring(spark, d):
     return c, graph.claim_colours(tasks, c)
 
 
-@query()
+# First fit one task after another: each takes the least colour that no earlier task of its depth in conflict with it has.
+_FIT = f"""WITH RECURSIVE {M.CLAIMS}, t AS (SELECT id, id % 3 AS depth, row_number() OVER (ORDER BY id % 3, id) AS i FROM (SELECT DISTINCT task_id AS id FROM claims)),
+k AS (SELECT DISTINCT least(ta, tb) AS a, greatest(ta, tb) AS b FROM pairs WHERE ma = 'write' OR mb = 'write'),
+n AS (SELECT x.i, list(y.i) FILTER (y.i IS NOT NULL) AS before FROM t x LEFT JOIN k ON x.id IN (k.a, k.b) LEFT JOIN t y ON y.id IN (k.a, k.b) AND y.i < x.i AND y.depth = x.depth GROUP BY x.i),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS INTEGER[]) AS colours UNION ALL SELECT n.i, list_append(colours, CAST(list_filter(range(0, len(colours) + 1), lambda c: NOT list_contains(list_transform(coalesce(before, []), lambda x: colours[x]), CAST(c AS INTEGER)))[1] AS INTEGER)) FROM r JOIN n ON n.i = r.i + 1),
+f AS (SELECT depth, id, colours[t.i] AS colour FROM t, (SELECT colours FROM r ORDER BY i DESC LIMIT 1))"""
+
+
+@query(f"{_FIT} SELECT * FROM f")
 def g6_wave_colours(spark, d):
-    """First fit of all pages' tasks, held against first fit over every earlier task in tests."""
+    """First fit of all pages' tasks."""
     return _colouring(spark, d)[1]
 
 
-@query()
+@query(f"{_FIT}, w AS (SELECT id, dense_rank() OVER (ORDER BY depth, colour) AS w FROM f) SELECT CASE WHEN x.w < y.w THEN a ELSE b END AS src, CASE WHEN x.w < y.w THEN b ELSE a END AS dst FROM k JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE x.w <> y.w")
 def g6_injected_edges(spark, d):
     c, coloured = _colouring(spark, d)
     pairs = C.overlaps(c).where("mode = 'write' OR o_mode = 'write'").select(F.least("task_id", "o_id").alias("task_a"), F.greatest("task_id", "o_id").alias("task_b")).distinct()
@@ -573,9 +581,12 @@ def c14_edge_pruning(spark, d):
     return graph.without_cycles(M.ring_nodes(spark, d), e)[1]
 
 
-@query()
+# Conversations queue in the order of their turns; a task starts no earlier than the one before it, a step after the turn before, a step after the eighth before.
+@query("""WITH RECURSIVE p AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, row_number() OVER (ORDER BY turn, conv_id) AS pos FROM conversations), q AS (SELECT a.pos, b.pos AS dep FROM p a LEFT JOIN p b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1),
+r AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS steps UNION ALL SELECT q.pos, list_append(steps, greatest(coalesce(steps[q.pos - 1], 0), CASE WHEN dep IS NULL THEN 0 ELSE steps[dep] + 1 END, CASE WHEN q.pos > 8 THEN steps[q.pos - 8] + 1 ELSE 0 END)) FROM r JOIN q ON q.pos = r.pos + 1)
+SELECT id, steps[p.pos] AS step FROM p, (SELECT steps FROM r ORDER BY pos DESC LIMIT 1)""")
 def j6_schedule(spark, d):
-    """A queue of eight places over all conversations; held against a queue run step by step in tests."""
+    """A queue of eight places over all conversations."""
     return graph.schedule(M.chain_nodes(spark, d), M.chain(spark, d), 8)
 
 
@@ -631,7 +642,7 @@ def j2_debounced(spark, d):
     return folds.debounced(table(spark, d, "events"), "user_id", "ts", "60 minutes")
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT user_id, ts, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events), r AS (SELECT user_id, ts, n, ms + 3600000 AS free, true AS started FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.ts, e.n, CASE WHEN e.ms >= r.free THEN e.ms + 3600000 ELSE r.free END, e.ms >= r.free FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, ts, started FROM r")
 def j2_dropped_while_busy(spark, d):
     return folds.dropped_while_busy(table(spark, d, "events"), "user_id", "ts", 3_600_000)
 
