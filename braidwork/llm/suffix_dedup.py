@@ -8,6 +8,13 @@ it, and regions are dealt into shards by the minimiser's hash; so all copies of
 documents they are in. A shard's suffixes are sorted with their common prefixes, and neighbours that share `least`
 bytes at different places of the corpus are repeats. Runs of repeats go back to their documents as intervals.
 
+Where a region stands is kept apart from its bytes: a task sends equal regions once, places stay where they are stored, and
+what a shard finds in a region is joined to its places. A minimiser that very many regions share, as one in a passage of a
+third of all documents, is hot: its regions differ around the passage, and its shard would be one task's. Such regions are
+cut into blocks of starts. A block stays if what its strings have in common stands at two places, and is dealt by the
+hash of that; inside the passage blocks are equal bytes, which collapse. Where a run of blocks ends, in any region, the
+strings of the block are told apart one by one, by 128-bit hashes as equal regions and equal texts are.
+
 Equal texts have one key, so a text that a third of all documents share sends its regions once a task. Tables that
 go back to the documents are held by the tasks while they are small and joined by key beyond that.
 """
@@ -28,6 +35,8 @@ from braidwork.llm.induced import SEPARATOR, suffixes
 
 #: Length of a repeat, of the grams that shards are dealt by, bytes of a shard, of its queues in memory, of held tables.
 LEAST, GRAM, SHARD_BYTES, QUEUE_BYTES, HELD_BYTES = 400, 100, 1 << 20, 32 << 20, 32 << 20
+#: Places of a minimiser beyond which it is hot, starts of a block.
+HOT, STARTS = 1024, 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -128,13 +137,14 @@ def _anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "_t binary, at int, to int, h bigint, many boolean")
 
 
-_ENTRY = np.dtype([("at", "<i4"), ("to", "<i4"), ("h", "<i8")])
+_ENTRY = np.dtype([("at", "<i4"), ("to", "<i4"), ("h", "<i8"), ("hot", "?")])
 
 
-def _repeated_anchors(anchors: DataFrame) -> DataFrame:
-    """(_t, blob): each text's minimisers that stand at two places or more."""
+def _repeated_anchors(anchors: DataFrame, hot: int) -> DataFrame:
+    """(_t, blob): each text's minimisers that stand at two places or more, with whether each is hot."""
     place = F.xxhash64("_t", "at")
-    repeated = anchors.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("many").alias("many")).where((F.col("a") != F.col("b")) | F.col("many")).select("h")
+    counted = anchors.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("many").alias("many"), F.count(F.lit(1)).alias("n"))
+    repeated = counted.where((F.col("a") != F.col("b")) | F.col("many")).select("h", (F.col("n") > hot).alias("hot"))
 
     def pack(part: pa.Table) -> pa.Table:
         out = np.empty(part.num_rows, _ENTRY)
@@ -146,13 +156,13 @@ def _repeated_anchors(anchors: DataFrame) -> DataFrame:
 
 
 def _regions(docs: DataFrame, anchors: DataFrame, least: int, gram: int, held_bytes: int) -> DataFrame:
-    """(h, _t, lo, region): for each repeated minimiser the bytes of all strings that pick it; neighbours of one hash as one."""
+    """(h, _t, lo, region, hot), stored: for each repeated minimiser the bytes of all strings that pick it; neighbours of one hash as one."""
     held, rows = _attached(docs.select("text"), anchors, held_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            out, total = ([], [], [], []), 0
+            out, total = ([], [], [], [], []), 0
             for t, blob in zip(b.column(0), b.column(1)):
                 raw = _raw(t.as_py())
                 if len(raw) < least or (key := text_key(raw)) in seen:
@@ -162,20 +172,141 @@ def _regions(docs: DataFrame, anchors: DataFrame, least: int, gram: int, held_by
                 found = held.value.get(key) if held else blob.as_py()
                 if not found:
                     continue
-                entries = np.frombuffer(found, _ENTRY)
-                for at, to, h in entries.tolist():
+                for at, to, h, hot in np.frombuffer(found, _ENTRY).tolist():
                     lo, hi = max(0, at + gram - least), min(len(raw), to + least)
-                    for part, value in zip(out, (h, key, lo, raw[lo:hi])):
+                    for part, value in zip(out, (h, key, lo, raw[lo:hi], hot)):
                         part.append(value)
                     total += hi - lo
-                if total > 8 << 20:
+                if total > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-                    out, total = ([], [], [], []), 0
+                    out, total = ([], [], [], [], []), 0
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    names, kinds = ["h", "_t", "lo", "region"], [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-    return rows.select("text", "blob").mapInArrow(run, "h bigint, _t binary, lo bigint, region binary")
+    names, kinds = ["h", "_t", "lo", "region", "hot"], [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_()]
+    regions = materialise(rows.select("text", "blob").mapInArrow(run, f"{REGION}, hot boolean"), "regions")
+    if held:
+        held.destroy()
+    return regions
+
+
+REGION = "h bigint, _t binary, lo bigint, region binary"
+
+
+def starts_by_block(region: bytes, h: int, least: int, gram: int, width: int) -> list[tuple[int, int, int, int]]:
+    """(block, begin of what its strings have in common, first start, end of starts) of the strings of a region that hold the gram h.
+
+    A string belongs to the first such gram in it, and to a block by its start's distance from that; so equal strings are in
+    equal blocks wherever they stand, and all strings of a block have `least` - width + 1 bytes in common.
+    """
+    raw = np.frombuffer(region, np.uint8)
+    if len(raw) < least:
+        return []
+    at, out, before = np.flatnonzero(gram_hashes(raw, gram).view(np.int64) == h).tolist(), [], -1
+    for p in at:
+        lo, hi = max(before + 1, p - (least - gram)), min(p, len(raw) - least)
+        before = p
+        for block in range((p - hi) // width, (p - lo) // width + 1) if lo <= hi else ():
+            out.append((block, p - block * width, max(lo, p - block * width - width + 1), min(hi, p - block * width) + 1))
+    return out
+
+
+def _repeated_blocks(regions: DataFrame, least: int, gram: int, width: int) -> DataFrame:
+    """(core, h, _t, lo, a, b): the blocks of starts [a, b) of regions whose common bytes (core, a 128-bit hash) stand at two places.
+
+    regions may have starts array<struct<a, b>>, the ranges to look at.
+    """
+    wanted = "starts" in regions.columns
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = ([], [], [], [], [], [])
+            ranges = b.column(4).to_pylist() if wanted else [None] * b.num_rows
+            for h, t, lo, region, own in zip(*(b.column(i).to_pylist() for i in range(4)), ranges):
+                looked = None
+                if own is not None:
+                    looked = np.zeros(len(region) + 1, bool)
+                    for r in own:
+                        looked[r["a"] : r["b"]] = True
+                for block, begin, first, end in starts_by_block(region, h, least, gram, width):
+                    if looked is None or looked[first:end].any():
+                        core = xxhash.xxh3_128_digest(region[begin : begin - width + 1 + least], block)
+                        for part, value in zip(out, (core, h, t, lo, first, end)):
+                            part.append(value)
+            if out[0]:
+                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["core", "h", "_t", "lo", "a", "b"])
+
+    found = materialise(regions.select("h", "_t", "lo", "region", *["starts"] * wanted).mapInArrow(cores, "core binary, h bigint, _t binary, lo bigint, a int, b int"), "cores")
+    place = F.xxhash64("_t", F.col("lo") + F.col("a"))
+    again = found.groupBy("core").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("core")
+    return materialise(_among(found, again), "blocks")
+
+
+#: Hashes of blocks that tasks may hold.
+HELD_CORES = 1 << 20
+
+
+def _among(blocks: DataFrame, cores: DataFrame) -> DataFrame:
+    """The blocks with one of these cores."""
+    cores = materialise(cores, "some")
+    return blocks.join(F.broadcast(cores) if cores.count() <= HELD_CORES else cores, "core", "left_semi")
+
+
+def _cut(regions: DataFrame, least: int, gram: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Regions (stored) of hot minimisers as (blocks to be sorted, as regions with a shard for each core; intervals (_t, lo, hi) that are decided).
+
+    Where a run of blocks ends in some region, its strings are decided one by one, in all regions that have the block: equal
+    strings are in blocks of one core.
+    """
+    of = ["h", "_t", "lo"]
+    blocks = _repeated_blocks(regions, least, gram, width)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = set()
+            for own in b.column(0).to_pylist():
+                edge = {x["b"] for x in own} ^ {x["a"] for x in own}  # a start that one block begins or ends at, and no other
+                out.update(x["core"] for x in own if x["a"] in edge or x["b"] in edge)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.binary())], ["core"])
+
+    at_ends = materialise(blocks.groupBy(*of).agg(F.collect_set(F.struct("a", "b", "core")).alias("x")).select("x").mapInArrow(ends, "core binary").distinct(), "ends")
+    single = blocks.join(F.broadcast(at_ends) if at_ends.count() <= HELD_CORES else at_ends, "core", "left_semi")
+    inner = blocks.join(F.broadcast(at_ends) if at_ends.count() <= HELD_CORES else at_ends, "core", "left_anti")
+    ranges = lambda rows, name, *more: rows.groupBy(*of).agg(F.collect_set(F.struct("a", "b", *more)).alias(name))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = ([], [], [], [])
+            for t, lo, region, inner in zip(*(b.column(i).to_pylist() for i in range(4))):
+                for x in inner:
+                    for part, value in zip(out, (int.from_bytes(x["core"][:8], "little", signed=True), t, lo + x["a"], region[x["a"] : x["b"] - 1 + least])):
+                        part.append(value)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["h", "_t", "lo", "region"])
+
+    sorted_ = regions.join(ranges(inner, "inner", "core"), of).select("_t", "lo", "region", "inner").mapInArrow(parts, REGION)
+    looked = regions.join(ranges(single, "starts"), of)
+    strings = _repeated_blocks(looked, least, gram, 1)
+    return sorted_, strings.select("_t", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("a") + least).alias("hi"))
+
+
+def _placed(regions: DataFrame) -> DataFrame:
+    """(h, rk, _t, lo, n, region): regions named by a hash of their bytes, which only the first of a task's equal ones carries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()
+        for b in batches:
+            hs, raws = b.column(0).to_pylist(), b.column(3).to_pylist()
+            keys, first = [], []
+            for h, raw in zip(hs, raws):
+                keys.append(text_key(raw))
+                first.append((h, keys[-1]) not in seen)
+                if len(seen) < 1 << 17:
+                    seen.add((h, keys[-1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), b.column(1), b.column(2), pa.array([len(r) for r in raws], pa.int64()), pa.array([r if f else None for r, f in zip(raws, first)], pa.binary())], ["h", "rk", "_t", "lo", "n", "region"])
+
+    return regions.mapInArrow(run, "h bigint, rk binary, _t binary, lo bigint, n bigint, region binary")
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -188,67 +319,65 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, extended(docs.schema, "_t binary"))
 
 
-def repeats(regions: list[tuple[bytes, int, bytes]], least: int, memory: int = QUEUE_BYTES) -> list[tuple[bytes, int, int]]:
-    """regions (key, where it begins, bytes) of one shard. Gives the byte intervals (key, from, to) covered by repeats."""
-    distinct: dict[bytes, list[int]] = {}
-    for n, (_, _, raw) in enumerate(regions):
-        distinct.setdefault(raw, []).append(n)
-    # Equal regions at two places repeat throughout; one of them stands for all in the text.
-    flags = {raw: np.full(max(0, len(raw) - least + 1), len({regions[n][:2] for n in own}) > 1) for raw, own in distinct.items()}
-    some = [raw for raw in distinct if len(raw) >= least]
-    if some:  # one region alone too: a chain may repeat itself
-        sizes = np.array([len(raw) + 1 for raw in some])
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        text = np.frombuffer(b"\0".join(some) + b"\0", np.uint8).astype(np.uint16) + 1
-        text[begin[1:] - 1] = SEPARATOR
-        # A place of the corpus: text number and offset; the same place may be in regions of neighbouring minimisers.
-        number = {key: i for i, key in enumerate(dict.fromkeys(r[0] for r in regions))}
-        base = np.array([(number[regions[distinct[raw][0]][0]] << 40) + regions[distinct[raw][0]][1] for raw in some], np.int64)
-        hit = np.zeros(len(text), bool)
-        whole = np.concatenate([np.concatenate((np.full(max(0, len(raw) - least + 1), True), np.zeros(min(len(raw), least - 1) + 1, bool))) for raw in some])
-        owner = np.repeat(np.arange(len(some)), sizes)
-        for at, lcp in suffixes(text, least, memory):
-            run = np.cumsum(lcp < least) - 1
-            if run[-1] + 1 == len(at):
-                continue
-            place = base[owner[at]] + (at - begin[owner[at]])
-            heads = np.flatnonzero(lcp < least)
-            many = np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)
-            hit[at[many[run]]] = True
-        hit &= whole
-        for i, raw in enumerate(some):
-            flags[raw] |= hit[begin[i] : begin[i] + len(flags[raw])]
+def repeats(regions: list[tuple[bytes, bytes, int, bytes]], least: int, memory: int = QUEUE_BYTES) -> list[tuple[bytes, int, int]]:
+    """Different regions (name, a text they stand in, where, bytes) of one shard. Gives the intervals (name, from, to) of them covered by
+    strings that start at two places of the shard."""
+    some = [r for r in regions if len(r[3]) >= least]
+    if not some:
+        return []
+    sizes = np.array([len(r[3]) + 1 for r in some])
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    text = np.frombuffer(b"\0".join(r[3] for r in some) + b"\0", np.uint8).astype(np.uint16) + 1
+    text[begin[1:] - 1] = SEPARATOR
+    # A place of the corpus: text number and offset; the same place may be in regions of neighbouring minimisers.
+    number = {key: i for i, key in enumerate(dict.fromkeys(r[1] for r in some))}
+    base = np.array([(number[r[1]] << 40) + r[2] for r in some], np.int64)
+    hit = np.zeros(len(text), bool)
+    owner = np.repeat(np.arange(len(some)), sizes)
+    for at, lcp in suffixes(text, least, memory):
+        run = np.cumsum(lcp < least) - 1
+        if run[-1] + 1 == len(at):
+            continue
+        place = base[owner[at]] + (at - begin[owner[at]])
+        heads = np.flatnonzero(lcp < least)
+        many = np.minimum.reduceat(place, heads) != np.maximum.reduceat(place, heads)
+        hit[at[many[run]]] = True
     out = []
-    for raw, own in distinct.items():
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], flags[raw].astype(np.int8), [0]))))
-        for lo, hi in zip(edges[::2], edges[1::2]):
-            out += [(regions[n][0], regions[n][1] + int(lo), regions[n][1] + int(hi) - 1 + least) for n in own]
+    for (name, _, _, raw), lo in zip(some, begin):
+        step = np.flatnonzero(np.diff(hit[lo : lo + len(raw) - least + 1].astype(np.int8), prepend=0, append=0))
+        out += [(name, a, b - 1 + least) for a, b in zip(step[::2].tolist(), step[1::2].tolist())]
     return out
 
 
-def _intervals(regions: DataFrame, least: int, shard_bytes: int) -> DataFrame:
-    """(_t, lo, hi) of all runs of repeats."""
+def _intervals(placed: DataFrame, least: int, shard_bytes: int) -> DataFrame:
+    """(rk, lo, hi): the runs of repeats in each region (stored, as _placed gives them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size = [], 0
+        shard, size = {}, 0
 
         def out() -> pa.RecordBatch:
-            found = repeats(list(dict.fromkeys(shard)), least)
-            cols = list(zip(*found)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["_t", "lo", "hi"])
-
-        rows = ((h, (t, lo, raw)) for b in batches for h, t, lo, raw in zip(*(b.column(i).to_pylist() for i in range(4))))
-        for _, group in groupby(rows, key=lambda r: r[0]):
-            own = [r[1] for r in group]
-            shard += own
-            size += sum(len(r[2]) for r in own)
-            if size >= shard_bytes:
-                yield out()
-                shard, size = [], 0
+            cols = list(zip(*repeats([(k, *v) for k, v in shard.items()], least))) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["rk", "lo", "hi"])
+
+        now = None
+        for b in batches:
+            for h, rk, t, lo, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if h != now and size >= shard_bytes:
+                    yield out()
+                    shard, size = {}, 0
+                now = h
+                if rk not in shard:
+                    shard[rk] = (t, lo, raw)
+                    size += len(raw)
         if shard:
             yield out()
 
-    return regions.repartition("h").sortWithinPartitions("h").mapInArrow(run, "_t binary, lo bigint, hi bigint")
+    rows = placed.where(F.col("region").isNotNull()).select("h", "rk", "_t", "lo", "region")
+    inside = rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "rk binary, lo bigint, hi bigint")
+    # A region that stands at two places repeats throughout.
+    place = F.xxhash64("_t", "lo")
+    whole = placed.groupBy("rk").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.max("n").alias("hi")).where((F.col("x") != F.col("y")) & (F.col("hi") >= least)).select("rk", F.lit(0).cast("bigint").alias("lo"), "hi")
+    return inside.unionByName(whole)
 
 
 def _joined(intervals: np.ndarray) -> np.ndarray:
@@ -259,7 +388,7 @@ def _joined(intervals: np.ndarray) -> np.ndarray:
     return np.stack([x[first, 0], np.append(top[first[1:] - 1], top[-1])], 1)
 
 
-def dedup_substrings(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, held_bytes: int = HELD_BYTES, hot: int = HOT) -> DataFrame:
     """docs with kept binary (the bytes that stay), n_bytes, n_removed and n_spans long in place of text.
 
     Every byte that lies in a string of `least` bytes which also starts elsewhere, in this document or another, is
@@ -268,8 +397,17 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shar
     """
     docs, back = set_aside(docs.drop("kept", "n_bytes", "n_removed", "n_spans"), "_t", "blob")
     anchors = materialise(_anchors(docs, least, gram), "anchors")
-    repeated = materialise(_repeated_anchors(anchors), "repeated")
-    found = _intervals(_regions(docs, repeated, least, gram, held_bytes), least, shard_bytes)
+    repeated = materialise(_repeated_anchors(anchors, hot), "repeated")
+    regions = _regions(docs, repeated, least, gram, held_bytes)
+    own, decided = regions.where("NOT hot").drop("hot"), None
+    if not (wide := regions.where("hot").drop("hot")).isEmpty():
+        blocks, decided = _cut(wide, least, gram, min(STARTS, max(1, least - gram)))
+        own = own.unionByName(blocks)
+    placed = materialise(_placed(own), "placed")
+    inside = materialise(_intervals(placed, least, shard_bytes).distinct(), "inside")
+    found = placed.select("rk", "_t", F.col("lo").alias("base")).join(inside, "rk").select("_t", (F.col("base") + F.col("lo")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi"))
+    if decided is not None:
+        found = found.unionByName(decided)
 
     def gather(part: pa.Table) -> pa.Table:
         spans = _joined(np.stack([part.column("lo").to_numpy(), part.column("hi").to_numpy()], 1))

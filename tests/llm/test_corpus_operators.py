@@ -722,23 +722,42 @@ def substrings_brute(texts, least):
 
 @pytest.mark.parametrize("room", [32 << 20, 0])
 def test_substrings(spark, docs, none, real, room):
-    """room 0: what goes back to the documents is joined to them."""
-    digest = lambda df, **k: sorted((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.dedup_substrings(df, held_bytes=room, **k).collect())
+    """room 0: what goes back to the documents is joined to them, and no minimiser is hot; else nearly all are."""
+    digest = lambda df, **k: sorted((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.dedup_substrings(df, held_bytes=room, hot=1 if room else 1 << 30, **k).collect())
     small = docs.where("text IS NULL OR length(text) < 5000")
     assert digest(small, least=40, gram=10) == substrings_brute([r.text for r in small.collect()], 40)
     assert digest(real.limit(120)) == substrings_brute([r.text for r in real.limit(120).collect()], 400)
     assert digest(none) == []
 
 
-def test_substrings_of_random_texts(spark):
+@pytest.mark.parametrize("hot", [0, 3, 1 << 30])
+def test_substrings_of_random_texts(spark, hot):
     rng = np.random.default_rng(8)
     part = ["".join(rng.choice(list("ab"), 30)) for _ in range(12)]
     texts = ["".join(rng.choice(part, rng.integers(0, 8))) for _ in range(60)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    got = sorted((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.dedup_substrings(df, least=24, gram=8, shard_bytes=64).collect())
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.dedup_substrings(df, least=24, gram=8, shard_bytes=64, hot=hot).collect())
     assert got == substrings_brute(texts, 24)
 
 
+def test_a_hot_passage_in_many_contexts(spark, monkeypatch):
+    """A passage of nearly all documents, whole and cut at either end, in contexts of their own, with a periodic stretch in it."""
+    rng = np.random.default_rng(18)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = word(150) + "xy" * 40 + word(120)
+    texts = [word(int(rng.integers(0, 60))) + passage[int(rng.integers(0, 90)) if k % 9 == 1 else 0 : -int(rng.integers(1, 90)) if k % 9 == 2 else None] + word(int(rng.integers(0, 60))) for k in range(90)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "STARTS", 7)
+    for held in (1 << 20, 0):
+        monkeypatch.setattr(suffix_dedup, "HELD_CORES", held)
+        got = sorted((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.dedup_substrings(df, least=60, gram=20, hot=8).collect())
+        assert got == substrings_brute(texts, 60)
+    # What meets in a shard is few different strings.
+    wide = suffix_dedup._regions(df, suffix_dedup._repeated_anchors(suffix_dedup._anchors(df, 60, 20), 8), 60, 20, 1 << 20).where("hot").drop("hot")
+    most = lambda df: df.select("h", "region").distinct().groupBy("h").count().agg(F.max("count")).first()[0]
+    assert most(suffix_dedup._cut(wide, 60, 20, 7)[0]) < 0.1 * most(wide)
+
+
 @pytest.mark.parametrize("texts", [["x" * 1000], ["ab" * 600, "other"], ["x" * 400], ["".join(f"{i:03d}" for i in range(100)) * 5]])
 def test_substrings_of_one_region(spark, texts):
     """The only region of its shard repeats itself (or, at exactly 400 bytes, doesn't)."""
