@@ -370,12 +370,12 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3, h
     named = classes.where(F.col("id").isNotNull())
     small = named.where(F.size("few") > 0).select(F.explode(F.slice("few", F.lit(1), _prefix(F.col("n"), similarity))).alias("key"), "id", F.col("few").alias("s"))
 
-    def compared(rows: DataFrame) -> DataFrame:
-        return dealt(rows, hot_keys(rows.select("key"), hot_rows)).repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _exact_links(batches, similarity), "u bigint, v bigint")
+    def compared(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        return dealt(rows, hot_keys(keys.select("key"), hot_rows)).repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _exact_links(batches, similarity), "u bigint, v bigint")
 
     hot = hot_keys(in_tables(named.select("id", "f0", "f1")).select("key"), hot_rows)
     nearest = materialise(met(named.select("id", "f0", "f1"), lambda f, key, of: [compare(f, key, radius)]).distinct(), "candidates")
-    links = materialise(similar(nearest).unionByName(compared(small)), "links")
+    links = materialise(similar(nearest).unionByName(compared(small, small)), "links")
     # What the forests left out: pairs of a key that no link so far connects.
     masks = np.zeros((tables, 64 * WIDE), np.uint8)
     for n, places in enumerate(chosen):
@@ -383,7 +383,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, seed: int = 3, h
     masks = np.packbits(masks, axis=1, bitorder="little").view("<u8")
     grouped = named.join(connected_components(links).select(F.col("node").alias("id"), "root"), "id", "left").select("id", "f0", "f1", F.coalesce("root", "id").alias("g"), "n")
     others = materialise(met(grouped, lambda f, key, group, size, of: untested(f, key, group, size, of, radius, similarity, masks), members=True).distinct(), "others")
-    links = links.unionByName(compared(others.join(sets_of(others.select("id")), "id").select("key", "id", "s")))
+    links = links.unionByName(compared(others.join(sets_of(others.select("id")), "id").select("key", "id", "s"), others))
     roots = connected_components(links)
     own = classes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("own", "own2", F.coalesce("root", "id").alias("component_id"))
     return prints.join(own, ["own", "own2"]).select("doc_id", "component_id")
