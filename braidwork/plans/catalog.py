@@ -469,11 +469,14 @@ def h_identity(spark, d):
 @query("""WITH f AS (SELECT l_orderkey AS id, string_agg(DISTINCT 'p' || l_partkey || chr(0) || sha256(CAST(l_partkey AS VARCHAR)), chr(0) ORDER BY 'p' || l_partkey || chr(0) || sha256(CAST(l_partkey AS VARCHAR))) AS files FROM lineitem GROUP BY 1)
 SELECT id, sha256('1' || chr(0) || id || chr(0) || '["run","' || o_orderstatus || '"]' || chr(0) || files || chr(0) || 'HOME' || chr(0) || 'MODE=m') AS key FROM f JOIN orders ON o_orderkey = id""")
 def d15_cache_keys(spark, d):
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("content_hash"))
+    """Orders as tasks whose inputs are their lines' parts."""
+    inputs = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"))
+    part = F.col("p_partkey").cast("string")
+    files = table(spark, d, "part").select(F.concat(F.lit("p"), part).alias("path"), F.sha2(part, 256).alias("content_hash")).withColumn("logic_hash", F.col("content_hash"))
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.array(F.lit("run"), F.col("o_orderstatus")).alias("cmd"), F.array(F.lit("out")).alias("writes"), F.array(F.lit("MODE"), F.lit("HOME")).alias("env_reads"))
-    tasks = o.join(li.select("id").distinct(), "id", "left_semi")
+    tasks = o.join(inputs.select("id"), "id", "left_semi")
     env = spark.createDataFrame([("MODE", "m")], "name string, value string")
-    keys = hashing.cache_keys(tasks, li.select("id", "path").distinct(), li.select("path", "content_hash", F.col("content_hash").alias("logic_hash")).distinct(), env)
+    keys = hashing.cache_keys(tasks, inputs, files, env)
     return keys.select(F.col("id").cast("bigint").alias("id"), "key")
 
 
