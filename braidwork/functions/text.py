@@ -147,3 +147,14 @@ def iso_time(ms: Column) -> Column:
 
 def hours(events: Column, minutes: Column) -> Column:
     return F.round(events * minutes / 60, 2)
+
+
+def octal(text: Column) -> Column:
+    """The number that octal digits between spaces and NULs say, as archives have it; null for anything else."""
+    digits = F.trim(F.replace(text, F.lit("\0"), F.lit(" ")))
+    return F.when(digits.rlike("^[0-7]+$"), F.conv(digits, 8, 10).cast("bigint"))
+
+
+def base64url(raw: Column) -> Column:
+    """Base 64 in the alphabet for addresses, without padding or line breaks."""
+    return F.rtrim(F.translate(F.base64(raw), "+/=\r\n", "-_"))

@@ -59,6 +59,21 @@ def tax_rate(files: DataFrame) -> DataFrame:
     return files.agg(n.alias("events"), F.count(F.lit(1)).alias("files"), F.round(F.when(F.count(F.lit(1)) > 0, n * 100 / F.count(F.lit(1))).otherwise(0.0), 1).alias("rate"), F.round(n * 300 / 3600, 2).alias("hours"))
 
 
+def classified_changes(changes: DataFrame, suffixes: tuple[str, ...] = ("go", "ts", "rs", "js")) -> DataFrame:
+    """changes (commit, path, before, after) of source files with `reason`: identical, comment/whitespace-only, logic change; null where a side
+    is missing or empty. Other files are left out."""
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"//[^\n]*", ""), r"(?s)/\*.*?\*/", ""), r"\s+", " "))
+    b, a = F.col("before"), F.col("after")
+    reason = F.when((F.coalesce(b, F.lit("")) == "") | (F.coalesce(a, F.lit("")) == ""), None).when(b == a, "identical").when(bare(b) == bare(a), "comment/whitespace-only").otherwise("logic change")
+    return changes.where(F.regexp_extract("path", r"\.([^.]*)$", 1).isin(*suffixes)).withColumn("reason", reason)
+
+
+def history_audit(classified: DataFrame, seconds: int = 300) -> DataFrame:
+    """One row: commits, files, logic_changes, events (comment-only changes), their rate in percent, hours at `seconds` each."""
+    n, events = F.count(F.lit(1)), F.count(F.when(F.col("reason") == "comment/whitespace-only", 1))
+    return classified.agg(F.countDistinct("commit").alias("commits"), n.alias("files"), F.count(F.when(F.col("reason") == "logic change", 1)).alias("logic_changes"), events.alias("events"), F.round(F.when(n > 0, events * 100 / n).otherwise(0.0), 1).alias("rate"), F.round(events * seconds / 3600, 1).alias("hours"))
+
+
 def dashboard(waves: DataFrame, hits: Column, lookups: Column) -> DataFrame:
     """waves (size, ...): tasks, waves, hit rate in whole percent."""
     return waves.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("tasks"), F.count(F.lit(1)).alias("waves"), F.round(F.when(F.sum(lookups) > 0, F.sum(hits) * 100 / F.sum(lookups)).otherwise(0.0)).cast("bigint").alias("hit_rate"))

@@ -367,13 +367,23 @@ def a20_members(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(configs.cargo_members(F.when(F.col("p_partkey") % 2 == 0, one).otherwise(many)), " ").alias("members"))
 
 
-@query("SELECT count(*) FILTER (event_id % 3 = 0) AS events, count(*) AS files, round(count(*) FILTER (event_id % 3 = 0) * 100.0 / count(*), 1) AS rate, round(count(*) FILTER (event_id % 3 = 0) * 300 / 3600, 2) AS hours FROM events")
-def a18_history_audit(spark, d):
-    """Changes of files, a third of which touch comments alone."""
-    e = table(spark, d, "events")
+def _changes(spark, d):
+    """Events as changes of files, a user's in one commit: comments alone, white space alone, nothing, logic; new files; files that aren't source."""
+    e, k = table(spark, d, "events"), F.col("event_id")
     before = F.concat(F.lit("x = "), F.col("value").cast("string"), F.lit("; // "), "event_type")
-    after = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x = "), F.col("value").cast("string"), F.lit(";  /* "), "props", F.lit(" */"))).otherwise(F.concat(before, F.lit("\ny")))
-    return report.tax_rate(e.select(hashing.comment_only(before, after).alias("comment_only")))
+    after = F.when(k % 5 == 0, F.concat(F.lit("x = "), F.col("value").cast("string"), F.lit(";  /* "), "props", F.lit("\n*/ "))).when(k % 5 == 1, F.concat(F.lit("\n"), F.replace(before, F.lit(" "), F.lit("  ")))).when(k % 5 == 2, before).when(k % 5 == 3, F.concat(before, F.lit("\ny")))
+    path = F.concat(F.lit("a.b/f"), k.cast("string"), F.when(k % 7 == 0, ".md").when(k % 7 == 1, ".rs").otherwise(".ts"))
+    return report.classified_changes(e.select(F.col("user_id").alias("commit"), path.alias("path"), before.alias("before"), after.alias("after")))
+
+
+@query("SELECT user_id AS commit, 'a.b/f' || event_id || CASE event_id % 7 WHEN 1 THEN '.rs' ELSE '.ts' END AS path, CASE event_id % 5 WHEN 2 THEN 'identical' WHEN 3 THEN 'logic change' WHEN 4 THEN NULL ELSE 'comment/whitespace-only' END AS reason FROM events WHERE event_id % 7 <> 0")
+def a18_changes(spark, d):
+    return _changes(spark, d).select("commit", "path", "reason")
+
+
+@query("WITH c AS (SELECT * FROM events WHERE event_id % 7 <> 0) SELECT count(DISTINCT user_id) AS commits, count(*) AS files, count(*) FILTER (event_id % 5 = 3) AS logic_changes, count(*) FILTER (event_id % 5 < 2) AS events, round(count(*) FILTER (event_id % 5 < 2) * 100.0 / count(*), 1) AS rate, round(count(*) FILTER (event_id % 5 < 2) * 300 / 3600, 1) AS hours FROM c")
+def a18_history_audit(spark, d):
+    return report.history_audit(_changes(spark, d))
 
 
 # Sinks, reports, functions
@@ -450,6 +460,14 @@ def t_canonical_json(spark, d):
     return table(spark, d, "supplier").select(k.alias("k"), code.canonical_json(F.concat(F.lit('{ "b" : "\\u00e9", "a": [1, {"y": null, "x": '), k.cast("string"), F.lit("}]}"))).alias("json"))
 
 
+@query("SELECT p_partkey AS k, CAST(CASE WHEN p_partkey % 5 <> 0 THEN p_partkey * 37 END AS BIGINT) AS n, rtrim(translate(base64(repeat(p_name, 1 + p_partkey % 9)::BLOB), '+/', '-_'), '=') AS b FROM part")
+def t_binary(spark, d):
+    """Octal fields of archives (every fifth is none) and base 64 for addresses, of texts of any length."""
+    k = F.col("p_partkey")
+    field = F.when(k % 5 == 0, F.lit(" 89\0")).otherwise(F.concat(F.lpad(F.conv((k * 37).cast("string"), 10, 8), 11, "0"), F.when(k % 2 == 0, "\0").otherwise(" \0")))
+    return table(spark, d, "part").select(k.alias("k"), X.octal(field).alias("n"), X.base64url(F.expr("repeat(p_name, cast(1 + p_partkey % 9 as int))").cast("binary")).alias("b"))
+
+
 # Stores, logs and reports
 
 

@@ -132,3 +132,28 @@ def test_broadcast_drops_writers_that_fail(spark, tmp_path):
     sinks.broadcast_events(spark.readStream.schema("id bigint").parquet(f"{tmp_path}/in"), [broken, got.extend], f"{tmp_path}/cp").awaitTermination(120)
     assert len(got) == 3
     assert "\\u003c" in sinks.dashboard_json(spark.createDataFrame([(0, ["<b>"])], "wave int, task_ids array<string>")).first().json
+
+
+def test_spans_are_posted_and_failures_do_not_matter(spark):
+    import http.server
+    import threading
+
+    got = []
+
+    class Taker(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            got.extend(json.loads(self.rfile.read(int(self.headers["Content-Length"])))["spans"])
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Taker)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    spans = spark.createDataFrame([("a", 1, 2, {"k": "v"}), ("b", 3, 4, None)], "name string, start_ms long, end_ms long, attributes map<string,string>").repartition(2)
+    sinks.export_spans(spans, f"http://127.0.0.1:{server.server_port}/v1/traces")
+    server.shutdown()
+    server.server_close()
+    assert sorted(x["name"] for x in got) == ["a", "b"] and {x["name"]: x["attributes"] for x in got}["a"] == {"k": "v"}
+    sinks.export_spans(spans, f"http://127.0.0.1:{server.server_port}/gone", timeout=0.5)  # nobody listens any more
