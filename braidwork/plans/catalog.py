@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import text as X
 from braidwork.operators import claims as C
 from braidwork.operators import expand, graph, hashing, ledger, report, trace
-from braidwork.plans import file_catalog  # noqa: F401  registers its queries
+from braidwork.plans import file_catalog  # registers its queries
 from braidwork.plans import models as M
 from braidwork.plans.models import table
 from braidwork.plans.registry import QUERIES, SQL, query  # noqa: F401
@@ -622,6 +622,17 @@ def j1_trace_fold(spark, d):
     return trace.node_claims(trace.fold(_trace(spark, d), "/w"))
 
 
+@query(f"{_FOLDED} SELECT pid, path, mode FROM q")
+def j1_stream_fold(spark, d):
+    """The same trace as a stream of files, folded as state by process; the last row of each process counts."""
+    events = _trace(spark, d)
+    base = file_catalog.folder(spark, "trace")
+    events.write.parquet(base)
+    kind = ", ".join(f"{c} {t}" for c, t in events.dtypes)
+    rows = file_catalog.streamed(folds.stream_fold(folds.watch(spark, base, kind), "/w"), "folded", "update")
+    return trace.node_claims(ledger.latest(rows, ["pid"], [F.desc("_batch")]))
+
+
 @query(f"{_FOLDED}, c AS (SELECT pid, mode, path, CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*/)[^/]*$', 1) END AS dir FROM q), n AS (SELECT *, count(dir) OVER (PARTITION BY pid, mode, dir) AS k FROM c) SELECT DISTINCT pid * 10 + CASE mode WHEN 'read' THEN 0 ELSE 1 END AS task_id, CASE WHEN dir IS NOT NULL AND k > 5 THEN dir ELSE path END AS path FROM n")
 def d17_collapsed_claims(spark, d):
     c = trace.node_claims(trace.fold(_trace(spark, d), "/w"))

@@ -21,13 +21,13 @@ from braidwork.sources import configs, files, sinks
 from braidwork.streaming import folds
 
 
-def _folder(spark: SparkSession, label: str) -> str:
+def folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _put(spark: SparkSession, label: str, contents: dict[str, str | bytes]) -> str:
     """Files (name, content) in a new folder of the shared storage, by its own file system: for the few that a small table makes."""
-    base, jvm = _folder(spark, label), spark._jvm
+    base, jvm = folder(spark, label), spark._jvm
     for name, content in contents.items():
         path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
         out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
@@ -38,7 +38,7 @@ def _put(spark: SparkSession, label: str, contents: dict[str, str | bytes]) -> s
 
 def _texts(rows: DataFrame, key: str, label: str) -> str:
     """rows (key, value): a text file a key; gives the glob that reads them."""
-    base = _folder(rows.sparkSession, label)
+    base = folder(rows.sparkSession, label)
     rows.select(key, "value").repartition(key).write.partitionBy(key).text(base)
     return f"{base}/*/"
 
@@ -95,7 +95,7 @@ def a2_locks(spark, d):
 @query("SELECT 't' || s_suppkey AS id, 'run ' || s_suppkey AS cmd, CASE WHEN s_suppkey % 2 = 0 THEN 'base' ELSE '' END AS dependencies, CASE s_suppkey % 3 WHEN 0 THEN 'src/' || s_suppkey WHEN 1 THEN 'old' ELSE '' END AS inputs, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 7 ELSE 300000 END AS BIGINT) AS timeout, s_suppkey % 7 <> 0 AS cache, true AS hashed FROM supplier")
 def s1_lock_round_trip(spark, d):
     """All tasks into one lock document and back; its hash is that of its tasks."""
-    base = _folder(spark, "lock")
+    base = folder(spark, "lock")
     tasks = expand.normal_tasks(_locks(spark, d).drop("path", "version"))
     sinks.write_lock(tasks, base)
     again = sinks.lock_rows(configs.read_lock(spark, base).drop("path", "version")).select(F.get_json_object("value", "$._meta.configHash").alias("h"))
@@ -128,7 +128,7 @@ _LOOSE = "WITH n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 4 THEN p_p
 @query(f"{_LOOSE}, r AS (SELECT k, a, there, max(k) OVER (PARTITION BY k // 5) AS last, min(k) OVER (PARTITION BY k // 5) AS first, count(*) OVER (PARTITION BY k // 5) AS n FROM m) SELECT 'p-' || k AS id, CASE WHEN there AND NOT (n = 5 AND k = last) THEN 'p-' || a END AS dependencies, 'i' AS inputs, 'db:m' AS claims FROM r")
 def b17_config_round_trip(spark, d):
     value, _ = sinks.config_with_report(_loose_tasks(spark, d), "parts")
-    base = _folder(spark, "config")
+    base = folder(spark, "config")
     value.coalesce(1).write.text(base)
     back = configs.read_config(spark, base)
     return back.select("id", F.array_join("dependencies", " ").alias("dependencies"), F.array_join("inputs", " ").alias("inputs"), F.array_join("claims", " ").alias("claims"))
@@ -397,7 +397,7 @@ def s7_dashboard(spark, d):
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE false GROUP BY user_id")
 def s3_cleared(spark, d):
-    base = _folder(spark, "ledger")
+    base = folder(spark, "ledger")
     sinks.clear_ledger(table(spark, d, "events"), base)
     return spark.read.schema(table(spark, d, "events").schema).parquet(base).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -405,7 +405,7 @@ def s3_cleared(spark, d):
 @query("SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id % 2 = 1 GROUP BY user_id UNION ALL SELECT user_id, event_id FROM events WHERE event_id % 2 = 0 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 1)")
 def s2_ledger_written(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "value")
-    base = _folder(spark, "ledger")
+    base = folder(spark, "ledger")
     sinks.write_ledger(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), base, "user_id", "event_id")
     return spark.read.parquet(base).select("user_id", "event_id")
 
@@ -514,7 +514,7 @@ def s11_step_pipeline(spark, d):
     k = F.col("n_nationkey")
     cmd = F.when(k % 3 == 0, F.array(F.lit("sh"), F.lit("-c"), F.lit("it's && x"))).otherwise(F.array(F.lit("run"), k.cast("string")))
     tasks = table(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("id"), cmd.alias("cmd"), F.when(k % 2 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.expr("cast(array() as array<string>)")).alias("deps"))
-    base = _folder(spark, "steps")
+    base = folder(spark, "steps")
     sinks.step_pipeline(tasks).coalesce(1).write.text(base)
     return configs.read_step_pipeline(spark, base).select("id", F.array_join("cmd", "|").alias("cmd"), F.array_join("deps", " ").alias("deps"))
 
@@ -532,10 +532,10 @@ def s8_report(spark, d):
 # Streams
 
 
-def _streamed(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def streamed(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """All that a stream gives of the files there are, stored by batch."""
     spark = stream.sparkSession
-    base = _folder(spark, label)
+    base = folder(spark, label)
 
     def batch(rows: DataFrame, n: int) -> None:
         rows.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/rows/part={n}")
@@ -548,18 +548,18 @@ def _streamed(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 def j4_a19_watch(spark, d):
     """The events as files that a stream watches, two folders of them."""
     e = table(spark, d, "events").select("event_id", "event_type", "value")
-    base = _folder(spark, "watched")
+    base = folder(spark, "watched")
     for k in (0, 1):
         e.where(F.col("event_id") % 2 == k).write.mode("append").parquet(base)
-    rows = _streamed(folds.watch(spark, base, "event_id bigint, event_type string, value double"), "watch")
+    rows = streamed(folds.watch(spark, base, "event_id bigint, event_type string, value double"), "watch")
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), b AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, first, last, n FROM b WHERE last + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events)")
 def j2_debounced_stream(spark, d):
     """Bursts of a stream that have closed when its last event has come."""
-    base = _folder(spark, "changes")
+    base = folder(spark, "changes")
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     e.write.parquet(base)
-    rows = _streamed(folds.debounced(folds.watch(spark, base, "user_id bigint, ts timestamp", "0 seconds"), "user_id", "ts", "60 minutes"), "bursts")
+    rows = streamed(folds.debounced(folds.watch(spark, base, "user_id bigint, ts timestamp", "0 seconds"), "user_id", "ts", "60 minutes"), "bursts")
     return rows.select("user_id", F.col("first").cast(dict(table(spark, d, "events").dtypes)["ts"]).alias("first"), F.col("last").cast(dict(table(spark, d, "events").dtypes)["ts"]).alias("last"), "n")
