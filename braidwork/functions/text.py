@@ -131,11 +131,6 @@ def sorted_set(items: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(items, F.expr("cast(array() as array<string>)"))))
 
 
-def without_prefix(values: Column, prefix: str) -> Column:
-    """A map without the keys that a reserved prefix marks."""
-    return F.map_filter(values, lambda k, _: ~k.startswith(prefix))
-
-
 def epoch_ms(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 

@@ -112,10 +112,3 @@ def build_report(path: DataFrame, waves: DataFrame, actual_ms: float) -> DataFra
     head = F.concat_ws("\n", F.lit("| | |"), F.lit("|---|---|"), line("Duration", duration_text(F.lit(float(actual_ms)))), line("Least duration", duration_text(F.col("least_ms"))), line("Efficiency", F.format_string("%.2f%%", e)), line("Could be saved", duration_text(F.greatest(F.lit(float(actual_ms)) - F.col("least_ms"), F.lit(0.0)))), line("Waves", F.col("n").cast("string")), line("Grade", grade(e)))
     text = F.concat_ws("\n\n", F.lit("# Build"), head, F.lit("## Critical path"), F.when(F.col("steps") == "", "None.").otherwise(F.col("steps")), F.lit("## Waves"), F.when(F.col("rows") == "", "None.").otherwise(F.concat(F.lit("| Wave | Tasks | Ids |\n|---|---|---|\n"), "rows")))
     return p.crossJoin(F.broadcast(w)).select(text.alias("report"))  # a row each
-
-
-def markdown(metrics: DataFrame, title: str) -> str:
-    """A report of a few rows of metrics as a Markdown table (a sink: the rows come to the driver)."""
-    rows = metrics.collect()
-    head = f"# {title}\n\n| {' | '.join(metrics.columns)} |\n|{'-|' * len(metrics.columns)}\n"
-    return head + "".join(f"| {' | '.join(str(v) for v in r)} |\n" for r in rows)

@@ -194,6 +194,11 @@ def c4_wave_conflicts(spark, d):
     return C.wave_conflicts(M.claims(spark, d).withColumn("wave", F.col("task_id") % 4).withColumn("proto", F.lit("fs")))
 
 
+@query(f"WITH {M.CLAIMS}, w AS (SELECT ta % 4 AS wave, least(ta, tb) AS task_a, greatest(ta, tb) AS task_b, pa FROM pairs WHERE ta % 4 = tb % 4 AND (ma = 'write' OR mb = 'write')) SELECT 'collision' AS type, task_a AS task_id, '{{\"task_b\":' || task_b || ',\"resource\":\"' || min(pa) || '\"}}' AS payload FROM w GROUP BY wave, task_a, task_b")
+def j3_collision_events(spark, d):
+    return folds.collision_events(C.wave_conflicts(M.claims(spark, d).withColumn("wave", F.col("task_id") % 4).withColumn("proto", F.lit("fs"))))
+
+
 @query("WITH c AS (SELECT page_id AS task_id, page_id % 4 AS wave, split_part(split_part(url, '//', 2), '/', 1) AS path FROM pages) SELECT a.wave, a.task_id AS task_a, b.task_id AS task_b, a.path AS resource FROM c a JOIN c b ON a.wave = b.wave AND a.path = b.path AND a.task_id < b.task_id")
 def c5_exact_claims(spark, d):
     host = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
@@ -460,6 +465,11 @@ def d16_set_hash(spark, d):
     return hashing.set_hash(table(spark, d, "lineitem").select("l_returnflag", F.col("l_suppkey").cast("string").alias("m")), ["l_returnflag"], "m")
 
 
+@query("SELECT doc_id, sha256('blob' || chr(0) || text) AS hash FROM documents")
+def h_blob(spark, d):
+    return table(spark, d, "documents").select("doc_id", hashing.blob_hash(F.col("text")).alias("hash"))
+
+
 @query("SELECT o_orderkey, sha256(sha256(o_orderstatus) || chr(0) || sha256(CAST(o_custkey AS VARCHAR)) || chr(0) || sha256(o_orderpriority)) AS identity FROM orders")
 def h_identity(spark, d):
     i = hashing.identity(F.col("o_orderstatus"), F.col("o_custkey").cast("string"), F.col("o_orderpriority"))

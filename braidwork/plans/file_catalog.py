@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import code
 from braidwork.functions import text as X
-from braidwork.operators import claims as C
 from braidwork.operators import expand, graph, hashing, report, trace
-from braidwork.plans import models as M
 from braidwork.plans.models import table
 from braidwork.plans.registry import query
 from braidwork.plans.session import shared_dir
@@ -267,6 +265,15 @@ def a13_s12_history(spark, d):
     return configs.read_history(spark, _texts(h.select((F.col("user_id") % 16).alias("p"), value.alias("value")).groupBy("p").agg(F.array_join(F.collect_list(F.expr("substring(value, 2, length(value) - 2)")), ",").alias("v")).select("p", F.concat(F.lit("{"), "v", F.lit("}")).alias("value")), "p", "history"))
 
 
+@query("SELECT user_id AS task_id, count(*) FILTER (event_type = 'view') AS cache_misses, count(*) AS runs, round(sum(value), 4) AS ms FROM events GROUP BY user_id")
+def s12_history_written(spark, d):
+    h = table(spark, d, "events").groupBy(F.col("user_id").alias("task_id")).agg(F.collect_list("value").alias("durations"), F.count(F.when(F.col("event_type") == "view", 1)).alias("cacheMisses"), F.count(F.lit(1)).alias("totalRuns"))
+    base = folder(spark, "history")
+    sinks.write_history(h, base)
+    back = spark.read.schema(h.schema).json(base)
+    return back.select("task_id", F.col("cacheMisses").alias("cache_misses"), F.col("totalRuns").alias("runs"), F.round(F.aggregate("durations", F.lit(0.0), lambda a, x: a + x), 4).alias("ms"))
+
+
 # Other tools' configurations
 
 
