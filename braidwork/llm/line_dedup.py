@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -261,7 +261,7 @@ def _probe_sent(docs: DataFrame, index: DataFrame, n_shards: int, least: int, le
             rows = b.column(0).take(pa.array(owner))
             flat = pa.StructArray.from_arrays([rows.field(0), rows.field(1), pa.array(line.astype(np.int32))], ["id", "t", "line"])
             edges = np.concatenate(([0], np.cumsum([len(own) for own in held.values()]))).astype(np.int32)
-            salt = (pa.compute.fill_null(rows.field(0), 0).to_numpy()[edges[:-1]] + (h2.view(np.int64) >> 8)) % salts
+            salt = (pc.fill_null(rows.field(0), 0).to_numpy()[edges[:-1]] + (h2.view(np.int64) >> 8)) % salts
             yield pa.RecordBatch.from_arrays([pa.array(_shard_of(h1, n_shards).astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(edges), flat)], ["shard", "salt", "h1", "h2", "places"])
 
     kind = "shard int, salt int, h1 bigint, h2 bigint, places array<struct<id:bigint,t:bigint,line:int>>"
@@ -285,7 +285,7 @@ def _probe_sent(docs: DataFrame, index: DataFrame, n_shards: int, least: int, le
                     count, holder = held.look_up(part.column(2).to_numpy().view(np.uint64), part.column(3).to_numpy().view(np.uint64))
                     known = np.flatnonzero((count >= least_docs) & (holder != NOBODY))
                     own = part.column(4).take(pa.array(known))
-                    sizes, flat = pa.compute.list_value_length(own).to_numpy(), own.flatten()
+                    sizes, flat = pc.list_value_length(own).to_numpy(), own.flatten()
                     stays = flat.field(0).fill_null(NOBODY).to_numpy() == np.repeat(holder[known], sizes)
                     yield pa.RecordBatch.from_arrays([flat.field(i) for i in range(3)], ["id", "t", "line"]).filter(pa.array(~stays))
 
