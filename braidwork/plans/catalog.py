@@ -588,7 +588,12 @@ def g8_push_down(spark, d):
     return graph.push_down(n, c)
 
 
-@query()
+# One edge after another past a bit mask a node of what it reaches: an edge goes if it leads out, or if its end reaches its start.
+@query(f"""WITH RECURSIVE {M.RING}, e AS (SELECT row_number() OVER (ORDER BY src, dst) AS seq, src, dst FROM edges),
+r AS (SELECT CAST(0 AS BIGINT) AS seq, list_transform(range(0, 25), lambda x: CAST(0 AS BIGINT)) AS reach, false AS gone
+  UNION ALL SELECT seq, CASE WHEN bad THEN reach ELSE list_transform(reach, lambda x, i: CASE WHEN i - 1 = src OR (x >> src) & 1 = 1 THEN x | (CAST(1 AS BIGINT) << dst) | reach[dst + 1] ELSE x END) END, bad
+  FROM (SELECT r.reach, e.seq, e.src, e.dst, e.dst >= 25 OR e.src = e.dst OR (r.reach[e.dst + 1] >> e.src) & 1 = 1 AS bad FROM r JOIN e ON e.seq = r.seq + 1))
+SELECT CAST(seq AS INTEGER) AS seq, src, dst FROM r JOIN e USING (seq) WHERE gone""")
 def c14_edge_pruning(spark, d):
     e = M.ring(spark, d).withColumn("seq", F.row_number().over(Window.orderBy("src", "dst")))
     return graph.without_cycles(M.ring_nodes(spark, d), e)[1]
