@@ -24,7 +24,7 @@ from braidwork.operators.claims import ancestors
 from braidwork.plans.session import cut_lineage
 
 #: Edges up to which a graph is walked in numpy.
-SMALL = 1 << 18
+SMALL = 1 << 20
 
 
 def _coded(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -95,22 +95,49 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         known = _in_one_task(left, peel, kind)
         depth = F.coalesce("_depth", F.lit(0))
         return found.join(known, "id", "left").select("id", F.when(depth >= 0, depth).alias("depth"))
-    done, level = None, 0
+    return _peeled(found, left)
+
+
+def _chains(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one edge in and one out as (id, p, off): the first node before them that isn't one, off edges back; and those on rings (id).
+
+    Pointers jump, so a chain takes as many rounds as its length has bits.
+    """
+    into = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("p")).where("n = 1")
+    out = edges.groupBy(F.col("src").alias("id")).count().where("count = 1").select("id")
+    now = cut_lineage(into.join(out, "id", "left_semi").select("id", "p", F.lit(1).cast("bigint").alias("off"), F.lit(True).alias("moves")), "chains")
+    n = now.count()
+    for _ in range(n.bit_length() + 1 if n else 0):
+        before = now.select(F.col("id").alias("p"), F.col("p").alias("_p"), F.col("off").alias("_off"))
+        now = cut_lineage(now.join(before, "p", "left").select("id", F.coalesce("_p", "p").alias("p"), (F.col("off") + F.coalesce("_off", F.lit(0))).alias("off"), F.col("_p").isNotNull().alias("moves")), "chains")
+        if now.where("moves").isEmpty():
+            break
+    return now.where("NOT moves").select("id", "p", "off"), now.where("moves").select("id")
+
+
+def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """depths of a large graph: chains count as one edge of their length, the rest is peeled level by level, a Spark job each."""
+    chains, rings = _chains(edges)
+    inner = chains.select("id").unionByName(rings)
+    outer = edges.join(inner.select(F.col("id").alias("dst")), "dst", "left_anti")  # what leads into a chain is the chain's own
+    far = outer.join(chains.select(F.col("id").alias("src"), "p", "off"), "src", "left").select(F.coalesce("p", "src").alias("src"), "dst", (F.coalesce("off", F.lit(0)) + 1).alias("w"))
+    left = cut_lineage(far.groupBy("src", "dst").agg(F.max("w").alias("w")).withColumn("at", F.lit(0).cast("bigint")), "edges")
+    done = None
     while True:
-        # An edge goes when nothing leads to its source any more; its target is then at the next level at least.
+        # An edge goes when nothing leads to its source any more: then its source's depth (at) is known.
         waits = left.select(F.col("dst").alias("src"), F.lit(True).alias("waits")).distinct()
         step = cut_lineage(left.join(waits, "src", "left"), "level")
-        gone = step.where(F.col("waits").isNull()).select("dst", F.lit(level + 1).alias("depth"))
-        left = step.where(F.col("waits")).select("src", "dst")
+        gone = step.where(F.col("waits").isNull()).groupBy(F.col("dst").alias("id")).agg(F.max(F.col("at") + F.col("w")).alias("depth"))
         if gone.isEmpty():
             break
-        done, level = gone if done is None else done.unionByName(gone), level + 1
-    if done is not None:
-        found = found.join(done.groupBy(F.col("dst").alias("id")).agg(F.max("depth").alias("depth")), "id", "left")
-    else:
-        found = found.withColumn("depth", F.lit(None).cast("int"))
+        left = cut_lineage(step.where("waits").join(gone.select(F.col("id").alias("src"), F.col("depth").alias("_d")), "src", "left").select("src", "dst", "w", F.greatest("at", F.coalesce("_d", "at")).alias("at")), "left")
+        done = gone if done is None else done.unionByName(gone)
+    own = nodes.join(inner, "id", "left_anti")
+    own = own.join(done.groupBy("id").agg(F.max("depth").alias("depth")), "id", "left") if done is not None else own.withColumn("depth", F.lit(None).cast("bigint"))
     stuck = left.select(F.col("dst").alias("id"), F.lit(True).alias("stuck")).distinct()
-    return found.join(stuck, "id", "left").select("id", F.when(F.col("stuck").isNull(), F.coalesce("depth", F.lit(0))).alias("depth"))
+    own = cut_lineage(own.join(stuck, "id", "left").select("id", F.when(F.col("stuck").isNull(), F.coalesce("depth", F.lit(0))).alias("depth")), "outer")
+    on = chains.join(own.select(F.col("id").alias("p"), "depth"), "p").select("id", (F.col("depth") + F.col("off")).alias("depth"))
+    return own.unionByName(on).unionByName(rings.select("id", F.lit(None).cast("bigint").alias("depth"))).select("id", F.col("depth").cast("int").alias("depth"))
 
 
 def cyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -105,9 +105,16 @@ def test_walks_in_numpy_and_by_joins_agree(spark, monkeypatch, small):
     assert [tuple(r) for r in graph.schedule(nodes(spark, 2), frame(spark, []), 1).orderBy("id").collect()] == [(0, 0), (1, 1)]
 
 
-def test_chains_have_any_depth(spark):
-    e = frame(spark, [(i, i + 1) for i in range(3000)])
-    assert graph.depths(nodes(spark, 3001), e).agg({"depth": "max"}).first()[0] == 3000
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_chains_have_any_depth(spark, monkeypatch, small):
+    """Chains, rings, and both behind and before other things; by joins a chain takes a few rounds, not one a level."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    chain, ring = [(i, i + 1) for i in range(600)], [(700, 701), (701, 702), (702, 700)]
+    tail = [(600, 800), (3, 800), (800, 801), (801, 802), (900, 901), (901, 900), (901, 902), (902, 903), (903, 904)]
+    e = frame(spark, [*chain, *ring, *tail])
+    got = {r.id: r.depth for r in graph.depths(nodes(spark, 910), e).collect()}
+    assert [got[i] for i in range(601)] == list(range(601)) and [got[i] for i in (800, 801, 802)] == [601, 602, 603]
+    assert [got[i] for i in (700, 701, 702, 900, 901, 902, 903, 904)] == [None] * 8 and got[905] == 0 and len(got) == 910
 
 
 def colours_brute(tasks, claims):
