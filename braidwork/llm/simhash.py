@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 WORDS, WIDE = 5, 2
 #: Rows that a key of a table should have, the chance sought of meeting in one of the tables, deviations that the radius allows.
-ROWS_A_KEY, SOUGHT, DEVIATIONS = 48, 0.9995, 4.5
+ROWS_A_KEY, SOUGHT, DEVIATIONS = 48, 0.9995, 3
 #: Shingles up to which a set is joined exactly: in so small sets bits differ more often than the angle says.
 FEW = 24
 
