@@ -51,8 +51,8 @@ def term_hash(word: bytes) -> int:
 
 
 def text_hashes() -> list[Column]:
-    """Two 64-bit hashes that name a text."""
-    return [F.xxhash64("text"), F.xxhash64("text", F.lit(1))]
+    """Two independent 64-bit hashes (by another seed) that name a text."""
+    return [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
 
 
 # Index

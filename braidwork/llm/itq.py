@@ -171,7 +171,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, sample: int = SAMP
     e = F.col("embedding")
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists(e, lambda v: v != 0)
     fit = F.col("label").isNotNull() & e.isNotNull() & ~F.coalesce(bad, F.lit(True))
-    rows = vectors.select("vec_id", e.cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else e.cast("array<double>").alias("embedding"), "label", fit.alias("_fit")).withColumns({"_a": F.xxhash64("embedding"), "_b": F.xxhash64("embedding", F.lit(1))})
+    rows = vectors.select("vec_id", e.cast("array<float>").alias("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else e.cast("array<double>").alias("embedding"), "label", fit.alias("_fit")).withColumns({"_a": F.xxhash64("embedding"), "_b": F.xxhash64(F.lit(1), "embedding")})
     # Equal vectors by two hashes; what a hash tells apart (a zero's sign) links as any other.
     classes = materialise(rows.where("_fit").groupBy("label", "_a", "_b").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("cls", F.monotonically_increasing_id()), "vectors")
     spark = vectors.sparkSession
