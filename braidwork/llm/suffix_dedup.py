@@ -22,7 +22,6 @@ go back to the documents are held by the tasks while they are small and joined b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -211,6 +210,13 @@ def starts_by_block(region: bytes, h: int, least: int, gram: int, width: int) ->
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, for what makes many rows of one."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _repeated_blocks(regions: DataFrame, least: int, gram: int, width: int) -> DataFrame:
     """(core, h, _t, lo, a, b): the blocks of starts [a, b) of regions whose common bytes (core, a 128-bit hash) stand at two places.
 
@@ -218,8 +224,10 @@ def _repeated_blocks(regions: DataFrame, least: int, gram: int, width: int) -> D
     """
     wanted = "starts" in regions.columns
 
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out = ([], [], [], [], [], [])
             ranges = b.column(4).to_pylist() if wanted else [None] * b.num_rows
             for h, t, lo, region, own in zip(*(b.column(i).to_pylist() for i in range(4)), ranges):
@@ -234,7 +242,6 @@ def _repeated_blocks(regions: DataFrame, least: int, gram: int, width: int) -> D
                         for part, value in zip(out, (core, h, t, lo, first, end)):
                             part.append(value)
             if out[0]:
-                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["core", "h", "_t", "lo", "a", "b"])
 
     found = materialise(regions.select("h", "_t", "lo", "region", *["starts"] * wanted).mapInArrow(cores, "core binary, h bigint, _t binary, lo bigint, a int, b int"), "cores")
@@ -276,7 +283,7 @@ def _cut(regions: DataFrame, least: int, gram: int, width: int) -> tuple[DataFra
     ranges = lambda rows, name, *more: rows.groupBy(*of).agg(F.collect_set(F.struct("a", "b", *more)).alias(name))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out = ([], [], [], [])
             for t, lo, region, inner in zip(*(b.column(i).to_pylist() for i in range(4))):
                 for x in inner:
@@ -296,7 +303,7 @@ def _placed(regions: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, bytes]] = set()
-        for b in batches:
+        for b in _slices(batches, 2048):
             hs, raws = b.column(0).to_pylist(), b.column(3).to_pylist()
             keys, first = [], []
             for h, raw in zip(hs, raws):
@@ -360,7 +367,7 @@ def _intervals(placed: DataFrame, least: int, shard_bytes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["rk", "lo", "hi"])
 
         now = None
-        for b in batches:
+        for b in _slices(batches, 2048):
             for h, rk, t, lo, raw in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if h != now and size >= shard_bytes:
                     yield out()
@@ -402,7 +409,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shar
     own, decided = regions.where("NOT hot").drop("hot"), None
     if not (wide := regions.where("hot").drop("hot")).isEmpty():
         blocks, decided = _cut(wide, least, gram, min(STARTS, max(1, least - gram)))
-        own = own.unionByName(blocks)
+        own = own.unionByName(materialise(blocks, "blocks"))
     placed = materialise(_placed(own), "placed")
     inside = materialise(_intervals(placed, least, shard_bytes).distinct(), "inside")
     found = placed.select("rk", "_t", F.col("lo").alias("base")).join(inside, "rk").select("_t", (F.col("base") + F.col("lo")).alias("lo"), (F.col("base") + F.col("hi")).alias("hi"))
