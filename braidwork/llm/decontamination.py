@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from braidwork.llm.common import materialise, set_aside
 
 #: Words of a window, characters of a block of benchmark texts, bytes of the documents of one index shard, bytes of matches that tasks hold.
-WINDOW, BLOCK_CHARS, SHARD_BYTES, HELD_BYTES = 13, 8 << 20, 8 << 20, 32 << 20
+WINDOW, BLOCK_CHARS, SHARD_BYTES, HELD_BYTES = 13, 8 << 20, 4 << 20, 32 << 20
 #: Words that an interval with all words of a window may have to be a proximity match.
 DISTANCE = 26
 
