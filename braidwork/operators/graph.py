@@ -430,23 +430,27 @@ def without_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     inner = sound.join(comps.select(F.col("id").alias("src"), "component"), "src").join(comps.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").where(F.col("component") == F.col("c"))
     kind = dict(sound.dtypes)["src"]
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        lost = []
-        for seq, src, dst in part.sort_values("seq")[["seq", "src", "dst"]].itertuples(index=False):
-            stack, seen = [dst], set()
-            while stack and src not in seen:
-                x = stack.pop()
-                if x not in seen:
-                    seen.add(x)
-                    stack += after.get(x, ())
-            if src in seen:
-                lost.append((seq, src, dst))
-            else:
-                after.setdefault(src, []).append(dst)
-        return pd.DataFrame(lost, columns=["seq", "src", "dst"])
-
-    closing = inner.groupBy("component").applyInPandas(walk, f"seq bigint, src {kind}, dst {kind}").unionByName(sound.where(F.col("src") == F.col("dst")).withColumn("seq", F.col("seq").cast("bigint")))
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, after = None, {}
+        for part in parts:
+            lost = []
+            for component, seq, src, dst in zip(*(part[c] for c in ("component", "seq", "src", "dst"))):
+                if component != now:
+                    now, after = component, {}
+                stack, seen = [dst], set()
+                while stack and src not in seen:
+                    x = stack.pop()
+                    if x not in seen:
+                        seen.add(x)
+                        stack += after.get(x, ())
+                if src in seen:
+                    lost.append((seq, src, dst))
+                else:
+                    after.setdefault(src, []).append(dst)
+            yield pd.DataFrame(lost, columns=["seq", "src", "dst"])
+
+    walked = inner.select("component", "seq", "src", "dst").repartition("component").sortWithinPartitions("component", "seq").mapInPandas(walk, f"seq bigint, src {kind}, dst {kind}")
+    closing = walked.unionByName(sound.where(F.col("src") == F.col("dst")).withColumn("seq", F.col("seq").cast("bigint")))
     kept = sound.join(closing.select("seq").distinct(), "seq", "left_anti")
     return kept, edges.select("seq", "src", "dst").join(kept.select("seq"), "seq", "left_anti")
 
