@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,13 @@ from braidwork.llm.decontamination import find_benchmark
 from braidwork.llm.html_wrapper import extract_pages
 from braidwork.llm.itq import near_vectors
 from braidwork.llm.line_dedup import dedup_lines
+from braidwork.llm.ngram_perplexity import judge_quality
 from braidwork.llm.packing import pack_documents
+from braidwork.llm.periodic_runs import periodic_runs
 from braidwork.llm.quality_fm import THRESHOLD, held_out, score_quality, train
 from braidwork.llm.sharding import hypergeometric_shards
 from braidwork.llm.simhash import near_duplicates
+from braidwork.llm.spelling_variants import spelling_variants, word_counts
 from braidwork.llm.suffix_dedup import dedup_substrings
 
 
@@ -86,6 +91,45 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), left.alias("text"))
 
 
+def made_periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op11's contract: those of every tenth document, by crc32, go round from some word on."""
+    if doc_id is None or not words:
+        return words
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods and more in the words of all documents."""
+    found = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=made_periodic)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("shorter"), r.start.alias("start"), r.period.alias("period"))))
+    best = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), top.alias("top"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return best.select("doc_id", "n_runs", "top.start", (-F.col("top.shorter")).alias("length"), "top.period", F.expr("-1000 * top.shorter div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def one_less(doc_id: int | None, word: str) -> str:
+    """The word of op12's contract: of one in 199, by crc32 of document and word, a letter goes."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+    return word if h % 199 else word[: h % len(word)] + word[h % len(word) + 1 :]
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the far more frequent words that they may be variants of."""
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=one_less))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and bands of perplexity over all documents."""
+    found = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", F.exp("log_perplexity").alias("perplexity"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -94,7 +138,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op6_packing, op7_html_wrapper, op8_decontamination, op9_itq, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_credential_links, op3_line_dedup, op4_quality, op5_simhash, op6_packing, op7_html_wrapper, op8_decontamination, op9_itq, op10_suffix_dedup, op11_periodic_runs, op12_spelling_variants, op13_quality_rules, pipeline)}
 
 
 OP3_SQL = """
