@@ -3,7 +3,7 @@
 Base rules count words, symbols, repeated lines and repeated three-word windows. What passes them is judged by a language model: modified Kneser-Ney
 over the n-grams of characters of all documents of a language, counted by Spark. Characters, because words made of typing errors, markup or
 another alphabet are as new to a model of words as any rare name is, and because the table stays small: it ends growing with the corpus long before the
-counts do. A language's band of perplexity is that of Tukey's fences around the quartiles of its texts that pass the base rules; texts below it (repetition,
+counts do. A language's band of log perplexity ends two interquartile ranges beyond the quartiles of its texts that pass the base rules; texts below it (repetition,
 shouting) and above it (markup, tables, noise) are rejected.
 
 The model is a table of hash, probability and back-off weight, by language and order. Tasks hold it as sorted arrays of hashes, probed by binary search, as
@@ -26,7 +26,7 @@ from braidwork.llm.common import extended, materialise, set_aside
 ORDER = 3
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Fences stand this many interquartile ranges of the log perplexity beyond the quartiles; a narrower range than LEAST_RANGE counts as that.
-FENCE, LEAST_RANGE = 1.5, 0.01
+FENCE, LEAST_RANGE = 2.0, 0.01
 #: Log perplexities are put into steps this wide before quartiles are taken, so that a language's histogram is small whatever the corpus.
 STEP = 1 / 1024
 #: Rows of a model that a task may hold (17 bytes each, twice while they are sorted), and characters that are looked at together.
@@ -259,7 +259,7 @@ def base_failed(least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEAT
 
 
 def bands(scored: DataFrame, fence: float = FENCE, step: float = STEP, least: float = LEAST_RANGE) -> DataFrame:
-    """(lang, low, high): Tukey's fences of the log perplexity of each language's different texts that pass the base rules.
+    """(lang, low, high): fences beyond the quartiles of the log perplexity of each language's different texts that pass the base rules.
 
     Texts count as different by their counts and perplexity, so a group of copies counts once. Quartiles are those of a histogram in steps of `step`.
     """
