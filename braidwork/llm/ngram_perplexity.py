@@ -156,7 +156,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     """counts (lang, gram, n) as (lang, gram, logp, back): grams of 1 to `order` characters.
 
     logp: log of the interpolated probability of the last character after the others; back: log of the weight that the shorter context gets where
-    the gram is a context (null where it is none). The gram '' holds the log of the uniform probability over a language's characters and one unknown one.
+    the gram is a context (null where it is none; what only begins texts is a context alone and has no logp). The gram '' holds the log of the uniform probability over a language's characters and one unknown one.
     """
     level, model, tables = counts, None, []
     for k in range(order, 0, -1):  # lower orders count the different characters before a gram
@@ -170,7 +170,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         found = own.join(around, ["lang", "context"]).withColumn("shorter", F.substring("gram", 2, k - 1)).join(lower.select("lang", F.col("gram").alias("shorter"), F.col("logp").alias("low")), ["lang", "shorter"])
         found = found.select("lang", "gram", F.log((F.col("n") - F.col("d")) / F.col("all") + F.col("weight") * F.exp("low")).alias("logp"))
         backs = around.select("lang", F.col("context").alias("gram"), F.log("weight").alias("back"))
-        level = materialise(lower.join(backs, ["lang", "gram"], "left").select("lang", "gram", "logp", "back"), "model")
+        level = materialise(lower.join(backs, ["lang", "gram"], "full_outer").select("lang", "gram", "logp", "back"), "model")
         model = level if model is None else model.unionByName(level)
         lower = materialise(found, "level")
     return model.unionByName(lower.select("lang", "gram", "logp", F.lit(None).cast("double").alias("back")))
@@ -196,6 +196,7 @@ class Model:
         """Of the last character of each gram, by the longest context known; a language that the model hasn't got knows nothing and gives 0."""
         k = grams.shape[1]
         at, there = self._find(lang, k, grams)
+        there[there] = ~np.isnan(self.tables[lang, k][1][at[there]]) if there.any() else False
         values = np.zeros(len(grams))
         values[there] = self.tables[lang, k][1][at[there]] if there.any() else 0
         if k and not there.all():

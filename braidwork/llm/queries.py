@@ -172,5 +172,53 @@ FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+
+#: DuckDB has no CRC-32: by its table, over a list of bytes.
+CRC_TABLE = "tab AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def _crc(octets: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  {_crc("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)")} AS h FROM documents, tab),
+a AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+i AS (SELECT *, unnest(range(n)) AS i FROM p),
+x AS (SELECT doc_id, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM i),
+eq AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM x JOIN x y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM eq),
+st AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM isl GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, s, l, min(q) AS q FROM st GROUP BY doc_id, s, l),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+agg AS (SELECT doc_id, count(*) AS n_runs, first(s ORDER BY l DESC, s, q) AS s, max(l) AS l, first(q ORDER BY l DESC, s, q) AS q,
+  string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN agg USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+f AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS c, hex(encode(doc_id || ':' || run)) AS o FROM f GROUP BY doc_id, run HAVING length(run) >= 6),
+h AS (SELECT run, c, {_crc("list_transform(range(len(o) // 2), lambda j: 16 * (instr('0123456789ABCDEF', o[2 * j + 1]) - 1) + instr('0123456789ABCDEF', o[2 * j + 2]) - 1)")} AS h FROM k, tab),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+x AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+v AS (SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM x),
+one AS (SELECT DISTINCT v.word, v.n, w.word AS other, w.n AS m FROM v JOIN w ON v.rest = w.word),
+near AS (SELECT word, other, m FROM one UNION ALL SELECT other, word, n FROM one UNION ALL SELECT a.word, b.word, b.n FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS b, max(m) AS m FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN b END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+path(word, place) AS (SELECT word, word FROM formed UNION ALL SELECT path.word, formed.form FROM path JOIN formed ON path.place = formed.word WHERE formed.form IS NOT NULL)
+SELECT a.word, a.form, path.place AS root, a.n, a.n_near, a.form_n FROM formed a JOIN path ON a.word = path.word JOIN formed z ON path.place = z.word AND z.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op8_decontamination": OP8_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op11_periodic_runs": OP11_SQL, "op12_spelling_variants": OP12_SQL}
