@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import folded_path, normalise_fs_path, protocol, resource, sorted_set
+from braidwork.plans.session import cut_lineage
 
 
 def write_covers(write: Column, item: Column) -> Column:
@@ -103,12 +104,15 @@ def wave_conflicts(claims: DataFrame) -> DataFrame:
     return pairs.groupBy("wave", F.least("task_id", "o_id").alias("task_a"), F.greatest("task_id", "o_id").alias("task_b")).agg(F.min("path").alias("resource"))
 
 
-def shadow_audit(claims: DataFrame, ancestry: DataFrame) -> DataFrame:
-    """claims (task_id, path, is_dir, mode), ancestry (task_id, ancestor). One finding at most a pair of tasks.
+def shadow_audit(claims: DataFrame, edges: DataFrame) -> DataFrame:
+    """claims (task_id, path, is_dir, mode), edges (src, dst) as declared, src first. One finding at most a pair of tasks.
 
     Two writers of one resource are a shadow, from the declared upstream to the downstream, or implicit in id order;
-    else a read of another's write without a declared order is an implicit dependency from producer to consumer.
+    else a read of another's write without a declared order is an implicit dependency from producer to consumer. The declared order
+    is asked for the pairs in question alone.
     """
+    from braidwork.operators.graph import leads_to
+
     pairs = overlaps(claims).where((F.col("mode") == "write") | (F.col("o_mode") == "write"))
     first = F.least("task_id", "o_id")
     both = (F.col("mode") == "write") & (F.col("o_mode") == "write")
@@ -117,8 +121,9 @@ def shadow_audit(claims: DataFrame, ancestry: DataFrame) -> DataFrame:
     found = pairs.groupBy(first.alias("a"), F.greatest("task_id", "o_id").alias("b")).agg(
         F.min(F.when(both, F.col("path"))).alias("shadow"), F.min(F.when(~both & (writer == 2), F.col("path"))).alias("second_writes"), F.min(F.when(~both & (writer == 1), F.col("path"))).alias("first_writes")
     )
-    up = ancestry.select(F.col("task_id").alias("t"), F.col("ancestor").alias("u")).distinct()
-    known = found.join(up.select(F.col("t").alias("b"), F.col("u").alias("a"), F.lit(True).alias("a_first")), ["a", "b"], "left").join(up.select(F.col("t").alias("a"), F.col("u").alias("b"), F.lit(True).alias("b_first")), ["a", "b"], "left")
+    found = cut_lineage(found, "pairs")
+    up = cut_lineage(leads_to(edges, found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))), "ordered")
+    known = found.join(up.withColumn("a_first", F.lit(True)), ["a", "b"], "left").join(up.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("b_first")), ["a", "b"], "left")
     declared, backwards = F.col("a_first").isNotNull() | F.col("b_first").isNotNull(), F.col("b_first").isNotNull() & F.col("a_first").isNull()
     is_shadow = F.col("shadow").isNotNull()
     swap = F.when(is_shadow, backwards).otherwise(F.col("second_writes").isNotNull())

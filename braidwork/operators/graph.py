@@ -299,9 +299,202 @@ def proposals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return combined.unionByName(orphan).unionByName(isolated)
 
 
+def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes (id) that any of the seeds (id) leads to. Each is reached once, however many seeds there are.
+
+    A small graph is walked in numpy by one task; a large one by a join a step, of the newest nodes alone.
+    """
+    base = cut_lineage(edges.select("src", "dst").distinct(), "edges")
+    if base.count() <= SMALL:
+        kind = T.StructType([T.StructField("id", base.schema["src"].dataType)])
+        start = seeds.select(F.col("id").cast(base.schema["src"].dataType).alias("src")).distinct().withColumns({"dst": F.col("src"), "_seed": F.lit(True)})
+        both = cut_lineage(base.withColumn("_seed", F.lit(False)).unionByName(start.join(base.select("src"), "src", "left_semi").select("src", "dst", "_seed")), "reached")
+
+        def walk(table: pa.Table) -> dict[str, pa.Array]:
+            src, dst, ids = _coded(table)
+            seed = table.column("_seed").to_numpy()
+            first, after = _adjacent(src[~seed], dst[~seed], len(ids))
+            seen, now = np.zeros(len(ids), bool), np.unique(src[seed])
+            while len(now):
+                now = np.unique(_follow(first, after, now))
+                now = now[~seen[now]]
+                seen[now] = True
+            return {"id": ids.take(pa.array(np.flatnonzero(seen)))}
+
+        return _in_one_task(both, walk, kind)
+    new = cut_lineage(base.join(seeds.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct(), "new")
+    known = new
+    while not new.isEmpty():
+        step = new.select(F.col("id").alias("src")).join(base, "src").select(F.col("dst").alias("id")).distinct()
+        new = cut_lineage(step.join(known, "id", "left_anti"), "new")
+        known = known.unionByName(new)
+    return known
+
+
 def skipped(edges: DataFrame, failed: DataFrame) -> DataFrame:
     """Tasks (id) that wait for a failed one (id), directly or not; the failed themselves aren't listed."""
-    return closure(edges, failed).select(F.col("dst").alias("id")).distinct().join(failed.select("id"), "id", "left_anti")
+    return reached(edges, failed).join(failed.select("id"), "id", "left_anti")
+
+
+def _hubs(order: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hub, id, wave) of the claims that feed a hub, and of those that take from it: a task that feeds one comes before those that take from it in a later wave.
+
+    Hubs stand for the pairs that conflict: claims of equal paths, and those of a directory with what is below it, each way; in each case any with those that
+    write, and those that write with any. So a task has a few rows a claim and level of its path, however many others it meets.
+    """
+    own = claims.select(F.col("task_id").alias("id"), "path", "is_dir", (F.col("mode") == "write").alias("w")).distinct().join(order.select("id", "wave"), "id")
+    held = own.where("is_dir")
+    below = own.select("id", "wave", "w", F.explode(F.slice(ancestors(F.col("path")), F.lit(1), F.size(F.split("path", "/")) - 1)).alias("path")).join(held.select("path").distinct(), "path", "left_semi")
+    sides = {"=": (own, own), ">": (held, below), "<": (below, held)}
+
+    def rows(side: int, writes: str) -> DataFrame:
+        """writes: the kind of hub whose rows of this side must write."""
+        found = None
+        for sign, both in sides.items():
+            for kind in "aw":
+                part = (both[side].where("w") if kind == writes else both[side]).select(F.concat(F.lit(sign + kind), "path").alias("hub"), "id", "wave")
+                found = part if found is None else found.unionByName(part)
+        return cut_lineage(found.distinct(), "hubs")
+
+    return rows(0, "w"), rows(1, "a")
+
+
+def skipped_by_claims(edges: DataFrame, order: DataFrame, claims: DataFrame, failed: DataFrame) -> DataFrame:
+    """skipped over the declared edges and over those that claims inject: from each task to those in a later wave that its claims conflict with (claims.overlaps, one side writing).
+
+    order (id, wave), claims (task_id, path, is_dir, mode). The injected edges aren't made: of each hub (see `_hubs`) the least wave that has been reached is
+    kept, and what takes from it later is reached at once. So k writers of one path cost k rows and one step.
+    """
+    feeds, takes = _hubs(order, claims)
+    declared = cut_lineage(edges.select("src", "dst").distinct(), "edges")
+    new = cut_lineage(failed.select("id").distinct(), "failed")
+    done, least = new, None
+    while not new.isEmpty():
+        touched = feeds.join(new, "id").groupBy("hub").agg(F.min("wave").alias("least"))
+        if least is not None:
+            before = least.select("hub", F.col("least").alias("was"))
+            touched = touched.join(before, "hub", "left").where(F.col("was").isNull() | (F.col("least") < F.col("was")))
+        else:
+            touched = touched.withColumn("was", F.lit(None).cast(feeds.schema["wave"].dataType))
+        touched = cut_lineage(touched, "touched")
+        later = takes.join(touched, "hub").where((F.col("wave") > F.col("least")) & (F.col("was").isNull() | (F.col("wave") <= F.col("was")))).select("id")
+        step = later.unionByName(declared.join(new.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))).distinct()
+        new = cut_lineage(step.join(done, "id", "left_anti"), "new")
+        done = done.unionByName(new)
+        least = touched.select("hub", "least") if least is None else cut_lineage(least.unionByName(touched.select("hub", "least")).groupBy("hub").agg(F.min("least").alias("least")), "least")
+    return done.join(failed.select("id"), "id", "left_anti")
+
+
+#: Labellings of a graph's intervals; pairs that they don't decide are searched.
+LABELLINGS = 3
+
+
+def _labelled(first: np.ndarray, after: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(low, rank) by a depth-first search of an acyclic graph in random order: what a node leads to has its rank within low..rank of that node."""
+    n = len(first) - 1
+    low, rank = np.full(n, n).tolist(), [-1] * n
+    place, end, follow, count = first[:-1].tolist(), first[1:].tolist(), after.tolist(), 0
+    open_ = [False] * n
+    for root in rng.permutation(n).tolist():
+        todo = [root] if rank[root] < 0 else []
+        while todo:
+            v = todo[-1]
+            open_[v] = True
+            if place[v] < end[v]:
+                w = follow[place[v]]
+                place[v] += 1
+                if rank[w] < 0:
+                    todo.append(w)
+                elif low[w] < low[v]:
+                    low[v] = low[w]
+                continue
+            todo.pop()
+            rank[v] = count
+            low[v] = min(low[v], count)
+            count += 1
+            if todo and low[v] < low[todo[-1]]:
+                low[todo[-1]] = low[v]
+    return np.array(low), np.array(rank)
+
+
+def leads_to(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) whose a leads to b over edges, once each; a node leads to itself only on a cycle or a loop.
+
+    Cycles are put together first, so that the graph is acyclic. A small one is given interval labels by one task, which all tasks hold: most pairs
+    are told apart by them, the others are searched among nodes whose labels hold the wanted one. In a large one what each
+    a leads to is followed by joins, of the a's of open pairs alone and no deeper than their b's. Neither makes the closure.
+    """
+    asked = cut_lineage(pairs.select("a", "b").distinct(), "asked")
+    comps = cut_lineage(strong_components(edges), "components")
+    name = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+    dag = cut_lineage(name(name(edges.select("src", "dst"), "src"), "dst").where("_src != _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct(), "dag")
+    loops = comps.select("id").unionByName(edges.where("src = dst").select(F.col("src").alias("id"))).distinct()
+    own = asked.where("a = b").join(loops.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
+    coded = name(name(asked.where("a != b"), "a"), "b")
+    same = coded.where("_a = _b").select("a", "b")
+    open_ = cut_lineage(coded.where("_a != _b"), "open")
+    found = _by_labels(dag, open_) if dag.count() <= SMALL else _by_depth(dag, open_)
+    return own.unionByName(same).unionByName(found)
+
+
+def _by_labels(dag: DataFrame, pairs: DataFrame) -> DataFrame:
+    table = dag.toArrow()
+    if not table.num_rows:
+        return pairs.select("a", "b").limit(0)
+    src, dst, ids = _coded(table)
+    first, after = _adjacent(src, dst, len(ids))
+    shuffled_ = [(f := _shuffled(first, after, np.random.default_rng(i)), _labelled(first, f, np.random.default_rng(i)))[1] for i in range(LABELLINGS)]
+    lows, ranks = (np.stack(x, 1) for x in zip(*shuffled_))
+    held = dag.sparkSession.sparkContext.broadcast((first, after, lows, ranks, ids))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, after, lows, ranks, ids = held.value
+        index = pd.Index(ids.to_pandas())
+        for b in batches:
+            x, y = (index.get_indexer(b.column(i).to_pandas()) for i in (2, 3))
+            maybe = (x >= 0) & (y >= 0)
+            maybe[maybe] = ((lows[x[maybe]] <= ranks[y[maybe]]) & (ranks[y[maybe]] < ranks[x[maybe]])).all(1)
+            yes = np.zeros(len(x), bool)
+            for i in np.flatnonzero(maybe):
+                yes[i] = _found(first, after, lows, ranks, x[i], y[i])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(yes)), b.column(1).filter(pa.array(yes))], ["a", "b"])
+
+    return pairs.select("a", "b", "_a", "_b").mapInArrow(answer, pairs.select("a", "b").schema)
+
+
+def _shuffled(first: np.ndarray, after: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """What follows each node, in random order."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return after[np.lexsort((rng.random(len(after)), owner))]
+
+
+def _found(first: np.ndarray, after: np.ndarray, lows: np.ndarray, ranks: np.ndarray, a: int, b: int) -> bool:
+    """Whether a leads to b, by levels of the nodes whose labels hold b's."""
+    now, seen = np.array([a]), {int(a)}
+    while len(now):
+        now = np.unique(_follow(first, after, now))
+        if (now == b).any():
+            return True
+        now = now[((lows[now] <= ranks[b]) & (ranks[b] < ranks[now])).all(1)]
+        now = np.array([x for x in now.tolist() if x not in seen], np.int64)
+        seen.update(now.tolist())
+    return False
+
+
+def _by_depth(dag: DataFrame, pairs: DataFrame) -> DataFrame:
+    nodes = dag.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    level = cut_lineage(depths(nodes, dag), "depths")
+    at = lambda df, c: df.join(level.select(F.col("id").alias(c), F.col("depth").alias(f"d{c}")), c)
+    open_ = cut_lineage(at(at(pairs, "_a"), "_b").where("d_a < d_b"), "open")
+    wanted = open_.groupBy("_a").agg(F.max("d_b").alias("deepest"))
+    steps = cut_lineage(dag.join(level.select(F.col("id").alias("dst"), "depth"), "dst"), "steps")
+    new = cut_lineage(wanted.select("_a", F.col("_a").alias("src")).join(steps, "src").join(wanted, "_a").where("depth <= deepest").select("_a", "dst").distinct(), "new")
+    known = new
+    while not new.isEmpty():
+        step = new.select("_a", F.col("dst").alias("src")).join(steps, "src").join(wanted, "_a").where("depth <= deepest").select("_a", "dst").distinct()
+        new = cut_lineage(step.join(known, ["_a", "dst"], "left_anti"), "new")
+        known = known.unionByName(new)
+    return open_.join(known.select("_a", F.col("dst").alias("_b")), ["_a", "_b"], "left_semi").select("a", "b")
 
 
 def wave_colours(tasks: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -326,12 +519,45 @@ def wave_colours(tasks: DataFrame, conflicts: DataFrame) -> DataFrame:
     return tasks.select("depth", "id").join(coloured, ["depth", "id"], "left").withColumn("colour", F.coalesce("colour", F.lit(0)))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """links (id, hub). (id, component): ids that a chain of hubs joins have the least of them in common. Hubs of any size are a minimum, never a list."""
+    links = cut_lineage(links.distinct(), "links")
+    kind = T.StructType([T.StructField("id", links.schema["id"].dataType), T.StructField("component", links.schema["id"].dataType)])
+    if links.count() <= SMALL:
+
+        def join(table: pa.Table) -> dict[str, pa.Array]:
+            at, ids = pd.factorize(table.column("id").to_pandas(), sort=True)
+            hub = pd.factorize(table.column("hub").to_pandas())[0]
+            label, before = np.arange(len(ids)), None
+            while before is None or (label != before).any():
+                before, least = label, np.full(hub.max() + 1, len(ids))
+                np.minimum.at(least, hub, label[at])
+                label = label.copy()
+                np.minimum.at(label, at, least[hub])
+                label = label[label]
+            names = pa.array(ids, table.column("id").type)
+            return {"id": names, "component": names.take(pa.array(label))}
+
+        return _in_one_task(links, join, kind)
+    label = cut_lineage(links.select("id", F.col("id").alias("component")).distinct(), "labels")
+    while True:
+        least = links.join(label, "id").groupBy("hub").agg(F.min("component").alias("least"))
+        near = links.join(least, "hub").groupBy("id").agg(F.min("least").alias("near"))
+        far = label.select(F.col("id").alias("near"), F.col("component").alias("far"))
+        step = cut_lineage(label.join(near, "id").join(far, "near").select("id", F.least("component", "near", "far").alias("component"), (F.least("near", "far") < F.col("component")).alias("less")), "labels")
+        label = step.select("id", "component")
+        if step.where("less").isEmpty():
+            return label
+
+
 def claim_colours(tasks: DataFrame, claims: DataFrame) -> DataFrame:
     """tasks (depth, id), claims (task_id, path, is_dir, mode). (depth, id, colour) as wave_colours gives it for the pairs that
     conflict (claims.overlaps, one side writing), without the pairs: k writers of one path are k rows here.
 
-    Tasks whose claims no other of their depth meets have colour 0. The others stream by depth in id order past a tree of the paths,
-    which keeps for each path what colours read and write it, claim it as a directory, and claim what is below it.
+    Tasks whose claims no other of their depth meets have colour 0. The others fall into components that share no path, which are coloured side by
+    side. Where all tasks of a component write one path and claim nothing else, a task's colour is its rank, which sorted partitions count. In any
+    other component tasks stream in id order past a tree of the paths, which keeps for each path what colours read and write it, claim it as a
+    directory, and claim what is below it.
     """
     own = claims.join(tasks.select(F.col("id").alias("task_id"), "depth"), "task_id").select("depth", "task_id", "path", "is_dir", "mode").distinct()
     two = lambda c: [F.min(c).alias("a"), F.max(c).alias("b")]
@@ -343,10 +569,20 @@ def claim_colours(tasks: DataFrame, claims: DataFrame) -> DataFrame:
     held = own.where("is_dir").groupBy("depth", F.col("path").alias("above")).agg(*two("task_id"))
     inside = up.alias("o").where("above != path").join(held.alias("x"), ["depth", "above"]).where(other("x")).select("depth", F.col("o.task_id"))
     contested = own.join(met.unionByName(inside).distinct(), ["depth", "task_id"], "left_semi")
+    contested = cut_lineage(contested, "contested")
     kind = dict(tasks.dtypes)
+    hub = lambda p: F.concat_ws("\0", F.col("depth").cast("string"), p)
+    dirs = contested.where("is_dir").select(hub(F.col("path")).alias("hub")).distinct()
+    links = contested.select(F.col("task_id").alias("id"), hub(F.col("path")).alias("hub")).unionByName(contested.select(F.col("task_id").alias("id"), F.explode(F.transform(ancestors(F.col("path")), hub)).alias("hub")).join(dirs, "hub", "left_semi")).distinct()
+    contested = contested.join(components(links).withColumnRenamed("id", "task_id"), "task_id")
+    shape = contested.groupBy("depth", "component").agg((F.min("path") == F.max("path")).alias("one"), F.min("mode").alias("mode"))
+    contested = cut_lineage(contested.join(shape.select("depth", "component", (F.col("one") & (F.col("mode") == "write")).alias("ranked")), ["depth", "component"]), "components")
+    writers = _placed(contested.where("ranked").select("depth", "component", "task_id").distinct(), ["depth", "component", "task_id"], 0)
+    begin = writers.groupBy("depth", "component").agg(F.min("_pos").alias("begin"))
+    ranked = writers.join(begin, ["depth", "component"]).select("depth", F.col("task_id").alias("id"), (F.col("_pos") - F.col("begin")).cast("int").alias("colour"))
 
     def colour(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        depth, task, rows, tree = None, None, [], {}
+        depth, group, task, rows, tree = None, None, None, [], {}
 
         def placed() -> int:
             """The least colour that no met claim has; the tree then has it for this task's claims."""
@@ -374,19 +610,19 @@ def claim_colours(tasks: DataFrame, claims: DataFrame) -> DataFrame:
 
         for part in parts:
             out = []
-            for d, t, *claim in part[["depth", "task_id", "path", "is_dir", "mode"]].itertuples(index=False):
-                if (d, t) != (depth, task):
+            for d, c, t, *claim in part[["depth", "component", "task_id", "path", "is_dir", "mode"]].itertuples(index=False):
+                if (d, c, t) != (depth, group, task):
                     if rows:
                         out.append((depth, task, placed()))
-                    if d != depth:
+                    if (d, c) != (depth, group):
                         tree = {}
-                    depth, task, rows = d, t, []
+                    depth, group, task, rows = d, c, t, []
                 rows.append(claim)
             yield pd.DataFrame(out, columns=["depth", "id", "colour"])
         if rows:
             yield pd.DataFrame([(depth, task, placed())], columns=["depth", "id", "colour"])
 
-    coloured = contested.repartition("depth").sortWithinPartitions("depth", "task_id").mapInPandas(colour, f"depth {kind['depth']}, id {kind['id']}, colour int")
+    coloured = contested.where("NOT ranked").repartition("depth", "component").sortWithinPartitions("depth", "component", "task_id").mapInPandas(colour, f"depth {kind['depth']}, id {kind['id']}, colour int").unionByName(ranked)
     return tasks.select("depth", "id").join(coloured, ["depth", "id"], "left").withColumn("colour", F.coalesce("colour", F.lit(0)))
 
 
@@ -420,10 +656,80 @@ def unresolved(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst")
 
 
+class GrowingOrder:
+    """A topological order of edges that come one by one (Pearce and Kelly's, with a search from both ends).
+
+    An edge that agrees with the order costs nothing. One that doesn't concerns the places between its ends alone: what its end leads to there
+    and what leads to its start there are searched in turns. If they meet it closes a cycle; else whichever is known whole first
+    moves to the far side of these places.
+    """
+
+    def __init__(self):
+        self.number: dict = {}
+        self.after: list[list[int]] = []
+        self.before: list[list[int]] = []
+        self.place, self.at = np.empty(64, np.int64), np.empty(64, np.int64)  # of each node its place, at each place its node
+
+    def _node(self, x) -> int:
+        if (n := self.number.get(x)) is None:
+            n = self.number[x] = len(self.number)
+            self.after.append([])
+            self.before.append([])
+            if n == len(self.place):
+                self.place, self.at = np.resize(self.place, 2 * n), np.resize(self.at, 2 * n)
+            self.place[n] = self.at[n] = n
+        return n
+
+    def add(self, src, dst) -> bool:
+        """False if the edge would close a cycle; it is then left out."""
+        u, v = self._node(src), self._node(dst)
+        if u == v:
+            return False
+        lo, hi = self.place[v], self.place[u]
+        if lo < hi:
+            ahead, behind = {v}, {u}
+            if not self._searched(ahead, behind, lo, hi):
+                return False
+        self.after[u].append(v)
+        self.before[v].append(u)
+        return True
+
+    def _searched(self, ahead: set[int], behind: set[int], lo: int, hi: int) -> bool:
+        place, left, right = self.place, list(ahead), list(behind)
+        while True:
+            for y in self.after[left.pop()]:
+                if y in behind:
+                    return False
+                if y not in ahead and place[y] < hi:
+                    ahead.add(y)
+                    left.append(y)
+            if not left:
+                self._moved(ahead, lo, hi, last=True)
+                return True
+            for y in self.before[right.pop()]:
+                if y in ahead:
+                    return False
+                if y not in behind and place[y] > lo:
+                    behind.add(y)
+                    right.append(y)
+            if not right:
+                self._moved(behind, lo, hi, last=False)
+                return True
+
+    def _moved(self, own: set[int], lo: int, hi: int, last: bool) -> None:
+        """The nodes of `own` go behind (or before) the others of the places lo to hi, both kinds in their order."""
+        stays = np.ones(hi - lo + 1, bool)
+        stays[self.place[np.fromiter(own, np.int64, len(own))] - lo] = False
+        held = self.at[lo : hi + 1]
+        self.at[lo : hi + 1] = now = np.concatenate((held[stays], held[~stays]) if last else (held[~stays], held[stays]))
+        self.place[now] = np.arange(lo, hi + 1)
+
+
 def without_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) edges (seq, src, dst): dangling ones go, and in the order of seq those that close a cycle.
 
-    Only edges inside a strongly connected component can close one; those are walked in order, a component at a time.
+    Only edges inside a strongly connected component can close one; those are walked in order, a component at a time, past an
+    order of its nodes that each edge kept extends (see `GrowingOrder`).
     """
     sound = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("seq", "src", "dst")
     comps = strong_components(sound)
@@ -431,22 +737,14 @@ def without_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     kind = dict(sound.dtypes)["src"]
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, after = None, {}
+        now, order = None, GrowingOrder()
         for part in parts:
             lost = []
             for component, seq, src, dst in zip(*(part[c] for c in ("component", "seq", "src", "dst"))):
                 if component != now:
-                    now, after = component, {}
-                stack, seen = [dst], set()
-                while stack and src not in seen:
-                    x = stack.pop()
-                    if x not in seen:
-                        seen.add(x)
-                        stack += after.get(x, ())
-                if src in seen:
+                    now, order = component, GrowingOrder()
+                if not order.add(src, dst):
                     lost.append((seq, src, dst))
-                else:
-                    after.setdefault(src, []).append(dst)
             yield pd.DataFrame(lost, columns=["seq", "src", "dst"])
 
     walked = inner.select("component", "seq", "src", "dst").repartition("component").sortWithinPartitions("component", "seq").mapInPandas(walk, f"seq bigint, src {kind}, dst {kind}")

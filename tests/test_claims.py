@@ -55,7 +55,7 @@ def test_wave_conflicts(spark, one, other, conflict):
 
 def audit(spark, items, edges):
     up = spark.createDataFrame(edges, "src string, dst string")
-    return [tuple(r) for r in C.shadow_audit(claim_rows(spark, [(0, *i) for i in items]).drop("wave", "proto"), graph.ancestry(up)).collect()]
+    return [tuple(r) for r in C.shadow_audit(claim_rows(spark, [(0, *i) for i in items]).drop("wave", "proto"), up).collect()]
 
 
 def test_shadow_audit(spark):

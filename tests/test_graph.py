@@ -146,3 +146,90 @@ def test_many_writers_make_no_pairs(spark):
     t = spark.range(2000).selectExpr("0 AS depth", "id")
     c = t.selectExpr("id AS task_id", "'out' AS path", "false AS is_dir", "'write' AS mode")
     assert [r.colour for r in graph.claim_colours(t, c).orderBy("id").collect()] == list(range(2000))
+
+
+def order_brute(pairs):
+    """Edges kept, each searched for by itself."""
+    after, kept = {}, []
+    for i, (a, b) in enumerate(pairs):
+        todo, seen = [b], set()
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after.get(x, ())
+        if a not in seen:
+            after.setdefault(a, []).append(b)
+            kept.append(i)
+    return kept
+
+
+def test_edges_in_order_past_a_growing_order():
+    rng = random.Random(8)
+    for n, m in ((4, 12), (9, 40), (30, 200), (80, 300)):
+        for _ in range(20):
+            pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+            order = graph.GrowingOrder()
+            assert [i for i, (a, b) in enumerate(pairs) if order.add(a, b)] == order_brute(pairs)
+            assert all(order.place[u] < order.place[v] for u, vs in enumerate(order.after) for v in vs)
+
+
+def test_a_large_component_is_pruned_in_bounded_time():
+    """200,000 edges between 50,000 nodes, nearly all in one component."""
+    import time
+
+    rng = random.Random(9)
+    pairs = [(rng.randrange(50_000), rng.randrange(50_000)) for _ in range(200_000)]
+    began, order = time.perf_counter(), graph.GrowingOrder()
+    kept = [p for p in pairs if order.add(*p)]
+    assert time.perf_counter() - began < 60 and 100_000 < len(kept) < 200_000
+    assert all(order.place[order.number[a]] < order.place[order.number[b]] for a, b in kept)
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_which_leads_to_which(spark, monkeypatch, small):
+    """By labels and by joins, on graphs with cycles, against the closure."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    rng = random.Random(10)
+    for n, m in ((14, 18), (20, 40)):
+        e = frame(spark, [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(n, n + 1)])
+        pairs = spark.createDataFrame([(a, b) for a in range(n + 3) for b in range(n + 3)] * 2, "a int, b int")
+        want = {tuple(r) for r in graph.closure(e).collect()}
+        got = [tuple(r) for r in graph.leads_to(e, pairs).collect()]
+        assert sorted(got) == sorted(want)
+        assert sorted(r.id for r in graph.reached(e, nodes(spark, 3)).collect()) == sorted({b for a, b in want if a < 3})
+    words = spark.createDataFrame([("b", "a"), ("a", "é")], "src string, dst string")
+    assert [tuple(r) for r in graph.leads_to(words, spark.createDataFrame([("b", "é"), ("é", "b"), ("x", "y")], "a string, b string")).collect()] == [("b", "é")]
+    assert graph.leads_to(frame(spark, []), spark.createDataFrame([(1, 2)], "a int, b int")).collect() == []
+
+
+def claims_of(rng, tasks, n):
+    return sorted({(rng.randrange(tasks), "/".join(rng.choice("ab") for _ in range(rng.randint(1, 4))), rng.random() < 0.3, rng.choice(["read", "write"])) for _ in range(n)})
+
+
+def test_failures_follow_injected_edges_by_hubs(spark):
+    rng = random.Random(11)
+    for _ in range(5):
+        c = spark.createDataFrame(claims_of(rng, 24, 40), "task_id int, path string, is_dir boolean, mode string")
+        order = spark.createDataFrame([(i, rng.randrange(6)) for i in range(24)], "id int, wave int")
+        e = frame(spark, [(a, b) for a, b in ((rng.randrange(24), rng.randrange(24)) for _ in range(8)) if a != b])
+        pairs = C.overlaps(c).where("mode = 'write' OR o_mode = 'write'").selectExpr("least(task_id, o_id) AS task_a", "greatest(task_id, o_id) AS task_b").distinct()
+        failed = spark.createDataFrame([(rng.randrange(24),) for _ in range(2)], "id int").distinct()
+        want = graph.skipped(e.unionByName(graph.injected_edges(order, pairs)), failed)
+        assert sorted(r.id for r in graph.skipped_by_claims(e, order, c, failed).collect()) == sorted(r.id for r in want.collect())
+
+
+def test_many_writers_of_one_path_fail_in_one_step(spark):
+    """3,000 writers, each in a wave of its own, would be 4.5 million injected edges."""
+    order = spark.range(3000).selectExpr("id", "CAST(id AS INT) AS wave")
+    c = order.selectExpr("id AS task_id", "'out' AS path", "false AS is_dir", "'write' AS mode")
+    none = spark.createDataFrame([], "src bigint, dst bigint")
+    assert sorted(r.id for r in graph.skipped_by_claims(none, order, c, spark.createDataFrame([(7,)], "id bigint")).collect()) == list(range(8, 3000))
+
+
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_components_of_shared_hubs(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    rows = [(i, f"h{i // 2}") for i in range(40)] + [(i, f"g{(i + 1) // 2}") for i in range(30)] + [(50, "x"), (51, "x"), (60, "y")]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(rows, "id int, hub string")).collect()}
+    assert got == {**{i: 0 for i in range(30)}, **{i: i - i % 2 for i in range(30, 40)}, 50: 50, 51: 50, 60: 60}
