@@ -23,10 +23,14 @@ from braidwork.functions.text import dirname
 from braidwork.operators.claims import ancestors
 from braidwork.plans.session import cut_lineage
 
-#: Edges up to which a graph is walked in numpy.
+#: Edges up to which a graph is walked in numpy, unless a call says another number (0: always by joins).
 SMALL = 1 << 20
 
 
+def _is_small(edges: DataFrame, small: int | None) -> bool:
+    return edges.count() <= (SMALL if small is None else small)
+
+
 def _coded(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """src and dst of a table of edges as numbers of the ids, which are in order."""
     both = pa.chunked_array([*table.column("src").chunks, *table.column("dst").chunks], table.column("src").type)
@@ -78,14 +82,14 @@ def _levels(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     return depth
 
 
-def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def depths(nodes: DataFrame, edges: DataFrame, small: int | None = None) -> DataFrame:
     """(id, depth): longest path from the roots; nodes on or behind a cycle have a null depth (see `cyclic`).
 
     Peels roots level by level: a node's level is final when its last predecessor has been peeled.
     """
     left = _sound(nodes, edges)
     found = nodes.select("id").distinct()
-    if left.count() <= SMALL:
+    if _is_small(left, small):
         kind = T.StructType([T.StructField("id", left.schema["src"].dataType), T.StructField("_depth", T.IntegerType())])
 
         def peel(table: pa.Table) -> dict[str, pa.Array]:
@@ -145,14 +149,14 @@ def cyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return depths(nodes, edges).where(F.col("depth").isNull()).select("id")
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """(src, dst) for every dst that src reaches, cycle-safe. With seeds (id), only their closure.
 
     A small graph is searched from each source by itself; a large one is joined semi-naively, each step the newest pairs alone.
     """
     base = cut_lineage(edges.select("src", "dst").distinct(), "edges")
     sources = base.select("src").distinct() if seeds is None else base.select("src").distinct().join(seeds.select(F.col("id").alias("src")), "src", "left_semi")
-    if base.count() <= SMALL:
+    if _is_small(base, small):
         return _searched(base, sources)
     new = base if seeds is None else cut_lineage(base.join(sources, "src", "left_semi"), "new")
     known = new
@@ -198,7 +202,7 @@ def ancestry(edges: DataFrame) -> DataFrame:
     return closure(edges).select(F.col("dst").alias("task_id"), F.col("src").alias("ancestor")).where(F.col("task_id") != F.col("ancestor"))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, small: int | None = None) -> DataFrame:
     """(id, component): strongly connected components of two or more nodes, named by their least member.
 
     A large graph is trimmed of what is acyclic at its ends; then every node takes the least node that reaches it, and
@@ -207,7 +211,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     core = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "core")
     kind = T.StructType([T.StructField("id", core.schema["src"].dataType), T.StructField("component", core.schema["src"].dataType)])
     n = core.count()
-    if n <= SMALL:
+    if n <= (SMALL if small is None else small):
         return _in_one_task(core, _tarjan, kind)
     found = edges.sparkSession.createDataFrame([], kind)
     while n:
@@ -305,7 +309,7 @@ def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     A small graph is walked in numpy by one task; a large one by a join a step, of the newest nodes alone.
     """
     base = cut_lineage(edges.select("src", "dst").distinct(), "edges")
-    if base.count() <= SMALL:
+    if _is_small(base, None):
         kind = T.StructType([T.StructField("id", base.schema["src"].dataType)])
         start = seeds.select(F.col("id").cast(base.schema["src"].dataType).alias("src")).distinct().withColumns({"dst": F.col("src"), "_seed": F.lit(True)})
         both = cut_lineage(base.withColumn("_seed", F.lit(False)).unionByName(start.join(base.select("src"), "src", "left_semi").select("src", "dst", "_seed")), "reached")
@@ -417,7 +421,7 @@ def _labelled(first: np.ndarray, after: np.ndarray, rng: np.random.Generator) ->
     return np.array(low), np.array(rank)
 
 
-def leads_to(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def leads_to(edges: DataFrame, pairs: DataFrame, small: int | None = None) -> DataFrame:
     """pairs (a, b) whose a leads to b over edges, once each; a node leads to itself only on a cycle or a loop.
 
     Cycles are put together first, so that the graph is acyclic. A small one is given interval labels by one task, which all tasks hold: most pairs
@@ -425,7 +429,7 @@ def leads_to(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     a leads to is followed by joins, of the a's of open pairs alone and no deeper than their b's. Neither makes the closure.
     """
     asked = cut_lineage(pairs.select("a", "b").distinct(), "asked")
-    comps = cut_lineage(strong_components(edges), "components")
+    comps = cut_lineage(strong_components(edges, small), "components")
     name = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
     dag = cut_lineage(name(name(edges.select("src", "dst"), "src"), "dst").where("_src != _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct(), "dag")
     loops = comps.select("id").unionByName(edges.where("src = dst").select(F.col("src").alias("id"))).distinct()
@@ -433,7 +437,7 @@ def leads_to(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     coded = name(name(asked.where("a != b"), "a"), "b")
     same = coded.where("_a = _b").select("a", "b")
     open_ = cut_lineage(coded.where("_a != _b"), "open")
-    found = _by_labels(dag, open_) if dag.count() <= SMALL else _by_depth(dag, open_)
+    found = _by_labels(dag, open_) if _is_small(dag, small) else _by_depth(dag, open_)
     return own.unionByName(same).unionByName(found)
 
 
@@ -523,7 +527,7 @@ def components(links: DataFrame) -> DataFrame:
     """links (id, hub). (id, component): ids that a chain of hubs joins have the least of them in common. Hubs of any size are a minimum, never a list."""
     links = cut_lineage(links.distinct(), "links")
     kind = T.StructType([T.StructField("id", links.schema["id"].dataType), T.StructField("component", links.schema["id"].dataType)])
-    if links.count() <= SMALL:
+    if _is_small(links, None):
 
         def join(table: pa.Table) -> dict[str, pa.Array]:
             at, ids = pd.factorize(table.column("id").to_pandas(), sort=True)
@@ -803,7 +807,7 @@ def schedule(nodes: DataFrame, edges: DataFrame, slots: int) -> DataFrame:
     sound = _sound(nodes, edges)
     lone = ids.join(sound.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("lone"))
     all_ = cut_lineage(sound.select("src", "dst", F.lit(False).alias("lone")).unionByName(lone), "tasks")
-    if all_.count() <= SMALL:
+    if _is_small(all_, None):
         kind = T.StructType([T.StructField("id", ids.schema["id"].dataType), T.StructField("_pos", T.LongType()), T.StructField("_after", T.LongType())])
         order = _in_one_task(all_, _queued, kind)
     else:

@@ -208,17 +208,16 @@ def c5_exact_claims(spark, d):
 
 _SHADOW = f"""WITH {M.CLAIMS}, w AS (SELECT least(ta, tb) AS a, greatest(ta, tb) AS b, pa, ma = 'write' AND mb = 'write' AS ww, CASE WHEN (ma = 'write') = (ta < tb) THEN 1 ELSE 2 END AS writer FROM pairs WHERE ma = 'write' OR mb = 'write'),
 g AS (SELECT a, b, min(pa) FILTER (ww) AS shadow, min(pa) FILTER (NOT ww AND writer = 2) AS second_writes, min(pa) FILTER (NOT ww AND writer = 1) AS first_writes FROM w GROUP BY a, b),
-k AS (SELECT *, a % 10 = b % 10 AND a // 10 + 1 = b // 10 AS declared FROM g)
+k AS (SELECT *, a % 10 = b % 10 AS declared FROM g)
 SELECT CASE WHEN shadow IS NULL AND second_writes IS NOT NULL THEN b ELSE a END AS task_a, CASE WHEN shadow IS NULL AND second_writes IS NOT NULL THEN a ELSE b END AS task_b, coalesce(shadow, second_writes, first_writes) AS resource,
 CASE WHEN shadow IS NOT NULL AND declared THEN 'declared' ELSE 'implicit' END AS ordering, CASE WHEN shadow IS NOT NULL THEN 'shadow' ELSE 'implicit-dependency' END AS kind FROM k WHERE shadow IS NOT NULL OR NOT declared"""
 
 
 @query(_SHADOW)
 def c6_shadow_audit(spark, d):
-    """Every page's task declares the one ten before it."""
-    p = table(spark, d, "pages").select(F.col("page_id").alias("task_id"))
-    up = p.where("task_id >= 10").select("task_id", (F.col("task_id") - 10).alias("ancestor"))
-    return C.shadow_audit(M.claims(spark, d), up)
+    """Every page's task declares the one ten before it, so it comes behind all that end in the same digit."""
+    p = table(spark, d, "pages").where("page_id >= 10").select((F.col("page_id") - 10).alias("src"), F.col("page_id").alias("dst"))
+    return C.shadow_audit(M.claims(spark, d), p)
 
 
 @query(f"WITH {M.CLAIMS}, s AS (SELECT DISTINCT least(ta, tb) AS a, greatest(ta, tb) AS b FROM pairs WHERE ma = 'write' AND mb = 'write') SELECT 'error' AS severity, 'collision' AS kind, count(*) AS n FROM s")
@@ -511,12 +510,34 @@ def g3_closure(spark, d):
     return graph.closure(M.ring(spark, d))
 
 
-@query(f"{_REACH} SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src")
+@query(f"{_REACH} SELECT src, dst FROM r")
+def g3_closure_by_joins(spark, d):
+    """The form for graphs of any size."""
+    return graph.closure(M.ring(spark, d), small=0)
+
+
+@query(f"{_REACH} SELECT DISTINCT p.src AS a, p.src // 8 * 8 + k AS b FROM (SELECT DISTINCT src FROM r) p, range(7) x(k) WHERE (p.src, p.src // 8 * 8 + k) IN (SELECT (src, dst) FROM r)")
+def g3_leads_to(spark, d):
+    """Each station that leads anywhere, against all of its customer."""
+    pairs = M.ring(spark, d).select(F.col("src").alias("a")).distinct().withColumn("f", F.floor(F.col("a") / 8) * 8).select("a", F.explode(F.sequence("f", F.col("f") + 6)).alias("b"))
+    return graph.leads_to(M.ring(spark, d), pairs)
+
+
+_COMPONENTS = f"{_REACH} SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src"
+
+
+@query(_COMPONENTS)
 def g4_strong_components(spark, d):
     return graph.strong_components(M.ring(spark, d))
 
 
-@query(f"""WITH RECURSIVE {M.RING}, own AS (SELECT 'd' || id % 4 || '/n' || id || '.ts' AS f, id FROM nodes), e AS (SELECT src, dst FROM edges WHERE src % 4 <> 1 AND dst < 25 AND dst % 4 <> 1),
+@query(_COMPONENTS)
+def g4_components_by_joins(spark, d):
+    """The form for graphs of any size."""
+    return graph.strong_components(M.ring(spark, d), small=0)
+
+
+@query(f"""WITH RECURSIVE {M.RING}, own AS (SELECT 'd' || id // 64 || '/n' || id || '.ts' AS f, id FROM nodes), e AS (SELECT src, dst FROM edges WHERE src // 8 % 4 <> 1 AND dst % 8 < 7),
 r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst), c AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS k FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src),
 lone AS (SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM e UNION SELECT dst FROM e) AND id NOT IN (SELECT id FROM c)),
 m AS (SELECT k, string_agg(f, ',' ORDER BY f) AS files, string_agg(DISTINCT split_part(f, '/', 1), '-' ORDER BY split_part(f, '/', 1)) AS ds FROM c JOIN own USING (id) GROUP BY k)
@@ -524,13 +545,23 @@ SELECT 'combined-' || ds AS id, 'combined' AS type, files, CAST(0.6 AS DOUBLE) A
 UNION ALL SELECT 'orphan-n' || id, 'orphan', f, 0.8 FROM lone JOIN own USING (id)
 UNION ALL SELECT 'isolated-' || split_part(f, '/', 1), 'isolated', string_agg(f, ',' ORDER BY f), 0.9 FROM own WHERE id NOT IN (SELECT id FROM c) AND id NOT IN (SELECT id FROM lone) GROUP BY split_part(f, '/', 1)""")
 def g5_proposals(spark, d):
-    """Nations as files in four directories; one directory in four is on no edge."""
-    f = lambda c: F.concat(F.lit("d"), (F.col(c) % 4).cast("string"), F.lit("/n"), F.col(c).cast("string"), F.lit(".ts"))
-    e = M.ring(spark, d).where("src % 4 <> 1 AND dst < 25 AND dst % 4 <> 1")
+    """Stations as files, eight customers a directory; every fourth customer's are on no edge."""
+    f = lambda c: F.concat(F.lit("d"), F.floor(F.col(c) / 64).cast("string"), F.lit("/n"), F.col(c).cast("string"), F.lit(".ts"))
+    e = M.ring(spark, d).where("floor(src / 8) % 4 <> 1 AND dst % 8 < 7")
     found = graph.proposals(M.ring_nodes(spark, d).select(f("id").alias("id")), e.select(f("src").alias("src"), f("dst").alias("dst")))
     return found.select("id", "type", F.array_join("files", ",").alias("files"), "confidence")
 
 
+@query(f"""WITH RECURSIVE {M.CLAIMS}, k AS (SELECT DISTINCT least(ta, tb) AS a, greatest(ta, tb) AS b FROM pairs WHERE ma = 'write' OR mb = 'write'),
+e AS (SELECT CASE WHEN a % 7 < b % 7 THEN a ELSE b END AS src, CASE WHEN a % 7 < b % 7 THEN b ELSE a END AS dst FROM k WHERE a % 7 <> b % 7 UNION SELECT page_id - 10, page_id FROM pages WHERE page_id % 30 = 10),
+r(id) AS (SELECT dst FROM e WHERE src % 23 = 5 UNION SELECT e.dst FROM r JOIN e ON e.src = r.id) SELECT id FROM r WHERE id % 23 <> 5""")
+def g7_skipped_by_claims(spark, d):
+    """Failures of pages' tasks along declared edges and those that claims inject, in seven waves."""
+    p = table(spark, d, "pages").select(F.col("page_id").alias("id"))
+    e = p.where("id % 30 = 10").select((F.col("id") - 10).alias("src"), F.col("id").alias("dst"))
+    return graph.skipped_by_claims(e, p.withColumn("wave", (F.col("id") % 7).cast("int")), M.claims(spark, d), p.where("id % 23 = 5"))
+
+
 @query(f"WITH {M.CHAIN} SELECT DISTINCT conv_id * 1000 + turn AS id FROM conversations c JOIN (SELECT conv_id AS k, min(turn) AS t FROM conversations WHERE turn >= 1 AND conv_id % 5 = 0 GROUP BY 1) f ON c.conv_id = f.k AND c.turn > f.t")
 def g7_skipped(spark, d):
     failed = table(spark, d, "conversations").where("turn >= 1 AND conv_id % 5 = 0").groupBy("conv_id").agg(F.min("turn").alias("t")).select((F.col("conv_id") * 1000 + F.col("t")).alias("id"))
@@ -588,15 +619,14 @@ def g8_push_down(spark, d):
     return graph.push_down(n, c)
 
 
-# One edge after another past a bit mask a node of what it reaches: an edge goes if it leads out, or if its end reaches its start.
-@query(f"""WITH RECURSIVE {M.RING}, e AS (SELECT row_number() OVER (ORDER BY src, dst) AS seq, src, dst FROM edges),
-r AS (SELECT CAST(0 AS BIGINT) AS seq, list_transform(range(0, 25), lambda x: CAST(0 AS BIGINT)) AS reach, false AS gone
-  UNION ALL SELECT seq, CASE WHEN bad THEN reach ELSE list_transform(reach, lambda x, i: CASE WHEN i - 1 = src OR (x >> src) & 1 = 1 THEN x | (CAST(1 AS BIGINT) << dst) | reach[dst + 1] ELSE x END) END, bad
-  FROM (SELECT r.reach, e.seq, e.src, e.dst, e.dst >= 25 OR e.src = e.dst OR (r.reach[e.dst + 1] >> e.src) & 1 = 1 AS bad FROM r JOIN e ON e.seq = r.seq + 1))
-SELECT CAST(seq AS INTEGER) AS seq, src, dst FROM r JOIN e USING (seq) WHERE gone""")
+# One edge of each customer after another past a bit mask a station of what it reaches: an edge goes if it leads out, or if its end reaches its start.
+@query(f"""WITH RECURSIVE {M.RING}, e AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY seq) AS i FROM ring),
+r AS (SELECT DISTINCT CAST(0 AS BIGINT) AS seq, c, CAST(0 AS BIGINT) AS i, list_transform(range(0, 7), lambda x: CAST(0 AS BIGINT)) AS reach, false AS gone FROM ring
+  UNION ALL SELECT seq, c, i, CASE WHEN bad THEN reach ELSE list_transform(reach, lambda x, j: CASE WHEN j - 1 = s OR (x >> s) & 1 = 1 THEN x | (CAST(1 AS BIGINT) << t) | reach[t + 1] ELSE x END) END, bad
+  FROM (SELECT r.reach, e.seq, e.c, e.i, e.s, e.t, e.t >= 7 OR e.s = e.t OR (r.reach[e.t + 1] >> e.s) & 1 = 1 AS bad FROM r JOIN e ON e.c = r.c AND e.i = r.i + 1))
+SELECT seq, c * 8 + s AS src, c * 8 + t AS dst FROM r JOIN ring USING (seq, c) WHERE gone""")
 def c14_edge_pruning(spark, d):
-    e = M.ring(spark, d).withColumn("seq", F.row_number().over(Window.orderBy("src", "dst")))
-    return graph.without_cycles(M.ring_nodes(spark, d), e)[1]
+    return graph.without_cycles(M.ring_nodes(spark, d), M.ring(spark, d))[1]
 
 
 # Conversations queue in the order of their turns; a task starts no earlier than the one before it, a step after the turn before, a step after the eighth before.

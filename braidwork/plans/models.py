@@ -54,16 +54,18 @@ CHAIN = """edges AS (SELECT conv_id * 1000 + turn - 1 AS src, conv_id * 1000 + t
 
 
 def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nations with two edges each, by which some form cycles."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"))
-    return n.select(F.col("k").alias("src"), F.explode(F.array((F.col("k") * 7 + 3) % 25, (F.col("k") * F.col("k") + 2) % 30)).alias("dst"))
+    """orders as edges (seq, src, dst) between seven stations of their customer, by which some form cycles; an eighth isn't there."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("bigint") * 8
+    return table(spark, sf_dir, "orders").select(k.cast("bigint").alias("seq"), (c + k % 7).alias("src"), (c + F.floor(k / 7) % 8).alias("dst"))
 
 
 def ring_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"))
+    first = F.col("c_custkey").cast("bigint") * 8
+    return table(spark, sf_dir, "customer").select(F.explode(F.sequence(first, first + 6)).alias("id"))
 
 
-RING = """edges AS (SELECT CAST(n_nationkey AS BIGINT) AS src, unnest([CAST((n_nationkey * 7 + 3) % 25 AS BIGINT), CAST((n_nationkey * n_nationkey + 2) % 30 AS BIGINT)]) AS dst FROM nation), nodes AS (SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation)"""
+RING = """ring AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CAST(o_custkey AS BIGINT) AS c, CAST(o_orderkey % 7 AS BIGINT) AS s, CAST((o_orderkey // 7) % 8 AS BIGINT) AS t FROM orders),
+edges AS (SELECT DISTINCT c * 8 + s AS src, c * 8 + t AS dst FROM ring), nodes AS (SELECT CAST(c_custkey AS BIGINT) * 8 + unnest(range(7)) AS id FROM customer)"""
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
