@@ -55,7 +55,7 @@ def _task(k: Column) -> Column:
 _TASK_SQL = "'run ' || s_suppkey AS cmd, CASE WHEN s_suppkey % 2 = 0 THEN 'base' END AS dependencies, CASE s_suppkey % 3 WHEN 0 THEN 'src/' || s_suppkey WHEN 1 THEN 'old' END AS inputs, CASE WHEN s_suppkey % 5 = 0 THEN CAST(7 AS BIGINT) END AS timeout, CASE WHEN s_suppkey % 7 = 0 THEN false END AS cache"
 
 
-def _flat(tasks: DataFrame, *extra: str) -> DataFrame:
+def _flat(tasks: DataFrame, *extra: str | Column) -> DataFrame:
     return tasks.select(*extra, "id", F.array_join("cmd", " ").alias("cmd"), F.array_join("dependencies", " ").alias("dependencies"), F.array_join("inputs", " ").alias("inputs"), "timeout", "cache")
 
 
@@ -76,21 +76,46 @@ def a1_config_violations(spark, d):
     return found.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("bigint").alias("n"), "rule")
 
 
+def _lock_task(k: Column) -> list[Column]:
+    """A supplier as a lock's entry: some have both the newer and the older name of a list, some neither."""
+    return [
+        F.concat(F.lit(" t"), k.cast("string"), F.lit(" ")).alias("id"), F.array(F.lit("run"), k.cast("string")).alias("cmd"), F.when(k % 2 == 0, F.array(F.lit("base"))).alias("dependencies"), F.when(k % 6 == 0, F.array(F.lit("older"))).alias("deps"),
+        F.when(k % 3 == 0, F.array(F.concat(F.lit("src/"), k.cast("string")))).alias("inputs"), F.when(k % 3 != 2, F.when(k % 9 != 0, F.array(F.lit("old")))).alias("reads"), F.when(k % 5 == 0, F.lit(7)).alias("timeout"), F.when(k % 7 == 0, F.lit(False)).alias("cache"),
+    ]
+
+
+_LOCK_SQL = "'t' || s_suppkey AS id, 'run ' || s_suppkey AS cmd, CASE WHEN s_suppkey % 6 = 0 THEN 'older' WHEN s_suppkey % 2 = 0 THEN 'base' ELSE '' END AS dependencies, CASE WHEN s_suppkey % 9 = 0 THEN 'src/' || s_suppkey WHEN s_suppkey % 3 = 2 THEN '' ELSE 'old' END AS inputs, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 7 ELSE 300000 END AS BIGINT) AS timeout, s_suppkey % 7 <> 0 AS cache"
+
+
+def _lock_files(spark, d, task: Column) -> str:
+    """A lock of each nation's suppliers; every other nation has the older form, a bare array."""
+    listed = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct("s_suppkey", task.alias("t"))).alias("x")).select("s_nationkey", F.transform(F.array_sort("x"), lambda x: x.t).alias("x"))
+    body = F.concat(F.lit("["), F.array_join("x", ","), F.lit("]"))
+    return _texts(listed.select("s_nationkey", F.when(F.col("s_nationkey") % 2 == 0, body).otherwise(F.concat(F.lit('{"version":2,"tasks":'), body, F.lit("}"))).alias("value")), "s_nationkey", "locks")
+
+
 def _locks(spark, d):
-    k = F.col("s_suppkey")
-    rows = table(spark, d, "supplier").select("s_nationkey", F.struct(F.concat(F.lit("t"), k.cast("string")).alias("id"), _task(k).alias("t")).alias("x")).select("s_nationkey", F.struct("x.id", "x.t.*").alias("task"))
-    listed = rows.groupBy("s_nationkey").agg(F.collect_list("task").alias("tasks"))
-    # Every other nation has the older form, a bare array.
-    value = F.when(F.col("s_nationkey") % 2 == 0, F.to_json("tasks")).otherwise(F.to_json(F.struct(F.lit(2).alias("version"), "tasks")))
-    return configs.read_lock(spark, _texts(listed.select("s_nationkey", value.alias("value")), "s_nationkey", "locks"))
+    return configs.read_lock(spark, _lock_files(spark, d, F.to_json(F.struct(*_lock_task(F.col("s_suppkey"))))))
 
 
-@query(f"SELECT CAST(s_nationkey % 2 + 1 AS INTEGER) AS version, 't' || s_suppkey AS id, {_TASK_SQL} FROM supplier")
+@query(f"SELECT CAST(s_nationkey % 2 + 1 AS INTEGER) AS version, {_LOCK_SQL}, 0 AS env FROM supplier")
 def a2_locks(spark, d):
-    return _flat(_locks(spark, d), "version")
+    """Older names win, defaults are filled in."""
+    return _flat(_locks(spark, d), "version", F.size("env").alias("env"))
 
 
-@query("SELECT 't' || s_suppkey AS id, 'run ' || s_suppkey AS cmd, CASE WHEN s_suppkey % 2 = 0 THEN 'base' ELSE '' END AS dependencies, CASE s_suppkey % 3 WHEN 0 THEN 'src/' || s_suppkey WHEN 1 THEN 'old' ELSE '' END AS inputs, CAST(CASE WHEN s_suppkey % 5 = 0 THEN 7 ELSE 300000 END AS BIGINT) AS timeout, s_suppkey % 7 <> 0 AS cache, true AS hashed FROM supplier")
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier)
+SELECT CAST(nation AS BIGINT) AS nation, CAST(i AS INTEGER) AS index, CASE WHEN k % 7 IN (1, 2) THEN 'no-id' ELSE 'bad-cmd' END AS rule FROM s WHERE k % 7 BETWEEN 1 AND 5""")
+def a2_lock_violations(spark, d):
+    """Entries without an id (1), with a blank one (2), with a command that is a text (3), empty (4), or holds a number (5)."""
+    k = F.col("s_suppkey")
+    cmd = F.when(k % 7 == 3, '"run it"').when(k % 7 == 4, "[]").when(k % 7 == 5, '["run",7]').otherwise('["run","7"]')
+    id_ = F.when(k % 7 == 1, "").when(k % 7 == 2, '"id":"  ",').otherwise(F.concat(F.lit('"id":'), k.cast("string"), F.lit(",")))
+    found = configs.lock_violations(spark, _lock_files(spark, d, F.concat(F.lit("{"), id_, F.lit('"cmd":'), cmd, F.lit("}"))))
+    return found.select(F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("bigint").alias("nation"), "index", "rule")
+
+
+@query(f"SELECT {_LOCK_SQL}, true AS hashed FROM supplier")
 def s1_lock_round_trip(spark, d):
     """All tasks into one lock document and back; its hash is that of its tasks."""
     base = folder(spark, "lock")
@@ -244,17 +269,21 @@ def a11_frames(spark, d):
 _CALLS = """SELECT event_id AS seq, user_id AS pid, event_type AS t, CAST(floor(value) AS BIGINT) AS f FROM events"""
 
 
-@query(f"WITH c AS ({_CALLS}) SELECT seq, CASE t WHEN 'signup' THEN 'exec' ELSE 'open' END AS type, pid, CASE t WHEN 'signup' THEN 'sh -c x' || f END AS cmd, CASE WHEN t <> 'signup' THEN 'f' || f END AS path, CASE t WHEN 'view' THEN 'r' WHEN 'click' THEN 'rw' WHEN 'purchase' THEN 'w' END AS mode FROM c WHERE t <> 'error'")
+@query(f"WITH c AS ({_CALLS}) SELECT seq, CASE t WHEN 'signup' THEN 'exec' ELSE 'open' END AS type, pid, CASE WHEN t = 'signup' AND seq > 0 AND pid % 2 = 0 THEN pid + 100000 END AS ppid, CASE t WHEN 'signup' THEN 'sh -c x' || f END AS cmd, CASE WHEN t = 'error' THEN 'none' WHEN t <> 'signup' THEN 'f' || f END AS path, CASE t WHEN 'view' THEN CASE WHEN seq % 3 = 0 THEN 'w' ELSE 'r' END WHEN 'click' THEN 'w' WHEN 'purchase' THEN 'w' WHEN 'error' THEN 'r' END AS mode FROM c")
 def a12_system_trace(spark, d):
+    """Users as processes, those of even numbers forked at the start; errors are opens that fail."""
     e = table(spark, d, "events")
     f, pid = F.floor("value").cast("string"), F.col("user_id").cast("string")
     call = F.when(F.col("event_type") == "signup", F.concat(F.lit('execve("/bin/sh", ["sh", "-c", "x'), f, F.lit('"], 0x7ffd) = 0')))
-    flags = {"view": "O_RDONLY|O_CLOEXEC", "click": "O_RDWR", "purchase": "O_WRONLY|O_CREAT, 0666"}
+    flags = {"view": F.when(F.col("event_id") % 3 == 0, "O_RDONLY|O_CREAT").otherwise("O_RDONLY|O_CLOEXEC"), "click": F.lit("O_RDWR"), "purchase": F.lit("O_WRONLY|O_CREAT, 0666")}
     for kind, flag in flags.items():
-        call = call.when(F.col("event_type") == kind, F.concat(F.lit('openat(AT_FDCWD, "f'), f, F.lit(f'", {flag}) = 3')))
+        call = call.when(F.col("event_type") == kind, F.concat(F.lit('openat(AT_FDCWD</w>, "f'), f, F.lit('", '), flag, F.lit(") = 3</w/f>")))
     call = call.otherwise('openat(AT_FDCWD, "none", O_RDONLY) = -1 ENOENT (No such file or directory)')
     lines = e.select(F.col("event_id").alias("seq"), F.concat(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("[pid "), pid, F.lit("] "))).otherwise(F.concat(pid, F.lit(" "))), call).alias("value"))
-    return files.read_system_trace(lines).select("seq", "type", "pid", F.array_join("cmd", " ").alias("cmd"), "path", "mode")
+    k = F.col("user_id")
+    forks = e.where("user_id % 2 = 0").select(k).distinct().select(F.lit(-1).cast("bigint").alias("seq"), F.concat((k + 100_000).cast("string"), F.lit(" clone(child_stack=NULL, flags=SIGCHLD) = "), k.cast("string")).alias("value"))
+    odd = e.select((-F.col("event_id") - 2).alias("seq"), F.when(F.col("event_id") % 2 == 0, "no pid here").otherwise("7 openat(AT_FDCWD, 0x7, O_RDONLY) = -1").alias("value"))
+    return files.read_system_trace(lines.unionByName(forks).unionByName(odd)).select("seq", "type", "pid", "ppid", F.array_join("cmd", " ").alias("cmd"), "path", "mode")
 
 
 @query("SELECT 'u' || user_id AS task_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS seq, value AS duration_ms, count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id) AS cache_misses, count(*) OVER (PARTITION BY user_id) AS total_runs FROM events")
@@ -286,6 +315,18 @@ def a14_pipeline(spark, d):
     return configs.pipeline_tasks(spark, _texts(one.select(F.lit(0).alias("p"), F.to_json(F.struct("pipeline")).alias("value")), "p", "turbo"), "pipeline").select("script", "on")
 
 
+@query("""SELECT 'n' || s_nationkey AS file, 't' || s_suppkey AS id, 'npm run t' || s_suppkey AS cmd, CASE s_suppkey % 4 WHEN 0 THEN 'build' WHEN 1 THEN 'lint build' ELSE '' END AS deps, CASE WHEN s_suppkey % 3 = 0 THEN 'src//a' ELSE '' END AS reads, 'out' AS writes FROM supplier WHERE s_nationkey % 3 <> 2""")
+def a14_turbo_tasks(spark, d):
+    """Nations as pipelines: with comments (0), of the older form (1), or with no task beside an older form (2)."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    deps = F.when(k % 4 == 0, '["^build","build"]').when(k % 4 == 1, '[{"target":"^lint"},"build",7]').when(k % 4 == 2, '"build"').otherwise("[]")
+    entry = F.concat(F.lit('"t'), k.cast("string"), F.lit('":{"dependsOn":'), deps, F.when(k % 3 == 0, ',"inputs":["src//a",{"env":"CI"}]').otherwise(""), F.lit(',"outputs":["out"]}'))
+    body = F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ",\n"), F.lit("}"))
+    value = F.when(n % 3 == 0, F.concat(F.lit('/* all\n tasks */{\n  // of one nation\n"pipeline":{"x":{}},"tasks":'), body, F.lit("}"))).when(n % 3 == 1, F.concat(F.lit('{"pipeline":'), body, F.lit("}"))).otherwise(F.concat(F.lit('{"tasks":{},"pipeline":'), body, F.lit("}")))
+    found = configs.turbo_tasks(spark, _texts(table(spark, d, "supplier").groupBy(n).agg(value.alias("value")), "s_nationkey", "turbo"))
+    return found.select(F.concat(F.lit("n"), F.regexp_extract("path", "s_nationkey=([0-9]+)", 1)).alias("file"), "id", *[F.array_join(c, " ").alias(c) for c in ("cmd", "deps", "reads", "writes")])
+
+
 @query("SELECT 't' || s_suppkey AS id, 'npx nx run t' || s_suppkey AS cmd, CASE s_suppkey % 4 WHEN 0 THEN 'build' WHEN 1 THEN 'lint build' WHEN 2 THEN '' ELSE 'x' END AS deps, CASE s_suppkey % 3 WHEN 0 THEN 'src/a' WHEN 1 THEN 'b/**' ELSE '' END AS reads, 'out' AS writes FROM supplier")
 def a14_b22_targets(spark, d):
     """Targets whose entries are names, objects, and shapes that say nothing."""
@@ -356,14 +397,29 @@ def a14_lerna(spark, d):
     return found.select("root", "id", F.array_join("cmd", " ").alias("cmd"), F.array_join("deps", " ").alias("deps"))
 
 
-@query("SELECT 'n' || n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'sh|-c|make a && make b' WHEN 1 THEN 'make|x>y' ELSE 'echo|${{|values.a-b|}}' END AS cmd, CASE WHEN n_nationkey % 2 = 0 THEN 'z y' ELSE 'y' END AS deps, 'v${VALUE_DIR_A_B}/' || n_nationkey AS env FROM nation")
+@query(r"""WITH p AS (SELECT p_partkey AS k FROM part), q AS (SELECT k, CASE k % 5 WHEN 0 THEN 'sh|-c|make a && make b' WHEN 1 THEN 'make|x>y' WHEN 2 THEN 'sh|-c|# no comment' || chr(10) || '  if x; then' || chr(10) || chr(10) || '    y "$z" # kept' || chr(10) || '  fi' || chr(10) WHEN 3 THEN 'echo|it''s|${{|values.a-b|}}' ELSE 'sh|-c|one two; three' || chr(10) END AS cmd FROM p)
+SELECT 'n' || k AS id, cmd, CASE k % 4 WHEN 0 THEN 'b, c|d|y' WHEN 1 THEN 'z|y' WHEN 2 THEN 'y' ELSE 'p|q|y' END AS deps, CASE k % 3 WHEN 0 THEN 'v${VALUE_DIR_A_B}/' || k WHEN 1 THEN 'a: b' ELSE 'x#y' END AS env FROM q""")
 def a17_b29_step_pipelines(spark, d):
-    k = F.col("n_nationkey")
-    run = F.when(k % 3 == 0, "make a && make b").when(k % 3 == 1, " make   x>y").otherwise("echo ${{ values.a-b }}")
-    after = F.when(k % 2 == 0, "    after: [z, y]\n").otherwise("")
-    step = F.concat(F.lit("  - key: n"), k.cast("string"), F.lit("\n    run: "), run, F.lit("\n"), after, F.lit("    use: y\n    env:\n      DIR: v${{ values.dir-a.b }}/"), k.cast("string"), F.lit("\n"))
-    rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("# steps\nkey: p\ntasks:\n"), F.array_join(F.collect_list(step), "")).alias("value"))
-    return configs.read_step_pipeline(spark, _texts(rows, "n_regionkey", "steps")).select("id", F.array_join("cmd", "|").alias("cmd"), F.array_join("deps", " ").alias("deps"), F.col("env")["DIR"].alias("env"))
+    """Parts as steps, a file for each brand: block scalars, quotes, flow lists and maps, comments."""
+    k = F.col("p_partkey")
+    script = "|\n      # no comment\n        if x; then\n\n          y \"$z\" # kept\n        fi\n"
+    run = F.when(k % 5 == 0, "make a && make b # note\n").when(k % 5 == 1, "'  make x>y'\n").when(k % 5 == 2, script).when(k % 5 == 3, '"echo it\'s ${{ values.a-b }}"\n').otherwise(">\n      one\n      two;\n      three\n\n")
+    after = F.when(k % 4 == 0, "    after: [ 'b, c', d ] # two\n").when(k % 4 == 1, "    after:\n    - z\n").when(k % 4 == 2, "").otherwise("    after:\n      # list\n      - p\n\n      - \"q\"\n")
+    env = F.when(k % 3 == 0, F.concat(F.lit("    env:\n      DIR: v${{ values.dir-a.b }}/"), k.cast("string"), F.lit("\n"))).when(k % 3 == 1, '    env: {DIR: "a: b", OTHER: [1, {x: y}]}\n').otherwise("    env: { 'DIR': x#y }   # flow\n")
+    step = F.concat(F.lit("  - key: n"), k.cast("string"), F.lit("\n    run: "), run, after, F.lit("    use: y\n"), env)
+    rows = table(spark, d, "part").groupBy("p_brand").agg(F.concat(F.lit("# steps\nkey: p # name\ntasks:\n"), F.array_join(F.collect_list(step), "\n")).alias("value"))
+    return configs.read_step_pipeline(spark, _texts(rows, "p_brand", "steps")).select("id", F.array_join("cmd", "|").alias("cmd"), F.array_join("deps", "|").alias("deps"), F.col("env")["DIR"].alias("env"))
+
+
+@query("SELECT 'n' || s_nationkey AS file, CASE WHEN min(s_suppkey) FILTER (s_suppkey % 2 = 0) = min(s_suppkey) THEN 'env' ELSE 'command' END AS place, 'dir-a' AS name, 'VALUE_DIR_A' AS variable FROM supplier GROUP BY s_nationkey UNION ALL SELECT 'n' || s_nationkey, 'command', 's.' || s_suppkey || '_', 'VALUE_S_' || s_suppkey || '_' FROM supplier WHERE s_suppkey % 3 = 0")
+def a17_step_warnings(spark, d):
+    """Placeholders of suppliers' steps: each name once for each nation's file, where it stands first."""
+    k = F.col("s_suppkey")
+    run = F.concat(F.lit("echo ${{ values.dir-a }}"), F.when(k % 3 == 0, F.concat(F.lit(" ${{values.s."), k.cast("string"), F.lit("_}}"))).otherwise(""))
+    step = F.concat(F.lit("  - key: n"), k.cast("string"), F.lit("\n    run: "), run, F.when(k % 2 == 0, "\n    env: {D: '${{ values.dir-a }}'}\n").otherwise("\n"))
+    rows = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("tasks:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, step.alias("step")))), lambda x: x.step), "")).alias("value"))
+    found = configs.step_warnings(spark, _texts(rows, "s_nationkey", "steps"))
+    return found.select(F.concat(F.lit("n"), F.regexp_extract("path", "s_nationkey=([0-9]+)", 1)).alias("file"), "place", "name", "variable")
 
 
 @query("SELECT p_partkey, p_brand || ' crates/' || p_partkey AS members FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, '' FROM part WHERE p_partkey % 2 = 1")

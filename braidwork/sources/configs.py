@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,9 +31,11 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+_PLAIN = [f.name for f in TASK.fields if f.name not in ALIASES and f.name not in ALIASES.values()]
+
+
 def _rows(task: Column, id_: Column, extra: list[Column]) -> list[Column]:
-    plain = [f.name for f in TASK.fields if f.name not in ALIASES and f.name not in ALIASES.values()]
-    return [*extra, id_.alias("id"), *[task[c].alias(c) for c in plain], *[F.coalesce(task[new], task[old]).alias(new) for new, old in ALIASES.items()]]
+    return [*extra, id_.alias("id"), *[task[c].alias(c) for c in _PLAIN], *[F.coalesce(task[new], task[old]).alias(new) for new, old in ALIASES.items()]]
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
@@ -47,12 +50,38 @@ def config_violations(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("path", F.when(F.col("broken"), "not-json").when(F.coalesce(F.size("c.tasks"), F.lit(0)) < 1, "no-tasks").alias("rule")).where(F.col("rule").isNotNull())
 
 
-def read_lock(spark: SparkSession, path: str) -> DataFrame:
-    """One row a task of each lock file, bare arrays (version 1) and envelopes alike."""
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """(path, version, index, text, task, rule) of lock files' entries: rule says what makes one invalid, null if nothing does."""
     parsed = texts(spark, path).select("path", F.ltrim("value").startswith("[").alias("v1"), "value")
-    tasks = F.when(F.col("v1"), F.from_json("value", T.ArrayType(LOCKED))).otherwise(F.from_json("value", ENVELOPE)["tasks"])
-    one = parsed.select("path", F.when(F.col("v1"), 1).otherwise(2).alias("version"), F.explode(tasks).alias("task"))
-    return one.select(*_rows(F.col("task"), F.col("task.id"), [F.col("path"), F.col("version")]))
+    tasks = F.when(F.col("v1"), F.from_json("value", "array<string>")).otherwise(F.from_json("value", "tasks array<string>")["tasks"])
+    one = parsed.select("path", F.when(F.col("v1"), 1).otherwise(2).alias("version"), F.posexplode(tasks).alias("index", "text"))
+    cmd = F.from_json(F.get_json_object("text", "$.cmd"), "array<variant>")
+    words = F.get_json_object("text", "$.cmd").startswith("[") & (F.size(cmd) > 0) & ~F.exists(cmd, lambda c: F.coalesce(F.schema_of_variant(c), F.lit("VOID")) != "STRING")
+    task = F.from_json("text", LOCKED)
+    rule = F.when(F.coalesce(F.trim(task["id"]), F.lit("")) == "", "no-id").when(~F.coalesce(words, F.lit(False)), "bad-cmd")
+    return one.select("path", "version", "index", "text", task.alias("task"), rule.alias("rule"))
+
+
+def lock_violations(spark: SparkSession, path: str) -> DataFrame:
+    """(path, index, rule) of entries that no lock may hold: `no-id`, or `bad-cmd`, a command that is no list of one text or more."""
+    return _entries(spark, path).where(F.col("rule").isNotNull()).select("path", "index", "rule")
+
+
+def read_lock(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """One row a task of each lock file, bare arrays (version 1) and envelopes alike. The older names win where an entry has both, lists and maps that
+    are absent are empty, the timeout is 300000 and the cache true by default.
+
+    strict: an entry without an id or a command fails the query with its index; else such entries are left out (see lock_violations).
+    """
+    found = _entries(spark, path)
+    if strict:
+        said = F.concat(F.lit("lock file "), "path", F.lit(": entry "), F.col("index").cast("string"), F.lit(": "), "rule")
+        found = found.where(F.when(F.col("rule").isNotNull(), F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))
+    one = found.where(F.col("rule").isNull())
+    task, none = F.col("task"), F.expr("cast(array() as array<string>)")
+    defaults = {"timeout": F.lit(300_000).cast("bigint"), "cache": F.lit(True), "env": F.expr("cast(map() as map<string,string>)"), "claims": none, "secrets": none}
+    plain = [(F.coalesce(task[c], defaults[c]) if c in defaults else task[c]).alias(c) for c in _PLAIN]
+    return one.select("path", "version", F.trim(task["id"]).alias("id"), *plain, *[F.coalesce(task[old], task[new], none).alias(new) for new, old in ALIASES.items()])
 
 
 def lock_summary(locks: DataFrame) -> DataFrame:
@@ -91,6 +120,20 @@ def target_path(entry: Column) -> Column:
     return F.when(entry.startswith("{"), F.regexp_replace(named, r"\{projectRoot\}/?", "")).when(F.try_parse_json(entry).isNull() | entry.startswith('"'), F.nullif(F.regexp_replace(entry, '^"|"$', ""), F.lit("")))
 
 
+def turbo_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, id, cmd, deps, reads, writes) of a monorepo tool's JSON pipelines, also with comments: `tasks` if there are any, else the older `pipeline`.
+
+    Comments go only if a file isn't JSON as it stands, and line comments only where they fill a line, so that texts with // in them stay.
+    """
+    kept = F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(F.regexp_replace(F.regexp_replace("value", r"/\*[\s\S]*?\*/", ""), r"(?m)^\s*//.*$", ""))
+    entry = T.MapType(T.StringType(), T.StructType.fromDDL("dependsOn string, inputs string, outputs string"))
+    kind = T.StructType([T.StructField("tasks", entry), T.StructField("pipeline", entry)])
+    one = texts(spark, path).select("path", F.from_json(kept, kind).alias("c")).select("path", F.explode(F.coalesce("c.tasks", "c.pipeline")).alias("id", "t"))
+    none = F.expr("cast(array() as array<string>)")
+    listed = lambda c, f: F.array_compact(F.transform(F.coalesce(F.when(F.col(f"t.{c}").startswith("["), F.from_json(F.col(f"t.{c}"), "array<string>")), none), f))
+    return one.select("path", "id", F.array(F.lit("npm"), F.lit("run"), "id").alias("cmd"), F.array_distinct(listed("dependsOn", target_dependencies)).alias("deps"), listed("inputs", target_path).alias("reads"), listed("outputs", target_path).alias("writes"))
+
+
 def target_tasks(spark: SparkSession, path: str) -> DataFrame:
     """(path, id, cmd, deps, reads, writes) of configurations with targetDefaults."""
     kind = T.StructType.fromDDL("targetDefaults map<string, struct<dependsOn: array<string>, inputs: array<string>, outputs: array<string>>>")
@@ -172,48 +215,132 @@ def cargo_members(manifest: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.regexp_extract(manifest, r"members\s*=\s*\[([^\]\n]*)\]", 1), r'[\s"\']', ""), ","), lambda m: m != "")
 
 
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", '"': '"', "\\": "\\", "/": "/"}
+_FLOW = re.compile(r"""\s*(?:(?P<mark>[][{},])|"(?P<double>(?:[^"\\]|\\.)*)"|'(?P<single>(?:[^']|'')*)'|(?P<plain>(?:[^][{},:#]|:(?!\s|$)|(?<!\s)\#)+))\s*(?P<colon>:(?=\s|$|[][{},"']))?""", re.S)
+_KEY = re.compile(r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^\s"'\[{#&*!|>%@`-][^#:]*?(?:(?:[#:](?=\S))[^#:]*?)*|-(?=\S)[^:]*?))\s*:(?:\s+|$)""")
+_BLOCK = re.compile(r"([|>])([+-]?)(\d?)([+-]?)\s*(?:#.*)?$")
+
+
+def _text_of(double: str | None, single: str | None) -> str:
+    return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), double, flags=re.S) if double is not None else single.replace("''", "'")
+
+
+def _plain(s: str) -> object:
+    return {"true": True, "false": False, "null": None, "~": None, "": None}.get(s, s)
+
+
+def _flow(s: str, at: int) -> tuple[object, int]:
+    """The value of flow style that begins at a place, and the place behind it."""
+    m = _FLOW.match(s, at)
+    if not m:
+        return None, len(s)
+    if m["mark"] is None:
+        return _plain(m["plain"].strip()) if m["plain"] is not None else _text_of(m["double"], m["single"]), m.end()
+    if m["mark"] not in "[{":
+        return None, at
+    close, out, at = {"[": "]", "{": "}"}[m["mark"]], [], m.end()
+    while at < len(s):
+        mark = _FLOW.match(s, at)
+        if mark and mark["mark"] in ("]", "}", ","):
+            at = mark.end()
+            if mark["mark"] == close:
+                break
+            continue
+        key = mark["colon"] if mark else None
+        value, at = _flow(s, at)
+        if key:
+            inner, at = _flow(s, at)
+            out.append((value, inner))
+        elif mark is None:
+            break
+        else:
+            out.append((value, None) if close == "}" else value)
+    return ({str(k): v for k, v in out} if close == "}" else [{str(x[0]): x[1]} if isinstance(x, tuple) else x for x in out]), at
+
+
+def _scalar(s: str) -> object:
+    """A value that stands on its line: quoted, of flow style, or plain up to a comment."""
+    s = s.strip()
+    if s[:1] in ("[", "{"):
+        return _flow(s, 0)[0]
+    if s[:1] in ("'", '"') and (m := re.match(r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)')\s*(?:\s#.*)?$""", s, re.S)):
+        return _text_of(m[1], m[2])
+    return _plain(re.sub(r"(?:^|\s+)#.*$", "", s).strip())
+
+
 def simple_yaml(text: str) -> object:
-    """Block mappings, block lists, flow lists and scalars: what pipeline files use. Comments and blank lines are skipped."""
-    lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#")]
-
-    def scalar(s: str) -> object:
-        s = s.strip()
-        if s[:1] == "[" and s[-1:] == "]":
-            return [scalar(x) for x in s[1:-1].split(",") if x.strip()]
-        if s[:1] in "'\"" and s[-1:] == s[:1] and len(s) > 1:
-            return s[1:-1].replace("''", "'") if s[0] == "'" else s[1:-1]
-        return {"true": True, "false": False, "null": None, "~": None, "": None}.get(s, s)
-
-    def block(i: int, indent: int) -> tuple[object, int]:
-        if lines[i][1].startswith("- "):
+    """Block mappings and lists, flow lists and maps, quoted, plain and block scalars, comments: what pipeline files use. Numbers stay texts.
+
+    Block scalars keep their lines as they are, blank ones, marks of comments and further indentation included. Anchors, tags, several
+    documents and plain scalars over several lines aren't read.
+    """
+    lines = text.replace("\r\n", "\n").removesuffix("\n").split("\n")
+    indent = lambda i: len(lines[i]) - len(lines[i].lstrip(" "))
+    body = lambda i: lines[i].strip()
+
+    def skip(i: int) -> int:
+        while i < len(lines) and (not body(i) or body(i)[0] == "#" or body(i) in ("---", "...")):
+            i += 1
+        return i
+
+    def block_scalar(i: int, above: int, m: re.Match) -> tuple[str, int]:
+        begin = i
+        while i < len(lines) and (not lines[i].strip() or indent(i) > above):
+            i += 1
+        own = lines[begin:i]
+        width = above + int(m[3]) if m[3] else min((len(x) - len(x.lstrip(" ")) for x in own if x.strip()), default=0)
+        own = [x[width:] for x in own]
+        trailing = 0
+        while own and not own[-1].strip():
+            own.pop()
+            trailing += 1
+        if m[1] == "|":
+            made = "\n".join(own)
+        else:
+            made = ""
+            for k, x in enumerate(own):
+                joined = k and x and own[k - 1] and not x.startswith(" ") and not own[k - 1].startswith(" ")
+                made += (" " if joined else "\n" if k and (x and not own[k - 1] or x.startswith(" ") or not x and k > 1 and not own[k - 1] or own[k - 1].startswith(" ")) else "") + x
+        chomp = m[2] or m[4]
+        return made + ("" if chomp == "-" or not own else "\n" * (trailing + 1) if chomp == "+" else "\n"), i
+
+    def value(i: int, above: int, rest: str, in_list: bool) -> tuple[object, int]:
+        """What stands behind a key or a dash: on the line, as a block scalar, or below."""
+        if m := _BLOCK.match(rest):
+            return block_scalar(i + 1, above, m)
+        if rest[:1] in ("[", "{"):
+            while rest.count(rest[0]) > rest.count({"[": "]", "{": "}"}[rest[0]]) and i + 1 < len(lines):  # over several lines
+                i += 1
+                rest += " " + re.sub(r"(?:^|\s+)#.*$", "", body(i))
+        if _scalar(rest) is not None or re.sub(r"(?:^|\s+)#.*$", "", rest).strip():
+            return _scalar(rest), i + 1
+        below = skip(i + 1)
+        if below < len(lines) and (indent(below) > above or not in_list and indent(below) == above and re.match(r"-(\s|$)", body(below))):
+            return block(below, indent(below))
+        return None, i + 1
+
+    def block(i: int, at: int) -> tuple[object, int]:
+        if re.match(r"-(\s|$)", body(i)):
             out: list = []
-            while i < len(lines) and lines[i][0] == indent and lines[i][1].startswith("- "):
-                rest = lines[i][1][2:].strip()
-                if ": " in rest or rest.endswith(":"):
-                    lines[i] = (indent + 2, rest)
-                    value, i = block(i, indent + 2)
-                    out.append(value)
+            while (i := skip(i)) < len(lines) and indent(i) == at and (m := re.match(r"-(\s+|$)", body(i))):
+                rest = body(i)[m.end() :]
+                if _KEY.match(rest) or re.match(r"-(\s|$)", rest):
+                    lines[i] = " " * (at + m.end()) + rest
+                    made, i = block(i, at + m.end())
                 else:
-                    out.append(scalar(rest))
-                    i += 1
+                    made, i = value(i, at, rest, True)
+                out.append(made)
             return out, i
-        made: dict = {}
-        while i < len(lines) and lines[i][0] == indent and not lines[i][1].startswith("- "):
-            key, _, rest = lines[i][1].partition(":")
-            key, rest, i = key.strip().strip("'\""), rest.strip(), i + 1
-            if rest in ("|", ">"):
-                own = []
-                while i < len(lines) and lines[i][0] > indent:
-                    own.append(lines[i][1])
-                    i += 1
-                made[key] = ("\n" if rest == "|" else " ").join(own)
-            elif not rest and i < len(lines) and (lines[i][0] > indent or lines[i][1].startswith("- ") and lines[i][0] == indent):
-                made[key], i = block(i, lines[i][0])
-            else:
-                made[key] = scalar(rest)
+        if not (m := _KEY.match(body(i))):
+            return _scalar(body(i)), i + 1
+        made = {}
+        while (i := skip(i)) < len(lines) and indent(i) == at and (m := _KEY.match(body(i))):
+            key = m[3] if m[3] is not None else _text_of(m[1], m[2])
+            made[key], i = value(i, at, body(i)[m.end() :], False)
         return made, i
 
-    return block(0, lines[0][0])[0] if lines else None
+    first = skip(0)
+    return block(first, indent(first))[0] if first < len(lines) else None
 
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
@@ -226,6 +353,22 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
     return texts(spark, path).mapInPandas(run, "path string, json string")
 
 
+_VALUE = r"\$\{\{\s*values\.(\w[\w.-]*)\s*\}\}"
+
+
+def step_warnings(spark: SparkSession, path: str, prefix: str = "VALUE") -> DataFrame:
+    """(path, place, name, variable): placeholders of a YAML pipeline's env values and commands, each name once a file, where it stands first; a task's env
+    comes before its command. A name that begins one warned of before counts as the same."""
+    kind = T.StructType([T.StructField("tasks", T.ArrayType(T.StructType.fromDDL("run string, env map<string,string>")))])
+    one = read_yaml(spark, path).select("path", F.from_json("json", kind)["tasks"].alias("tasks"))
+    names = lambda text, place: F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_VALUE), F.lit(1)), lambda n: F.struct(F.lit(place).alias("place"), n.alias("name")))
+    each = lambda t: F.concat(F.flatten(F.transform(F.coalesce(F.map_values(t["env"]), F.expr("cast(array() as array<string>)")), lambda v: names(v, "env"))), names(t["run"], "command"))
+    found = F.flatten(F.transform("tasks", each))
+    once = F.aggregate(found, F.expr("cast(array() as array<struct<place:string,name:string>>)"), lambda seen, x: F.when(F.exists(seen, lambda y: y["name"].startswith(x["name"])), seen).otherwise(F.concat(seen, F.array(x))))
+    variable = F.concat(F.lit(f"{prefix}_"), F.upper(F.regexp_replace("w.name", "[.-]", "_")))
+    return one.select("path", F.explode(once).alias("w")).select("path", "w.place", "w.name", variable.alias("variable"))
+
+
 def read_step_pipeline(spark: SparkSession, path: str, prefix: str = "VALUE") -> DataFrame:
     """(path, id, cmd, deps, env) of YAML pipelines with tasks of key, run, after, use and env; deps are after and use together
     in their order, placeholders in env values name variables with the prefix, commands stay as they are."""

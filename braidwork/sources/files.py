@@ -103,24 +103,25 @@ def framed(metadata: str, payload: bytes) -> bytes:
 def read_system_trace(lines: DataFrame) -> DataFrame:
     """lines (seq, value) of a system-call trace with pids. (seq, type, pid, ppid, cmd, path, mode, cwd) for trace.fold.
 
-    A fork's result names the child; an exec takes the parent that the last fork before it gave its pid. Failed calls
-    and lines without a pid are dropped.
+    A fork's result names the child; an exec takes the parent that the last fork before it gave its pid. An open that writes, may write or
+    creates is `w`, any other `r`. Failed calls count as the others do: what a process tried to read is its input all the same. Lines without a pid and
+    calls whose arguments can't be read are dropped.
     """
     from pyspark.sql import Window
 
-    value = F.col("value")
-    pid = F.regexp_extract(value, r"^(?:\[pid\s+)?(\d+)\]?\s", 1)
-    name = F.regexp_extract(value, r"\s(execve|chdir|openat|open|clone3?|v?fork)\(", 1)
-    result = F.regexp_extract(value, r"=\s*(-?\d+)[^=]*$", 1)
-    calls = lines.select("seq", pid.cast("bigint").alias("pid"), name.alias("call"), result.cast("bigint").alias("result"), value.alias("v")).where((pid != "") & (name != "") & (F.col("result") >= 0))
-    forks = calls.where(F.col("call").rlike("clone|fork") & (F.col("result") > 0)).select("seq", F.col("result").alias("pid"), F.lit("fork").alias("type"), F.col("pid").alias("ppid"), F.lit(None).cast("array<string>").alias("cmd"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("mode"))
-    quoted = F.regexp_extract("v", r'"((?:[^"\\]|\\.)*)"', 1)
-    args = F.regexp_extract_all(F.regexp_extract("v", r"execve\([^\[]*\[(.*)\]", 1), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    mode = F.when(F.col("v").contains("O_RDWR"), "rw").when(F.col("v").contains("O_WRONLY"), "w").otherwise("r")
-    kind = F.when(F.col("call") == "execve", "exec").when(F.col("call") == "chdir", "chdir").otherwise("open")
-    rest = calls.where(~F.col("call").rlike("clone|fork")).select("seq", "pid", kind.alias("type"), F.lit(None).cast("bigint").alias("ppid"), F.when(kind == "exec", args).alias("cmd"), F.when(kind != "exec", quoted).alias("path"), F.when(kind == "open", mode).alias("mode"))
-    both = forks.unionByName(rest).withColumn("ppid", F.last("ppid", ignorenulls=True).over(Window.partitionBy("pid").orderBy("seq")))
-    return both.where(F.col("type") != "fork").select("seq", "type", "pid", "ppid", "cmd", "path", "mode", F.lit(None).cast("string").alias("cwd"))
+    v = F.col("value")
+    pid = F.coalesce(*[F.nullif(F.regexp_extract(v, p, 1), F.lit("")) for p in (r"^\[pid\s+(\d+)\]", r"^(\d+)\s")]).cast("bigint")
+    call = F.when(v.contains("clone(") | v.contains("fork("), "fork").when(v.contains("execve("), "exec").when(v.contains("chdir("), "chdir").when(v.contains("openat("), "open")
+    own = lines.select("seq", pid.alias("pid"), call.alias("type"), v.alias("v")).where(F.col("pid").isNotNull() & F.col("type").isNotNull())
+    child = F.nullif(F.regexp_extract("v", r"=\s+(\d+)$", 1), F.lit("")).cast("bigint")
+    listed = r'execve\("[^"]+",\s*\[(.*?)\]'
+    args = F.regexp_extract_all(F.regexp_extract("v", listed, 1), F.lit(r'"([^"\\]*(?:\\.[^"\\]*)*)"'), F.lit(1))
+    path = F.when(F.col("type") == "chdir", F.regexp_extract("v", r'chdir\("([^"]+)"\)', 1)).when(F.col("type") == "open", F.regexp_extract("v", r'openat\([^,]+,\s*"([^"]+)"', 1))
+    mode = F.when(F.col("type") == "open", F.when(F.col("v").rlike("O_WRONLY|O_RDWR|O_CREAT"), "w").otherwise("r"))
+    is_fork = F.col("type") == "fork"
+    told = own.select("seq", "type", F.when(is_fork, child).otherwise(F.col("pid")).alias("pid"), F.when(is_fork, F.col("pid")).alias("ppid"), F.when(F.col("type") == "exec", args).alias("cmd"), path.alias("path"), mode.alias("mode"), (~is_fork & (F.col("type") == "exec") & ~F.col("v").rlike(listed)).alias("odd"))
+    told = told.where(F.col("pid").isNotNull() & ~F.col("odd") & (F.col("path").isNull() | (F.col("path") != ""))).withColumn("ppid", F.last("ppid", ignorenulls=True).over(Window.partitionBy("pid").orderBy("seq")))
+    return told.where(F.col("type") != "fork").select("seq", "type", "pid", F.when(F.col("type") == "exec", F.col("ppid")).alias("ppid"), "cmd", "path", "mode", F.lit(None).cast("string").alias("cwd"))
 
 
 def pulled(wanted: DataFrame, root: str) -> DataFrame:

@@ -148,7 +148,8 @@ def step_pipeline(tasks: DataFrame) -> DataFrame:
     """tasks (id, cmd, deps) as one YAML pipeline of steps with key, run and after; a shell's -c stands as its command. Inverse of
     configs.read_step_pipeline."""
     run = F.when((F.size("cmd") == 3) & (F.col("cmd")[0] == "sh") & (F.col("cmd")[1] == "-c"), F.col("cmd")[2]).otherwise(F.array_join("cmd", " "))
-    quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    quoted = lambda c: F.when(c.contains("\n"), F.concat(F.lit('"'), escaped(c), F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")))
     after = F.when(F.size("deps") > 0, F.concat(F.lit("    after: ["), F.array_join(F.transform("deps", quoted), ", "), F.lit("]\n"))).otherwise("")
     step = F.concat(F.lit("  - key: "), quoted(F.col("id")), F.lit("\n    run: "), quoted(run), F.lit("\n"), after)
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", step.alias("step")))), lambda x: x.step), "")

@@ -2,6 +2,7 @@ import io
 import json
 import tarfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from braidwork.operators import trace
@@ -37,7 +38,7 @@ def test_configuration_round_trip(spark, tmp_path):
 def test_yaml_pipelines(spark, tmp_path):
     (tmp_path / "p.yml").write_text('# c\ntasks:\n  - key: build\n    run: make ${{ values.dir-a }}\n  - key: test\n    use: [build, lint]\n    after: build\n    env:\n      D: x ${{values.dir-a}} ${{ values.b.c }}\n    run: |\n      a\n      b; c\n')
     got = {r.id: (r.cmd, r.deps, r.env) for r in configs.read_step_pipeline(spark, f"{tmp_path}/p.yml", "V").collect()}
-    assert got == {"build": (["make", "${{", "values.dir-a", "}}"], [], {}), "test": (["sh", "-c", "a\nb; c"], ["build", "lint"], {"D": "x ${V_DIR_A} ${V_B_C}"})}
+    assert got == {"build": (["make", "${{", "values.dir-a", "}}"], [], {}), "test": (["sh", "-c", "a\nb; c\n"], ["build", "lint"], {"D": "x ${V_DIR_A} ${V_B_C}"})}
     assert configs.simple_yaml("a: 1\nb:\n- x\n- 'y z'\nc: true\n") == {"a": "1", "b": ["x", "y z"], "c": True}
 
 
@@ -116,10 +117,48 @@ def test_debounce_batch_and_stream(spark, tmp_path):
 
 
 def test_system_trace_lines(spark):
-    lines = ['10 execve("/bin/sh", ["sh", "-c"], 0x7) = 0', "10 clone(child_stack=NULL) = 11", '[pid 11] execve("/bin/ls", ["ls"], 0x7) = 0', '11 openat(AT_FDCWD, "a.txt", O_WRONLY|O_CREAT, 0666) = 3', '11 openat(AT_FDCWD, "none", O_RDONLY) = -1 ENOENT (No such file)', '11 chdir("/x") = 0', "no pid here"]
+    lines = ['10 execve("/bin/sh", ["sh", "-c", "a \\"b\\""], 0x7) = 0', "10 clone(child_stack=NULL) = 11", '[pid 11] execve("/bin/ls", ["ls"], 0x7) = 0', '11 openat(AT_FDCWD</r>, "a.txt", O_WRONLY|O_CREAT, 0666) = 3</r/a.txt>', '11 openat(AT_FDCWD, "none", O_RDONLY) = -1 ENOENT (No such file)', '11 openat(AT_FDCWD, "new", O_RDONLY|O_CREAT) = 4', '11 openat(AT_FDCWD, "both", O_RDWR) = 5', '11 chdir("/x") = 0', "no pid here", '11 open("old", O_RDONLY) = 3', "11 execve(0x7, 0x8) = 0"]
     df = spark.createDataFrame(list(enumerate(lines)), "seq int, value string")
     got = [(r.type, r.pid, r.ppid, r.cmd, r.path, r.mode) for r in files.read_system_trace(df).orderBy("seq").collect()]
-    assert got == [("exec", 10, None, ["sh", "-c"], None, None), ("exec", 11, 10, ["ls"], None, None), ("open", 11, 10, None, "a.txt", "w"), ("chdir", 11, 10, None, "/x", None)]
+    opened = [("open", 11, None, None, p, m) for p, m in (("a.txt", "w"), ("none", "r"), ("new", "w"), ("both", "w"))]
+    assert got == [("exec", 10, None, ["sh", "-c", 'a \\"b\\"'], None, None), ("exec", 11, 10, ["ls"], None, None), *opened, ("chdir", 11, None, None, "/x", None)]
+
+
+def test_lock_entries_as_they_must_be(spark, tmp_path):
+    good = {"id": " a ", "cmd": ["x"], "deps": ["old"], "dependencies": ["new"], "outputs": ["o"], "when": {"platform": ["linux"]}}
+    (tmp_path / "good.json").write_text(json.dumps({"version": 2, "tasks": [good]}))
+    r = configs.read_lock(spark, f"{tmp_path}/good.json").first()
+    assert (r.id, r.dependencies, r.outputs, r.inputs, r.env, r.timeout, r.cache, r.when.platform) == ("a", ["old"], ["o"], [], {}, 300_000, True, ["linux"])
+    bad = [good, {"cmd": ["x"]}, {"id": "b"}, {"id": "c", "cmd": "echo hi"}, {"id": "d", "cmd": []}, {"id": "e", "cmd": ["x", 1]}, {"id": 7, "cmd": ["x"]}]
+    (tmp_path / "bad.json").write_text(json.dumps(bad))
+    found = {r["index"]: r.rule for r in configs.lock_violations(spark, f"{tmp_path}/bad.json").collect()}
+    assert found == {1: "no-id", 2: "bad-cmd", 3: "bad-cmd", 4: "bad-cmd", 5: "bad-cmd"}
+    assert sorted(r.id for r in configs.read_lock(spark, f"{tmp_path}/bad.json", strict=False).collect()) == ["7", "a"]
+    with pytest.raises(Exception, match="entry 1: no-id"):
+        configs.read_lock(spark, f"{tmp_path}/bad.json").collect()
+
+
+YAML = [
+    ("a: 1 # x\nb: 'it''s' # y\nc: \"q\\n#\"\nd: x#y\ne: http://z/#a\n", {"a": "1", "b": "it's", "c": "q\n#", "d": "x#y", "e": "http://z/#a"}),
+    ("a: [ 'b, c', d, [e, \"f]\"], {g: h} ] # t\nb: {K: v, 'x y': [1, 2], \"z\": }\nc: []\nd: {}\n", {"a": ["b, c", "d", ["e", "f]"], {"g": "h"}], "b": {"K": "v", "x y": ["1", "2"], "z": None}, "c": [], "d": {}}),
+    ("run: |\n  # kept\n    deep\n\n  end\nnext: y\n", {"run": "# kept\n  deep\n\nend\n", "next": "y"}),
+    ("a: |-\n  x\n\nb: |+\n  y\n\nc: >\n  one\n  two\n\n  three\n", {"a": "x", "b": "y\n\n", "c": "one two\nthree\n"}),
+    ("- a\n- b: 1\n  c: 2\n-\n  d: 3\n- - e\n  - f\n- |\n  g\n", ["a", {"b": "1", "c": "2"}, {"d": "3"}, ["e", "f"], "g\n"]),
+    ("tasks:\n- key: x\n  after:\n  - y\n  # between\n\n  - z\n  use: true\n- key: w\n", {"tasks": [{"key": "x", "after": ["y", "z"], "use": True}, {"key": "w"}]}),
+    ("---\n# only\nk:\n  l:\nm: ~\nlist: [a,\n  b, # c\n  d]\n'q r': s\n", {"k": {"l": None}, "m": None, "list": ["a", "b", "d"], "q r": "s"}),
+    ("", None), ("# nothing\n", None), ("plain\n", "plain"), ("x: - not a list\ny: a: b\n", {"x": "- not a list", "y": "a: b"}),
+]
+
+
+@pytest.mark.parametrize("text, want", YAML)
+def test_yaml(text, want):
+    assert configs.simple_yaml(text) == want
+
+
+def test_written_steps_with_odd_names_are_read_again(spark, tmp_path):
+    rows = [("a, b", ["sh", "-c", "x # y\n  'z'"], ["c: d", "e#f", "it's", "[g"]), ("plain", ["run", "it"], [])]
+    sinks.step_pipeline(spark.createDataFrame(rows, "id string, cmd array<string>, deps array<string>")).coalesce(1).write.text(f"{tmp_path}/steps")
+    assert sorted((r.id, r.cmd, r.deps) for r in configs.read_step_pipeline(spark, f"{tmp_path}/steps").collect()) == rows
 
 
 def test_broadcast_drops_writers_that_fail(spark, tmp_path):
