@@ -1,14 +1,15 @@
 """Benchmark decontamination on a stored, distributed positional inverted index.
 
 The index holds the postings of every token of the training documents. It is partitioned by document, so that a common
-word's postings are dealt over all of it: a task gathers documents into shards of bounded size and stores for each
-shard one row a term, the term's hash with its positions, and one row that says which documents stand where. Equal
-texts of a task are indexed once. An index serves any number of searches.
-
-A search takes the benchmark, a stated query set, in blocks of bounded size. The block's terms pick their postings
-out of the index by a join (a broadcast one, of a block's size at most), these meet by shard, and each phrase is looked
-up by intersecting posting lists adjusted by their offset in the phrase, from the rarest term on, so that common words
-are only asked about where the rarer ones already agree. Proximity search asks the same lists for all words of a phrase
+word's postings are dealt over all of it: a task gathers documents into shards of bounded size and stores each as one
+row, the sorted hashes of its terms, how many positions each has, the positions, and which documents stand where. Equal
+texts of a task are indexed once. An index serves any number of searches; it stays in the shared folder for the cluster to
+expire, since a lazy result may still read what was found in it.
+
+A search takes the benchmark, a stated query set, in blocks of bounded size, of which tasks hold one at a time. A task looks a block's terms up in the
+shards it reads, so nothing is shuffled and of a shard only these terms' positions are unpacked. Each phrase is found by
+intersecting posting lists adjusted by their offset in the phrase, from the rarest term on, so that common words
+are only asked about where the rarer ones already agree. Proximity search asks the same lists, in the same pass, for all words of a phrase
 within a distance. Matches name documents by the hash of their text; what goes back to the documents is the
 list of texts with a match, broadcast while it is small and joined beyond that.
 """
@@ -20,7 +21,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from braidwork.llm.common import materialise, set_aside
 
 #: Words of a window, characters of a block of benchmark texts, bytes of the documents of one index shard, bytes of matches that tasks hold.
-WINDOW, BLOCK_CHARS, SHARD_BYTES, HELD_BYTES = 13, 8 << 20, 4 << 20, 32 << 20
+WINDOW, BLOCK_CHARS, SHARD_BYTES, HELD_BYTES = 13, 16 << 20, 4 << 20, 32 << 20
 #: Words that an interval with all words of a window may have to be a proximity match.
 DISTANCE = 26
 
@@ -63,8 +63,13 @@ def _documents(keys: list[tuple[int, int]], begin: np.ndarray) -> bytes:
     return np.array([[*h, 0] for h in zip(*keys)] + [begin], "<i8").tobytes()
 
 
-def shard_rows(texts: list[str], keys: list[tuple[int, int]]) -> pa.RecordBatch:
-    """(term, at): a null term with the documents' hashes and first positions, then each term with the steps between its positions."""
+SHARD = pa.schema([("documents", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("at", pa.binary())])
+SHARD_DDL = "documents binary, terms binary, counts binary, at binary"
+
+
+def shard_row(texts: list[str], keys: list[tuple[int, int]]) -> pa.RecordBatch:
+    """A shard: its documents' hashes and first positions; the terms' hashes in order; the number of each one's positions; the steps between
+    these, the first of a term from zero, in three bytes each (four in a shard of over 2**24 positions)."""
     tokens = [words(t) for t in texts]
     # One empty position after each document, so that no phrase crosses it.
     begin = np.concatenate(([0], np.cumsum([len(d) + 1 for d in tokens]))).astype(np.int64)
@@ -77,29 +82,23 @@ def shard_rows(texts: list[str], keys: list[tuple[int, int]]) -> pa.RecordBatch:
     at = np.arange(len(codes)) + np.repeat(np.arange(len(tokens)), [len(d) for d in tokens])
     both = np.sort((codes << 32) | at)
     codes, at = both >> 32, both & 0xFFFFFFFF
-    first = np.searchsorted(codes, np.arange(len(rank) + 1))
+    counts = np.bincount(codes, minlength=len(rank))
+    first = np.cumsum(counts) - counts
     steps = np.diff(at, prepend=0)
-    steps[first[:-1]] = at[first[:-1]]
-    meta = _documents(keys, begin)
-    offsets = np.concatenate(([0], len(meta) + 4 * first)).astype(np.int32)
-    blob = pa.Array.from_buffers(pa.binary(), len(rank) + 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(meta + steps.astype("<i4").tobytes())])
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(hashes[rank])]), blob], ["term", "at"])
+    steps[first] = at[first]
+    width = 3 if begin[-1] < 1 << 24 else 4
+    packed = steps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (_documents(keys, begin), hashes[rank].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), packed)], schema=SHARD)
 
 
 def positional_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(shard, term, at) of docs' whole texts (column text), stored in the shared folder.
+    """docs' whole texts (column text) as shards, a row each (see shard_row), stored in the shared folder.
 
     Null and empty texts have no words. A repeated text is indexed once a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, keys, seen, size, n = [], [], set(), 0, 0
-        shard = TaskContext.get().partitionId() << 32
-
-        def out() -> pa.RecordBatch:
-            rows = shard_rows(texts, keys)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, shard + n)), *rows.columns], ["shard", "term", "at"])
-
+        texts, keys, seen, size = [], [], set(), 0
         for b in batches:
             for t, key in zip(b.column(0), zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 if key in seen or not (t := t.as_py()):
@@ -110,13 +109,13 @@ def positional_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFra
                 keys.append(key)
                 size += len(t)
                 if size >= shard_bytes:
-                    yield out()
-                    texts, keys, size, n = [], [], 0, n + 1
+                    yield shard_row(texts, keys)
+                    texts, keys, size = [], [], 0
         if texts:
-            yield out()
+            yield shard_row(texts, keys)
 
     h1, h2 = text_hashes()
-    return materialise(docs.select("text", h1, h2).mapInArrow(run, "shard bigint, term bigint, at binary"), "postings")
+    return materialise(docs.select("text", h1, h2).mapInArrow(run, SHARD_DDL), "postings")
 
 
 class Postings:
@@ -143,7 +142,7 @@ class Postings:
         n = df[each, rarest]
         which = np.repeat(each, n)
         within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        term = phrases[which, rarest[which]]
+        term = phrases[which, rarest[which]].astype(np.int64)
         return order, which, self.keys[self.first[term] + within] - term * self.length
 
     def phrases(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,15 +153,16 @@ class Postings:
             if not len(which):
                 break
             offset = order[which, k]
-            term = phrases[which, offset]
+            term = phrases[which, offset].astype(np.int64)
             ok = (term < 0) | self.holds(np.maximum(term, 0), start + offset)
             which, start = which[ok], start[ok]
         inside = (start >= 0) & (start + lengths[which] <= self.length)
         return which[inside], start[inside]
 
-    def near(self, phrases: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def near(self, phrases: np.ndarray, distance: int, known: set[tuple[int, int]] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(phrase number, first, last) of the shortest interval of at most `distance` words around each posting of a phrase's
-        rarest term that holds all its words in any order, inside one document (of several the first; each interval once)."""
+        rarest term that holds all its words in any order, inside one document (of several the first; each interval once).
+        Pairs of a phrase and a document that are `known` aren't looked at."""
         order, which, at = self._from_rarest(phrases)
         doc = np.searchsorted(self.begin, at, side="right") - 1
         lo = np.maximum(at - distance + 1, self.begin[doc])
@@ -170,12 +170,14 @@ class Postings:
         for k in range(1, phrases.shape[1]):
             if not len(which):
                 break
-            term = phrases[which, order[which, k]]
+            term = phrases[which, order[which, k]].astype(np.int64)
             base = np.maximum(term, 0) * self.length
             ok = (term < 0) | (np.searchsorted(self.keys, base + lo) < np.searchsorted(self.keys, base + hi, side="right"))
-            which, at, lo, hi = which[ok], at[ok], lo[ok], hi[ok]
+            which, at, lo, hi, doc = which[ok], at[ok], lo[ok], hi[ok], doc[ok]
         out = set()
-        for w, a, x, y in zip(which.tolist(), at.tolist(), lo.tolist(), hi.tolist()):
+        for w, a, x, y, d in zip(which.tolist(), at.tolist(), lo.tolist(), hi.tolist(), doc.tolist()):
+            if (w, d) in known:
+                continue
             terms = {t for t in phrases[w].tolist() if t >= 0}
             own = sorted((int(k) - t * self.length, t) for t in terms for k in self.keys[np.searchsorted(self.keys, t * self.length + x) : np.searchsorted(self.keys, t * self.length + y, side="right")])
             best, last = None, {}
@@ -206,24 +208,26 @@ class TestPhrases:
                 found.setdefault(tuple(ids[i : i + size]), set()).add(item)
         self.hashes = np.array([term_hash(w) for w in terms], np.uint64).view(np.int64)
         self.lengths = np.array([len(k) for k in found], np.int64)
-        self.phrases = np.full((len(found), window), -1, np.int64)
+        self.phrases = np.full((len(found), window), -1, np.int32)
         for row, k in enumerate(found):
             self.phrases[row, : len(k)] = k
         self.items = [sorted(v) for v in found.values()]
 
-    def postings(self, part: pa.Table) -> tuple[np.ndarray, Postings] | None:
-        """Of a shard's rows (term, at): its documents' hashes (2 x documents) and the postings of the phrases' terms."""
-        meta = part.filter(part.column("term").is_null())
-        rows = part.filter(part.column("term").is_valid())
-        if not meta.num_rows or not rows.num_rows:
+    def postings(self, documents: bytes, terms: bytes, counts: bytes, at: bytes) -> tuple[np.ndarray, Postings] | None:
+        """Of a shard: its documents' hashes (2 x documents) and the postings of the phrases' terms; None if it has no such term."""
+        hashes, counts = np.frombuffer(terms, "<i8"), np.frombuffer(counts, "<u4").astype(np.int64)
+        found = np.searchsorted(hashes, self.hashes)
+        own = np.flatnonzero(hashes[np.minimum(found, len(hashes) - 1)] == self.hashes) if len(hashes) else np.zeros(0, np.int64)
+        if not len(own):
             return None
-        documents = np.frombuffer(meta.column("at")[0].as_py(), "<i8").reshape(3, -1)
+        documents = np.frombuffer(documents, "<i8").reshape(3, -1)
         documents, end = documents[:, :-1], int(documents[2, -1])
-        order = np.argsort(self.hashes, kind="stable")
-        term = order[np.searchsorted(self.hashes[order], rows.column("term").to_numpy())]
-        blobs = [np.frombuffer(x.as_py(), "<i4") for x in rows.column("at")]
-        at = [np.cumsum(b, dtype=np.int64) for b in blobs]
-        keys = np.sort(np.concatenate([t * end + a for t, a in zip(term.tolist(), at)]))
+        n, first = counts[found[own]], (np.cumsum(counts) - counts)[found[own]]
+        place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        packed = np.frombuffer(at, np.uint8).reshape(-1, 3 if end < 1 << 24 else 4)
+        steps = sum(packed[place, k].astype(np.int64) << 8 * k for k in range(packed.shape[1]))
+        far, begin = np.cumsum(steps), np.cumsum(n) - n
+        keys = np.sort(np.repeat(own * end - (far[begin] - steps[begin]), n) + far)
         return documents, Postings(keys, documents[2], end, len(self.hashes))
 
 
@@ -235,17 +239,31 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> list[dict]:
     return [{"lo": a, "hi": b} for a, b in zip(lo[first].tolist(), [*top[first[1:] - 1].tolist(), int(top[-1])])]
 
 
-def _exact(phrases: TestPhrases, documents: np.ndarray, index: Postings) -> Iterator[tuple]:
-    which, start = index.phrases(phrases.phrases, phrases.lengths)
-    doc = np.searchsorted(index.begin, start, side="right") - 1
-    order = np.argsort(doc, kind="stable")
-    which, start, doc = which[order], start[order], doc[order]
-    cuts = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)) if len(doc) else np.empty(0, np.int64)
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        d, own = doc[lo], which[lo:hi]
-        begin = start[lo:hi] - index.begin[d]
-        n_words = (index.begin[d + 1] if d + 1 < len(index.begin) else index.length) - index.begin[d] - 1
-        yield int(documents[0, d]), int(documents[1, d]), int(n_words), _spans(begin, begin + phrases.lengths[own]), sorted({i for w in set(own.tolist()) for i in phrases.items[w]})
+def _exact(distance: int) -> Callable:
+    """Finds (hash, hash, words, hit spans, items, items near) of the documents with a phrase; distance 0: no proximity."""
+
+    def find(phrases: TestPhrases, documents: np.ndarray, index: Postings) -> Iterator[tuple]:
+        which, start = index.phrases(phrases.phrases, phrases.lengths)
+        doc = np.searchsorted(index.begin, start, side="right") - 1
+        order = np.argsort(doc, kind="stable")
+        which, start, doc = which[order], start[order], doc[order]
+        near: dict[int, set[str]] = {}
+        if distance:
+            known = set(zip(which.tolist(), doc.tolist())) if distance >= phrases.phrases.shape[1] else set()
+            for w, d in known:
+                near.setdefault(d, set()).update(phrases.items[w])
+            more, first, _ = index.near(phrases.phrases, distance, known)
+            for w, d in zip(more.tolist(), (np.searchsorted(index.begin, first, side="right") - 1).tolist()):
+                near.setdefault(d, set()).update(phrases.items[w])
+        cuts = np.flatnonzero(np.diff(doc, prepend=-1, append=-1)) if len(doc) else np.empty(0, np.int64)
+        hit = {int(doc[lo]): (lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:])}
+        for d in sorted({*hit, *near}):
+            lo, hi = hit.get(d, (0, 0))
+            own, begin = which[lo:hi], start[lo:hi] - index.begin[d]
+            n_words = (index.begin[d + 1] if d + 1 < len(index.begin) else index.length) - index.begin[d] - 1
+            yield int(documents[0, d]), int(documents[1, d]), int(n_words), _spans(begin, begin + phrases.lengths[own]) if hi > lo else [], sorted({i for w in set(own.tolist()) for i in phrases.items[w]}), sorted(near.get(d, ()))
+
+    return find
 
 
 def _near(distance: int) -> Callable:
@@ -290,49 +308,52 @@ def search(index: DataFrame, benchmark: DataFrame, find: Callable, columns: list
             continue
         held = spark.sparkContext.broadcast(block)
 
-        def run(part: pa.Table) -> pa.Table:
-            own = held.value.postings(part)  # noqa: B023  the block's matches are stored within the loop
-            cols = list(zip(*find(held.value, *own))) if own else []  # noqa: B023
-            return pa.table([pa.array(c, _KINDS[t]) for c, (_, t) in zip(cols or [()] * len(columns), columns)], [n for n, _ in columns])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    own = held.value.postings(*(c[i].as_py() for c in b.columns))  # noqa: B023  the block's matches are stored within the loop
+                    if own and (rows := list(find(held.value, *own))):  # noqa: B023
+                        yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, (_, t) in zip(zip(*rows), columns)], [n for n, _ in columns])
 
-        terms = spark.createDataFrame(pa.table({"term": pa.array(np.unique(block.hashes))}))
-        wanted = index.join(F.broadcast(terms), "term", "left_semi").unionByName(index.where(F.col("term").isNull()))
-        out = out.unionByName(materialise(wanted.groupBy("shard").applyInArrow(run, schema), "matches"))
+        out = out.unionByName(materialise(index.mapInArrow(run, schema), "matches"))
         held.destroy()
     return out
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, held_bytes: int = HELD_BYTES) -> DataFrame:
-    """docs with n_words long, n_hit long, items array<string> (sorted) and contaminated boolean.
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, held_bytes: int = HELD_BYTES, distance: int = DISTANCE) -> DataFrame:
+    """docs with n_words long, n_hit long, items array<string> (sorted), contaminated boolean and near array<string> (sorted).
 
     A document word is hit if it lies inside an occurrence of `window` consecutive words of an item (all of a
-    shorter item). Null and empty texts have no words; items with a null id or text are passed over; repeated
+    shorter item). near has the items of which `distance` consecutive words of the document hold, in any order, all words of a window, exact matches
+    among them if the distance is no less than the window; it doesn't bear on contamination, and is empty with distance 0. Null and empty texts have no words; items with a null id or text are passed over; repeated
     documents are each judged, repeated items count once; extra columns pass, those of these names are replaced.
     """
-    docs, back = set_aside(docs.drop("n_words", "n_hit", "items", "contaminated"), "_h1", "_h2", "_n")
-    found = _matched(positional_index(docs.select("text")), benchmark, window, block_chars)
+    docs, back = set_aside(docs.drop("n_words", "n_hit", "items", "contaminated", "near"), "_h1", "_h2", "_n")
+    found = _matched(positional_index(docs.select("text")), benchmark, window, block_chars, distance)
     h1, h2 = text_hashes()
-    rows = docs.withColumns({"_h1": h1, "_h2": h2}).join(_held(found.select("_h1", "_h2", "n_hit", "items"), held_bytes), ["_h1", "_h2"], "left")
-    out = rows.select(*docs.columns, word_count("text").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    rows = docs.withColumns({"_h1": h1, "_h2": h2}).join(_held(found.select("_h1", "_h2", "n_hit", "items", "near"), held_bytes), ["_h1", "_h2"], "left")
+    none = F.array().cast("array<string>")
+    out = rows.select(*docs.columns, word_count("text").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnsRenamed(back)
 
 
 def _held(found: DataFrame, held_bytes: int) -> DataFrame:
     """found (stored) to be broadcast while it is small."""
-    items = F.octet_length(F.array_join("items", ",")) if "items" in found.columns else F.lit(0)
+    items = F.octet_length(F.concat(F.array_join("items", ","), F.array_join("near", ","))) if "items" in found.columns else F.lit(0)
     return F.broadcast(found) if (found.agg(F.sum(items + 64)).first()[0] or 0) <= held_bytes else found
 
 
-def _matched(index: DataFrame, benchmark: DataFrame, window: int, block_chars: int) -> DataFrame:
-    """(_h1, _h2, _n, n_hit, items) of the texts with a window, a row a text: its words, how many are hit, by what."""
-    columns = [("_h1", "bigint"), ("_h2", "bigint"), ("_n", "bigint"), ("spans", "array<struct<lo:bigint,hi:bigint>>"), ("items", "array<string>")]
-    found = search(index, benchmark, _exact, columns, window, block_chars)
+def _matched(index: DataFrame, benchmark: DataFrame, window: int, block_chars: int, distance: int = 0) -> DataFrame:
+    """(_h1, _h2, _n, n_hit, items, near) of the texts with a match, a row a text: its words, how many are hit, by what, what is near."""
+    columns = [("_h1", "bigint"), ("_h2", "bigint"), ("_n", "bigint"), ("spans", "array<struct<lo:bigint,hi:bigint>>"), ("items", "array<string>"), ("near", "array<string>")]
+    found = search(index, benchmark, _exact(distance), columns, window, block_chars)
     # Copies of a text in several shards say the same; blocks add up.
-    merged = found.groupBy("_h1", "_h2").agg(F.max("_n").alias("_n"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    listed = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    merged = found.groupBy("_h1", "_h2").agg(F.max("_n").alias("_n"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), listed("items"), listed("near"))
     # Spans in order: each adds what goes beyond those before it.
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to"))
     n_hit = F.aggregate("s", start, lambda a, s: F.struct((a.n + F.greatest(s.hi - F.greatest(s.lo, a.to), F.lit(0))).alias("n"), F.greatest(a.to, s.hi).alias("to")), lambda a: a.n)
-    return materialise(merged.select("_h1", "_h2", "_n", n_hit.alias("n_hit"), "items"), "found")
+    return materialise(merged.select("_h1", "_h2", "_n", n_hit.alias("n_hit"), "items", "near"), "found")
 
 
 def near_benchmark(docs: DataFrame, benchmark: DataFrame, distance: int = DISTANCE, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -352,6 +373,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, held_bytes: int = H
     """The documents without contamination (as find_benchmark judges it); columns as they are."""
     aside, back = set_aside(docs, "_h1", "_h2")
     found = _matched(positional_index(docs.select("text")), benchmark, WINDOW, BLOCK_CHARS)
-    gone = materialise(found.where(20 * F.col("n_hit") >= F.col("_n")).select("_h1", "_h2"), "gone")
+    gone = materialise(found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("_n"))).select("_h1", "_h2"), "gone")
     h1, h2 = text_hashes()
     return aside.withColumns({"_h1": h1, "_h2": h2}).join(_held(gone, held_bytes), ["_h1", "_h2"], "left_anti").drop("_h1", "_h2").withColumnsRenamed(back).select(*docs.columns)

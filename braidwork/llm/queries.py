@@ -59,7 +59,7 @@ def op7_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 13 benchmark words in all documents."""
     found = find_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near").cast("bigint").alias("n_near"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,10 +165,23 @@ di AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WH
 dwin AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM di),
 m AS (SELECT doc_id, item_id, k, i FROM dwin JOIN bwin USING (k, s)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id),
+win AS (SELECT row_number() OVER (ORDER BY s) AS win, s FROM (SELECT DISTINCT s FROM bwin)),
+wt AS (SELECT DISTINCT win, unnest(string_split(s, ' ')) AS t FROM win),
+nt AS (SELECT win, count(*) AS n FROM wt GROUP BY win),
+dp AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM dw),
+df AS (SELECT t, count(*) AS c FROM dp GROUP BY t),
+rare AS (SELECT win, arg_min(t, c) AS t FROM wt LEFT JOIN df USING (t) GROUP BY win HAVING count(c) = count(*)),
+anchor AS (SELECT doc_id, win, p AS a FROM rare JOIN dp USING (t)),
+around AS (SELECT doc_id, win, a, unnest(range(lo, hi)) AS p, unnest(w[lo + 1:hi]) AS t FROM (SELECT doc_id, win, a, w, greatest(a - 25, 0) AS lo, least(a + 26, len(w)) AS hi FROM anchor JOIN dw USING (doc_id))),
+nb AS (SELECT doc_id, win, a, p, t FROM around JOIN wt USING (win, t)),
+could AS (SELECT doc_id, win, a, n FROM nb JOIN nt USING (win) GROUP BY doc_id, win, a, n HAVING count(DISTINCT t) = n),
+ends AS (SELECT DISTINCT doc_id, win, a, n, p AS e FROM nb JOIN could USING (doc_id, win, a) WHERE p >= a),
+close AS (SELECT DISTINCT doc_id, win FROM (SELECT x.doc_id, x.win FROM ends x JOIN nb y ON x.doc_id = y.doc_id AND x.win = y.win AND x.a = y.a AND y.p <= e AND y.p > e - 26 GROUP BY x.doc_id, x.win, x.a, x.n, e HAVING count(DISTINCT y.t) = x.n)),
+nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN win USING (win) JOIN bwin USING (s) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN nr USING (doc_id)
 """
 
 

@@ -596,22 +596,21 @@ def test_proximity_matches(spark):
         assert got == near_brute(texts, items, distance, window) and got
         exact = decontamination.find_benchmark(df, bench, window).select("doc_id", F.explode("items").alias("item")).collect()
         assert {(r.doc_id, r["item"]) for r in exact} <= {(d, i) for d, i, _, _ in got}
+        near = decontamination.find_benchmark(df, bench, window, block, distance=distance).select("doc_id", F.explode("near").alias("item")).collect()
+        assert sorted((r.doc_id, r["item"]) for r in near) == sorted({(d, i) for d, i, _, _ in got})
 
 
 def test_stored_postings_are_the_tokens(spark, docs):
     """Every token of every text can be read back from the index."""
-    index = decontamination.positional_index(docs.select("text"), shard_bytes=300)
-    shards = {}
-    for r in index.collect():
-        shards.setdefault(r.shard, []).append((r.term, bytes(r["at"])))
+    shards = decontamination.positional_index(docs.select("text"), shard_bytes=300).collect()
     got = set()
-    for rows in shards.values():
-        h1, h2, begin = np.frombuffer(dict(rows)[None], "<i8").reshape(3, -1)
-        end, h1, h2, begin = begin[-1], h1[:-1], h2[:-1], begin[:-1]
-        places = sorted((int(p), t) for t, at in rows if t is not None for p in np.cumsum(np.frombuffer(at, "<i4")))
-        for k in range(len(begin)):
-            hi = begin[k + 1] if k + 1 < len(begin) else end
-            own = [(p - int(begin[k]), t) for p, t in places if begin[k] <= p < hi]
+    for r in shards:
+        h1, h2, begin = np.frombuffer(bytes(r.documents), "<i8").reshape(3, -1)
+        terms, counts, steps = np.frombuffer(bytes(r.terms), "<i8"), np.frombuffer(bytes(r.counts), "<u4"), np.frombuffer(bytes(r["at"]), np.uint8).reshape(-1, 3)
+        steps = steps.astype(np.int64) @ np.array([1, 256, 65536])
+        places = sorted((int(p), int(t)) for t, own in zip(terms, np.split(steps, np.cumsum(counts)[:-1])) for p in np.cumsum(own))
+        for k in range(len(begin) - 1):
+            own = [(p - int(begin[k]), t) for p, t in places if begin[k] <= p < begin[k + 1]]
             assert [p for p, _ in own] == list(range(len(own)))
             got.add((int(h1[k]), int(h2[k]), tuple(t for _, t in own)))
     a, b = decontamination.text_hashes()
