@@ -156,7 +156,7 @@ def test_yaml(text, want):
 
 
 def test_written_steps_with_odd_names_are_read_again(spark, tmp_path):
-    rows = [("a, b", ["sh", "-c", "x # y\n  'z'"], ["c: d", "e#f", "it's", "[g"]), ("plain", ["run", "it"], [])]
+    rows = [("a, b", ["sh", "-c", "x # y\n  && 'z'"], ["c: d", "e#f", "it's", "[g"]), ("plain", ["run", "it"], [])]
     sinks.step_pipeline(spark.createDataFrame(rows, "id string, cmd array<string>, deps array<string>")).coalesce(1).write.text(f"{tmp_path}/steps")
     assert sorted((r.id, r.cmd, r.deps) for r in configs.read_step_pipeline(spark, f"{tmp_path}/steps").collect()) == rows
 
