@@ -117,23 +117,33 @@ def functions_of(source: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("name", "lines", "parameters", "depth"), f)) for f in function_sizes(s or "")] for s in source])
 
 
-_FUNCTION = re.compile(r"(?:function\s+(\w+)\s*|(\w+)\s*=\s*(?:async\s*)?|(?:async\s+|static\s+|public\s+|private\s+)*(\w+)\s*)\(([^()]*)\)[^{};\n]*\{")
+_FUNCTION = re.compile(r"\s*(?:export\s+)?(?:static\s+)?(?:async\s+)?(?:function\s+(\w+)|(\w+)\s*\([^)]*\)\s*[:{])")
+_NO_NAMES = frozenset("if for while switch catch try".split())
 
 
 def function_sizes(source: str) -> list[tuple[str, int, int, int]]:
-    """(name, lines, parameters, greatest brace depth inside) of each function with a braced body."""
+    """(name, lines, parameters, depth) of each line that begins a function or a method.
+
+    A function ends on the line whose last brace closes its first; without one it has one line. depth is the most braces
+    that are open at the end of any of its lines; parameters are those on its first line.
+    """
+    lines = source.split("\n")
+    change = [x.count("{") - x.count("}") for x in lines]
     out = []
-    for m in _FUNCTION.finditer(source):
-        name = m[1] or m[2] or m[3]
-        if name in ("if", "for", "while", "switch", "catch", "return"):
+    for i, line in enumerate(lines):
+        m = _FUNCTION.match(line)
+        name = m and (m[1] or m[2])
+        if not name or name in _NO_NAMES:
             continue
-        depth = most = 0
-        end = len(source)
-        for n in re.compile(r"[{}]").finditer(source, m.end() - 1):
-            depth += 1 if n[0] == "{" else -1
-            most = max(most, depth)
-            if not depth:
-                end = n.end()
-                break
-        out.append((name, source.count("\n", m.start(), end) + 1, len([p for p in m[4].split(",") if p.strip()]), most))
+        depth, most, begun, end = 0, 0, False, i
+        for j in range(i, len(lines)):
+            depth += change[j]
+            begun = begun or "{" in lines[j]
+            if begun:
+                most = max(most, depth)
+                if not depth:
+                    end = j
+                    break
+        listed = re.search(r"\(([^)]*)\)", line)
+        out.append((name, end - i + 1, len([p for p in listed[1].split(",") if p.strip()]) if listed else 0, most))
     return out

@@ -59,8 +59,10 @@ def cache_inputs(tasks: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     fs = F.filter(F.coalesce("claims", none), lambda c: c.startswith("fs:"))
     paths = sorted_set(F.transform(F.concat(F.coalesce("reads", none), fs), normalise_fs_path))
-    kept = F.filter(paths, lambda p: (p != "") & ~F.exists(F.coalesce("writes", F.expr("cast(array() as array<string>)")), lambda w: write_covers(w, p)))
-    return tasks.select("id", F.explode(kept).alias("path"))
+    # Writes are put in normal form once a task, not for each pair: below the explode they are columns.
+    writes = F.transform(F.filter(F.transform(F.coalesce("writes", none), normalise_fs_path), lambda w: w != ""), lambda w: F.concat(w, F.lit("/")))
+    each = tasks.select("id", writes.alias("_writes"), F.explode(F.filter(paths, lambda p: p != "")).alias("path"))
+    return each.where(~F.exists("_writes", lambda w: F.concat("path", F.lit("/")).startswith(w))).select("id", "path")
 
 
 def ancestors(path: Column) -> Column:

@@ -14,6 +14,13 @@ def volatility(files: DataFrame) -> DataFrame:
     return files.select(v.alias("v")).agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("volatility"), F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("v") >= 0.3, 1)).alias("volatile"))
 
 
+def scan_volatility(files: DataFrame) -> DataFrame:
+    """volatility of source files (path, content, language): what their comments and white space are of them."""
+    from braidwork.functions.code import stripped
+
+    return volatility(files.select("path", F.col("content").alias("raw"), stripped(F.col("content"), F.col("language")).alias("logic")))
+
+
 def forecast_hours(tasks: Column, volatility_: Column, average_ms: float = 450.0, builds: int = 100) -> Column:
     """Hours that `builds` builds lose: tasks x average x volatility."""
     return tasks * average_ms * volatility_ * builds / 3.6e6
@@ -91,10 +98,17 @@ def timing_means(timings: DataFrame) -> DataFrame:
     return m.crossJoin(F.broadcast(least)).select("kind", "mean_ms", (F.col("mean_ms") / F.col("least") - 1).alias("overhead"), F.when(F.col("ms") > 0, F.col("bytes") / 1e3 / F.col("ms")).alias("mb_s"))
 
 
+def function_report(files: DataFrame) -> DataFrame:
+    """oversized over the functions of source files (path, content)."""
+    from braidwork.functions.code import functions_of
+
+    return oversized(files.select(F.explode(functions_of(F.col("content"))).alias("f")).select("f.*"))
+
+
 def oversized(functions: DataFrame, lines: int = 32, depth: int = 3, parameters: int = 4) -> DataFrame:
-    """functions (lines, depth, parameters): how many exceed each limit."""
+    """functions (lines, depth, parameters): how many exceed each limit, and how many any."""
     n = lambda c, most: F.count(F.when(F.col(c) > most, 1)).alias(f"over_{c}")
-    return functions.agg(F.count(F.lit(1)).alias("functions"), n("lines", lines), n("depth", depth), n("parameters", parameters))
+    return functions.agg(F.count(F.lit(1)).alias("functions"), n("lines", lines), n("depth", depth), n("parameters", parameters), F.count(F.when((F.col("lines") > lines) | (F.col("depth") > depth) | (F.col("parameters") > parameters), 1)).alias("over_any"))
 
 
 def build_report(path: DataFrame, waves: DataFrame, actual_ms: float) -> DataFrame:

@@ -145,10 +145,15 @@ def d21_tax_rate(spark, d):
     return report.tax_rate(table(spark, d, "documents").select(((F.col("lang") == "en") & (F.col("doc_id") % 3 == 0)).alias("comment_only")))
 
 
-@query("WITH v AS (SELECT CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 0.0 ELSE greatest(0.0, 1 - length(regexp_replace(text, '[aeiou]', '', 'g')) / length(text)) END AS v FROM documents) SELECT round(avg(v), 6) AS volatility, count(*) AS files, count(*) FILTER (v >= 0.3) AS volatile FROM v")
+@query(r"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE '/* ' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g') || ' */ let a = ' || doc_id || '; // end' || chr(10) || chr(10) || chr(9) || 'b = "' || repeat('/* kept */', doc_id % 5) || '";' END AS raw, 'let a = ' || doc_id || '; b = "' || repeat('/* kept */', doc_id % 5) || '";' AS logic FROM documents),
+v AS (SELECT CASE WHEN raw = ' ' THEN 0.0 ELSE greatest(0.0, 1 - length(logic) / length(raw)) END AS v FROM f) SELECT round(avg(v), 6) AS volatility, count(*) AS files, count(*) FILTER (v >= 0.3) AS volatile FROM v""")
 def d6_volatility(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("raw"), F.regexp_replace("text", "[aeiou]", "").alias("logic"))
-    return rounded(report.volatility(docs), "volatility", places=6)
+    """documents as the comments of source files, whose comments and white space are stripped."""
+    k = F.col("doc_id").cast("string")
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", " ")
+    source = F.concat(F.lit("/* "), words, F.lit(" */ let a = "), k, F.lit('; // end\n\n\tb = "'), F.repeat(F.lit("/* kept */"), (F.col("doc_id") % 5).cast("int")), F.lit('";'))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 9 == 0, " ").otherwise(source).alias("content"), F.lit("typescript").alias("language"))
+    return rounded(report.scan_volatility(docs), "volatility", places=6)
 
 
 @query("SELECT CASE WHEN event_type = 'view' THEN 'warning' ELSE event_type END AS severity, CASE WHEN user_id % 4 = 0 THEN 'unknown' ELSE CAST(user_id % 4 AS VARCHAR) END AS kind, count(*) AS n FROM events GROUP BY 1, 2")
@@ -175,9 +180,15 @@ def d27_timing_means(spark, d):
     return rounded(rounded(report.timing_means(t), "mean_ms", "overhead"), "mb_s", places=6)
 
 
-@query("SELECT count(*) AS functions, count(*) FILTER (p_size > 32) AS over_lines, count(*) FILTER (p_size % 7 > 3) AS over_depth, count(*) FILTER (p_size % 9 > 4) AS over_parameters FROM part")
+@query("""WITH f AS (SELECT p_size + 2 * (p_size % 7 + 1) AS l, p_size % 7 + 1 AS d, p_size % 9 AS p FROM part UNION ALL SELECT 1, 1, 5 FROM part WHERE p_size % 2 = 0)
+SELECT count(*) AS functions, count(*) FILTER (l > 32) AS over_lines, count(*) FILTER (d > 3) AS over_depth, count(*) FILTER (p > 4) AS over_parameters, count(*) FILTER (l > 32 OR d > 3 OR p > 4) AS over_any FROM f""")
 def d28_oversized(spark, d):
-    return report.oversized(table(spark, d, "part").select(F.col("p_size").alias("lines"), (F.col("p_size") % 7).alias("depth"), (F.col("p_size") % 9).alias("parameters")))
+    """parts as source files of a function each, and of a method that never ends in every other."""
+    n, deep = F.col("p_size").cast("int"), (F.col("p_size") % 7).cast("int")
+    names = F.array_join(F.when(n % 9 > 0, F.transform(F.sequence(F.lit(1), F.greatest(n % 9, F.lit(1))), lambda i: F.concat(F.lit("p"), i.cast("string")))).otherwise(F.array()), ", ")
+    body = F.concat(F.repeat(F.lit("  if (x) {\n"), deep), F.repeat(F.lit("    x = call(1); // }\n".replace("// }", "")), n), F.repeat(F.lit("  }\n"), deep), F.lit("}\n"))
+    source = F.concat(F.lit("export async function f"), F.col("p_partkey").cast("string"), F.lit("("), names, F.lit(") {\n"), body, F.when(n % 2 == 0, "  static m(a, b, c, d, e): void {\n").otherwise(""))
+    return report.function_report(table(spark, d, "part").select(F.col("p_partkey").alias("path"), source.alias("content")))
 
 
 # Claims

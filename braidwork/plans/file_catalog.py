@@ -199,15 +199,49 @@ def a5_snapshot(spark, d):
     return hashing.snapshot(files.scan(spark, _tree(spark, d)))
 
 
-@query(f"WITH {_TREE} SELECT path AS source, './' || nxt AS target, 'static' AS kind FROM f WHERE nxt IS NOT NULL")
+# By language: the suffix, and a file's text with @ for its number and ~ for what is in its comments.
+_SOURCES = {
+    "ts": '/* import "no" ~ */\nimport {a} from "./m@";\nconst s = \'import("no")\', t = `require("no") ${require("./r@")}`;\nexport * from "./e@"; // require("no")\nconst l = import("./d@"), p = /require("no")/;\n',
+    "rs": '// mod no;\n/* /* ~ */ mod no; */ mod m@;\nuse crate::u@::{a, b};\nuse std::io;\nlet s = "use crate::no;";\n',
+    "py": '"""\nimport no\n~\n"""\nimport p@.q as r\nfrom ..a@.b import c  # import no\nx = "from no import y"\n',
+    "c": '/*\n#include "no"\n~ */\n#include <s@.h>\n  # include "d@/h.h"\nchar *s = "\\n#include <no>";\n',
+    "cpp": '// #include <no>\n#include "v@.hpp"\nauto r = R"(\n#include <no>\n)"; // ~\n',
+    "go": 'package p // ~\nimport (\n\ta "x/@"\n\t// "no"\n\t"y/@"\n)\nvar s = "import \\"no\\""\n',
+}
+
+
+def _sources(spark, d):
+    """documents as source files in six languages, their words in comments and strings beside imports that are none."""
+    k = F.col("doc_id")
+    words = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", " ")
+    content = lambda t: F.replace(F.replace(F.lit(t), F.lit("@"), k.cast("string")), F.lit("~"), words)
+    pick = lambda of: F.element_at(F.array(*map(of, _SOURCES)), (k % len(_SOURCES) + 1).cast("int"))
+    text = F.coalesce(*[F.when(k % len(_SOURCES) == i, content(t)) for i, t in enumerate(_SOURCES.values())])
+    return table(spark, d, "documents").select(F.concat(F.lit("f"), k.cast("string"), F.lit("."), pick(F.lit)).alias("path"), text.cast("binary").alias("content"))
+
+
+@query("""WITH w(m, suffix, target, kind) AS (VALUES (0, 'ts', './m@', 'static'), (0, 'ts', './r@', 'static'), (0, 'ts', './e@', 'static'), (0, 'ts', './d@', 'dynamic'), (1, 'rs', './m@', 'static'), (1, 'rs', 'crate::u@::{a, b}', 'static'),
+  (2, 'py', 'p@/q', 'static'), (2, 'py', './a@/b', 'static'), (3, 'c', 's@.h', 'static'), (3, 'c', 'd@/h.h', 'static'), (4, 'cpp', 'v@.hpp', 'static'), (5, 'go', 'x/@', 'static'), (5, 'go', 'y/@', 'static'))
+SELECT 'f' || doc_id || '.' || suffix AS source, replace(target, '@', CAST(doc_id AS VARCHAR)) AS target, kind FROM documents JOIN w ON doc_id % 6 = m""")
 def a6_imports(spark, d):
-    return files.imports(files.scan(spark, _tree(spark, d)))
+    """Imports by syntax: decoys in comments, strings, templates and patterns don't count."""
+    return files.imports(_sources(spark, d))
 
 
-@query(f"WITH {_TREE} SELECT 'edge' AS part, path AS src, r || '/' || nxt || '.ts' AS dst FROM f WHERE nxt IS NOT NULL UNION ALL SELECT 'node', path, NULL FROM f UNION ALL SELECT 'orphan', path, NULL FROM f x WHERE nxt IS NULL AND NOT EXISTS (SELECT 1 FROM f y WHERE y.r = x.r AND y.nxt = x.w)")
+_LINKED = """n AS (SELECT max(doc_id) AS n FROM documents), f AS (SELECT doc_id AS k, 'd' || doc_id % 50 || '/f' || doc_id || '.ts' AS path FROM documents),
+e AS (SELECT a.path AS src, b.path AS dst FROM f a JOIN f b ON a.k % 7 > 0 AND b.k = a.k + 50 OR a.k % 21 = 3 AND b.k = a.k + 1)"""
+
+
+@query(f"WITH {_LINKED} SELECT 'edge' AS part, src, dst FROM e UNION ALL SELECT 'node', path, NULL FROM f UNION ALL SELECT 'orphan', path, NULL FROM f WHERE path NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
 def g9_import_graph(spark, d):
-    scanned = files.scan(spark, _tree(spark, d))
-    nodes, edges, lone = graph.import_graph(scanned.select(F.col("path").alias("id")), files.imports(scanned), (".ts", ".tsx"))
+    """documents as source files in fifty folders that import a file beside them or one of the next folder; some name none that is there."""
+    k = F.col("doc_id")
+    s = lambda c: c.cast("string")
+    here = F.when(k % 7 > 0, F.concat(F.lit('import a from "./f'), s(k + 50), F.lit('";\n'))).otherwise("")
+    near = F.when(k % 21 == 3, F.concat(F.lit('const b = import("../d'), s((k + 1) % 50), F.lit("/f"), s(k + 1), F.lit('.ts"); // import "./f0"\n'))).otherwise("")
+    path = F.concat(F.lit("d"), s(k % 50), F.lit("/f"), s(k), F.lit(".ts"))
+    held = table(spark, d, "documents").select(path.alias("path"), F.concat(here, near).cast("binary").alias("content"))
+    nodes, edges, lone = graph.import_graph(held.select(F.col("path").alias("id")), files.imports(held), (".ts", ".tsx"))
     part = lambda df, name: df.select(F.lit(name).alias("part"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"))
     return edges.select(F.lit("edge").alias("part"), "src", "dst").unionByName(part(nodes, "node")).unionByName(part(lone, "orphan"))
 

@@ -258,6 +258,12 @@ def _flow(s: str, at: int) -> tuple[object, int]:
     return ({str(k): v for k, v in out} if close == "}" else [{str(x[0]): x[1]} if isinstance(x, tuple) else x for x in out]), at
 
 
+def _depth(s: str) -> int:
+    """Brackets and braces that are open at the end of a text, quoted ones left aside."""
+    bare = re.sub(r"""\"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'""", "", s)
+    return sum(bare.count(c) for c in "[{") - sum(bare.count(c) for c in "]}")
+
+
 def _scalar(s: str) -> object:
     """A value that stands on its line: quoted, of flow style, or plain up to a comment."""
     s = s.strip()
@@ -309,7 +315,7 @@ def simple_yaml(text: str) -> object:
         if m := _BLOCK.match(rest):
             return block_scalar(i + 1, above, m)
         if rest[:1] in ("[", "{"):
-            while rest.count(rest[0]) > rest.count({"[": "]", "{": "}"}[rest[0]]) and i + 1 < len(lines):  # over several lines
+            while _depth(rest) > 0 and i + 1 < len(lines):  # over several lines
                 i += 1
                 rest += " " + re.sub(r"(?:^|\s+)#.*$", "", body(i))
         if _scalar(rest) is not None or re.sub(r"(?:^|\s+)#.*$", "", rest).strip():

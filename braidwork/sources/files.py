@@ -28,33 +28,14 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = tuple(sorte
     return out if most is None else out.orderBy("path").limit(most)
 
 
-#: Import patterns by language: the first group is the target.
-IMPORTS = {
-    "typescript": r"""(?:import|export)\s[^'"\n;]*?from\s*['"]([^'"]+)['"]|import\s*['"]([^'"]+)['"]|(?:require|import)\s*\(\s*['"]([^'"]+)['"]""",
-    "python": r"(?m)^\s*(?:from\s+([.\w]+)\s+import|import\s+([.\w]+))",
-    "rust": r"(?m)^\s*(?:pub\s+)?(?:use\s+([\w:]+)|mod\s+(\w+)\s*;)",
-    "c": r"(?m)^\s*#\s*include\s*[\"<]([^\">]+)[\">]",
-    "go": r'(?m)^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"',
-}
-FAMILY = {"javascript": "typescript", "cpp": "c"}
-
-
 def imports(files: DataFrame) -> DataFrame:
-    """files (path, content). (source, target, kind static|dynamic), by pattern, in the languages that have one."""
+    """files (path, content). (source, target, kind static|dynamic), by the syntax of the languages that functions.imports reads; each once a file."""
+    from braidwork.functions.imports import imports_of
     from braidwork.functions.text import language
 
-    text, lang = F.col("content").cast("string"), language(F.col("path"))
-    family = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in FAMILY.items() for x in (F.lit(k), F.lit(v))]), lang), lang)
-    found = None
-    for name, pattern in IMPORTS.items():
-        groups = pattern.count("(") - pattern.count("(?") - pattern.count(r"\(")
-        one = files.where(family == name)
-        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        whole = one.select(F.col("path").alias("source"), F.explode(matches).alias("m"))
-        target = F.coalesce(*[F.nullif(F.regexp_extract("m", pattern, g), F.lit("")) for g in range(1, groups + 1)])
-        part = whole.select("source", target.alias("target"), F.when(F.col("m").rlike(r"(?:require|import)\s*\("), "dynamic").otherwise("static").alias("kind"))
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    read = files.select("path", F.col("content").cast("string").alias("_text"), language(F.col("path")).alias("_language"))
+    found = read.lateralJoin(imports_of(F.col("_text").outer(), F.col("_language").outer()))
+    return found.select(F.col("path").alias("source"), "target", F.when(F.col("dynamic"), "dynamic").otherwise("static").alias("kind")).distinct()
 
 
 ENTRIES = "path string, name string, type string, size bigint, offset bigint, error string"

@@ -75,7 +75,81 @@ def test_scan_and_imports(spark, tmp_path):
         (tmp_path / name).write_text(text)
     found = files.scan(spark, str(tmp_path))
     assert sorted(r.path for r in found.collect()) == ["src/a.ts", "src/b.py"]
-    assert sorted(tuple(r) for r in files.imports(found).collect()) == [("src/a.ts", "./b", "static"), ("src/a.ts", "z", "dynamic"), ("src/b.py", "m.n", "static"), ("src/b.py", "os", "static")]
+    assert sorted(tuple(r) for r in files.imports(found).collect()) == [("src/a.ts", "./b", "static"), ("src/a.ts", "z", "static"), ("src/b.py", "m/n", "static"), ("src/b.py", "os", "static")]
+
+
+SCRIPT = """// import "no"
+/* require("no") */ import a, {b as c} from "./a"; import "side"; import * as d from 'd'
+export { x } from "./x"; export * from './y'; export const z = "import('no')"; const q = `import("no") ${import("yes")} ${`${require("yes2")}`} from "no"`;
+const r = /import "no"/; const s = a / b / require("yes3"); foo.require("no"); import(x); import type {T} from "t"
+const lazy = import("../h"); let import_ = "from"; x = {import: 1}; export default from_"""
+RUST = """mod a; pub mod b { }
+// mod no;
+/* /* mod no2; */ mod no3; */ use crate::x::{y, z};
+use super::q;use std::io; let s = "mod no4;"; let r = r#"use crate::no; " mod n; "#; let c = '"'; fn f<'a>(x: &'a str) {} pub use crate::w;"""
+PYTHON = """import os
+import a.b as c, d
+from .x import y
+from ..p.q import z
+from . import w
+\'\'\'import no
+from no import no\'\'\'
+# import no
+x = "import no"; import yes
+if a: import yes2
+from __future__ import annotations
+y = (
+ import_)
+"""
+CPP = """#include <a.h>
+  # include "b/c.h"
+// #include "no"
+/* x
+#include "no"
+*/ #include "same"
+char*s="\\n#include <no>";
+R"(
+#include "no"
+)"
+#include MACRO
+int x; #include "no"
+"""
+GO = """package x
+import "fmt"
+import ( a "b/c"
+ . "d" // "no"
+ `e` )
+import z "q"
+func f() { x := "import"; y("no") }
+"""
+IMPORTED = [
+    ("typescript", SCRIPT, "./a side d ./x ./y yes! yes2 yes3 t ../h!"), ("rust", RUST, "./a ./b crate::x::{y,z} super::q crate::w"), ("python", PYTHON, "os a/b ./x ./p/q ./ yes yes2"), ("cpp", CPP, "a.h b/c.h same MACRO"), ("go", GO, "fmt b/c d e q"),
+    ("ruby", 'require "x"', ""), ("c", None, ""), ("javascript", "", ""), ("javascript", "`${", ""), ("rust", "/* open", ""), ("python", '"""open', ""), ("go", "import", ""),
+]
+
+
+def test_imports_by_syntax(spark):
+    """Dynamic ones with a mark behind them."""
+    from braidwork.functions.imports import READERS, imports_of
+
+    df = spark.createDataFrame([(i, g, s) for i, (g, s, _) in enumerate(IMPORTED)], "i int, g string, s string")
+    got = {}
+    for r in df.lateralJoin(imports_of(F.col("s").outer(), F.col("g").outer())).collect():
+        got.setdefault(r.i, []).append(r.target.replace(" ", "") + "!" * r.dynamic)
+    assert got == {i: want.split() for i, (_, _, want) in enumerate(IMPORTED) if want}
+    long = "import 'a';\n" * 20_000 + "`" + "x" * 100_000
+    assert len(list(READERS["typescript"](long))) == 20_000
+
+
+def test_function_sizes_and_volatility_of_sources(spark):
+    from braidwork.functions.code import function_sizes
+    from braidwork.operators import report
+
+    source = "export async function a(x, y) {\n  if (x) {\n    for (;;) { z() }\n  }\n}\nclass K {\n  static run(a, b, c): void {\n    if (q) { w {\n    }}\n  }\n  get() {}\n}\nfunction open(\n"
+    assert function_sizes(source) == [("a", 5, 2, 2), ("run", 4, 3, 3), ("get", 1, 0, 0), ("open", 1, 0, 0)]
+    assert tuple(report.function_report(spark.createDataFrame([("a", source)], "path string, content string")).first()) == (4, 0, 0, 0, 0)
+    files_ = spark.createDataFrame([("a", "x = 1 // 5678", "typescript"), ("b", "  ", "typescript"), ("c", "no comment", None)], "path string, content string, language string")
+    assert tuple(report.scan_volatility(files_).first()) == (pytest.approx((1 - 5 / 13) / 3), 3, 1)
 
 
 EVENTS = [
@@ -158,7 +232,7 @@ def test_yaml(text, want):
 def test_written_steps_with_odd_names_are_read_again(spark, tmp_path):
     rows = [("a, b", ["sh", "-c", "x # y\n  && 'z'"], ["c: d", "e#f", "it's", "[g"]), ("plain", ["run", "it"], [])]
     sinks.step_pipeline(spark.createDataFrame(rows, "id string, cmd array<string>, deps array<string>")).coalesce(1).write.text(f"{tmp_path}/steps")
-    assert sorted((r.id, r.cmd, r.deps) for r in configs.read_step_pipeline(spark, f"{tmp_path}/steps").collect()) == rows
+    assert [tuple(r) for r in rows] == sorted((r.id, r.cmd, r.deps) for r in configs.read_step_pipeline(spark, f"{tmp_path}/steps").collect())
 
 
 def test_broadcast_drops_writers_that_fail(spark, tmp_path):
