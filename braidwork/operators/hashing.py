@@ -50,6 +50,25 @@ def merkle(files: DataFrame) -> DataFrame:
     return files.limit(0).select("path", "hash") if out is None else out
 
 
+def merkle_updated(tree: DataFrame, changes: DataFrame) -> DataFrame:
+    """tree (path, hash) of files and directories ('.' the root), changes (path, hash) of files, new and changed ones; a null hash takes a file away. The tree as it is
+    then: hashes of the changed files' ancestors are made anew, from their children; the rest of the tree is only passed on. A directory that has no child left goes.
+    """
+    depth = F.when(F.col("path") == ".", 0).otherwise(F.size(F.split("path", "/")))
+    above = dirname(F.col("path"))
+    waiting = cut_lineage(changes.select("path", "hash").distinct().withColumn("d", depth), "changes")
+    deepest = waiting.agg(F.max("d")).first()[0] or 0
+    done = waiting
+    for level in range(deepest, 0, -1):
+        now = waiting.where(F.col("d") == level)
+        parents = now.select(above.alias("parent")).distinct()
+        beside = tree.where(depth == level).withColumn("parent", above).join(parents, "parent", "left_semi").join(now.select("path"), "path", "left_anti").select("path", "hash")
+        children = beside.unionByName(now.where(F.col("hash").isNotNull()).select("path", "hash")).select(above.alias("path"), F.regexp_extract("path", "[^/]+$", 0).alias("name"), "hash")
+        made = cut_lineage(parents.withColumnRenamed("parent", "path").join(merkle_level(children, ["path"]), "path", "left").withColumn("d", F.lit(level - 1)), "merkle")
+        waiting, done = waiting.where(F.col("d") < level).unionByName(made), done.unionByName(made)
+    return tree.select("path", "hash").join(done.select("path"), "path", "left_anti").unionByName(done.where(F.col("hash").isNotNull()).select("path", "hash"))
+
+
 def logic_hash(source: Column, path: Column) -> Column:
     """sha256 of the source without comments and with white space collapsed; of the source itself in unknown languages."""
     return F.when(language(path).isNull(), F.sha2(source, 256)).otherwise(F.sha2(stripped(source, language(path)), 256))

@@ -12,7 +12,9 @@ from braidwork.plans import file_catalog  # registers its queries
 from braidwork.plans import models as M
 from braidwork.plans.models import table
 from braidwork.plans.registry import QUERIES, SQL, query  # noqa: F401
-from braidwork.streaming import folds
+from braidwork.plans.session import cut_lineage
+from braidwork.sources import bucketed
+from braidwork.streaming import folds, ordered
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
@@ -128,6 +130,17 @@ def s2_upsert(spark, d):
     return ledger.upsert(old, e.where("event_id % 2 = 1 AND user_id % 3 = 0"), "user_id", "event_id")
 
 
+@query(SQL["s2_upsert"])
+def s2_copy_on_write(spark, d):
+    """The same in a ledger of buckets, of which an upsert writes those it touches, in two steps."""
+    e, base = table(spark, d, "events").select("user_id", "event_id", "value"), file_catalog.folder(spark, "ledger")
+    bucketed.create(e.where("event_id % 2 = 0"), base, "user_id", "event_id", 16)
+    new = e.where("event_id % 2 = 1 AND user_id % 3 = 0")
+    bucketed.upsert(new.where("user_id % 2 = 0"), base)
+    bucketed.upsert(new.where("user_id % 2 = 1"), base)
+    return bucketed.read(spark, base)
+
+
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 10 = 0 THEN 'condition-skip' WHEN p_partkey % 1000 IN (SELECT s_suppkey % 1000 FROM supplier WHERE s_suppkey % 3 = 0) THEN 'l2-hit' WHEN p_partkey % 1000 IN (SELECT c_custkey % 1000 FROM customer WHERE c_custkey % 5 = 0) AND (p_size % 2 = 1 OR p_partkey % 1000 IN (SELECT c_custkey % 1000 FROM customer WHERE c_custkey % 10 = 0)) THEN 'l1-hit' ELSE 'execute' END AS source FROM part")
 def c7_waterfall(spark, d):
     tasks = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 1000).alias("key"), (F.col("p_size") % 10 != 0).alias("gate"), (F.col("p_size") % 2 == 0).alias("has_outputs"))
@@ -470,6 +483,17 @@ def d14_merkle_tree(spark, d):
     return hashing.merkle(f)
 
 
+@query("WITH d AS (SELECT lang, source, doc_id, sha256(text || CASE WHEN doc_id % 11 = 5 THEN 'x' ELSE '' END) AS h FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 3), l AS (SELECT lang, source, sha256('tree' || chr(0) || string_agg(lpad(CAST(doc_id AS VARCHAR), 9, '0') || chr(0) || h || chr(0), '' ORDER BY doc_id)) AS hash FROM d GROUP BY 1, 2), m AS (SELECT lang, sha256('tree' || chr(0) || string_agg(source || chr(0) || hash || chr(0), '' ORDER BY source)) AS hash FROM l GROUP BY 1) SELECT lang || '/' || source AS path, hash FROM l UNION ALL SELECT lang, hash FROM m UNION ALL SELECT '.', sha256('tree' || chr(0) || string_agg(lang || chr(0) || hash || chr(0), '' ORDER BY lang)) FROM m UNION ALL SELECT lang || '/' || source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0'), h FROM d")
+def d14_merkle_maintained(spark, d):
+    """A stored tree of documents, of which some change, some go (3 mod 11) and some come (7 mod 11)."""
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents").where("text IS NOT NULL").withColumn("path", F.concat_ws("/", "lang", "source", F.lpad(k.cast("string"), 9, "0")))
+    before = docs.where(k % 11 != 7).select("path", F.sha2("text", 256).alias("hash"))
+    tree = cut_lineage(before.unionByName(hashing.merkle(before)), "tree")
+    changes = docs.where((k % 11).isin(3, 5, 7)).select("path", F.when(k % 11 == 5, F.sha2(F.concat("text", F.lit("x")), 256)).when(k % 11 == 7, F.sha2("text", 256)).alias("hash"))
+    return hashing.merkle_updated(tree, changes)
+
+
 @query("SELECT l_returnflag, sha256(string_agg(m, chr(0) ORDER BY m)) AS hash FROM (SELECT DISTINCT l_returnflag, CAST(l_suppkey AS VARCHAR) AS m FROM lineitem) GROUP BY 1")
 def d16_set_hash(spark, d):
     return hashing.set_hash(table(spark, d, "lineitem").select("l_returnflag", F.col("l_suppkey").cast("string").alias("m")), ["l_returnflag"], "m")
@@ -678,6 +702,41 @@ def j1_trace_fold(spark, d):
     return trace.node_claims(trace.fold(_trace(spark, d), "/w"))
 
 
+def _in_files(events: DataFrame, ts: str, label: str, key: str) -> str:
+    """Events in four files, dealt by a number of theirs so that neighbours are in different ones, and a last file with a row far ahead, which moves the watermark past all."""
+    base = file_catalog.folder(events.sparkSession, label)
+    for i in range(4):
+        events.where(F.col(key) % 4 == (i * 3 + 1) % 4).coalesce(1).write.mode("append").parquet(base)
+    last = events.agg(F.max(ts).alias("m")).select((F.col("m") + F.expr("INTERVAL 20000 DAYS")).alias(ts))
+    last.select(*[(F.col(ts) if c == ts else F.lit(-1).cast(t) if c in ("pid", "user_id") else F.lit(None).cast(t)).alias(c) for c, t in events.dtypes]).coalesce(1).write.mode("append").parquet(base)
+    return base
+
+
+@query(f"{_FOLDED} SELECT pid, path, mode FROM q")
+def j1_ordered_stream(spark, d):
+    """The trace from files that come out of order, a batch each, folded in the order of event time."""
+    ordered.use_rocksdb(spark)
+    events = _trace(spark, d).withColumn("ts", F.timestamp_seconds("seq"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(_in_files(events, "ts", "trace", "seq")).withWatermark("ts", "10000 days")
+    rows = file_catalog.streamed(ordered.ordered_fold(stream, "/w"), "ordered")
+    return trace.node_claims(ledger.latest(rows, ["pid"], [F.desc("_batch")]))
+
+
+_GAP, _BUSY = 6 * 3_600_000, 2 * 86_400_000
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS k, epoch_us(ts) // 1000 AS ms, lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS last FROM events), s AS (SELECT k, ms, sum(CASE WHEN last IS NULL OR ms - last >= {_GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ms) AS burst FROM e),
+t AS (SELECT k, max(ms) + {_GAP} AS ms, count(*) AS n, row_number() OVER (PARTITION BY k ORDER BY max(ms)) AS i FROM s GROUP BY k, burst),
+r AS (SELECT k, ms, n, i, true AS started, ms + {_BUSY} AS free FROM t WHERE i = 1 UNION ALL SELECT t.k, t.ms, t.n, t.i, t.ms >= r.free, CASE WHEN t.ms >= r.free THEN t.ms + {_BUSY} ELSE r.free END FROM r JOIN t ON t.k = r.k AND t.i = r.i + 1)
+SELECT k AS user_id, ms, n, started FROM r""")
+def j2_busy_stream(spark, d):
+    """Bursts of users' events that trigger runs, from files that come out of order; triggers while one is going on are dropped."""
+    ordered.use_rocksdb(spark)
+    events = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(_in_files(events, "ts", "changes", "event_id")).withWatermark("ts", "10000 days")
+    return file_catalog.streamed(ordered.debounced_runs(stream, "user_id", "ts", _GAP, _BUSY), "runs").select("user_id", "ms", "n", "started")
+
+
 @query(f"{_FOLDED} SELECT pid, path, mode FROM q")
 def j1_stream_fold(spark, d):
     """The same trace as a stream of files, folded as state by process; the last row of each process counts."""

@@ -15,7 +15,7 @@ from braidwork.operators import expand, graph, hashing, report, trace
 from braidwork.plans.models import table
 from braidwork.plans.registry import query
 from braidwork.plans.session import shared_dir
-from braidwork.sources import configs, files, sinks
+from braidwork.sources import configs, files, objects, sinks
 from braidwork.streaming import folds
 
 
@@ -568,22 +568,27 @@ def t_binary(spark, d):
 # Stores, logs and reports
 
 
-@query("SELECT 'r' || n_regionkey || CASE WHEN n_nationkey % 5 = 0 THEN '..' WHEN n_nationkey % 2 = 0 THEN 'x' ELSE '' END AS hash, n_nationkey % 2 = 1 AND n_nationkey % 5 <> 0 AS found, CASE WHEN n_nationkey % 2 = 1 AND n_nationkey % 5 <> 0 THEN r_name END AS content FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""WITH w AS (SELECT c_custkey AS k, 's' || c_custkey % (SELECT count(*) FROM supplier) || CASE WHEN c_custkey % 5 = 0 THEN '..' WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END AS hash FROM customer)
+SELECT k, hash, k % 5 > 0 AND k % 2 = 1 AS found, CASE WHEN k % 5 > 0 AND k % 2 = 1 THEN s_name END AS content FROM w JOIN supplier ON s_suppkey = k % (SELECT count(*) FROM supplier) + (SELECT min(s_suppkey) FROM supplier)""")
 def a9_objects(spark, d):
-    """Regions as objects of a store; nations ask for theirs, under wrong names and unsafe ones too."""
-    base = _put(spark, "store", {f"r{r.r_regionkey}": r.r_name for r in table(spark, d, "region").collect()})  # five
-    k = F.col("n_nationkey")
-    wanted = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.when(k % 5 == 0, "..").when(k % 2 == 0, "x").otherwise("")).alias("hash"))
-    return files.pulled(wanted, base).select("hash", "found", F.col("content").cast("string").alias("content"))
+    """suppliers as objects of a store; customers ask for theirs, under wrong names and unsafe ones too."""
+    base, s = folder(spark, "store"), table(spark, d, "supplier")
+    least, n = s.agg(F.min("s_suppkey"), F.count(F.lit(1))).first()
+    objects.push(s.select(F.concat(F.lit("s"), (F.col("s_suppkey") - least).cast("string")).alias("hash"), F.col("s_name").cast("binary").alias("content")), base)
+    k = F.col("c_custkey")
+    wanted = table(spark, d, "customer").select(k.alias("k"), F.concat(F.lit("s"), (k % n).cast("string"), F.when(k % 5 == 0, "..").when(k % 2 == 0, "x").otherwise("")).alias("hash"))
+    found = objects.pulled(wanted, base).distinct()
+    return wanted.join(found, "hash").select("k", "hash", "found", F.col("content").cast("string").alias("content"))
 
 
 @query("SELECT s_suppkey AS k, s_name AS payload, s_suppkey % 3 <> 0 AS trusted FROM supplier")
 def s6_pushed_and_promoted(spark, d):
     """Objects framed and signed, a third of them changed in the store, and read again."""
     k = F.col("s_suppkey")
-    objects = table(spark, d, "supplier").select(k.cast("string").alias("hash"), F.concat(F.lit('{"task": "t'), k.cast("string"), F.lit('", "at": "7"}')).alias("metadata"), F.when(k % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")).cast("binary").alias("payload"))
-    stored = sinks.pushed(objects, "a key")
-    changed = stored.withColumn("content", F.when(F.col("hash").cast("long") % 3 == 0, F.expr("substring(content, 1, octet_length(content) - 1)")).otherwise(F.col("content")))
+    rows = table(spark, d, "supplier").select(k.cast("string").alias("hash"), F.concat(F.lit('{"task": "t'), k.cast("string"), F.lit('", "at": "7"}')).alias("metadata"), F.when(k % 3 == 0, F.concat("s_name", F.lit("!"))).otherwise(F.col("s_name")).cast("binary").alias("payload"))
+    base = folder(spark, "pushed")
+    objects.push(sinks.pushed(rows, "a key"), base)
+    changed = objects.stored(spark, base).withColumn("content", F.when(F.col("hash").cast("long") % 3 == 0, F.expr("substring(content, 1, octet_length(content) - 1)")).otherwise(F.col("content")))
     return sinks.promoted(changed, "a key").select(F.col("hash").cast("long").alias("k"), F.col("payload").cast("string").alias("payload"), "trusted")
 
 
@@ -641,6 +646,18 @@ def streamed(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.withColumn("_batch", F.lit(0)).schema).parquet(f"{base}/rows/*")
 
 
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events, round(sum(value), 2) AS value FROM events GROUP BY event_type")
+def s10_delivered(spark, d):
+    """The events as files that a stream delivers to a sink, a batch a file, and what has been delivered."""
+    source, sink = folder(spark, "events"), folder(spark, "sink")
+    events = table(spark, d, "events").select("event_id", "event_type", "value")
+    events.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    objects.deliver(stream, sink, f"{sink}-state").awaitTermination()
+    found = spark.read.schema(events.schema).json(f"{sink}/events")
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"), F.round(F.sum("value"), 2).alias("value"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY event_type")
 def j4_a19_watch(spark, d):
     """The events as files that a stream watches, two folders of them."""

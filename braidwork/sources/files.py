@@ -103,13 +103,3 @@ def read_system_trace(lines: DataFrame) -> DataFrame:
     told = own.select("seq", "type", F.when(is_fork, child).otherwise(F.col("pid")).alias("pid"), F.when(is_fork, F.col("pid")).alias("ppid"), F.when(F.col("type") == "exec", args).alias("cmd"), path.alias("path"), mode.alias("mode"), (~is_fork & (F.col("type") == "exec") & ~F.col("v").rlike(listed)).alias("odd"))
     told = told.where(F.col("pid").isNotNull() & ~F.col("odd") & (F.col("path").isNull() | (F.col("path") != ""))).withColumn("ppid", F.last("ppid", ignorenulls=True).over(Window.partitionBy("pid").orderBy("seq")))
     return told.where(F.col("type") != "fork").select("seq", "type", "pid", F.when(F.col("type") == "exec", F.col("ppid")).alias("ppid"), "cmd", "path", "mode", F.lit(None).cast("string").alias("cwd"))
-
-
-def pulled(wanted: DataFrame, root: str) -> DataFrame:
-    """wanted (hash). (hash, found, content) of the objects of these names in a store's folder; a missing one, or a name that may
-    not stand in a path, is not found. The store is any that Spark's readers reach; tries and waits are its connector's settings."""
-    from braidwork.functions.text import basename, is_hash_name
-
-    spark = wanted.sparkSession
-    held = spark.read.format("binaryFile").load(root).select(basename(F.col("path")).alias("hash"), "content")
-    return wanted.join(held.where(is_hash_name(F.col("hash"))), "hash", "left").select("hash", F.col("content").isNotNull().alias("found"), "content")

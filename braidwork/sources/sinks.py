@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,31 +53,39 @@ def dashboard_json(waves: DataFrame) -> DataFrame:
     return waves.agg(F.replace(F.replace(text, F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e")).alias("json"))
 
 
-def export_spans(spans: DataFrame, url: str, timeout: float = 5.0) -> None:
-    """POST spans (name, start_ms, end_ms, attributes) as JSON, a request a partition; failures don't fail the job."""
+def _chunks(rows: Iterable, most: int) -> Iterator[list[dict]]:
+    rows = iter(rows)
+    while some := [r.asDict(recursive=True) for r in islice(rows, most)]:
+        yield some
+
+
+def export_spans(spans: DataFrame, url: str, timeout: float = 5.0, most: int = 1000) -> None:
+    """POST spans (name, start_ms, end_ms, attributes) as JSON, at most so many a request; failures don't fail the job."""
 
     def send(rows) -> None:
-        body = [r.asDict(recursive=True) for r in rows]
-        if body:
+        for some in _chunks(rows, most):
             try:
-                urllib.request.urlopen(urllib.request.Request(url, json.dumps({"spans": body}).encode(), {"Content-Type": "application/json"}), timeout=timeout)
+                urllib.request.urlopen(urllib.request.Request(url, json.dumps({"spans": some}).encode(), {"Content-Type": "application/json"}), timeout=timeout)
             except OSError:
                 pass
 
     spans.foreachPartition(send)
 
 
-def broadcast_events(stream: DataFrame, writers: list[Callable[[list[dict]], None]], checkpoint: str):
-    """Send each micro-batch to every writer; one that fails is dropped, the others go on. Batches are small events by design."""
+def broadcast_events(stream: DataFrame, writers: list[Callable[[list[dict]], None]], checkpoint: str, most: int = 1000):
+    """Send each micro-batch to every writer on the driver, at most so many events a call; a writer that fails is dropped, the others go on.
+
+    For few listeners of small streams, by design; what must scale or arrive once goes through objects.deliver.
+    """
     live = list(writers)
 
     def batch(df: DataFrame, _: int) -> None:
-        rows = [r.asDict(recursive=True) for r in df.toLocalIterator()]
-        for w in list(live):
-            try:
-                w(rows)
-            except Exception:  # noqa: BLE001  any failure of a listener is its own
-                live.remove(w)
+        for some in _chunks(df.toLocalIterator(), most):
+            for w in list(live):
+                try:
+                    w(some)
+                except Exception:  # noqa: BLE001  any failure of a listener is its own
+                    live.remove(w)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -270,3 +270,115 @@ def test_spans_are_posted_and_failures_do_not_matter(spark):
     server.server_close()
     assert sorted(x["name"] for x in got) == ["a", "b"] and {x["name"]: x["attributes"] for x in got}["a"] == {"k": "v"}
     sinks.export_spans(spans, f"http://127.0.0.1:{server.server_port}/gone", timeout=0.5)  # nobody listens any more
+
+
+def test_streams_in_the_order_of_event_time(spark, tmp_path):
+    """Whatever the order in which files come, and however they cut bursts and runs, the stream gives what the batch gives."""
+    import random
+
+    from braidwork.streaming import ordered
+
+    ordered.use_rocksdb(spark)
+    rng = random.Random(3)
+    changes = spark.createDataFrame([(rng.choice("abc"), rng.randrange(20_000)) for _ in range(80)] + [(None, 5)], "k string, ms bigint").select("k", F.timestamp_millis("ms").alias("ts"))
+    far = spark.createDataFrame([("z", 10**9)], "k string, ms bigint").select("k", F.timestamp_millis("ms").alias("ts"))
+    parts = changes.randomSplit([1.0, 1.0, 1.0], seed=5)
+    for part in (*parts, far):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 day")
+    q = ordered.debounced_runs(stream, "k", "ts").writeStream.format("memory").queryName("runs").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    bursts = folds.debounced(changes.where("k IS NOT NULL"), "k", "ts").select("k", (F.unix_millis("last") + 300).alias("ms"), "n")
+    started = folds.dropped_while_busy(bursts.select("k", F.timestamp_millis("ms").alias("ts")), "k", "ts", 1000).select("k", F.unix_millis("ts").alias("ms"), "started")
+    want = sorted(tuple(r) for r in bursts.join(started, ["k", "ms"]).select("k", "ms", "n", "started").collect())
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM runs").collect()) == want and {r[3] for r in want} == {True, False}
+
+
+def test_a_trace_out_of_order_folds_as_in_order(spark, tmp_path):
+    from braidwork.streaming import ordered
+
+    ordered.use_rocksdb(spark)
+    events = spark.createDataFrame(EVENTS, KIND).withColumn("ts", F.timestamp_seconds("seq"))
+    for seqs in ([3, 6, 9, 11], [5, 4, 1, 8], [10, 2, 7]):
+        events.where(F.col("seq").isin(seqs)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    events.where("seq = 1").withColumns({"pid": F.lit(-1).cast("bigint"), "ts": F.timestamp_seconds(F.lit(10**9))}).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 day")
+    q = ordered.ordered_fold(stream, "/r").writeStream.format("memory").queryName("in_order").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {r.pid: (r.cmd, r.reads, r.writes) for r in spark.sql("SELECT * FROM in_order").collect()}
+    assert got == {r.pid: (r.cmd, r.reads, r.writes) for r in trace.fold(events, "/r").collect()} and len(got) == 3
+
+
+def test_objects_are_opened_by_name_and_written_whole(spark, tmp_path):
+    from braidwork.sources import objects
+
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([(f"o{i}", bytearray(b"x" * i)) for i in range(200)], "hash string, content binary").repartition(3)
+    objects.push(rows, root)
+    assert {r.hash: len(r.content) for r in objects.stored(spark, root).collect()} == {f"o{i}": i for i in range(200)}
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == sorted(f"o{i}" for i in range(200))
+    few = objects.stored(spark, root).where(F.col("hash").isin("o1", "o2", "gone"))
+    assert few.rdd.getNumPartitions() == 1 < objects.stored(spark, root).rdd.getNumPartitions() and sorted(r.hash for r in few.collect()) == ["o1", "o2"]
+    wanted = spark.createDataFrame([("o3",), ("gone",), ("../o3",), (None,), ("o3",)], "hash string")
+    for most in (100, 0):  # by filters, by a join
+        assert sorted((str(r.hash), r.found, r.content and len(r.content)) for r in objects.pulled(wanted, root, most).collect()) == [("../o3", False, None), ("None", False, None), ("gone", False, None), ("o3", True, 3), ("o3", True, 3)]
+    with pytest.raises(Exception, match="no name for an object"):
+        objects.push(spark.createDataFrame([("new", bytearray(b"1")), ("../bad", bytearray(b"2"))], "hash string, content binary").coalesce(1), root)
+    assert objects.stored(spark, root).count() == 200  # nothing of the push that failed
+    assert objects.stored(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_a_batch_that_is_tried_again_is_delivered_once(spark, tmp_path):
+    from pyspark.sql import Row
+
+    from braidwork.sources import objects
+
+    w = objects.EventWriter(str(tmp_path))
+    first, again, other = (w.write(iter([Row(id=1), Row(id=2)])), w.write(iter([Row(id=1), Row(id=2)])), w.write(iter([Row(id=3)])))
+    lost = w.write(iter([Row(id=9)]))
+    w.abort([lost, None], 0)
+    w.commit([first, None], 0)
+    w.commit([again, None], 0)
+    w.commit([other], 1)
+    assert sorted(r.id for r in spark.read.json(f"{tmp_path}/events").collect()) == [1, 2, 3]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["committed", "events"]
+
+
+def test_an_upsert_writes_the_buckets_it_touches(spark, tmp_path):
+    from braidwork.operators.ledger import upsert
+    from braidwork.sources import bucketed
+
+    base = str(tmp_path / "ledger")
+    df = lambda rows: spark.createDataFrame(rows, "logic_hash string, timestamp bigint, v string")
+    old = df([(f"k{i}", i, "old") for i in range(60)] + [("k1", 100, "newer")])
+    bucketed.create(old, base, buckets=8)
+    new = df([("k3", 200, "a"), ("k3", 300, "b"), ("fresh", 1, "c")])
+    before = bucketed.manifest(spark, base)
+    after = bucketed.upsert(new, base)
+    moved = {b for b, f in after["folders"].items() if before["folders"].get(b) != f}
+    assert 1 <= len(moved) <= 2 and len(before["folders"]) == 8
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    want = rows(upsert(upsert(old.limit(0), old), new))
+    assert rows(bucketed.read(spark, base)) == want and len(want) == 61
+    assert rows(bucketed.read(spark, base, version=1)) == rows(upsert(old.limit(0), old))
+    asked = bucketed.read(spark, base, keys=["k3", "nobody"])
+    assert rows(asked) == [("k3", 300, "b")] and len(asked.inputFiles()) <= 2
+    with pytest.raises(bucketed.Conflict):
+        bucketed._commit(spark, base, after)  # another writer's version 2
+    bucketed.upsert(df([("k3", 1, "d")]), base)
+    assert bucketed.vacuum(spark, base, kept=1) > 0 and rows(bucketed.read(spark, base, keys=["k3"])) == [("k3", 1, "d")] and bucketed.manifest(spark, base)["version"] == 3
+    with pytest.raises(FileNotFoundError):
+        bucketed.read(spark, str(tmp_path / "none"))
+
+
+def test_a_tree_that_is_kept_up_is_that_of_the_files(spark):
+    from braidwork.operators import hashing
+
+    files_ = {"a/x": "1", "a/y": "2", "a/b/z": "3", "c/d/e/f": "4", "top": "5"}
+    df = lambda m: spark.createDataFrame(sorted(m.items()), "path string, hash string")
+    whole = lambda m: {r.path: r.hash for r in df(m).unionByName(hashing.merkle(df(m))).collect()}
+    tree = df(whole(files_))
+    for change in ({"a/b/z": "9"}, {"c/d/e/f": None}, {"n/e/w": "7", "a/x": None}, {"top": "6", "a/y": "8", "a/b/new": "1"}, {"a/y": "2"}):
+        after = {k: v for k, v in {**files_, **change}.items() if v is not None}
+        got = {r.path: r.hash for r in hashing.merkle_updated(tree, spark.createDataFrame(list(change.items()), "path string, hash string")).collect()}
+        assert got == whole(after)
