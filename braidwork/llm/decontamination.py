@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from braidwork.llm.common import materialise, set_aside
 
-#: Words of a window, characters of a block of benchmark texts, bytes of the documents of one index shard, bytes of matches that tasks hold.
-WINDOW, BLOCK_CHARS, SHARD_BYTES, HELD_BYTES = 13, 16 << 20, 4 << 20, 32 << 20
+#: Words of a window, characters of a block of benchmark texts, characters of the documents of one index shard, bytes of matches that tasks hold.
+WINDOW, BLOCK_CHARS, SHARD_BYTES, HELD_BYTES = 13, 16 << 20, 1 << 20, 32 << 20
 #: Words that an interval with all words of a window may have to be a proximity match.
 DISTANCE = 26
 
@@ -80,6 +80,7 @@ def shard_row(texts: list[str], keys: list[tuple[int, int]]) -> pa.RecordBatch:
     place[rank] = np.arange(len(rank))
     codes = place[named.indices.to_numpy()] if len(rank) else np.empty(0, np.int64)
     at = np.arange(len(codes)) + np.repeat(np.arange(len(tokens)), [len(d) for d in tokens])
+    del tokens, named
     both = np.sort((codes << 32) | at)
     codes, at = both >> 32, both & 0xFFFFFFFF
     counts = np.bincount(codes, minlength=len(rank))
