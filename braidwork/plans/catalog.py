@@ -461,11 +461,11 @@ def c16_duplicate_ids(spark, d):
     return expand.duplicate_ids(table(spark, d, "part").select(F.col("p_name").alias("id")))
 
 
-@query("SELECT CAST(r_regionkey AS INTEGER) AS r_regionkey, len(m) AS axes, true AS large FROM (SELECT r_regionkey, [2, 3] AS m FROM region) WHERE (r_regionkey * 40 + 2) * (r_regionkey * 40 + 3) > 256")
+@query("SELECT s_suppkey AS id, CAST(2 AS BIGINT) AS axes, true AS large FROM supplier WHERE (s_suppkey % 5 * 40 + 2) * (s_suppkey % 5 * 40 + 3) > 256")
 def d25_cartesian_size(spark, d):
-    seq = lambda n: F.transform(F.sequence(F.lit(1), F.col("r_regionkey") * 40 + n), lambda x: x.cast("string"))
-    t = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.create_map(F.lit("a"), seq(2), F.lit("b"), seq(3)).alias("matrix"))
-    return expand.matrix_violations(t).select(F.col("id").alias("r_regionkey"), F.col("axes").cast("bigint").alias("axes"), (F.col("rows") > 256).alias("large"))
+    seq = lambda n: F.transform(F.sequence(F.lit(1), F.col("s_suppkey") % 5 * 40 + n), lambda x: x.cast("string"))
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.create_map(F.lit("a"), seq(2), F.lit("b"), seq(3)).alias("matrix"))
+    return expand.matrix_violations(t).select("id", F.col("axes").cast("bigint").alias("axes"), (F.col("rows") > 256).alias("large"))
 
 
 # Hashes

@@ -6,7 +6,7 @@ import io
 import tarfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions import code
@@ -23,17 +23,6 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _put(spark: SparkSession, label: str, contents: dict[str, str | bytes]) -> str:
-    """Files (name, content) in a new folder of the shared storage, by its own file system: for the few that a small table makes."""
-    base, jvm = folder(spark, label), spark._jvm
-    for name, content in contents.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-        out.write(bytearray(content.encode() if isinstance(content, str) else content))
-        out.close()
-    return base
-
-
 def _texts(rows: DataFrame, key: str, label: str) -> str:
     """rows (key, value): a text file a key; gives the glob that reads them."""
     base = folder(rows.sparkSession, label)
@@ -68,12 +57,12 @@ def a1_config(spark, d):
     return _flat(configs.read_config(spark, _texts(rows, "s_nationkey", "configs")), "project")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS n, CASE n_nationkey % 4 WHEN 0 THEN 'not-json' ELSE 'no-tasks' END AS rule FROM nation WHERE n_nationkey % 4 < 3")
+@query("SELECT CAST(s_suppkey AS BIGINT) AS n, CASE s_suppkey % 4 WHEN 0 THEN 'not-json' ELSE 'no-tasks' END AS rule FROM supplier WHERE s_suppkey % 4 < 3")
 def a1_config_violations(spark, d):
-    k = F.col("n_nationkey")
+    k = F.col("s_suppkey")
     value = F.when(k % 4 == 0, "{nope").when(k % 4 == 1, "{}").when(k % 4 == 2, '{"tasks": {}}').otherwise('{"tasks": {"a": {"cmd": ["x"]}}}')
-    found = configs.config_violations(spark, _texts(table(spark, d, "nation").select("n_nationkey", value.alias("value")), "n_nationkey", "broken"))
-    return found.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("bigint").alias("n"), "rule")
+    found = configs.config_violations(spark, _texts(table(spark, d, "supplier").select("s_suppkey", value.alias("value")), "s_suppkey", "broken"))
+    return found.select(F.regexp_extract("path", "s_suppkey=([0-9]+)", 1).cast("bigint").alias("n"), "rule")
 
 
 def _lock_task(k: Column) -> list[Column]:
@@ -165,21 +154,36 @@ def b17_c14_pruned(spark, d):
 # Source trees
 
 
+def _written(rows: DataFrame, label: str) -> str:
+    """rows (name, value): a file each in a new folder of the shared storage, written where the rows are."""
+    base = folder(rows.sparkSession, label)
+
+    def put(part) -> None:
+        for r in part:
+            store, root = objects.storage(base)
+            store.create_dir(f"{root}/{r['name'].rpartition('/')[0]}".rstrip("/"), recursive=True)
+            with store.open_output_stream(f"{root}/{r['name']}") as f:
+                f.write(r["value"].encode())
+
+    rows.select("name", "value").repartition(8).foreachPartition(put)
+    return base
+
+
+_PASSED = ("node_modules", ".git", "dist", "target", "venv", ".venv", "sub/node_modules", ".hidden")
+
+
 def _tree(spark, d):
-    """Nations as source files in their region's folder, each importing the next of its region, and files that scans pass over."""
-    rows = [r.asDict() for r in table(spark, d, "nation").join(table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").orderBy("n_nationkey").collect()]  # 25 rows
-    out, dirs = {}, ["node_modules", ".git", "dist", "target", "venv", ".venv", "sub/node_modules", ".hidden"]
-    for r in rows:
-        word = r["n_name"].replace(" ", "_")
-        nxt = next((x for x in rows if x["n_regionkey"] == r["n_regionkey"] and x["n_nationkey"] > r["n_nationkey"]), None)
-        line = f'import {{x}} from "./{nxt["n_name"].replace(" ", "_")}";\n' if nxt else ""
-        out[f"{r['r_name'].replace(' ', '_')}/{word}.ts"] = f"// about {word}\n{line}export  const n = {r['n_nationkey']}; /* end */\n"
-        out[f"{dirs[r['n_nationkey'] % len(dirs)]}/{word}.ts"] = "skipped"
-        out[f"{word}.txt"] = "no source"
-    return _put(spark, "tree", out)
-
-
-_TREE = """t AS (SELECT n_nationkey AS k, replace(n_name, ' ', '_') AS w, replace(r_name, ' ', '_') AS r, lead(replace(n_name, ' ', '_')) OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS nxt FROM nation JOIN region ON n_regionkey = r_regionkey),
+    """Suppliers as source files in their nation's folder, each importing the next of its nation, and files that scans pass over."""
+    k, word = F.col("s_suppkey"), lambda c: F.concat(F.lit("s"), c.cast("string"))
+    t = table(spark, d, "supplier").select(k, "s_nationkey", F.lead(k).over(Window.partitionBy("s_nationkey").orderBy(k)).alias("next"))
+    line = F.coalesce(F.concat(F.lit('import {x} from "./'), word(F.col("next")), F.lit('";\n')), F.lit(""))
+    source = F.concat(F.lit("// about "), word(k), F.lit("\n"), line, F.lit("export  const n = "), k.cast("string"), F.lit("; /* end */\n"))
+    named = lambda head, tail, value: t.select(F.concat(head, word(k), F.lit(tail)).alias("name"), value.alias("value"))
+    passed = F.concat(F.element_at(F.array(*[F.lit(x) for x in _PASSED]), (k % len(_PASSED) + 1).cast("int")), F.lit("/"))
+    return _written(named(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/")), ".ts", source).unionByName(named(passed, ".ts", F.lit("skipped"))).unionByName(named(F.lit(""), ".txt", F.lit("no source"))), "tree")
+
+
+_TREE = """t AS (SELECT s_suppkey AS k, 's' || s_suppkey AS w, 'n' || s_nationkey AS r, lead('s' || s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nxt FROM supplier),
 f AS (SELECT k, w, r, nxt, r || '/' || w || '.ts' AS path, '// about ' || w || chr(10) || CASE WHEN nxt IS NOT NULL THEN 'import {x} from "./' || nxt || '";' || chr(10) ELSE '' END || 'export  const n = ' || k || '; /* end */' || chr(10) AS content FROM t)"""
 
 
@@ -248,10 +252,9 @@ def g9_import_graph(spark, d):
 
 @query(f"WITH {_TREE} SELECT path FROM f WHERE k % 2 = 0")
 def b31_fresh(spark, d):
-    """Files whose length and time are those that a cache knows: it knows the odd nations' by another length."""
+    """Files whose length and time are those that a cache knows: it knows the odd suppliers' by another length."""
     now = files.scan(spark, _tree(spark, d)).select("path", "length", "modificationTime")
-    n = table(spark, d, "nation").select(F.concat(F.replace("n_name", F.lit(" "), F.lit("_")), F.lit(".ts")).alias("file"), "n_nationkey")
-    odd = now.withColumn("file", X.basename(F.col("path"))).join(F.broadcast(n), "file").withColumn("length", F.col("length") + F.col("n_nationkey") % 2)
+    odd = now.withColumn("length", F.col("length") + F.regexp_extract("path", "([0-9]+)\\.ts$", 1).cast("bigint") % 2)
     return hashing.fresh(odd.select("path", "length", "modificationTime"), now)
 
 
@@ -373,33 +376,33 @@ def a14_b22_targets(spark, d):
     return configs.target_tasks(spark, _texts(rows, "s_nationkey", "nx")).select("id", F.array_join("cmd", " ").alias("cmd"), F.array_join("deps", " ").alias("deps"), F.array_join("reads", " ").alias("reads"), F.array_join("writes", " ").alias("writes"))
 
 
-@query("SELECT 'n' || n_nationkey AS package, s AS script, s || ' ' || n_regionkey AS command FROM nation, (VALUES ('build'), ('test')) v(s) WHERE s = 'build' OR n_nationkey % 2 = 0")
+@query("SELECT 'n' || s_suppkey AS package, s AS script, s || ' ' || s_nationkey AS command FROM supplier, (VALUES ('build'), ('test')) v(s) WHERE s = 'build' OR s_suppkey % 2 = 0")
 def a14_c15_package_scripts(spark, d):
-    k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
-    scripts = F.struct(F.concat(F.lit("build "), r).alias("build"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("test "), r)).alias("test"))
-    rows = table(spark, d, "nation").select("n_nationkey", F.to_json(F.struct(F.concat(F.lit("n"), k).alias("name"), scripts.alias("scripts"))).alias("value"))
-    return configs.package_scripts(spark, _texts(rows, "n_nationkey", "packages")).select("package", "script", "command")
+    k, r = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    scripts = F.struct(F.concat(F.lit("build "), r).alias("build"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("test "), r)).alias("test"))
+    rows = table(spark, d, "supplier").select("s_suppkey", F.to_json(F.struct(F.concat(F.lit("n"), k).alias("name"), scripts.alias("scripts"))).alias("value"))
+    return configs.package_scripts(spark, _texts(rows, "s_suppkey", "packages")).select("package", "script", "command")
 
 
 def _workspace(spark, d):
-    """Regions as roots: packages are their nations, in packages/ or apps/deep/; even regions name them in package.json, odd ones in YAML."""
-    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("root"), F.col("n_nationkey").alias("k"))
+    """Nations as roots: packages are their suppliers, in packages/ or apps/deep/; even nations name them in package.json, odd ones in YAML."""
+    n = table(spark, d, "supplier").select(F.col("s_nationkey").alias("root"), F.col("s_suppkey").alias("k"))
     name = lambda c: F.concat(F.lit("n"), c.cast("string"))
     k = F.col("k")
     package = F.to_json(F.struct(name(k).alias("name"), F.create_map(F.lit("build"), F.lit("b"), F.lit("test"), F.lit("t")).alias("scripts"), F.create_map(name(k + 5), F.lit("*")).alias("dependencies"), F.create_map(F.lit("outer"), F.lit("1")).alias("devDependencies")))
     held = n.select("root", F.concat(F.when(k % 2 == 0, "packages/").otherwise("apps/deep/"), name(k), F.lit("/package.json")).alias("name"), package.alias("value"))
-    r = table(spark, d, "region").select(F.col("r_regionkey").alias("root"))
+    r = n.select("root").distinct()
     top = r.select("root", F.lit("package.json").alias("name"), F.when(F.col("root") % 2 == 0, '{"name":"top","workspaces":["packages/*"]}').otherwise('{"name":"top"}').alias("value"))
     yaml = r.select("root", F.lit("pnpm-workspace.yaml").alias("name"), F.lit("# all\npackages:\n  - 'packages/*'\n  - \"apps/**\"\n").alias("value"))
     return configs.workspace_packages(held.unionByName(top).unionByName(yaml))
 
 
-@query("SELECT CAST(n_regionkey AS BIGINT) AS root, CASE WHEN n_nationkey % 2 = 0 THEN 'packages/n' ELSE 'apps/deep/n' END || n_nationkey AS directory, 'n' || n_nationkey AS package, 'n' || (n_nationkey + 5) || ' outer' AS depends FROM nation WHERE n_regionkey % 2 = 1 OR n_nationkey % 2 = 0")
+@query("SELECT CAST(s_nationkey AS BIGINT) AS root, CASE WHEN s_suppkey % 2 = 0 THEN 'packages/n' ELSE 'apps/deep/n' END || s_suppkey AS directory, 'n' || s_suppkey AS package, 'n' || (s_suppkey + 5) || ' outer' AS depends FROM supplier WHERE s_nationkey % 2 = 1 OR s_suppkey % 2 = 0")
 def a15_workspace(spark, d):
     return _workspace(spark, d).select(F.col("root").cast("bigint").alias("root"), "directory", "package", F.array_join("depends", " ").alias("depends"))
 
 
-@query("WITH p AS (SELECT n_regionkey AS r, n_nationkey AS k FROM nation WHERE n_regionkey % 2 = 1 OR n_nationkey % 2 = 0) SELECT 'n' || k || '#build' AS src, 'n' || k || '#test' AS dst FROM p UNION ALL SELECT 'n' || b.k || '#build', 'n' || a.k || '#build' FROM p a JOIN p b ON b.k = a.k + 5")
+@query("WITH p AS (SELECT s_nationkey AS r, s_suppkey AS k FROM supplier WHERE s_nationkey % 2 = 1 OR s_suppkey % 2 = 0) SELECT 'n' || k || '#build' AS src, 'n' || k || '#test' AS dst FROM p UNION ALL SELECT 'n' || b.k || '#build', 'n' || a.k || '#build' FROM p a JOIN p b ON b.k = a.k + 5")
 def a15_c11_workspace_edges(spark, d):
     w = _workspace(spark, d)
     inner = expand.internal_dependencies(w.select("package", F.explode("depends").alias("name")), w.select("package"))
@@ -424,10 +427,10 @@ def a16_marked_tasks(spark, d):
     return found.select("root", "kind", "id", F.array_join("cmd", " ").alias("cmd"), F.array_join("deps", " ").alias("deps"))
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS root, id, cmd, deps FROM region, (VALUES ('build', 'npx lerna run build', ''), ('test', 'npx lerna run test', 'build')) v(id, cmd, deps) WHERE r_regionkey % 2 = 0")
+@query("SELECT CAST(s_suppkey AS BIGINT) AS root, id, cmd, deps FROM supplier, (VALUES ('build', 'npx lerna run build', ''), ('test', 'npx lerna run test', 'build')) v(id, cmd, deps) WHERE s_suppkey % 2 = 0")
 def a14_lerna(spark, d):
-    names = F.when(F.col("r_regionkey") % 2 == 0, "lerna.json").otherwise("turbo.json")
-    found = configs.lerna_tasks(table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("root"), names.alias("name")))
+    names = F.when(F.col("s_suppkey") % 2 == 0, "lerna.json").otherwise("turbo.json")
+    found = configs.lerna_tasks(table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("root"), names.alias("name")))
     return found.select("root", "id", F.array_join("cmd", " ").alias("cmd"), F.array_join("deps", " ").alias("deps"))
 
 
@@ -486,9 +489,9 @@ def a18_history_audit(spark, d):
 # Sinks, reports, functions
 
 
-@query("SELECT '[' || string_agg('{\"wave\":' || w || ',\"task_ids\":[\"\\u003c' || w || '\\u003e\"]}', ',' ORDER BY w) || ']' AS json FROM (SELECT CAST(n_nationkey AS BIGINT) AS w FROM nation)")
+@query("SELECT '[' || string_agg('{\"wave\":' || w || ',\"task_ids\":[\"\\u003c' || w || '\\u003e\"]}', ',' ORDER BY w) || ']' AS json FROM (SELECT CAST(s_suppkey AS BIGINT) AS w FROM supplier)")
 def s7_dashboard(spark, d):
-    w = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("wave"), F.array(F.concat(F.lit("<"), F.col("n_nationkey").cast("string"), F.lit(">"))).alias("task_ids"))
+    w = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("wave"), F.array(F.concat(F.lit("<"), F.col("s_suppkey").cast("string"), F.lit(">"))).alias("task_ids"))
     return sinks.dashboard_json(w)
 
 
@@ -610,12 +613,12 @@ def s11_annotation_outputs(spark, d):
     return sinks.annotation_outputs(_findings(spark, d))
 
 
-@query("SELECT 'n' || n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN 'sh|-c|it''s && x' ELSE 'run|' || n_nationkey END AS cmd, CASE WHEN n_nationkey % 2 = 0 THEN 'b a' ELSE '' END AS deps FROM nation")
+@query("SELECT 'n' || s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'sh|-c|it''s && x' ELSE 'run|' || s_suppkey END AS cmd, CASE WHEN s_suppkey % 2 = 0 THEN 'b a' ELSE '' END AS deps FROM supplier")
 def s11_step_pipeline(spark, d):
-    """Nations as tasks written as a pipeline of steps and read again."""
-    k = F.col("n_nationkey")
+    """Suppliers as tasks written as a pipeline of steps and read again."""
+    k = F.col("s_suppkey")
     cmd = F.when(k % 3 == 0, F.array(F.lit("sh"), F.lit("-c"), F.lit("it's && x"))).otherwise(F.array(F.lit("run"), k.cast("string")))
-    tasks = table(spark, d, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("id"), cmd.alias("cmd"), F.when(k % 2 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.expr("cast(array() as array<string>)")).alias("deps"))
+    tasks = table(spark, d, "supplier").select(F.concat(F.lit("n"), k.cast("string")).alias("id"), cmd.alias("cmd"), F.when(k % 2 == 0, F.array(F.lit("b"), F.lit("a"))).otherwise(F.expr("cast(array() as array<string>)")).alias("deps"))
     base = folder(spark, "steps")
     sinks.step_pipeline(tasks).coalesce(1).write.text(base)
     return configs.read_step_pipeline(spark, base).select("id", F.array_join("cmd", "|").alias("cmd"), F.array_join("deps", " ").alias("deps"))
