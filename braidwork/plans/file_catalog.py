@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from braidwork.functions import code
 from braidwork.functions import text as X
 from braidwork.operators import expand, graph, hashing, report, trace
+from braidwork.plans.check import check
 from braidwork.plans.models import table
 from braidwork.plans.registry import query
 from braidwork.plans.session import shared_dir
@@ -151,6 +152,29 @@ def b17_c14_pruned(spark, d):
     return sinks.config_with_report(_loose_tasks(spark, d))[1]
 
 
+def _projects(spark, d) -> str:
+    """A project of each nation: its suppliers write one of three outputs, every fourth reads another, even ones wait for the one before. Some projects name a task that isn't there."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    id_ = lambda c: F.concat(F.lit("t"), F.lpad(c.cast("string"), 6, "0"))
+    out = lambda c: F.array(F.concat(F.lit("out/"), (c % 3).cast("string")))
+    w = Window.partitionBy(n).orderBy(k)
+    t = table(spark, d, "supplier").select(n, k, F.lag(k).over(w).alias("before"))
+    deps = F.when((n % 5 == 4) & F.col("before").isNull(), F.array(F.lit("nowhere"))).when((k % 2 == 0) & F.col("before").isNotNull(), F.array(id_(F.col("before"))))
+    task = F.struct(F.array(F.lit("run")).alias("cmd"), deps.alias("dependencies"), F.when(k % 4 == 1, out(k + 1)).alias("inputs"), out(k).alias("outputs"))
+    rows = t.groupBy(n).agg(F.map_from_entries(F.collect_list(F.struct(id_(k).alias("id"), task.alias("task")))).alias("tasks"))
+    return _texts(rows.select(n, F.to_json(F.struct(F.concat(F.lit("n"), n.cast("string")).alias("name"), "tasks")).alias("value")), "s_nationkey", "projects")
+
+
+@query("""WITH t AS (SELECT s_nationkey AS n, s_suppkey AS k, 'n' || s_nationkey || '__t' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS id, sum(s_suppkey % 2) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS odd, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),
+p AS (SELECT a.n, a.id AS a, b.id AS b, a.k % 3 = b.k % 3 AS ww, a.k % 4 = 1 AND (a.k + 1) % 3 = b.k % 3 AS a_reads, b.k % 4 = 1 AND (b.k + 1) % 3 = a.k % 3 AS b_reads, a.k % 3 AS ao, b.k % 3 AS bo, a.odd = b.odd AS declared FROM t a JOIN t b ON a.n = b.n AND a.k < b.k WHERE a.n % 5 <> 4)
+SELECT 'n' || n AS project, 'error' AS severity, 'unknown-dependency' AS kind, id AS task_a, NULL AS task_b, NULL AS resource FROM t WHERE n % 5 = 4 AND i = 1
+UNION ALL SELECT 'n' || n, 'warning', 'shadow', a, b, 'out/' || ao FROM p WHERE ww
+UNION ALL SELECT 'n' || n, 'warning', 'implicit-dependency', CASE WHEN a_reads THEN b ELSE a END, CASE WHEN a_reads THEN a ELSE b END, 'out/' || CASE WHEN a_reads THEN bo ELSE ao END FROM p WHERE NOT ww AND NOT declared AND (a_reads OR b_reads)""")
+def check_projects(spark, d):
+    """Projects read from their files, checked, planned and audited as one plan."""
+    return check(spark, _projects(spark, d)).findings
+
+
 # Source trees
 
 

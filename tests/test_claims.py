@@ -103,3 +103,32 @@ def test_many_writers_of_one_path(spark):
 def test_crowded_directories_collapse(spark):
     c = spark.createDataFrame([("t", f"d/{i}") for i in range(6)] + [("t", "e/1"), ("t", "top")], "task_id string, path string")
     assert rows(C.collapsed(c)) == [("t", "d/"), ("t", "e/1"), ("t", "top")]
+
+
+def test_projects_are_checked_from_their_files(spark, tmp_path):
+    """Every kind of finding; no wave has two tasks that the verification would refuse."""
+    import json
+
+    from braidwork.plans.check import check
+
+    task = lambda **k: {"cmd": ["x"], **k}
+    projects = {
+        "good": {"a": task(outputs=["o/x"]), "b": task(inputs=["o/x"]), "c": task(outputs=["o/x"], dependencies=["a"]), "m": task(matrix={"v": ["1", "2"]}, outputs=["dist/"]), "d": task(claims=["port:80"]), "e": task(claims=["port:80"])},
+        "env": {"p": task(providesEnv=["K"]), "q": task(needsEnv=["K"])},
+        "cyclic": {"a": task(dependencies=["b"]), "b": task(dependencies=["a"]), "z": task(outputs=["o"])},
+        "late": {"m": task(matrix={"v": ["1"]}), "n": task(dependencies=["m"])},
+        "empty": {"a": {"cmd": []}},
+    }
+    for name, tasks in projects.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps({"name": name, "tasks": tasks}))
+    (tmp_path / "bad.json").write_text("{nope")
+    found = check(spark, str(tmp_path))
+    got = sorted((r.project.rpartition("/")[2], r.severity, r.kind, r.task_a or "", r.task_b or "", r.resource or "") for r in found.findings.collect())
+    assert got == sorted([
+        ("bad.json", "error", "not-json", "", "", ""), ("cyclic", "error", "cycle", "cyclic__a", "", ""), ("cyclic", "error", "cycle", "cyclic__b", "", ""), ("empty", "error", "cmd", "empty__a", "", ""), ("late", "error", "unresolved-dependency", "late__n", "", ""),
+        ("env", "error", "collision", "env__p", "env__q", "K"), ("good", "warning", "shadow", "good__a", "good__c", "o/x"), ("good", "warning", "implicit-dependency", "good__a", "good__b", "o/x"), ("good", "warning", "implicit-dependency", "good__c", "good__b", "o/x"),
+        ("good", "warning", "shadow", "good__m-v=1", "good__m-v=2", "dist"),
+    ])
+    waves = {r.id: r.wave for r in found.waves.collect()}
+    assert set(waves) == {f"good__{x}" for x in ("a", "b", "c", "d", "e", "m-v=1", "m-v=2")} | {"env__p", "env__q"}
+    assert len({waves["good__a"], waves["good__b"], waves["good__c"]}) == 3 and waves["good__d"] != waves["good__e"] and waves["good__m-v=1"] != waves["good__m-v=2"] and waves["env__p"] == waves["env__q"]
