@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.functions import text as X
@@ -272,7 +272,8 @@ def b9_b10_b11_predicates(spark, d):
     q = table(spark, d, "pages").select(path.alias("path")).where("path != ''").distinct()
     t = q.select(F.col("path").alias("task_id"), "path")
     held = C.containment_join(t, t).select(F.col("inner_path").alias("x"), F.col("outer_path").alias("y"))
-    after = q.select(F.col("path").alias("x"), F.lead("path").over(Window.orderBy("path")).alias("y")).where("y is not null")
+    placed = graph._placed(q, ["path"], 0)
+    after = placed.select(F.col("path").alias("x"), (F.col("_pos") + 1).alias("_pos")).join(placed.select(F.col("path").alias("y"), "_pos"), "_pos").select("x", "y")
     end = lambda c: F.concat(F.col(c), F.when(F.length(c) % 2 == 0, "/").otherwise(""))
     both = held.unionByName(held.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(after).distinct().select(end("x").alias("a"), end("y").alias("b"))
     fs = lambda c: F.concat(F.lit("fs:"), F.col(c))

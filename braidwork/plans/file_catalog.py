@@ -6,6 +6,7 @@ import io
 import tarfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -303,18 +304,27 @@ def t_stripped(spark, d):
 # Archives, frames, traces, histories
 
 
-@query("SELECT 'r' || r_regionkey || '.tar' AS path, n AS name, CASE n WHEN 'link' THEN 'other' WHEN 'dir' THEN 'directory' ELSE 'file' END AS type, CAST(CASE n WHEN 'link' THEN 0 WHEN 'dir' THEN 0 ELSE length(r_name) END AS BIGINT) AS size, CASE n WHEN 'link' THEN 'type' WHEN '/abs' THEN 'absolute' WHEN '../up' THEN 'parent' END AS error FROM region, (VALUES ('a/ok.txt'), ('dir'), ('link'), ('/abs'), ('../up')) v(n)")
+def _archived(rows: pd.DataFrame) -> pd.DataFrame:
+    """Documents as a tar archive, by turns of GNU's format and with extended headers; every eleventh is an entry that may not be extracted."""
+    raw, key = io.BytesIO(), int(rows["a"].iloc[0])
+    with tarfile.open(fileobj=raw, mode="w", format=tarfile.GNU_FORMAT if key % 2 else tarfile.PAX_FORMAT) as t:
+        for k, text in sorted(zip(rows["doc_id"], rows["text"])):
+            m = tarfile.TarInfo({0: "/abs", 11: f"a/../up{k}", 22: f"link{k}", 33: f"dir{k}/"}.get(k % 44) or ("é" if k % 3 else "") + "long/" * (40 * (k % 2)) + f"f{k}.txt")
+            body = (text or "").encode()
+            m.type = {22: tarfile.SYMTYPE, 33: tarfile.DIRTYPE}.get(k % 44, tarfile.REGTYPE)
+            m.size = len(body) if m.isreg() else 0
+            t.addfile(m, io.BytesIO(body))
+    return pd.DataFrame({"path": [f"{key}.tar"], "content": [raw.getvalue()]})
+
+
+@query("""WITH d AS (SELECT doc_id AS k, doc_id // 50 || '.tar' AS path, strlen(coalesce(text, '')) AS n FROM documents)
+SELECT path, CASE k % 44 WHEN 0 THEN '/abs' WHEN 11 THEN 'a/../up' || k WHEN 22 THEN 'link' || k WHEN 33 THEN 'dir' || k ELSE CASE WHEN k % 3 > 0 THEN 'é' ELSE '' END || repeat('long/', CAST(40 * (k % 2) AS INTEGER)) || 'f' || k || '.txt' END AS name,
+CASE k % 44 WHEN 22 THEN 'other' WHEN 33 THEN 'directory' ELSE 'file' END AS type, CASE WHEN k % 44 IN (22, 33) THEN 0 ELSE n END AS size, CASE k % 44 WHEN 0 THEN 'absolute' WHEN 11 THEN 'parent' WHEN 22 THEN 'type' END AS error FROM d""")
 def a10_tar_entries(spark, d):
-    rows = []
-    for r in table(spark, d, "region").collect():  # five
-        raw = io.BytesIO()
-        with tarfile.open(fileobj=raw, mode="w") as t:
-            for name, kind in (("a/ok.txt", tarfile.REGTYPE), ("dir", tarfile.DIRTYPE), ("link", tarfile.SYMTYPE), ("/abs", tarfile.REGTYPE), ("../up", tarfile.REGTYPE)):
-                m = tarfile.TarInfo(name)
-                m.type, m.size = kind, len(r.r_name) if kind == tarfile.REGTYPE else 0
-                t.addfile(m, io.BytesIO(r.r_name.encode()))
-        rows.append((f"r{r.r_regionkey}.tar", bytearray(raw.getvalue())))
-    return files.tar_entries(spark.createDataFrame(rows, "path string, content binary")).select("path", "name", "type", "size", "error")
+    """Archives of fifty documents each."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 50).alias("a"))
+    archives = docs.groupBy("a").applyInPandas(_archived, "path string, content binary")
+    return files.tar_entries(archives).select("path", "name", "type", "size", "error")
 
 
 @query("SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 IN (0, 3) THEN '{\"id\":' || s_suppkey || '}' END AS metadata, CASE WHEN s_suppkey % 4 IN (0, 3) THEN s_name END AS payload FROM supplier")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import io
+import re
 import struct
-import tarfile
 from collections.abc import Iterator
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,32 +35,73 @@ def imports(files: DataFrame) -> DataFrame:
     return found.select(F.col("path").alias("source"), "target", F.when(F.col("dynamic"), "dynamic").otherwise("static").alias("kind")).distinct()
 
 
-ENTRIES = "path string, name string, type string, size bigint, offset bigint, error string"
+BLOCK = 512
+#: Bytes of magic that a header may have: of the standard, of GNU's, of none.
+_MAGICS = (b"ustar", b"ustar ", b"")
 
 
-def _entries(content: bytes) -> Iterator[tuple[str, str, int, int, str | None]]:
-    """Entries of a tar stream with what makes one unsafe: links, devices, absolute names, parents."""
-    try:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as t:
-            for m in t:
-                kind = "file" if m.isfile() else "directory" if m.isdir() else "other"
-                bad = "type" if kind == "other" else "absolute" if m.name.startswith("/") else "parent" if ".." in m.name.split("/") else None
-                yield m.name, kind, m.size, m.offset_data, bad
-    except (tarfile.TarError, ValueError) as e:
-        yield "", "", 0, 0, f"broken: {e}"
+def _text(raw: bytes) -> str:
+    return raw.rstrip(b"\0").decode("utf-8", "replace")
 
 
-def tar_entries(archives: DataFrame) -> DataFrame:
-    """archives (path, content). One row an entry (ENTRIES); error is null for entries that are safe to extract."""
+def _octal(raw: bytes) -> int:
+    digits = re.match(rb"[0-7]*", raw.strip(b"\0 "))[0]
+    return int(digits, 8) if digits else 0
+
+
+def _records(raw: bytes) -> dict[str, str]:
+    """Records of an extended header, each "length key=value" and a line feed; the length counts itself."""
+    out, at = {}, 0
+    while m := re.compile(rb"(\d+) ").match(raw, at):
+        if not (n := int(m[1])):
+            break
+        key, eq, value = raw[m.end() : at + n - 1].partition(b"=")
+        if eq and key:
+            out[_text(key)] = _text(value)
+        at += n
+    return out
+
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, content in zip(part["path"], part["content"]):
-                entries = ((path, *e) for e in _entries(content))
-                while some := list(islice(entries, 10_000)):
-                    yield pd.DataFrame(some, columns=["path", "name", "type", "size", "offset", "error"])
+def tar_headers(content: bytes) -> Iterator[tuple[str, str, int, int, str | None]]:
+    """(name, type, size, offset of the data, error) of a tar archive's entries, long names and extended headers resolved.
 
-    return archives.select("path", "content").mapInPandas(run, ENTRIES)
+    An error says why an entry may not be extracted: `type` for links, devices and what else is no file or directory, `absolute`, `parent`, `empty`; or, with an
+    empty name and as the last, `broken` for what is no header.
+    """
+    at, long, more = 0, None, {}
+    while at + BLOCK <= len(content) and any(head := content[at : at + BLOCK]):
+        size, flag, data = _octal(head[124:136]), head[156:157], at + BLOCK
+        if head[257:263].rstrip(b"\0") not in _MAGICS:
+            yield "", "", 0, at, "broken: no header"
+            return
+        at = data + -(-size // BLOCK) * BLOCK
+        if flag == b"L":
+            long = _text(content[data : data + size])
+        elif flag in (b"x", b"g"):
+            more = _records(content[data : data + size])
+        else:
+            short, before = _text(head[:100]), _text(head[345:500]) if head[257:263] != b"ustar " else ""
+            name = more.get("path") or long or (f"{before}/{short}" if before else short)
+            long, more = None, {}
+            folder = flag == b"5" or name.endswith("/")
+            kind = "directory" if folder else "file" if flag in (b"", b"\0", b"0") else "other"
+            parts = name.replace("\\", "/").split("/")
+            bad = "type" if kind == "other" else "empty" if not name else "absolute" if name[0] == "/" or re.match(r"[a-zA-Z]:[\\/]", name) else "parent" if ".." in parts else None
+            yield name.rstrip("/") if folder else name, kind, 0 if folder else size, data, bad
+
+
+@F.udtf(returnType="name string, type string, size bigint, offset bigint, error string")
+class tar_listing:  # noqa: N801  called like a function
+    """tar_headers of a column; nothing for a null."""
+
+    def eval(self, content: bytes):
+        if content is not None:
+            yield from tar_headers(content)
+
+
+def tar_entries(archives: DataFrame) -> DataFrame:
+    """archives (path, content). One row an entry (path, name, type, size, offset, error); error is null for entries that are safe to extract."""
+    return archives.select("path", "content").lateralJoin(tar_listing(F.col("content").outer())).select("path", "name", "type", "size", "offset", "error")
 
 
 def frame_metadata(frames: DataFrame, most: int = 1 << 20) -> DataFrame:

@@ -382,3 +382,32 @@ def test_a_tree_that_is_kept_up_is_that_of_the_files(spark):
         after = {k: v for k, v in {**files_, **change}.items() if v is not None}
         got = {r.path: r.hash for r in hashing.merkle_updated(tree, spark.createDataFrame(list(change.items()), "path string, hash string")).collect()}
         assert got == whole(after)
+
+
+@pytest.mark.parametrize("form", [tarfile.USTAR_FORMAT, tarfile.GNU_FORMAT, tarfile.PAX_FORMAT])
+def test_tar_headers_are_those_of_the_format(form):
+    """Against the archive's own list: long names, prefixes, other alphabets, directories, empty files; and what may not be extracted."""
+    from braidwork.sources.files import tar_headers
+
+    names = ["a.txt", "d/" + "x" * 95, "/".join(["p" * 40] * 4), "empty", *(["é/ü.txt", "/".join(["q" * 50] * 9)] if form != tarfile.USTAR_FORMAT else [])]
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w", format=form) as t:
+        for i, name in enumerate(names):
+            m = tarfile.TarInfo(name)
+            m.size = 0 if name == "empty" else 500 * i + 12
+            t.addfile(m, io.BytesIO(b"z" * m.size))
+        folder = tarfile.TarInfo("folder")
+        folder.type = tarfile.DIRTYPE
+        t.addfile(folder)
+        for name, kind in (("dev", tarfile.CHRTYPE), ("hard", tarfile.LNKTYPE), ("C:\\x", tarfile.REGTYPE), ("a\\..\\b", tarfile.REGTYPE)):
+            m = tarfile.TarInfo(name)
+            m.type = kind
+            t.addfile(m)
+    raw.seek(0)
+    with tarfile.open(fileobj=raw) as t:
+        want = [(m.name, "file" if m.isreg() else "directory" if m.isdir() else "other", m.size, m.offset_data) for m in t]
+    got = list(tar_headers(raw.getvalue()))
+    assert [g[:4] for g in got] == want and [g[4] for g in got] == [None] * (len(names) + 1) + ["type", "type", "absolute", "parent"]
+    assert list(tar_headers(b"")) == [] == list(tar_headers(b"\0" * 2048)) and list(tar_headers(b"junk" * 300))[0][4].startswith("broken")
+    cut = raw.getvalue()[: want[1][3] + 5]
+    assert [g[0] for g in tar_headers(cut)] == names[:2]
