@@ -668,6 +668,21 @@ def s8_report(spark, d):
     return report.build_report(path, waves, 10_240.0)
 
 
+@query("""SELECT event_id, 'task u' || user_id AS name, 'braidwork' AS service, event_id * 1000000 AS begin, (event_id + CAST(floor(value) AS BIGINT)) * 1000000 AS finish, CASE WHEN event_id % 3 > 0 THEN event_type END AS hit, event_id % 3 = 0 AS bare FROM events""")
+def s9_spans(spark, d):
+    """Events as spans that a collector takes; every third has no attributes but its number."""
+    k = F.col("event_id")
+    own = F.map_filter(F.create_map(F.lit("id"), k.cast("string"), F.lit("hit"), F.when(k % 3 > 0, F.col("event_type"))), lambda _, v: v.isNotNull())
+    spans = table(spark, d, "events").select(F.concat(F.lit("task u"), F.col("user_id").cast("string")).alias("name"), k.alias("start_ms"), F.floor("value").alias("duration_ms"), own.alias("attributes"))
+    at = lambda path: F.get_json_object("element", path)
+    span, attributes = "$.scopeSpans[0].spans[0]", "$.scopeSpans[0].spans[0].attributes"
+    last = F.when(at(f"{attributes}[1].key").isNull(), at(f"{attributes}[0].value.stringValue")).otherwise(at(f"{attributes}[1].value.stringValue"))
+    return sinks.span_elements(spans).select(
+        last.cast("bigint").alias("event_id"), at(f"{span}.name").alias("name"), at("$.resource.attributes[0].value.stringValue").alias("service"), at(f"{span}.startTimeUnixNano").cast("bigint").alias("begin"), at(f"{span}.endTimeUnixNano").cast("bigint").alias("finish"),
+        F.when(at(f"{attributes}[1].key").isNotNull(), at(f"{attributes}[0].value.stringValue")).alias("hit"), at(f"{attributes}[1].key").isNull().alias("bare"),
+    )
+
+
 # Streams
 
 

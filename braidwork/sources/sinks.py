@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
@@ -59,17 +58,32 @@ def _chunks(rows: Iterable, most: int) -> Iterator[list[dict]]:
         yield some
 
 
-def export_spans(spans: DataFrame, url: str, timeout: float = 5.0, most: int = 1000) -> None:
-    """POST spans (name, start_ms, end_ms, attributes) as JSON, at most so many a request; failures don't fail the job."""
+def span_elements(spans: DataFrame, service: str = "braidwork") -> DataFrame:
+    """spans (name, start_ms, duration_ms, attributes map<string,string>) as (element): JSON of one resource's span each, as trace collectors take them in a list.
+
+    Ids are made from what a span says, so one that is sent again has the same; times are in nanoseconds; attributes are in the order of their names.
+    """
+    start, end = F.col("start_ms").cast("bigint"), F.col("start_ms").cast("bigint") + F.col("duration_ms").cast("bigint")
+    own = F.coalesce("attributes", F.expr("cast(map() as map<string,string>)"))
+    pairs = F.transform(F.array_sort(F.map_entries(own)), lambda e: F.struct(e.key.alias("key"), F.struct(F.coalesce(e.value, F.lit("null")).alias("stringValue")).alias("value")))
+    trace = F.md5(F.concat_ws("\0", "name", start.cast("string"), end.cast("string"), F.to_json(F.map_entries(own))).cast("binary"))
+    span = F.struct(trace.alias("traceId"), F.left(F.md5(trace.cast("binary")), F.lit(16)).alias("spanId"), F.col("name"), F.lit(1).alias("kind"), (start * 1_000_000).alias("startTimeUnixNano"), (end * 1_000_000).alias("endTimeUnixNano"), pairs.alias("attributes"))
+    resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit(service).alias("stringValue")).alias("value"))).alias("attributes"))
+    return spans.select(F.to_json(F.struct(resource.alias("resource"), F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"))).alias("element"))
+
+
+def export_spans(spans: DataFrame, url: str, service: str = "braidwork", timeout: float = 5.0, most: int = 1000) -> None:
+    """POST spans (see span_elements) to a collector, at most so many a request; failures don't fail the job."""
 
     def send(rows) -> None:
         for some in _chunks(rows, most):
+            body = '{"resourceSpans":[' + ",".join(r["element"] for r in some) + "]}"
             try:
-                urllib.request.urlopen(urllib.request.Request(url, json.dumps({"spans": some}).encode(), {"Content-Type": "application/json"}), timeout=timeout)
+                urllib.request.urlopen(urllib.request.Request(url, body.encode(), {"Content-Type": "application/json"}), timeout=timeout)
             except OSError:
                 pass
 
-    spans.foreachPartition(send)
+    span_elements(spans, service).foreachPartition(send)
 
 
 def broadcast_events(stream: DataFrame, writers: list[Callable[[list[dict]], None]], checkpoint: str, most: int = 1000):

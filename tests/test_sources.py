@@ -251,11 +251,13 @@ def test_spans_are_posted_and_failures_do_not_matter(spark):
     import http.server
     import threading
 
-    got = []
+    got, sizes = [], []
 
     class Taker(http.server.BaseHTTPRequestHandler):
         def do_POST(self):  # noqa: N802
-            got.extend(json.loads(self.rfile.read(int(self.headers["Content-Length"])))["spans"])
+            sent = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["resourceSpans"]
+            sizes.append(len(sent))
+            got.extend(x["scopeSpans"][0]["spans"][0] for x in sent)
             self.send_response(200)
             self.end_headers()
 
@@ -264,11 +266,14 @@ def test_spans_are_posted_and_failures_do_not_matter(spark):
 
     server = http.server.HTTPServer(("127.0.0.1", 0), Taker)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    spans = spark.createDataFrame([("a", 1, 2, {"k": "v"}), ("b", 3, 4, None)], "name string, start_ms long, end_ms long, attributes map<string,string>").repartition(2)
-    sinks.export_spans(spans, f"http://127.0.0.1:{server.server_port}/v1/traces")
+    spans = spark.createDataFrame([("a", 1, 2, {"k": "v"}), ("b", 3, 4, None), ("b", 3, 4, None)], "name string, start_ms long, duration_ms long, attributes map<string,string>").coalesce(1)
+    sinks.export_spans(spans, f"http://127.0.0.1:{server.server_port}/v1/traces", most=2)
     server.shutdown()
     server.server_close()
-    assert sorted(x["name"] for x in got) == ["a", "b"] and {x["name"]: x["attributes"] for x in got}["a"] == {"k": "v"}
+    assert sorted(x["name"] for x in got) == ["a", "b", "b"] and sorted(sizes) == [1, 2]
+    a, b = ({x["name"]: x for x in got}[n] for n in "ab")
+    assert a["attributes"] == [{"key": "k", "value": {"stringValue": "v"}}] and b["attributes"] == [] and (b["startTimeUnixNano"], b["endTimeUnixNano"], b["kind"]) == (3_000_000, 7_000_000, 1)
+    assert len({x["traceId"] for x in got}) == 2 and {(len(x["traceId"]), len(x["spanId"])) for x in got} == {(32, 16)}
     sinks.export_spans(spans, f"http://127.0.0.1:{server.server_port}/gone", timeout=0.5)  # nobody listens any more
 
 
