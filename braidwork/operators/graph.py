@@ -501,16 +501,22 @@ def _by_depth(dag: DataFrame, pairs: DataFrame) -> DataFrame:
     return open_.join(known.select("_a", F.col("dst").alias("_b")), ["_a", "_b"], "left_semi").select("a", "b")
 
 
-def wave_colours(tasks: DataFrame, conflicts: DataFrame) -> DataFrame:
+def wave_colours(tasks: DataFrame, conflicts: DataFrame, small: int | None = None) -> DataFrame:
     """tasks (depth, id), conflicts (task_a, task_b). (depth, id, colour): first-fit in id order within each depth.
 
-    First fit is sequential by definition, so each depth is one group, of the tasks that conflict alone: a task
-    without a conflict has colour 0 and isn't grouped.
+    A task without a conflict has colour 0. The others fall into components that no conflict joins, coloured side by side, each in id order. With more conflicts than are
+    walked in numpy, rounds of joins colour every task whose conflicting ones of lesser id have their colours, which is the same colouring.
     """
     a = tasks.select("depth", F.col("id").alias("task_a"))
     pairs = conflicts.select("task_a", "task_b").join(a, "task_a").join(tasks.select(F.col("depth").alias("d"), F.col("id").alias("task_b")), "task_b").where(F.col("depth") == F.col("d"))
     both = pairs.select("depth", F.explode(F.array(F.struct(F.col("task_a").alias("id"), F.col("task_b").alias("other")), F.struct(F.col("task_b").alias("id"), F.col("task_a").alias("other")))).alias("x")).select("depth", "x.*").distinct()
-    kind = dict(tasks.dtypes)
+    both = cut_lineage(both, "conflicts")
+    coloured = _in_components(both) if _is_small(both, small) else _in_rounds(both)
+    return tasks.select("depth", "id").join(coloured, ["depth", "id"], "left").withColumn("colour", F.coalesce("colour", F.lit(0)))
+
+
+def _in_components(both: DataFrame) -> DataFrame:
+    kind = dict(both.dtypes)
 
     def colour(part: pd.DataFrame) -> pd.DataFrame:
         found: dict = {}
@@ -519,8 +525,25 @@ def wave_colours(tasks: DataFrame, conflicts: DataFrame) -> DataFrame:
             found[i] = next(c for c in range(len(taken) + 1) if c not in taken)
         return pd.DataFrame({"depth": part["depth"].iloc[0], "id": list(found), "colour": list(found.values())})
 
-    coloured = both.groupBy("depth").applyInPandas(colour, f"depth {kind['depth']}, id {kind['id']}, colour int")
-    return tasks.select("depth", "id").join(coloured, ["depth", "id"], "left").withColumn("colour", F.coalesce("colour", F.lit(0)))
+    comps = components(both.select("id", F.concat_ws("\0", F.least("id", "other").cast("string"), F.greatest("id", "other").cast("string")).alias("hub")))
+    return both.join(comps, "id").groupBy("depth", "component").applyInPandas(colour, f"depth {kind['depth']}, id {kind['id']}, colour int")
+
+
+def _in_rounds(both: DataFrame) -> DataFrame:
+    """Rounds of local minima: a task is ready when all that conflict with it and have lesser ids are coloured. Its colour is the first gap in theirs."""
+    before = cut_lineage(both.where(F.col("other") < F.col("id")), "before")
+    left = cut_lineage(both.select("depth", "id").distinct(), "left")
+    done = both.sparkSession.createDataFrame([], T.StructType([both.schema["depth"], both.schema["id"], T.StructField("colour", T.IntegerType())]))
+    while not left.isEmpty():
+        open_ = before.join(left.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct()
+        ready = left.join(open_, "id", "left_anti")
+        theirs = before.join(ready.select("id"), "id", "left_semi").join(done.select(F.col("id").alias("other"), "colour"), "other").select("id", "colour").distinct()
+        ranked = theirs.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("colour")) - 1)
+        gap = ranked.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("r") != F.col("colour"), F.col("r"))), F.count(F.lit(1))).cast("int").alias("colour"))
+        new = cut_lineage(ready.join(gap, "id", "left").select("depth", "id", F.coalesce("colour", F.lit(0)).alias("colour")), "coloured")
+        done = done.unionByName(new)
+        left = cut_lineage(left.join(new.select("id"), "id", "left_anti"), "left")
+    return done
 
 
 def components(links: DataFrame) -> DataFrame:

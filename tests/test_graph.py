@@ -139,7 +139,8 @@ def test_colours_with_and_without_pairs(spark):
         want = colours_brute(tasks, claims)
         assert sorted(tuple(r) for r in graph.claim_colours(t, c).collect()) == want
         pairs = C.overlaps(c).where("mode = 'write' OR o_mode = 'write'").selectExpr("least(task_id, o_id) AS task_a", "greatest(task_id, o_id) AS task_b").distinct()
-        assert sorted(tuple(r) for r in graph.wave_colours(t, pairs).collect()) == want
+        for small in (None, 0):  # by components, by rounds
+            assert sorted(tuple(r) for r in graph.wave_colours(t, pairs, small).collect()) == want
 
 
 def test_many_writers_make_no_pairs(spark):
