@@ -393,17 +393,21 @@ def skipped_by_claims(edges: DataFrame, order: DataFrame, claims: DataFrame, fai
 LABELLINGS = 3
 
 
-def _labelled(first: np.ndarray, after: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(low, rank) by a depth-first search of an acyclic graph in random order: what a node leads to has its rank within low..rank of that node."""
+def _labelled(first: np.ndarray, after: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, rank, begin) by a depth-first search of an acyclic graph from its roots in random order: what a node leads to has its rank within low..rank of that node, and
+    all nodes whose rank is within begin..rank are led to."""
     n = len(first) - 1
+    begin = [0] * n
     low, rank = np.full(n, n).tolist(), [-1] * n
     place, end, follow, count = first[:-1].tolist(), first[1:].tolist(), after.tolist(), 0
     open_ = [False] * n
-    for root in rng.permutation(n).tolist():
-        todo = [root] if rank[root] < 0 else []
+    roots = np.flatnonzero(np.bincount(after, minlength=n) == 0)  # of an acyclic graph these lead to all
+    for root in rng.permutation(roots).tolist():
+        todo = [root]
         while todo:
             v = todo[-1]
-            open_[v] = True
+            if not open_[v]:
+                open_[v], begin[v] = True, count
             if place[v] < end[v]:
                 w = follow[place[v]]
                 place[v] += 1
@@ -418,14 +422,14 @@ def _labelled(first: np.ndarray, after: np.ndarray, rng: np.random.Generator) ->
             count += 1
             if todo and low[v] < low[todo[-1]]:
                 low[todo[-1]] = low[v]
-    return np.array(low), np.array(rank)
+    return np.array(low), np.array(rank), np.array(begin)
 
 
 def leads_to(edges: DataFrame, pairs: DataFrame, small: int | None = None) -> DataFrame:
     """pairs (a, b) whose a leads to b over edges, once each; a node leads to itself only on a cycle or a loop.
 
     Cycles are put together first, so that the graph is acyclic. A small one is given interval labels by one task, which all tasks hold: most pairs
-    are told apart by them, the others are searched among nodes whose labels hold the wanted one. In a large one what each
+    are decided by them either way, the others are searched among nodes whose labels hold the wanted one. In a large one what each
     a leads to is followed by joins, of the a's of open pairs alone and no deeper than their b's. Neither makes the closure.
     """
     asked = cut_lineage(pairs.select("a", "b").distinct(), "asked")
@@ -448,19 +452,20 @@ def _by_labels(dag: DataFrame, pairs: DataFrame) -> DataFrame:
     src, dst, ids = _coded(table)
     first, after = _adjacent(src, dst, len(ids))
     shuffled_ = [(f := _shuffled(first, after, np.random.default_rng(i)), _labelled(first, f, np.random.default_rng(i)))[1] for i in range(LABELLINGS)]
-    lows, ranks = (np.stack(x, 1) for x in zip(*shuffled_))
-    held = dag.sparkSession.sparkContext.broadcast((first, after, lows, ranks, ids))
+    lows, ranks, begins = (np.stack(x, 1) for x in zip(*shuffled_))
+    held = dag.sparkSession.sparkContext.broadcast((first, after, lows, ranks, begins, ids))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, after, lows, ranks, ids = held.value
+        first, after, lows, ranks, begins, ids = held.value
         index = pd.Index(ids.to_pandas())
         for b in batches:
             x, y = (index.get_indexer(b.column(i).to_pandas()) for i in (2, 3))
             maybe = (x >= 0) & (y >= 0)
             maybe[maybe] = ((lows[x[maybe]] <= ranks[y[maybe]]) & (ranks[y[maybe]] < ranks[x[maybe]])).all(1)
             yes = np.zeros(len(x), bool)
-            for i in np.flatnonzero(maybe):
-                yes[i] = _found(first, after, lows, ranks, x[i], y[i])
+            yes[maybe] = ((begins[x[maybe]] <= ranks[y[maybe]]) & (ranks[y[maybe]] < ranks[x[maybe]])).any(1)
+            for i in np.flatnonzero(maybe & ~yes):
+                yes[i] = _found(first, after, lows, ranks, begins, x[i], y[i])
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(yes)), b.column(1).filter(pa.array(yes))], ["a", "b"])
 
     return pairs.select("a", "b", "_a", "_b").mapInArrow(answer, pairs.select("a", "b").schema)
@@ -472,12 +477,12 @@ def _shuffled(first: np.ndarray, after: np.ndarray, rng: np.random.Generator) ->
     return after[np.lexsort((rng.random(len(after)), owner))]
 
 
-def _found(first: np.ndarray, after: np.ndarray, lows: np.ndarray, ranks: np.ndarray, a: int, b: int) -> bool:
-    """Whether a leads to b, by levels of the nodes whose labels hold b's."""
+def _found(first: np.ndarray, after: np.ndarray, lows: np.ndarray, ranks: np.ndarray, begins: np.ndarray, a: int, b: int) -> bool:
+    """Whether a leads to b, by levels of the nodes whose labels hold b's, until one is known to lead there."""
     now, seen = np.array([a]), {int(a)}
     while len(now):
         now = np.unique(_follow(first, after, now))
-        if (now == b).any():
+        if (now == b).any() or ((begins[now] <= ranks[b]) & (ranks[b] < ranks[now])).any():
             return True
         now = now[((lows[now] <= ranks[b]) & (ranks[b] < ranks[now])).all(1)]
         now = np.array([x for x in now.tolist() if x not in seen], np.int64)

@@ -416,3 +416,19 @@ def test_tar_headers_are_those_of_the_format(form):
     assert list(tar_headers(b"")) == [] == list(tar_headers(b"\0" * 2048)) and list(tar_headers(b"junk" * 300))[0][4].startswith("broken")
     cut = raw.getvalue()[: want[1][3] + 5]
     assert [g[0] for g in tar_headers(cut)] == names[:2]
+
+
+def test_stored_steps_expire_by_age(spark):
+    import os
+    from pathlib import Path
+
+    from braidwork.plans import session
+
+    root = Path(session.shared_dir(spark).removeprefix("file:"))
+    old, new = (session.cut_lineage(spark.range(3), label) for label in ("old", "new"))
+    own = {x: next(p for p in root.iterdir() if p.name.startswith(f"{x}-")) for x in ("old", "new")}
+    (root / "someone-elses").mkdir()
+    for p in (own["old"], root / "someone-elses"):
+        os.utime(p, (1, 1))
+    assert session.expire_steps(spark, 1.0) == 1 and not own["old"].exists() and (root / "someone-elses").exists()
+    assert new.count() == 3
