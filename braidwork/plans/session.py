@@ -51,12 +51,12 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def expire_steps(spark: SparkSession, hours: float) -> int:
-    """Removes stored steps of the shared folder that no one has written to for so many hours, and gives their number.
+def expire_steps(spark: SparkSession, hours: float, folder: str | None = None) -> int:
+    """Removes stored steps of a folder, the shared one if none is named, that no one has written to for so many hours, and gives their number.
 
     A lazy result may read steps until it has been written itself, so hours must be more than any job takes. Folders that aren't steps of this package stay.
     """
-    jvm, root = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    jvm, root = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(folder or shared_dir(spark))
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
     before, gone = jvm.System.currentTimeMillis() - int(hours * 3_600_000), 0
     for s in store.listStatus(root) if store.exists(root) else ():

@@ -418,17 +418,15 @@ def test_tar_headers_are_those_of_the_format(form):
     assert [g[0] for g in tar_headers(cut)] == names[:2]
 
 
-def test_stored_steps_expire_by_age(spark):
+def test_stored_steps_expire_by_age(spark, tmp_path):
     import os
-    from pathlib import Path
 
     from braidwork.plans import session
 
-    root = Path(session.shared_dir(spark).removeprefix("file:"))
-    old, new = (session.cut_lineage(spark.range(3), label) for label in ("old", "new"))
-    own = {x: next(p for p in root.iterdir() if p.name.startswith(f"{x}-")) for x in ("old", "new")}
-    (root / "someone-elses").mkdir()
-    for p in (own["old"], root / "someone-elses"):
-        os.utime(p, (1, 1))
-    assert session.expire_steps(spark, 1.0) == 1 and not own["old"].exists() and (root / "someone-elses").exists()
-    assert new.count() == 3
+    for name, age in (("old-" + "0" * 32, 7200), ("new-" + "1" * 32, 60), ("someone-elses", 7200)):
+        (tmp_path / name / "part").mkdir(parents=True)
+        at = (tmp_path / name).stat().st_mtime - age
+        os.utime(tmp_path / name, (at, at))
+    assert session.expire_steps(spark, 1.0, str(tmp_path)) == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["new-" + "1" * 32, "someone-elses"]
+    assert session.expire_steps(spark, 1.0, str(tmp_path / "none")) == 0
