@@ -602,6 +602,8 @@ def claim_colours(tasks: DataFrame, claims: DataFrame) -> DataFrame:
     inside = up.alias("o").where("above != path").join(held.alias("x"), ["depth", "above"]).where(other("x")).select("depth", F.col("o.task_id"))
     contested = own.join(met.unionByName(inside).distinct(), ["depth", "task_id"], "left_semi")
     contested = cut_lineage(contested, "contested")
+    if contested.isEmpty():
+        return tasks.select("depth", "id", F.lit(0).alias("colour"))
     kind = dict(tasks.dtypes)
     hub = lambda p: F.concat_ws("\0", F.col("depth").cast("string"), p)
     dirs = contested.where("is_dir").select(hub(F.col("path")).alias("hub")).distinct()
