@@ -173,7 +173,7 @@ def periodic_runs(docs: DataFrame, text: str = "text", key: str = "doc_id", rewr
     (exponent at least 2) that no neighbouring word extends. rewrite(key, words), if given, has the words that are searched.
 
     A null text is one without words: no runs and an empty collapsed text, as for an empty one. Rows are searched each for itself, repeated ones with like results;
-    a null key is given to rewrite as None. A text of any length is searched whole, in memory of about a hundred bytes a word. An empty table
+    a null key is given to rewrite as None. A text of any length is searched whole, in memory of about four hundred bytes a word. An empty table
     gives no rows. Extra columns pass; those of the result's names are replaced.
     """
     if exponent < 2:
