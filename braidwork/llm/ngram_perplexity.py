@@ -3,7 +3,8 @@
 Base rules count words, symbols, repeated lines and repeated three-word windows. What passes them is judged by a language model: modified Kneser-Ney
 over the n-grams of characters of all documents of a language, counted by Spark. Characters, because words made of typing errors, markup or
 another alphabet are as new to a model of words as any rare name is, and because the table stays small: it ends growing with the corpus long before the
-counts do. A language's band of log perplexity ends two interquartile ranges beyond the quartiles of its texts that pass the base rules; texts below it (repetition,
+counts do. A text is read in stretches of some words, each by the language that makes it likeliest, so one in two languages, or under a wrong name, is as
+likely as any; it is judged as the language that most of it is in. A language's band of log perplexity ends two interquartile ranges beyond the quartiles of its texts that pass the base rules; texts below it (repetition,
 shouting) and above it (markup, tables, noise) are rejected.
 
 The model is a table of hash, probability and back-off weight, by language and order. Tasks hold it as sorted arrays of hashes, probed by binary search, as
@@ -29,6 +30,8 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 FENCE, LEAST_RANGE = 2.0, 0.01
 #: Log perplexities are put into steps this wide before quartiles are taken, so that a language's histogram is small whatever the corpus.
 STEP = 1 / 1024
+#: Characters of a stretch that is read in one language.
+STRETCH = 128
 #: Rows of a model that a task may hold (17 bytes each, twice while they are sorted), and characters that are looked at together.
 HELD, PIECE = 1 << 21, 1 << 21
 #: Different n-grams of a language that a task adds up before it hands them on.
@@ -180,12 +183,12 @@ class Model:
     """A model of several languages as sorted arrays of hashes."""
 
     def __init__(self, rows: pa.Table, order: int):
-        self.order = order
+        self.order, self.languages = order, sorted(set(rows.column("lang").to_pylist()))
         self.tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         langs, grams = np.array(rows.column("lang").to_pylist(), object), rows.column("gram").to_pylist()
         logp, back = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("logp", "back"))
         sizes = np.array([len(g) for g in grams], np.int64)
-        for lang in set(langs):
+        for lang in self.languages:
             for k in range(order + 1):
                 at = np.flatnonzero((langs == lang) & (sizes == k))
                 h = hashed(np.stack([_points(grams[i]) for i in at]).reshape(len(at), k)) if len(at) else np.zeros(0, np.uint64)
@@ -252,7 +255,7 @@ def _inside_counts(which: np.ndarray, count: np.ndarray, text: np.ndarray) -> np
 
 _COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 _NAMES = [c.split()[0] for c in _COUNTS.split(", ")]
-RESULT = (*_NAMES, "base_failed", "log_perplexity", "kept")
+RESULT = (*_NAMES, "base_failed", "log_perplexity", "read_as", "kept")
 
 
 def base_failed(least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED) -> Column:
@@ -273,62 +276,104 @@ def bands(scored: DataFrame, fence: float = FENCE, step: float = STEP, least: fl
     return ranked.groupBy("lang").agg(middle(0.25).alias("q1"), middle(0.75).alias("q3")).select("lang", (F.col("q1") - fence * span).alias("low"), (F.col("q3") + fence * span).alias("high"))
 
 
-def _measured(docs: DataFrame, model: Model | None, order: int) -> DataFrame:
-    """docs (its last column the text, the one before it the language) with the rules' counts and the log perplexity; without a model, with their different n-grams and counts."""
+def _stretches(sizes: np.ndarray, stretch: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch of texts of these sizes begins, and the text it is of."""
+    n = -(-sizes // stretch)
+    text = np.repeat(np.arange(len(sizes)), n)
+    within = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.cumsum(sizes) - sizes, n) + within * stretch, text
+
+
+def read_by_language(model: Model, texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarray, list[str]]:
+    """Of each text the log perplexity, each stretch by the language that gives the most (of several the first), and the language of most of its characters."""
+    g = Grams(texts, model.order)
+    begin, text = _stretches(g.sizes, stretch)
+    sums = np.stack([np.add.reduceat(model.log_probability(lang, g.grams)[g.which], begin) for lang in model.languages])
+    best = sums.argmax(0)
+    total = np.bincount(text, sums[best, np.arange(len(text))], len(texts))
+    length = np.diff(np.append(begin, g.sizes.sum()))
+    shares = np.bincount(text * len(sums) + best, length, len(texts) * len(sums)).reshape(len(texts), -1)
+    return -total / g.sizes, [model.languages[i] for i in shares.argmax(1)]
+
+
+def _measured(docs: DataFrame, model: Model | None, order: int, stretch: int = STRETCH) -> DataFrame:
+    """docs (its last column the text) with the rules' counts, the log perplexity and the language; without a model, with the different n-grams of each stretch."""
     names, n = docs.columns[:-1], len(docs.columns) - 1
     held = docs.sparkSession.sparkContext.broadcast(model) if model else None
-    more = "log_perplexity double" if model else "n_grams bigint, grams array<struct<gram:string,c:bigint>>"
-    kind = pa.list_(pa.struct([("gram", pa.string()), ("c", pa.int64())]))
+    more = "log_perplexity double, _lang string" if model else "n_grams bigint, grams array<struct<s:int,gram:string,c:bigint>>"
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("gram", pa.string()), ("c", pa.int64())]))
+
+    def by_stretch(t: str) -> tuple[int, list[dict]]:
+        g = Grams([t], order)
+        begin, _ = _stretches(g.sizes, stretch)
+        strings, out = _strings(g.grams), []
+        for i, own in enumerate(np.split(g.which, begin[1:])):
+            which, c = np.unique(own, return_counts=True)
+            out += [{"s": i, "gram": strings[w], "c": k} for w, k in zip(which.tolist(), c.tolist())]
+        return int(g.sizes[0]), out
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                hi = min(lo + 1024, b.num_rows)
-                found = _documents(b, n - 1, n, lo, hi)
-                counts = np.zeros((len(found), 5), np.int64)
-                scores, grams, sizes = np.zeros(len(found)), [[]] * len(found), np.zeros(len(found), np.int64)
-                for lang, places in _by_language(found, PIECE):
-                    texts = [found[i][1] for i in places]
-                    counts[places] = rule_counts(texts)
-                    if held:
-                        g = Grams(texts, order)
-                        logs = held.value.log_probability(lang, g.grams)[g.which]
-                        scores[places] = -np.add.reduceat(logs, np.cumsum(g.sizes) - g.sizes) / g.sizes
-                    else:
-                        for i, t in zip(places, texts):
-                            g = Grams([t], order)
-                            grams[i] = [{"gram": s, "c": c} for s, c in zip(_strings(g.grams), g.counts.tolist())]
-                            sizes[i] = g.sizes[0]
-                last = [pa.array(scores, pa.float64())] if held else [pa.array(sizes, pa.int64()), pa.array(grams, kind)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(n)), *(pa.array(counts[:, i], pa.int64()) for i in range(5)), *last], [*names, *_NAMES, *(["log_perplexity"] if held else ["n_grams", "grams"])])
+            lo = 0
+            while lo < b.num_rows:
+                texts, size, hi = [], 0, lo
+                while hi < b.num_rows and (not texts or size < PIECE and len(texts) < 1024):
+                    texts.append(b.column(n)[hi].as_py() or "")
+                    size, hi = size + len(texts[-1]), hi + 1
+                counts = rule_counts(texts)
+                if held:
+                    scores, langs = read_by_language(held.value, texts, stretch)
+                    last = [pa.array(scores, pa.float64()), pa.array(langs, pa.string())]
+                else:
+                    sizes, grams = zip(*map(by_stretch, texts))
+                    last = [pa.array(sizes, pa.int64()), pa.array(grams, kind)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(n)), *(pa.array(counts[:, i], pa.int64()) for i in range(5)), *last], [*names, *_NAMES, *(["log_perplexity", "_lang"] if held else ["n_grams", "grams"])])
+                lo = hi
 
     return docs.mapInArrow(measure, extended(docs.select(*names).schema, f"{_COUNTS}, {more}"))
 
 
-def _by_join(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """_measured for a model of any size: documents' different n-grams meet the model's rows. Each n-gram of these texts is one of the model's."""
-    rows = materialise(_measured(docs, None, order).withColumn("_row", F.monotonically_increasing_id()), "grams")
-    grams = rows.select("_row", F.col("_lang").alias("lang"), F.explode("grams").alias("g")).select("_row", "lang", "g.gram", "g.c")
-    sums = grams.join(model.select("lang", "gram", "logp"), ["lang", "gram"]).groupBy("_row").agg(F.sum(F.col("c") * F.col("logp")).alias("_sum"))
-    return rows.join(sums, "_row").withColumn("log_perplexity", -F.col("_sum") / F.col("n_grams")).drop("_row", "_sum", "grams", "n_grams")
+def _read_by_join(grams: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """grams (gram), all of `order` characters: (lang, gram, logp) by every language of the model, by the longest context each knows."""
+    languages = [r[0] for r in model.where("gram = ''").select("lang").collect()]  # a row a language
+    found = grams.distinct().select("gram", F.explode(F.lit(languages)).alias("lang"), F.lit(None).cast("double").alias("logp"), F.lit(0.0).alias("weight"))
+    for k in range(order, -1, -1):
+        own = model.select("lang", F.col("gram").alias("_g"), F.col("logp").alias("_p"))
+        found = found.withColumn("_g", F.substring("gram", order - k + 1, k)).join(own, ["lang", "_g"], "left").withColumn("logp", F.coalesce("logp", F.col("weight") + F.col("_p"))).drop("_g", "_p")
+        if k:
+            back = model.select("lang", F.col("gram").alias("_g"), F.col("back").alias("_b"))
+            found = found.withColumn("_g", F.substring("gram", order - k + 1, k - 1)).join(back, ["lang", "_g"], "left").withColumn("weight", F.col("weight") + F.coalesce("_b", F.lit(0.0))).drop("_g", "_b")
+    return found.select("lang", "gram", "logp")
+
+
+def _by_join(docs: DataFrame, model: DataFrame, order: int, stretch: int = STRETCH) -> DataFrame:
+    """_measured for a model of any size: the different n-grams of documents' stretches meet the model's rows."""
+    rows = materialise(_measured(docs, None, order, stretch).withColumn("_row", F.monotonically_increasing_id()), "grams")
+    flat = rows.select("_row", F.explode("grams").alias("g")).select("_row", "g.s", "g.gram", "g.c")
+    read = materialise(_read_by_join(flat.select("gram"), model, order), "read")
+    sums = flat.join(read, "gram").groupBy("_row", "s", "lang").agg(F.sum(F.col("c") * F.col("logp")).alias("p"), F.sum("c").alias("n"))
+    best = sums.groupBy("_row", "s").agg(F.min(F.struct((-F.col("p")).alias("p"), "lang", "n")).alias("b")).select("_row", "b.*")
+    whole = best.groupBy("_row", "lang").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).groupBy("_row").agg(F.sum("p").alias("_sum"), F.min(F.struct((-F.col("n")).alias("n"), "lang")).alias("l"))
+    return rows.join(whole, "_row").withColumns({"log_perplexity": F.col("_sum") / F.col("n_grams"), "_lang": F.col("l.lang")}).drop("_row", "_sum", "l", "grams", "n_grams")
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, held: int = HELD, fence: float = FENCE) -> DataFrame:
-    """docs without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity (nats a character) and kept.
+    """docs without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, log_perplexity (nats a character), read_as and kept.
 
-    Words are what ASCII white space parts. kept: the base rules pass, and the log perplexity under the model of all documents of the language lies in that language's band.
-    A null text counts as empty and fails the base rules, as an empty one does. A null language is one of its own. Repeated rows are judged alike; very long texts are looked at
+    Words are what ASCII white space parts. kept: the base rules pass, and the log perplexity under the languages' models, each of all documents that the column lang says are in it, lies in the
+    band of the language that most of the text reads as (read_as).
+    A null text counts as empty and fails the base rules, as an empty one does. A null language is one of its own to learn from. The time of reading grows with the number of languages. Repeated rows are judged alike; very long texts are looked at
     whole; an empty table gives no rows. A language in which no text passes the base rules has no band, and none of its texts is kept. Extra columns pass; those of the result's names are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c in RESULT])
     docs, back = set_aside(docs, "_lang", "_row", "_sum", "_low", "_high", "_band", "grams", "n_grams")
     lang, text = ({v: k for k, v in back.items()}.get(c, c) for c in (lang, text))
     model = materialise(kneser_ney(materialise(gram_counts(docs, order, text, lang), "counts"), order), "ngrams")
-    own = docs.select(*[c for c in docs.columns if c != text], F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), F.col(text))
+    own = docs.select(*[c for c in docs.columns if c != text], F.col(text))
     rows = model.count()
     found = _measured(own, Model(model.toArrow(), order), order) if rows <= held else _by_join(own, model, order)
     scored = materialise(found.withColumn("base_failed", base_failed()), "scored")
-    band = bands(scored.drop("lang").withColumnRenamed("_lang", "lang"), fence).select(F.col("lang").alias("_band"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    band = bands(scored.select("base_failed", *_NAMES, "log_perplexity", F.col("_lang").alias("lang")), fence).select(F.col("lang").alias("_band"), F.col("low").alias("_low"), F.col("high").alias("_high"))
     judged = scored.join(F.broadcast(band) if rows <= held else band, F.col("_lang") == F.col("_band"), "left")  # a language has rows in the model, so they bound the bands' number
     inside = F.coalesce(F.col("log_perplexity").between(F.col("_low"), F.col("_high")), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_band", "_low", "_high").withColumnsRenamed(back)
+    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("_band", "_low", "_high").withColumnRenamed("_lang", "read_as").withColumnsRenamed(back)

@@ -127,7 +127,7 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and bands of perplexity over all documents."""
     found = judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", F.exp("log_perplexity").alias("perplexity"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "read_as", F.exp("log_perplexity").alias("perplexity"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
