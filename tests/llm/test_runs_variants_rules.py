@@ -275,6 +275,18 @@ def test_bands_catch_planted_noise_and_keep_prose(spark):
     assert not any(kept[i] for i in range(200, 216)) and sum(kept[i] for i in range(200)) >= 196 and all(kept[900 + i] == kept[0] for i in range(300))
 
 
+def test_texts_in_two_languages_or_under_a_wrong_name_stay(spark):
+    rng = random.Random(6)
+    tongue = {"x": ("th", "er", "on", "an", "re", "in"), "y": ("ki", "mo", "zu", "ha", "lo", "pe")}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randrange(1, 4))) for _ in range(400)] for k, v in tongue.items()}
+    prose = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(i, prose("xy"[i % 2], 150), "xy"[i % 2]) for i in range(240)]
+    rows += [(500 + i, f"{prose('x', 80)} {prose('y', 70)}", "xy"[i % 2]) for i in range(6)] + [(600 + i, prose("y", 150), "x") for i in range(6)] + [(700, prose("x", 150), None), (701, prose("x", 150), "nowhere")]
+    found = {r.doc_id: r for r in ngram_perplexity.judge_quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert sum(r.kept for i, r in found.items() if i < 240) >= 234 and sum(r.kept for i, r in found.items() if 500 <= i < 700) >= 9  # by the column lang all of them go
+    assert all(found[600 + i].read_as == "y" for i in range(6)) and all(found[i].read_as == "xy"[i % 2] for i in range(240))
+
+
 def test_junk_of_the_fixtures_goes(spark, real):
     labels = {r.doc_id: r.quality for r in common.table(spark, DATA, "labels").collect()}
     rows = [r for r in queries.op13_quality_rules(spark, DATA).collect() if not r.base_failed and r.doc_id in labels]
