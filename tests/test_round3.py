@@ -6,7 +6,7 @@ import random
 import duckdb
 
 from braidwork.operators import claims as C
-from braidwork.operators import graph
+from braidwork.operators import graph, trace
 from braidwork.plans import catalog
 from tests.conftest import DATA
 
@@ -53,3 +53,16 @@ def test_order_of_pairs_as_they_come(spark):
     want = {(a, b): (a == 1 and b <= 4 or a in (2, 3) and b in (3, 4) or (a, b) == (5, 6), (a, b) == (2, 3)) for a, b in itertools.combinations(range(1, 9), 2)}
     for small in (None, 0):
         assert {(r.a, r.b): (r.a_first, r.b_first) for r in graph.ordered(edges, pairs, small).where("kept = 'x'").collect()} == want
+
+
+def test_reads_after_writes_are_marked_once(spark):
+    rng = random.Random(5)
+    rows = sorted({(t, f"f{rng.randrange(6)}", rng.choice(["read", "write"])) for t in range(700) for _ in range(3)})
+    place = {t: t * 7 % 350 for t in range(700)}
+    want = {(p, c) for (p, x, m), (c, y, n) in itertools.product(rows, rows) if m == "write" and n == "read" and x == y and place[p] < place[c]}
+    claims, order = spark.createDataFrame(rows, "pid long, path string, mode string"), spark.createDataFrame(list(place.items()), "pid long, idx int")
+    for block, few in ((1 << 14, 8), (300, 8), (300, 1 << 30)):
+        got = [tuple(r) for r in trace.read_after_write(claims, order, block, few).collect()]
+        assert len(got) == len(want) and set(got) == want
+    plan = trace.read_after_write(claims, order)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("FlatMapGroupsInArrow")[0]
