@@ -16,9 +16,10 @@ there, and is never taken for a menu or a notice; navigation, footers, forms and
 classes are weaker: the name of a widget counts only where the slots don't hold prose.
 
 A host's wrapper is inferred from all its pages: every task merges those it reads, the tasks' wrappers are merged in groups
-of a host's, and those by host. Its size follows the number of different layouts, not of pages. Which of two equally good
+of a host's, and those by host. Which texts come again is then counted over all pages: the wrapper says at which place a text
+stands, and every text of a place is known by the least and the greatest hash of the contents that it stands with. Its size follows the number of different layouts, not of pages. Which of two equally good
 alignments is taken depends on the order of merges. All pages are extracted from their whole html.
-Pages are not shuffled while the wrappers together are within `held_bytes`; beyond it they are joined by host, a join
+Pages aren't shuffled, hashes of their texts are, while the wrappers together are within `held_bytes`; beyond it they are joined by host, a join
 whose skewed hosts Spark splits.
 """
 
@@ -27,7 +28,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -42,8 +43,8 @@ from braidwork.llm.common import extended, materialise, set_aside
 SEVERAL, HELD_BYTES, DEPTH = 3, 32 << 20, 120
 #: Parts of a sequence beyond which it is a repeated group of optional parts, kinds of parts in such a group by their names.
 PARTS, KINDS = 48, 256
-#: Texts of a slot (the least by hash of those on all pages: a bottom-k sketch) whose pages are counted, to tell whether its texts come again.
-SAMPLED = 32
+#: Texts of places that a task counts before it hands them on.
+COUNTED = 1 << 17
 #: Hosts, pages and parts of wrappers (about a hundred bytes each) that a task merges before it hands the wrappers on; groups that a host's wrappers are merged in first.
 HOSTS, PAGES, HELD_PARTS, GROUPS = 4096, 1 << 17, 1 << 20, 32
 
@@ -189,7 +190,7 @@ def parse(page: str) -> Node:
 
 # A wrapper's part: [signature, children, repeated, optional]. A text's children are its constant text (None: a slot), and it
 # also has the contents of the pages that its constant stands on, the SEVERAL least of them, and what its texts
-# are like: [number, characters, of these in links, words, ends of sentences, the SAMPLED least texts by hash, each with two pages' contents].
+# are like: [number, characters, of these in links, words, ends of sentences].
 
 
 def text_hash(words: str) -> int:
@@ -213,6 +214,11 @@ def content_of(tree: Node) -> tuple[int, int]:
     return first, second
 
 
+def content_beside(h: int, content: tuple[int, int]) -> int:
+    """What a page of this content has besides the text of hash h."""
+    return content[1] if h == content[0] else content[0]
+
+
 def wrapper_of(tree: Node) -> list:
     return _wrapper_of(tree, content_of(tree))
 
@@ -223,20 +229,15 @@ def _wrapper_of(node: Node, content: tuple[int, int]) -> list:
         if isinstance(k, Node):
             kids.append(_wrapper_of(k, content))
         elif w := k.words:
-            h = text_hash(w)
-            page = content[1] if h == content[0] else content[0]  # what the page has besides this text
-            like = [1, len(w), min(k.linked, len(w)), w.count(" ") + 1, int(w[-1] in ".!?:;…。！？\"'”)"), [[h, [page]]]]
+            page = content_beside(text_hash(w), content)
+            like = [1, len(w), min(k.linked, len(w)), w.count(" ") + 1, int(w[-1] in ".!?:;…。！？\"'”)")]
             kids.append([TEXT, w, False, False, [page], like])
     return [node.sig, fold(kids), False, False]
 
 
 def _alike(a: list, b: list) -> list:
     """What the texts of two parts together are like."""
-    seen = dict(map(tuple, a[5]))
-    for h, pages in b[5]:
-        known = seen.get(h)
-        seen[h] = pages if known is None else known if known == pages else sorted({*known, *pages})[:2]
-    return [*(x + y for x, y in zip(a[:5], b[:5])), [list(x) for x in sorted(seen.items())[:SAMPLED]]]
+    return [x + y for x, y in zip(a, b)]
 
 
 def _merged(a: list, b: list, beside: bool) -> list:
@@ -328,12 +329,14 @@ def stream(node: Node) -> str:
 
 
 class Role:
-    """A place of a wrapper: the path of signatures to it, with what its own texts and those below it are like."""
+    """A place of a wrapper: the path of signatures to it (hashed), with what its own texts and those below it are like; of each seven numbers: the five of a
+    part, how many different texts there are, and how many of these come again on pages of different content."""
 
-    __slots__ = ("sig", "kids", "fixed", "repeated", "own", "below", "out", "doubted", "mass")
+    __slots__ = ("sig", "place", "kids", "fixed", "repeated", "own", "below", "out", "doubted", "mass")
 
-    def __init__(self, sig: str):
+    def __init__(self, sig: str, above: int = 0):
         self.sig, self.kids, self.fixed, self.repeated, self.own, self.below, self.out, self.doubted, self.mass = sig, {}, set(), False, [0] * 7, [0] * 7, False, False, 0.0
+        self.place = xxhash.xxh3_64_intdigest(sig.encode("utf-8", "surrogatepass"), above) >> 1
 
     def kid(self, sig: str) -> Role | None:
         return self.kids.get(sig) or self.kids.get(unnamed(sig))
@@ -346,18 +349,20 @@ class Role:
         elif part[0] == TEXT:
             if part[1] and len(part[4]) >= SEVERAL:
                 self.fixed.add(part[1])
-            for i, v in enumerate((*part[5][:5], len(part[5][5]), sum(len(pages) > 1 for _, pages in part[5][5]))):
+            for i, v in enumerate(part[5]):
                 self.own[i] += v
         else:
-            k = self.kids.setdefault(part[0], Role(part[0]))
+            k = self.kids.setdefault(part[0], Role(part[0], self.place))
             k.repeated |= repeated or part[2]
             for x in part[1]:
                 k.add(x)
 
-    def sum_up(self) -> None:
+    def sum_up(self, again: dict[int, tuple[int, int]]) -> None:
+        """again: of places, how many different texts they have and how many of these come again."""
+        self.own[5:] = again.get(self.place, (0, 0))
         self.below = list(self.own)
         for k in self.kids.values():
-            k.sum_up()
+            k.sum_up(again)
             for i, v in enumerate(k.below):
                 self.below[i] += v
 
@@ -380,11 +385,12 @@ def worn(like: list) -> bool:
 
 
 class Wrapper:
-    """A host's wrapper with the number of pages behind it, and the roles of its places."""
+    """A host's wrapper with the number of pages behind it, which texts come again ([place, different texts, those that come again]), and the roles of its places."""
 
-    def __init__(self, tree: list, pages: int):
-        self.tree, self.pages = tree, pages
+    def __init__(self, tree: list, pages: int, again: list[list[int]] | None = None):
+        self.tree, self.pages, self.again = tree, pages, {place: (n, k) for place, n, k in again or ()}
         self._roots: dict[bool, Role] = {}
+        self._places: list[Role] = []
 
     @staticmethod
     def infer(pages: list[str]) -> Wrapper:
@@ -392,10 +398,31 @@ class Wrapper:
         for p in pages:
             own = wrapper_of(parse(p))
             tree = own if tree is None else _merged(tree, own, False)
-        return Wrapper(tree or ["root", [], False, False], len(pages))
+        bare, seen = Wrapper(tree or ["root", [], False, False], len(pages)), {}
+        for p in pages:
+            for place, h, content in bare.texts_of(parse(p)):
+                seen.setdefault(place, {}).setdefault(h, set()).add(content)
+        return Wrapper(bare.tree, bare.pages, [[place, len(own), sum(len(c) > 1 for c in own.values())] for place, own in seen.items()])
 
     def extended(self, page: Node) -> Wrapper:
-        return Wrapper(_merged(self.tree, wrapper_of(page), False), self.pages + 1)
+        """With a page that isn't behind it: what comes again is as it was, and new places have nothing that does."""
+        return Wrapper(_merged(self.tree, wrapper_of(page), False), self.pages + 1, [[place, *x] for place, x in self.again.items()])
+
+    def texts_of(self, page: Node) -> Iterator[tuple[int, int, int]]:
+        """(place, hash, what the page has besides) of each text of a page behind the wrapper."""
+        if not self._places:
+            self._places.append(Role("root"))
+            for k in self.tree[1]:
+                self._places[0].add(k)
+        content, todo = content_of(page), [(page, self._places[0])]
+        while todo:
+            node, role = todo.pop()
+            for k in node.kids:
+                if isinstance(k, Text):
+                    if k.words:
+                        yield role.place, xxhash.xxh3_64_intdigest(k.words.encode("utf-8", "surrogatepass")) >> 1, content_beside(text_hash(k.words), content)
+                elif (r := role.kid(k.sig)) is not None:
+                    todo.append((k, r))
 
     def matches(self, tokens: str) -> bool:
         """Whether a page's token stream is one of the expression's."""
@@ -419,7 +446,7 @@ class Wrapper:
             root = Role("root")
             for k in self.tree[1]:
                 root.add(k)
-            root.sum_up()
+            root.sum_up(self.again)
             plain = _judged(root, False, False)
             # Where pages are near copies of one another all comes again, and that says nothing.
             if again and _judged(root, False, True) < 0.1 * plain:
@@ -646,31 +673,79 @@ def extract_pages(pages: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
     are extracted each for itself; near copies of a page on one host (another advert, another query in the url) give what each gives alone; extra columns pass, a column named text is replaced.
     """
     pages, back = set_aside(pages.drop("text"), "_host", "_wrapper", "host")
-    wrappers = materialise(host_wrappers(pages), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    found = materialise(host_wrappers(pages), "wrappers")
+    wrappers = materialise(_counted(pages, found, held_bytes), "counted")
     keep = [c for c in pages.columns if c != "html"]
-    rows = pages.select(*keep, "html", host().alias("_host"))
-    held = None
+    rows, wrapper_of_row = _beside_wrappers(pages.select(*keep, "html", host().alias("_host")), wrappers, held_bytes)
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wrapper_of_row()
+        for b in batches:
+            texts = [extract(p.as_py() or "", w) for p, w in zip(b.column(n), known(b))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], [*keep, "text"])
+
+    return rows.mapInArrow(run, extended(pages.select(*keep).schema, "text string")).withColumnsRenamed(back)
+
+
+def _beside_wrappers(rows: DataFrame, wrappers: DataFrame, held_bytes: int) -> tuple[DataFrame, Callable]:
+    """rows (..., _host), with _wrapper behind it if the wrappers together are too large to be held; and what gives a task the function from batches of them to each row's wrapper."""
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    at, held = rows.columns.index("_host"), None
     if size <= held_bytes:
-        held = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.toLocalIterator()})
+        held = rows.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.toLocalIterator()})
     else:
         rows = rows.join(wrappers.withColumnRenamed("wrapper", "_wrapper"), F.col("_host") == F.col("host"), "left").drop("host")
-    n = len(keep)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Callable:
         loaded: dict[str, Wrapper] = {}
 
-        def wrapper(host: str, text: str | None) -> Wrapper:
+        def wrapper(host: str | None, text: str | None) -> Wrapper:
             if host not in loaded:
                 if len(loaded) >= 4096:
                     loaded.clear()
                 loaded[host] = Wrapper(*(json.loads(text) if text else (["root", [], False, False], 0)))
             return loaded[host]
 
+        def known(b: pa.RecordBatch) -> Iterator[Wrapper]:
+            hosts = b.column(at).to_pylist()
+            forms = (held.value.get(h) for h in hosts) if held else (x.as_py() for x in b.column(at + 1))
+            return map(wrapper, hosts, forms)
+
+        return known
+
+    return rows, start
+
+
+def _counted(pages: DataFrame, wrappers: DataFrame, held_bytes: int, counted: int = COUNTED) -> DataFrame:
+    """wrappers (host, wrapper) that also say which texts come again, as Wrapper takes it: exactly, over all texts of all pages.
+
+    A text at a place comes again if the pages it stands on differ in content, which the least and the greatest of their contents' hashes tell.
+    """
+    own = pages.select(F.coalesce("html", F.lit("")).alias("html"), host().alias("_host")).where(F.col("_host").isNotNull()).select("html", F.xxhash64("_host").alias("key"), "_host")
+    rows, wrapper_of_row = _beside_wrappers(own, wrappers, held_bytes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = wrapper_of_row(), {}
+
+        def out() -> pa.RecordBatch:
+            columns = [*zip(*seen), *zip(*seen.values())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "place", "text", "least", "most"])
+
         for b in batches:
-            hosts = b.column(n + 1).to_pylist()
-            forms = [held.value.get(h) for h in hosts] if held else b.column(n + 2).to_pylist()
-            texts = [extract(p.as_py() or "", wrapper(h, f)) for p, h, f in zip(b.column(n), hosts, forms)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], [*keep, "text"])
+            for page, key, w in zip(b.column(0), b.column(1).to_pylist(), known(b)):
+                for place, h, content in w.texts_of(parse(page.as_py())):
+                    least, most = seen.get((key, place, h), (content, content))
+                    seen[key, place, h] = min(least, content), max(most, content)
+                if len(seen) >= counted:
+                    yield out()
+        if seen:
+            yield out()
 
-    return rows.mapInArrow(run, extended(pages.select(*keep).schema, "text string")).withColumnsRenamed(back)
+    texts = rows.mapInArrow(count, "key bigint, place bigint, text bigint, least bigint, most bigint")
+    each = texts.groupBy("key", "place", "text").agg((F.min("least") < F.max("most")).alias("again"))
+    places = each.groupBy("key", "place").agg(F.count(F.lit(1)).alias("n"), F.count_if("again").alias("k"))
+    listed = places.groupBy("key").agg(F.to_json(F.array_sort(F.collect_list(F.array("place", "n", "k")))).alias("again"))
+    both = wrappers.join(listed, F.xxhash64("host") == F.col("key"), "left")
+    return both.select("host", F.concat(F.expr("left(wrapper, length(wrapper) - 1)"), F.lit(", "), F.coalesce("again", F.lit("[]")), F.lit("]")).alias("wrapper"))

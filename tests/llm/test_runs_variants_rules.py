@@ -344,3 +344,17 @@ def test_wrappers_are_merged_in_groups(spark):
     assert whole.keys() == small.keys() and None not in whole
     digest = lambda rows: hashlib.sha256("".join(sorted(f"{r.page_id}{r.text}" for r in rows)).encode()).hexdigest()
     assert digest(html_wrapper.extract_pages(pages.coalesce(1)).collect()) == digest(html_wrapper.extract_pages(pages.repartition(7)).collect())
+
+
+def test_what_comes_again_is_counted_over_all_texts_of_a_place(spark):
+    """Of a place's 160 texts the 32 least by hash come again, the others don't: a sketch of the least would call all of them old."""
+    notes = sorted((f"A remark of number {i} that readers of this page alone will find below its text." for i in range(160)), key=html_wrapper.text_hash)
+    shown = notes[:32] * 2 + notes[32:]
+    pages = [f"<div class='one'><p>{' '.join(f'Word{i} number {j} of the text is new.' for j in range(9))}</p></div><div class='two'><p>{note}</p></div>" for i, note in enumerate(shown)]
+    w = html_wrapper.Wrapper.infer(pages)
+    place = w.roles().kids["div.two"].kids["p"]
+    assert place.own[5:] == [160, 32] and not place.out
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    for held in (0, 1 << 20):
+        df = html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5), held)
+        assert all(shown[r.page_id] in r.text for r in df.collect())
