@@ -1,8 +1,9 @@
 """Graph operators over edges (src, dst): src must come before dst.
 
 A graph of up to SMALL edges, a size that is counted first, is walked in numpy: by one task where one pass over the whole
-graph is the work, or by all tasks, each with the edges, where every node has a walk of its own. Beyond it loops run a Spark job
-a step over frontiers that shrink and cut their lineage in the shared folder. Both ways give the same rows, and no node list
+graph is the work, or by all tasks, each with the edges, where every node has a walk of its own. A larger one falls into what its edges
+join either way (`weak_components`): pieces of up to SMALL edges are walked in numpy, many at a time in every task. In larger pieces loops
+run a Spark job a step over frontiers that shrink and cut their lineage in the shared folder. All ways give the same rows, and no node list
 of a large graph ever reaches the driver.
 """
 
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +25,10 @@ from braidwork.functions.text import dirname
 from braidwork.operators.claims import ancestors
 from braidwork.plans.session import cut_lineage
 
-#: Edges up to which a graph is walked in numpy, unless a call says another number (0: always by joins).
+#: Edges up to which a graph, or a piece of a larger one, is walked in numpy, unless a call says another number (0: always by joins).
 SMALL = 1 << 20
+#: Rows that a task gathers of whole pieces before it walks them.
+GATHERED = 1 << 17
 
 
 def _is_small(edges: DataFrame, small: int | None) -> bool:
@@ -63,6 +67,86 @@ def _in_one_task(edges: DataFrame, run: Callable[[pa.Table], dict[str, pa.Array]
     return edges.coalesce(1).mapInArrow(whole, schema)
 
 
+def _in_pieces(rows: DataFrame, keys: list[str], by: list[str], run: Callable[[pa.Table], dict[str, pa.Array]], schema: T.StructType) -> DataFrame:
+    """run over rows, some pieces at a time and each whole: what the keys say together. In a piece rows are in the order of the columns `by`."""
+    names = schema.names
+
+    def walked(table: pa.Table) -> pa.RecordBatch:
+        out = run(table)
+        return pa.RecordBatch.from_arrays([out[c] for c in names], names)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, GATHERED
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= most:
+                table = pa.Table.from_batches(held)
+                same = None
+                for c in keys:
+                    own = pc.equal(table.column(c), table.column(c)[n - 1])
+                    same = own if same is None else pc.and_(same, own)
+                if cut := pc.index(same, True).as_py():
+                    yield walked(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), n - cut  # the last piece may go on
+                most = max(GATHERED, 2 * n)
+        if n:
+            yield walked(pa.Table.from_batches(held))
+
+    return _dealt(rows, *keys).sortWithinPartitions(*keys, *by).mapInArrow(pieces, schema)
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by key over as many tasks as shuffles have: Spark would put slim rows into few, however long they are walked."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _joined(table: pa.Table) -> dict[str, pa.Array]:
+    """Weakly connected components of a small graph, by the least of their nodes."""
+    src, dst, ids = _coded(table)
+    label, before = np.arange(len(ids)), None
+    while before is None or (label != before).any():
+        before, label = label, label.copy()
+        np.minimum.at(label, src, before[dst])
+        np.minimum.at(label, dst, label[src])
+        label = label[label]
+    return {"id": ids, "component": ids.take(pa.array(label))}
+
+
+def weak_components(edges: DataFrame, small: int | None = None) -> DataFrame:
+    """(id, component): nodes of edges between different nodes; those that edges join either way have one of them in common.
+
+    In each round a node goes to its neighbour of least hash, if that is less than its own; hashes are new in every round, so that half of the nodes go, as
+    expected, in any graph. What is left is joined in one task once it is small, and the rounds' steps are followed from the last to the first.
+    """
+    ends = lambda a, b: [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
+    now = cut_lineage(edges.where("src <> dst").select(*ends("src", "dst")).distinct(), "links")
+    steps: list[DataFrame] = []
+    while not _is_small(now, small):
+        h = lambda c: F.xxhash64(F.lit(len(steps)), c)  # noqa: B023, E731
+        both = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        near = both.groupBy("src").agg(F.min_by("dst", h("dst")).alias("near"))
+        step = cut_lineage(near.select(F.col("src").alias("id"), F.when(h("near") < h("src"), F.col("near")).otherwise(F.col("src")).alias("to")), "steps")
+        at = lambda df, c: df.join(step.select(F.col("id").alias(c), F.col("to").alias(f"_{c}")), c)  # noqa: B023, E731
+        now = cut_lineage(at(at(now, "src"), "dst").where("_src <> _dst").select(*ends("_src", "_dst")).distinct(), "links")
+        steps.append(step)
+    kind = T.StructType([T.StructField("id", now.schema["src"].dataType), T.StructField("component", now.schema["src"].dataType)])
+    label = _in_one_task(now, _joined, kind)
+    for step in reversed(steps):
+        label = step.join(label.withColumnRenamed("id", "to"), "to", "left").select("id", F.coalesce("component", "to").alias("component"))
+    return label
+
+
+def _pieces(edges: DataFrame, small: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """edges with their weakly connected `component` that are few enough in it to be walked in numpy, stored, and the others without it, if there are any."""
+    label = weak_components(edges, small)
+    named = cut_lineage(edges.join(label.withColumnRenamed("id", "src"), "src", "left").withColumn("component", F.coalesce("component", "src")), "pieces")
+    large = cut_lineage(named.groupBy("component").count().where(F.col("count") > (SMALL if small is None else small)).select("component"), "large")  # a row for each so many edges at most
+    if large.isEmpty():
+        return named, None
+    return named.join(F.broadcast(large), "component", "left_anti"), named.join(F.broadcast(large), "component", "left_semi").drop("component")
+
+
 def _sound(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The distinct edges between nodes, stored."""
     left = edges.select("src", "dst").distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -89,14 +173,19 @@ def depths(nodes: DataFrame, edges: DataFrame, small: int | None = None) -> Data
     """
     left = _sound(nodes, edges)
     found = nodes.select("id").distinct()
-    if _is_small(left, small):
+    few = _is_small(left, small)
+    if few or small != 0:
+        some, large = (left, None) if few else _pieces(left, small)
         kind = T.StructType([T.StructField("id", left.schema["src"].dataType), T.StructField("_depth", T.IntegerType())])
 
         def peel(table: pa.Table) -> dict[str, pa.Array]:
             src, dst, ids = _coded(table)
             return {"id": ids, "_depth": pa.array(_levels(src, dst, len(ids)), pa.int32())}
 
-        known = _in_one_task(left, peel, kind)
+        known = _in_one_task(left, peel, kind) if few else _in_pieces(some, ["component"], [], peel, kind)
+        if large is not None:
+            far = _peeled(large.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), large)
+            known = known.unionByName(far.select("id", F.coalesce("depth", F.lit(-1)).alias("_depth")))
         depth = F.coalesce("_depth", F.lit(0))
         return found.join(known, "id", "left").select("id", F.when(depth >= 0, depth).alias("depth"))
     return _peeled(found, left)
@@ -144,9 +233,9 @@ def _peeled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(on).unionByName(rings.select("id", F.lit(None).cast("bigint").alias("depth"))).select("id", F.col("depth").cast("int").alias("depth"))
 
 
-def cyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def cyclic(nodes: DataFrame, edges: DataFrame, small: int | None = None) -> DataFrame:
     """Nodes on a cycle or behind one: what is left when no root is."""
-    return depths(nodes, edges).where(F.col("depth").isNull()).select("id")
+    return depths(nodes, edges, small).where(F.col("depth").isNull()).select("id")
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, small: int | None = None) -> DataFrame:
@@ -205,15 +294,22 @@ def ancestry(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, small: int | None = None) -> DataFrame:
     """(id, component): strongly connected components of two or more nodes, named by their least member.
 
-    A large graph is trimmed of what is acyclic at its ends; then every node takes the least node that reaches it, and
+    A large piece is trimmed of what is acyclic at its ends; then every node takes the least node that reaches it, and
     those that reach this node in turn, among nodes of one label, are its component. What is left goes round again.
     """
     core = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "core")
     kind = T.StructType([T.StructField("id", core.schema["src"].dataType), T.StructField("component", core.schema["src"].dataType)])
-    n = core.count()
-    if n <= (SMALL if small is None else small):
+    if _is_small(core, small):
         return _in_one_task(core, _tarjan, kind)
-    found = edges.sparkSession.createDataFrame([], kind)
+    if small == 0:
+        return _strong_by_joins(core, kind)
+    some, large = _pieces(core, small)
+    found = _in_pieces(some, ["component"], [], _tarjan, kind)
+    return cut_lineage(found if large is None else found.unionByName(_strong_by_joins(large, kind)), "components")
+
+
+def _strong_by_joins(core: DataFrame, kind: T.StructType) -> DataFrame:
+    found, n = core.sparkSession.createDataFrame([], kind), core.count()
     while n:
         before = None
         while n and n != before:
@@ -246,12 +342,19 @@ def strong_components(edges: DataFrame, small: int | None = None) -> DataFrame:
 
 
 def _tarjan(table: pa.Table) -> dict[str, pa.Array]:
-    """Strongly connected components of two or more nodes, by depth-first search with low links on a stack of its own."""
+    """Strongly connected components of two or more nodes."""
     src, dst, ids = _coded(table)
-    first, after = (x.tolist() for x in _adjacent(src, dst, len(ids)))
-    number, low, held, component = [-1] * len(ids), [0] * len(ids), [False] * len(ids), [-1] * len(ids)
+    found = _strong(src, dst, len(ids))
+    own = np.flatnonzero(found >= 0)
+    return {"id": ids.take(pa.array(own)), "component": ids.take(pa.array(found[own]))}
+
+
+def _strong(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each node's strongly connected component, -1 if it is one of its own, by depth-first search with low links on a stack of its own."""
+    first, after = (x.tolist() for x in _adjacent(src, dst, n))
+    number, low, held, component = [-1] * n, [0] * n, [False] * n, [-1] * n
     place, count, open_ = list(first), 0, []  # place: where each node's search goes on
-    for root in range(len(ids)):
+    for root in range(n):
         todo = [root] if number[root] < 0 else []
         while todo:
             v = todo[-1]
@@ -279,9 +382,7 @@ def _tarjan(table: pa.Table) -> dict[str, pa.Array]:
                 del open_[at:]
                 for w in own:
                     held[w], component[w] = False, min(own) if len(own) > 1 else -1
-    found = np.array(component)
-    own = np.flatnonzero(found >= 0)
-    return {"id": ids.take(pa.array(own)), "component": ids.take(pa.array(found[own]))}
+    return np.array(component, np.int64)
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -429,9 +530,54 @@ def leads_to(edges: DataFrame, pairs: DataFrame, small: int | None = None) -> Da
     """pairs (a, b) whose a leads to b over edges, once each; a node leads to itself only on a cycle or a loop.
 
     Cycles are put together first, so that the graph is acyclic. A small one is given interval labels by one task, which all tasks hold: most pairs
-    are decided by them either way, the others are searched among nodes whose labels hold the wanted one. In a large one what each
-    a leads to is followed by joins, of the a's of open pairs alone and no deeper than their b's. Neither makes the closure.
+    are decided by them either way, the others are searched among nodes whose labels hold the wanted one. So are the small pieces of a large one, with the pairs
+    that start in them. In a large piece what each a leads to is followed by joins, of the a's of open pairs alone and no deeper than their b's. None makes the closure.
     """
+    if small != 0 and not _is_small(edges, small):
+        return _in_their_pieces(edges, pairs, small)
+    return _among_all(edges, pairs, small)
+
+
+def _in_their_pieces(edges: DataFrame, pairs: DataFrame, small: int | None) -> DataFrame:
+    limit = SMALL if small is None else small
+    base = cut_lineage(edges.select("src", "dst").distinct(), "edges")
+    some, large = _pieces(base, small)
+    home = some.select(F.explode(F.array("src", "dst")).alias("a"), "component").distinct()
+    asked = cut_lineage(pairs.select("a", "b").repartition("a").distinct().join(home, "a").select("component", "a", "b"), "asked")
+    # Pairs of a piece that has very many are dealt over blocks, each with the piece's edges.
+    many = cut_lineage(asked.groupBy("component").count().where(F.col("count") > limit).select("component", F.ceil(F.col("count") / limit).cast("int").alias("n")), "many")
+    n = F.coalesce("n", F.lit(1))
+    rows = some.join(F.broadcast(many), "component", "left").select("component", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), F.lit(False).alias("asked"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    rows = rows.unionByName(asked.join(F.broadcast(many), "component", "left").select("component", F.pmod(F.xxhash64("a", "b"), n).cast("int").alias("block"), F.lit(True).alias("asked"), "a", "b"))
+
+    def answer(table: pa.Table) -> dict[str, pa.Array]:
+        wanted = table.column("asked")
+        own, open_ = table.filter(pc.invert(wanted)), table.filter(wanted)
+        src, dst, ids = _coded(pa.table({"src": own.column("a"), "dst": own.column("b")}))
+        strong = _strong(src, dst, len(ids))
+        round_ = strong >= 0
+        round_[src[src == dst]] = True
+        strong = np.where(strong < 0, np.arange(len(ids)), strong)
+        index = pd.Index(ids.to_pandas())
+        a, b = (index.get_indexer(open_.column(c).to_pandas()) for c in ("a", "b"))
+        there = (a >= 0) & (b >= 0)
+        x, y = strong[a], strong[b]
+        yes = there & np.where(a == b, round_[a], x == y)
+        far = np.flatnonzero(there & (x != y))
+        between = np.unique(np.stack((strong[src], strong[dst]), 1)[strong[src] != strong[dst]], axis=0)
+        if len(far) and len(between):
+            yes[far] = _lead((*_labelled_all(between[:, 0], between[:, 1], len(ids)), None), x[far], y[far])
+        yes = pa.array(yes)
+        return {"a": open_.column("a").filter(yes).combine_chunks(), "b": open_.column("b").filter(yes).combine_chunks()}
+
+    found = _in_pieces(rows, ["component", "block"], [], answer, asked.select("a", "b").schema)
+    if large is None:
+        return found
+    large = cut_lineage(large, "large")
+    return found.unionByName(_among_all(large, pairs.join(large.select(F.explode(F.array("src", "dst")).alias("a")).distinct(), "a", "left_semi"), 0))
+
+
+def _among_all(edges: DataFrame, pairs: DataFrame, small: int | None) -> DataFrame:
     asked = cut_lineage(pairs.select("a", "b").distinct(), "asked")
     comps = cut_lineage(strong_components(edges, small), "components")
     name = lambda df, c: df.join(comps.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
@@ -490,10 +636,15 @@ def _labels(dag: DataFrame) -> tuple | None:
     if not table.num_rows:
         return None
     src, dst, ids = _coded(table)
-    first, after = _adjacent(src, dst, len(ids))
+    return (*_labelled_all(src, dst, len(ids)), ids)
+
+
+def _labelled_all(src: np.ndarray, dst: np.ndarray, n: int) -> tuple:
+    """(first, after, lows, ranks, begins) of an acyclic graph."""
+    first, after = _adjacent(src, dst, n)
     shuffled_ = [(f := _shuffled(first, after, np.random.default_rng(i)), _labelled(first, f, np.random.default_rng(i)))[1] for i in range(LABELLINGS)]
     lows, ranks, begins = (np.stack(x, 1) for x in zip(*shuffled_))
-    return first, after, lows, ranks, begins, ids
+    return first, after, lows, ranks, begins
 
 
 def _lead(labels: tuple, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -817,15 +968,23 @@ class GrowingOrder:
         self.place[now] = np.arange(lo, hi + 1)
 
 
-def without_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _inside(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """Edges (seq, src, dst) with both ends in one component, which they get."""
+    both = edges.join(comps.select(F.col("id").alias("src"), "component"), "src").join(comps.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst")
+    return both.where(F.col("component") == F.col("c")).select("seq", "src", "dst", "component")
+
+
+def without_cycles(nodes: DataFrame, edges: DataFrame, small: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) edges (seq, src, dst): dangling ones go, and in the order of seq those that close a cycle.
 
     Only edges inside a strongly connected component can close one; those are walked in order, a component at a time, past an
-    order of its nodes that each edge kept extends (see `GrowingOrder`).
+    order of its nodes that each edge kept extends (see `GrowingOrder`). The small pieces of a large graph are walked whole.
     """
-    sound = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("seq", "src", "dst")
-    comps = strong_components(sound)
-    inner = sound.join(comps.select(F.col("id").alias("src"), "component"), "src").join(comps.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst").where(F.col("component") == F.col("c"))
+    sound = cut_lineage(edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("seq", "src", "dst"), "sound")
+    some, large = (None, sound) if _is_small(sound, small) else _pieces(sound, small)
+    inner = None if large is None else _inside(large, strong_components(large, 0 if some is not None else None))
+    if some is not None:
+        inner = some.select("seq", "src", "dst", "component") if inner is None else some.select("seq", "src", "dst", "component").unionByName(inner)
     kind = dict(sound.dtypes)["src"]
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -839,9 +998,9 @@ def without_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
                     lost.append((seq, src, dst))
             yield pd.DataFrame(lost, columns=["seq", "src", "dst"])
 
-    walked = inner.select("component", "seq", "src", "dst").repartition("component").sortWithinPartitions("component", "seq").mapInPandas(walk, f"seq bigint, src {kind}, dst {kind}")
-    closing = walked.unionByName(sound.where(F.col("src") == F.col("dst")).withColumn("seq", F.col("seq").cast("bigint")))
-    kept = sound.join(closing.select("seq").distinct(), "seq", "left_anti")
+    walked = _dealt(inner.select("component", "seq", "src", "dst"), "component").sortWithinPartitions("component", "seq").mapInPandas(walk, f"seq bigint, src {kind}, dst {kind}")
+    closing = cut_lineage(walked.select("seq").unionByName(sound.where(F.col("src") == F.col("dst")).select(F.col("seq").cast("bigint"))).distinct(), "closing")
+    kept = sound.join(closing, "seq", "left_anti")
     return kept, edges.select("seq", "src", "dst").join(kept.select("seq"), "seq", "left_anti")
 
 
